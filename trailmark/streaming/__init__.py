@@ -1,0 +1,5 @@
+"""Intentionally empty: every operator of this library is a batch DataFrame job.
+
+The workload is scored in batches against a bounded history, so there is no stream, watermark or
+keyed state to maintain. The package exists to keep the layout uniform.
+"""
