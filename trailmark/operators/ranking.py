@@ -7,7 +7,7 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trailmark.plans.blocked import HOT_ROWS, hot_accounts, running_sum
+from trailmark.plans.blocked import HOT_ROWS, hot_accounts, running_sum, sum_before
 from trailmark.schema import SECOND
 
 
@@ -30,10 +30,9 @@ def last_n_before(anchors: DataFrame, flow: DataFrame, n: int = 50, hot_rows: in
     hot = hot_accounts(flow, "t", hot_rows)
     side = flow.select("acct", "t", "txn_id", "dir", "amt", "chan")
     numbered = running_sum(side, ["acct"], ["t", "txn_id"], {"pos": F.lit(1).cast("long")}, hot)
-    spot = F.max("pos").alias("pos")
-    # Rows at or before the anchor = position of the last row with t <= anchor t.
-    at = numbered.groupBy("acct", "t").agg(spot)
-    own = anchors.select(F.col("txn_id").alias("anchor_id"), "acct", "t").join(at, ["acct", "t"])
+    probes = anchors.select(F.col("txn_id").alias("anchor_id"), "acct", (F.col("t") + 1).alias("e"))
+    one = flow.select("acct", F.col("t").alias("e"), F.lit(1).cast("long").alias("pos"))
+    own = sum_before(probes, one, "e", ["pos"], hot)
     block = f"({{}} - pmod({{}}, {n}L)) div {n}L"
     wanted = own.withColumn("blk", F.expr(block.format("pos", "pos"))).select(
         "anchor_id", "acct", F.col("pos").alias("last_pos"), F.explode(F.array("blk", F.col("blk") - 1)).alias("blk")
