@@ -105,14 +105,14 @@ def _(spark, d):
 
 @query("tag_share", "txn_id:i cnt_share:d amt_share:d",
        sql(*H14, """select txn_id, (count(*) filter (where dir = 0 and chan = 'error')) / nullif(count(*) filter (where dir = 0), 0)::double as cnt_share,
-  coalesce(sum(amt) filter (where dir = 0 and chan = 'error'), 0) / nullif(sum(amt) filter (where dir = 0), 0) as amt_share from hist group by 1"""))
+  coalesce(round(sum(amt) filter (where dir = 0 and chan = 'error'), 2), 0) / nullif(round(sum(amt) filter (where dir = 0), 2), 0) as amt_share from hist group by 1"""))
 def _(spark, d):
     flow, anchors = events(spark, d)
     tag, w = F.col("chan") == "error", ["14d"]
     got = look_back(anchors, flow, [
         Measure("tn", "count", w, OUT & tag), Measure("n", "count", w, OUT),
         Measure("ta", "sum", w, OUT & tag, AMT), Measure("a", "sum", w, OUT, AMT)])
-    return got.select("txn_id", S.safe_ratio("tn_14d", "n_14d").alias("cnt_share"), S.safe_ratio("ta_14d", "a_14d").alias("amt_share"))
+    return got.select("txn_id", S.safe_ratio("tn_14d", "n_14d").alias("cnt_share"), S.safe_ratio(F.round("ta_14d", 2), F.round("a_14d", 2)).alias("amt_share"))
 
 
 @query("per_active_day", "txn_id:i out_per_day:d tagged_days:d",
@@ -308,7 +308,7 @@ def _(spark, d):
     return pairs.groupBy("txn_id").agg(S.safe_ratio(F.count_if(F.col("h_amt") <= F.col("amt")), F.count("h_amt")).alias("prank"))
 
 
-@query("zscore_current", "txn_id:i z:d",
+@query("zscore_current", "txn_id:i z:m",
        sql(*H14, """select txn_id, case when stddev_samp(amt) filter (where dir = 0) > 0 then (any_value(amt0) - avg(amt) filter (where dir = 0)) / stddev_samp(amt) filter (where dir = 0) end as z
   from hist group by 1"""))
 def _(spark, d):
@@ -389,8 +389,8 @@ def _(spark, d):
 def _(spark, d):
     flow, anchors = events(spark, d)
     w = ["3d", "14d"]
-    got = look_back(anchors, flow, [Measure("t", "count", w, OUT & F.col("chan").isin("view", "click")), Measure("n", "count", w, OUT)])
-    return got.select("txn_id", (S.safe_ratio("t_14d", "n_14d") - S.safe_ratio("t_3d", "n_3d")).alias("shift"))
+    got = look_back(anchors, flow, [Measure("tag", "count", w, OUT & F.col("chan").isin("view", "click")), Measure("n", "count", w, OUT)])
+    return got.select("txn_id", (S.safe_ratio("tag_14d", "n_14d") - S.safe_ratio("tag_3d", "n_3d")).alias("shift"))
 
 
 @query("repeat_party_ratio", "acct:i snap_dt:D ratio:d",

@@ -34,8 +34,12 @@ def with_neighbours(
     return neighbours(flow, ["acct"], list(ORDER), hot_accounts(flow, "t", hot_rows), lags, leads)
 
 
-def gap_stats(anchors: DataFrame, flow: DataFrame, window: str, where: Column, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Positive gaps between consecutive qualifying rows inside the window: n, sum, mean, std, cv; rapid repeats.
+def gap_stats(
+    anchors: DataFrame, flow: DataFrame, window: str, where: Column, rapid_sec: int = 120, hot_rows: int = HOT_ROWS
+) -> DataFrame:
+    """Positive gaps between consecutive qualifying rows inside the window: number, mean, std, cv.
+
+    ``rapid_cnt`` counts rows at most ``rapid_sec`` after the one before.
 
     A gap counts for anchors after its later row and as long as its earlier row is still inside the
     window, so each gap is one entry and one exit on the account's time line.
@@ -57,7 +61,7 @@ def gap_stats(anchors: DataFrame, flow: DataFrame, window: str, where: Column, h
             F.struct((F.col("pt") + w).alias("e"), F.lit(-1).alias("d")),
         )).alias("x"),
         g.alias("g"),
-        flag(F.col("gap") <= 120).alias("r"),
+        flag(F.col("gap") <= rapid_sec).alias("r"),
     )
     d = F.col("x.d")
     deltas = steps.select(

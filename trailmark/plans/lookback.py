@@ -44,31 +44,23 @@ class Measure:
         value = F.lit(1) if self.kind in ("count", "days", "peak") else self.value
         return value if self.where is None else F.when(self.where, value)
 
-    def fold(self, c: Column) -> Column:
-        """Aggregate of row values (or of partial results) within a block."""
-        return {"min": F.min, "max": F.max}.get(self.kind, F.sum)(c)
+    def fold(self, x: str) -> str:
+        """Aggregate (SQL) of row values within a block."""
+        return f"{self.kind if self.kind in ('min', 'max') else 'sum'}({x})"
 
-    def merge(self, c: Column) -> Column:
-        """Aggregate of block-level partial results across blocks."""
+    def merge(self, x: str) -> str:
+        """Aggregate (SQL) of block-level partial results across blocks."""
         if self.kind == "days":
-            return F.sum(F.when(c > 0, 1))
-        if self.kind == "peak":
-            return F.max(c)
-        return self.fold(c)
+            return f"sum(case when {x} > 0 then 1 end)"
+        return f"max({x})" if self.kind == "peak" else self.fold(x)
 
-    def combine(self, parts: Sequence[Column]) -> Column:
-        if self.kind == "min":
-            return F.least(*parts) if len(parts) > 1 else parts[0]
-        if self.kind in ("max", "peak"):
-            best = F.greatest(*parts) if len(parts) > 1 else parts[0]
-            return F.coalesce(best, F.lit(0)) if self.kind == "peak" else best
-        total = sum((F.coalesce(p, F.lit(0)) for p in parts[1:]), F.coalesce(parts[0], F.lit(0)))
-        return total
-
-
-def block_of(time: str, width: int) -> Column:
-    """Index of the fixed-width block holding ``time`` (exact integer arithmetic)."""
-    return F.expr(f"(`{time}` - pmod(`{time}`, {width}L)) div {width}L")
+    def combine(self, parts: Sequence[str]) -> str:
+        """Final value (SQL) from the partial results of the pieces of a window."""
+        if self.kind in ("min", "max", "peak"):
+            pick = "least" if self.kind == "min" else "greatest"
+            best = f"{pick}({', '.join(parts)})" if len(parts) > 1 else parts[0]
+            return f"coalesce({best}, 0)" if self.kind == "peak" else best
+        return " + ".join(f"coalesce({p}, 0)" for p in parts)
 
 
 def look_back(
@@ -95,6 +87,8 @@ def look_back(
     by_name = {m.name: m for m in measures}
     if len(by_name) != len(measures):
         raise ValueError("measure names must be unique")
+    if taken := by_name.keys() & {"acct", "t", "b", "b0", "w", "kind", "slot", "cuts", "txn_id", "n_rows"}:
+        raise ValueError(f"reserved measure names: {sorted(taken)}")
     out = None
     for width, labels in sorted(groups.items()):
         used = sorted({n for names in labels.values() for n in names})
@@ -115,126 +109,107 @@ def _scan(
     names = [m.name for m in measures]
     span = {lab: WINDOWS[lab] * SECOND // width for lab in labels}
     wants = [(m, lab) for m in measures for lab in labels if m.name in labels[lab]]
-
-    rows = flow.select("acct", "t", *[m.row_value().alias(m.name) for m in measures]).withColumn(
-        "b", block_of("t", width)
-    )
-    totals = rows.groupBy("acct", "b").agg(
-        *[m.fold(F.col(m.name)).alias(m.name) for m in measures], F.count(F.lit(1)).alias("n_rows")
+    block = f"(t - pmod(t, {width}L)) div {width}L"
+    folds = [f"{m.fold(m.name)} as {m.name}" for m in measures]
+
+    rows = flow.select("acct", "t", *[m.row_value().alias(m.name) for m in measures])
+    totals = (
+        rows.selectExpr("acct", f"{block} as b", *names)
+        .groupBy("acct", "b")
+        .agg(*[F.expr(x) for x in folds], F.expr("count(1) as n_rows"))
     )
 
-    # Probes: window code 0 is the anchor itself, -k the start of the window of k blocks.
+    # Probes: w = 0 is the anchor itself, w = k the start of the window of k blocks.
     spans = sorted(set(span.values()))
-    right_kind = 2 if inclusive else 0
-    points = [F.struct(F.lit(0).alias("w"), F.col("t").alias("p"), F.lit(right_kind).alias("kind"))]
-    points += [
-        F.struct(F.lit(k).alias("w"), (F.col("t") - k * width).alias("p"), F.lit(0).alias("kind")) for k in spans
-    ]
-    nulls = [F.lit(None).cast(rows.schema[n].dataType).alias(n) for n in names]
-    probes = anchors.select("acct", "txn_id", F.explode(F.array(*points)).alias("x")).select(
-        "acct", F.col("x.p").alias("t"), *nulls, "txn_id", "x.w", "x.kind"
+    points = [f"struct(0 as w, t as p, {2 if inclusive else 0} as kind)"]
+    points += [f"struct({k} as w, t - {k * width}L as p, 0 as kind)" for k in spans]
+    probes = anchors.selectExpr("acct", "txn_id", f"explode(array({', '.join(points)})) as x").selectExpr(
+        "acct", "x.p as t", "txn_id", "x.w as w", "x.kind as kind"
     )
     lines = (
-        rows.drop("b")
-        .withColumns({"txn_id": F.lit(None).cast(anchors.schema["txn_id"].dataType), "w": F.lit(None).cast("int")})
-        .withColumn("kind", F.lit(1))
-        .unionByName(probes)
-        .withColumn("b", block_of("t", width))
+        rows.selectExpr("*", "1 as kind")
+        .unionByName(probes, allowMissingColumns=True)
+        .selectExpr("*", f"{block} as b")
     )
-    part_by = ["acct", "b"]
+    part_by = "acct, b"
     if hot_rows:
         hot = (
-            totals.filter(F.col("n_rows") > hot_rows)
+            totals.filter(f"n_rows > {hot_rows}")
             .orderBy(F.desc("n_rows"), "acct", "b")
             .limit(HOT_CAP)
-            .select("acct", "b", F.ceil(F.col("n_rows") / hot_rows).cast("long").alias("cuts"))
+            .selectExpr("acct", "b", f"n_rows div {hot_rows}L + 1 as cuts")
         )
-        slot = F.expr(f"coalesce((pmod(t, {width}L) * cuts) div {width}L, 0L)")
-        lines = lines.join(F.broadcast(hot), ["acct", "b"], "left").withColumn("slot", slot)
-        part_by = ["acct", "b", "slot"]
-
-    up = Window.partitionBy(*part_by).orderBy("t", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    down = (
-        Window.partitionBy(*part_by)
-        .orderBy(F.desc("t"), F.desc("kind"))
-        .rowsBetween(Window.unboundedPreceding, 0)
-    )
-    at_start = F.col("w") > 0
-    scanned = lines.withColumns({f"u_{m.name}": m.fold(F.col(m.name)).over(up) for m in measures})
-    scanned = scanned.withColumns({f"d_{m.name}": m.fold(F.col(m.name)).over(down) for m in measures})
-    edge = scanned.filter("kind <> 1").select(
-        *part_by,
-        "txn_id",
-        "w",
-        *(["cuts"] if hot_rows else []),
-        *[F.when(at_start, F.col(f"d_{n}")).otherwise(F.col(f"u_{n}")).alias(n) for n in names],
+        lines = lines.join(F.broadcast(hot), ["acct", "b"], "left").selectExpr(
+            "*", f"coalesce((pmod(t, {width}L) * cuts) div {width}L, 0L) as slot"
+        )
+        part_by = "acct, b, slot"
+
+    frame = "rows between unbounded preceding and current row"
+    up = f"over (partition by {part_by} order by t, kind {frame})"
+    down = f"over (partition by {part_by} order by t desc, kind desc {frame})"
+    ups = [f"{m.fold(m.name)} {up} as u_{m.name}" for m in measures]
+    downs = [f"{m.fold(m.name)} {down} as d_{m.name}" for m in measures]
+    keys = [k.strip() for k in part_by.split(",")]
+    edge = (
+        lines.selectExpr("*", *ups, *downs)
+        .filter("kind <> 1")
+        .selectExpr(*keys, "txn_id", "w", *[f"case when w > 0 then d_{n} else u_{n} end as {n}" for n in names])
     )
     if hot_rows:
-        edge = _add_slot_carry(edge, lines, measures, at_start)
-
-    edge = edge.withColumn("b0", F.col("b") + F.coalesce(F.col("w"), F.lit(0)))
-    picks = []
-    for m, lab in wants:
-        k = span[lab]
-        state = F.when(F.col("w").isin(0, k), F.col(m.name))
-        picks.append(m.merge(state).alias(f"{m.name}_{lab}"))
-    per_anchor = edge.groupBy("txn_id", "acct", "b0").agg(*picks)
+        edge = _add_slot_carry(edge, lines, measures)
 
+    picks = [f"{m.merge(f'case when w in (0, {span[lab]}) then {m.name} end')} as {m.name}_{lab}" for m, lab in wants]
+    per_anchor = (
+        edge.selectExpr("*", "b + w as b0").groupBy("txn_id", "acct", "b0").agg(*[F.expr(x) for x in picks])
+    )
+    outs = {f"{m.name}_{lab}": (m, [f"{m.name}_{lab}"]) for m, lab in wants}
     deepest = max(spans)
-    outs = {f"{m.name}_{lab}": (m, [F.col(f"{m.name}_{lab}")]) for m, lab in wants}
     if deepest > 1:
-        days = anchors.select("acct", block_of("t", width).alias("b0")).distinct()
         mids = []
         for m, lab in wants:
-            k = span[lab]
-            if k > 1:
-                inside = F.when(F.col("b0") - F.col("b") < k, F.col(m.name))
-                mids.append(m.merge(inside).alias(f"mid_{m.name}_{lab}"))
-                outs[f"{m.name}_{lab}"][1].append(F.col(f"mid_{m.name}_{lab}"))
+            if span[lab] > 1:
+                inside = f"case when b0 - b < {span[lab]} then {m.name} end"
+                mids.append(f"{m.merge(inside)} as mid_{m.name}_{lab}")
+                outs[f"{m.name}_{lab}"][1].append(f"mid_{m.name}_{lab}")
+        points_in_blocks = anchors.selectExpr("acct", f"{block} as b0").distinct()
         between = (
-            days.alias("a")
-            .join(
-                totals.alias("h"),
-                (F.col("a.acct") == F.col("h.acct"))
-                & (F.col("h.b") < F.col("a.b0"))
-                & (F.col("h.b") > F.col("a.b0") - deepest),
-            )
-            .select("a.acct", "a.b0", "h.b", *[f"h.{n}" for n in names])
+            points_in_blocks.alias("a")
+            .join(totals.alias("h"), F.expr(f"a.acct = h.acct and h.b < a.b0 and h.b > a.b0 - {deepest}"))
+            .selectExpr("a.acct", "a.b0", "h.b", *[f"h.{n}" for n in names])
             .groupBy("acct", "b0")
-            .agg(*mids)
+            .agg(*[F.expr(x) for x in mids])
         )
         per_anchor = per_anchor.join(between, ["acct", "b0"], "left")
-    return per_anchor.select("txn_id", *[m.combine(parts).alias(n) for n, (m, parts) in outs.items()])
+    return per_anchor.selectExpr("txn_id", *[f"{m.combine(parts)} as {n}" for n, (m, parts) in outs.items()])
 
 
-def _add_slot_carry(edge: DataFrame, lines: DataFrame, measures: Sequence[Measure], at_start: Column) -> DataFrame:
+def _add_slot_carry(edge: DataFrame, lines: DataFrame, measures: Sequence[Measure]) -> DataFrame:
     """For blocks cut into slots, add the slots of the same block before (after) the probe's slot."""
+    frame = "rows between unbounded preceding and 1 preceding"
+    before = f"over (partition by acct, b order by slot {frame})"
+    after = f"over (partition by acct, b order by slot desc {frame})"
     slots = (
         lines.filter("cuts is not null")
         .groupBy("acct", "b", "slot")
-        .agg(*[m.fold(F.col(m.name)).alias(m.name) for m in measures])
-    )
-    block = Window.partitionBy("acct", "b")
-    before = block.orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
-    after = block.orderBy(F.desc("slot")).rowsBetween(Window.unboundedPreceding, -1)
-    slots = slots.select(
-        "acct",
-        "b",
-        "slot",
-        *[m.fold(F.col(m.name)).over(before).alias(f"cu_{m.name}") for m in measures],
-        *[m.fold(F.col(m.name)).over(after).alias(f"cd_{m.name}") for m in measures],
+        .agg(*[F.expr(f"{m.fold(m.name)} as {m.name}") for m in measures])
+        .selectExpr(
+            "acct",
+            "b",
+            "slot",
+            *[f"{m.fold(m.name)} {before} as cu_{m.name}" for m in measures],
+            *[f"{m.fold(m.name)} {after} as cd_{m.name}" for m in measures],
+        )
     )
-    joined = edge.join(slots, ["acct", "b", "slot"], "left")
-    merged = {}
+    merged = []
     for m in measures:
-        carry = F.when(at_start, F.col(f"cd_{m.name}")).otherwise(F.col(f"cu_{m.name}"))
-        if m.kind == "min":
-            merged[m.name] = F.least(F.col(m.name), carry)
-        elif m.kind == "max":
-            merged[m.name] = F.greatest(F.col(m.name), carry)
+        carry = f"case when w > 0 then cd_{m.name} else cu_{m.name} end"
+        if m.kind in ("min", "max"):
+            pick = "least" if m.kind == "min" else "greatest"
+            merged.append(f"{pick}({m.name}, {carry}) as {m.name}")
         else:
-            merged[m.name] = F.coalesce(F.col(m.name) + carry, F.col(m.name), carry)
-    return joined.withColumns(merged).drop(*[f"c{x}_{m.name}" for m in measures for x in "ud"])
+            merged.append(f"coalesce({m.name} + {carry}, {m.name}, {carry}) as {m.name}")
+    joined = edge.join(slots, ["acct", "b", "slot"], "left")
+    return joined.selectExpr("acct", "b", "txn_id", "w", *merged)
 
 
 def look_back_days(
@@ -254,27 +229,26 @@ def look_back_days(
     daily = (
         flow.select("acct", "dt", *[m.row_value().alias(m.name) for m in measures])
         .groupBy("acct", "dt")
-        .agg(*[m.fold(F.col(m.name)).alias(m.name) for m in measures])
+        .agg(*[F.expr(f"{m.fold(m.name)} as {m.name}") for m in measures])
     )
     acct, day = keys[-2], keys[-1]
     lo = min(b[0] for b in bands.values())
     hi = max(b[1] for b in bands.values())
-    points = anchors.select(F.col(acct).alias("acct"), F.col(day).alias("day0")).distinct()
-    off = F.datediff("day0", "dt")
+    points = anchors.selectExpr(f"{acct} as acct", f"{day} as day0").distinct()
     aggs, outs = [], []
     for m in measures:
         for lab in m.windows:
             a, b = bands[lab]
             name = f"{m.name}_{lab}"
-            aggs.append(m.merge(F.when(F.col("off").between(a, b), F.col(m.name))).alias(name))
-            outs.append(m.combine([F.col(name)]).alias(name))
+            inside = f"case when off between {a} and {b} then {m.name} end"
+            aggs.append(F.expr(f"{m.merge(inside)} as {name}"))
+            outs.append(f"{m.combine([name])} as {name}")
     windowed = (
         points.alias("a")
-        .join(daily.alias("h"), (F.col("a.acct") == F.col("h.acct")) & off.between(lo, hi), "left")
-        .select("a.acct", "a.day0", off.alias("off"), *[f"h.{n}" for n in names])
+        .join(daily.alias("h"), F.expr(f"a.acct = h.acct and datediff(day0, dt) between {lo} and {hi}"), "left")
+        .selectExpr("a.acct", "a.day0", "datediff(day0, dt) as off", *[f"h.{n}" for n in names])
         .groupBy("acct", "day0")
         .agg(*aggs)
-        .select("acct", "day0", *outs)
+        .selectExpr(f"acct as {acct}", f"day0 as {day}", *outs)
     )
-    named = windowed.withColumnsRenamed({"acct": acct, "day0": day})
-    return anchors.select(*keys).join(named, [acct, day])
+    return anchors.select(*keys).join(windowed, [acct, day])
