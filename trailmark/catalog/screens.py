@@ -1 +1,240 @@
-"""Queries."""
+"""Feature screening, folds, ranking, evaluation and model training."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from trailmark.catalog.base import FLOW, LABELLED, hist, labelled, query, sql
+from trailmark.operators import evaluation as V
+from trailmark.operators import modeling as M
+from trailmark.operators import ranking as R
+from trailmark.operators import screening as L
+from trailmark.plans.lookback import Measure, look_back
+from trailmark.schema import read
+
+FEATS = ["out_cnt", "in_cnt", "out_amt", "max_amt", "errors", "views_3d"]
+
+WIDE = (FLOW, LABELLED, hist("14d", "labelled"),
+        """wide as (select txn_id, count(*) filter (where dir = 0)::double as out_cnt, count(*) filter (where dir = 1)::double as in_cnt,
+  round(coalesce(sum(amt) filter (where dir = 0), 0), 2) as out_amt, max(amt) as max_amt, count(*) filter (where chan = 'error')::double as errors,
+  count(*) filter (where chan = 'view' and age <= 259200)::double as views_3d from hist group by 1)""",
+        "feats as (select l.txn_id, l.acct, l.t, l.dt, l.label, l.split, out_cnt, in_cnt, out_amt, max_amt, errors, views_3d from labelled l join wide using (txn_id))")
+
+
+def feature_frame(spark, d):
+    """A small labelled wide frame: the input of screening and training."""
+    flow, anchors = labelled(spark, d)
+    amt = F.col("amt")
+    got = look_back(anchors, flow, [
+        Measure("out_cnt", "count", ["14d"], F.col("dir") == 0), Measure("in_cnt", "count", ["14d"], F.col("dir") == 1),
+        Measure("out_amt", "sum", ["14d"], F.col("dir") == 0, amt), Measure("max_amt", "max", ["14d"], None, amt),
+        Measure("errors", "count", ["14d"], F.col("chan") == "error"), Measure("views", "count", ["3d"], F.col("chan") == "view")])
+    return anchors.select("txn_id", "acct", "t", "dt", "label", "split").join(got, "txn_id").select(
+        "txn_id", "acct", "t", "dt", "label", "split",
+        *[F.col(f"{n}_14d").cast("double").alias(n) for n in ("out_cnt", "in_cnt")],
+        F.round("out_amt_14d", 2).alias("out_amt"), F.col("max_amt_14d").alias("max_amt"),
+        F.col("errors_14d").cast("double").alias("errors"), F.col("views_3d").cast("double").alias("views_3d"))
+
+
+def long_sql(source: str, feats=FEATS, keep: str = "label") -> str:
+    return " union all ".join(f"select '{f}' as feature, {f} as value, {keep} from {source}" for f in feats)
+
+
+CUTS = """cuts as (select feature, list_sort(list_distinct(list_transform(quantile_disc(value, [0.2, 0.4, 0.6, 0.8]), lambda x: round(x, 3)))) as c from {src} group by 1)"""
+BINNED = """binned as (select l.feature, label, case when value is null then 'Missing'
+  else lpad(cast(len(list_filter(c, lambda x: x < value)) + 1 as varchar), 2, '0') end as bin from {src} l join cuts using (feature))"""
+WOE = """cells as (select feature, bin, count(*) as n, sum(label) as bad from binned group by 1, 2),
+tot as (select feature, sum(n) as tn, sum(bad) as tb from cells group by 1),
+woe as (select feature, bin, n, bad, bad * 100.0 / n as bad_rate, n * 100.0 / tn as pct, (bad + 0.0001) / tb * 100 as bad_pct,
+  (n - bad + 0.0001) / (tn - tb) * 100 as good_pct, ln(((bad + 0.0001) / tb) / ((n - bad + 0.0001) / (tn - tb))) as woe,
+  ((bad + 0.0001) / tb - (n - bad + 0.0001) / (tn - tb)) * ln(((bad + 0.0001) / tb) / ((n - bad + 0.0001) / (tn - tb))) as iv from cells join tot using (feature))"""
+TRAIN = (*WIDE, "train as (select * from feats where split = 'train')")
+
+
+@query("iv_quantile", "feature:s bin:s n:i bad:i bad_rate:d pct:d bad_pct:d good_pct:d woe:d iv:d",
+       sql(*TRAIN, f"long as ({long_sql('train')})", CUTS.format(src="long"), BINNED.format(src="long"), WOE, "select * from woe"))
+def _(spark, d):
+    return L.iv_quantile(feature_frame(spark, d).filter("split = 'train'"), FEATS, "label")
+
+
+@query("iv_quantile_lines", "feature:s bin:s n:i bad:i woe:d iv:d",
+       sql("src as (select l_quantity, l_discount, l_extendedprice, case when l_quantity < 25 then l_tax end as tax, 1.0 as constant, case when l_returnflag = 'R' then 1 else 0 end as label from lineitem)",
+           f"long as ({long_sql('src', ['l_quantity', 'l_discount', 'tax', 'constant'])})", CUTS.format(src="long"), BINNED.format(src="long"), WOE,
+           "select * from woe"))
+def _(spark, d):
+    src = read(spark, d, "lineitem").select("l_quantity", "l_discount", F.when(F.col("l_quantity") < 25, F.col("l_tax")).alias("tax"), F.lit(1.0).alias("constant"),
+                                            F.when(F.col("l_returnflag") == "R", 1).otherwise(0).alias("label"))
+    return L.iv_quantile(src, ["l_quantity", "l_discount", "tax", "constant"], "label")
+
+
+@query("iv_category", "feature:s bin:s n:i bad:i woe:d iv:d",
+       sql("src as (select lang, source, coalesce(quality, 0) as label from documents left join labels using (doc_id))",
+           "long as (select 'lang' as feature, lang as value, label from src union all select 'source', source, label from src)",
+           "binned as (select feature, label, coalesce(value, 'Missing') as bin from long)", WOE, "select * from woe"))
+def _(spark, d):
+    docs = read(spark, d, "documents").join(read(spark, d, "labels"), "doc_id", "left")
+    return L.iv_category(docs.select("lang", "source", F.coalesce("quality", F.lit(0)).alias("label")), ["lang", "source"], "label")
+
+
+@query("iv_filter", "feature:s iv:d",
+       sql(*TRAIN, f"long as ({long_sql('train')})", CUTS.format(src="long"), BINNED.format(src="long"), WOE,
+           "select feature, sum(iv) as iv from woe group by 1 having sum(iv) >= 0.005"))
+def _(spark, d):
+    iv = L.iv_total(L.iv_quantile(feature_frame(spark, d).filter("split = 'train'"), FEATS, "label"))
+    return L.keep_iv(iv, 0.005)
+
+
+@query("drift_iv", "feature:s drift:d status:s",
+       sql(*WIDE, "mem as (select *, case when split = 'train' then 1 else 0 end as member from feats)",
+           f"long as ({long_sql('mem', keep='member as label')})", CUTS.format(src="long"), BINNED.format(src="long"), WOE,
+           """select feature, sum(iv) as drift, case when sum(iv) < 0.1 then 'Stable' when sum(iv) < 0.25 then 'Slight' else 'SIGNIFICANT' end as status from woe group by 1"""))
+def _(spark, d):
+    f = feature_frame(spark, d)
+    return L.drift_iv(f.filter("split = 'train'"), f.filter("split = 'test'"), FEATS)
+
+
+@query("population_stability", "feature:s psi:d",
+       sql(*WIDE, "mem as (select *, case when split = 'train' then 1 else 0 end as member from feats)",
+           f"long as ({long_sql('mem', keep='member as label')})", CUTS.format(src="(select * from long where label = 1)"), BINNED.format(src="long"), WOE,
+           "select feature, sum(iv) as psi from woe group by 1"))
+def _(spark, d):
+    f = feature_frame(spark, d)
+    return L.psi(f.filter("split = 'train'"), f.filter("split = 'test'"), FEATS)
+
+
+def corr_sql() -> str:
+    parts = [f"select '{a}' as f1, '{b}' as f2, abs(corr({a}, {b})) as r from train" for i, a in enumerate(FEATS) for b in FEATS[i + 1:]]
+    return " union all ".join(parts)
+
+
+@query("corr_pairs", "f1:s f2:s r:d", sql(*TRAIN, corr_sql()))
+def _(spark, d):
+    return L.corr_pairs(feature_frame(spark, d).filter("split = 'train'"), FEATS)
+
+
+@query("drop_correlated", "feature:s")
+def _(spark, d):
+    train = feature_frame(spark, d).filter("split = 'train'")
+    iv = L.iv_total(L.iv_quantile(train, FEATS, "label"))
+    gone = L.drop_correlated(L.corr_pairs(train, FEATS), iv, 0.6)
+    return spark.createDataFrame([(f,) for f in FEATS if f not in gone], "feature string")
+
+
+@query("stratified_folds", "txn_id:i label:i fold:i",
+       sql(FLOW, LABELLED, """select txn_id, label, (row_number() over (partition by label order by md5(cast(txn_id as varchar)), txn_id) - 1) % 5 as fold from labelled"""))
+def _(spark, d):
+    return R.stratified_folds(labelled(spark, d)[1])
+
+
+SCORED = "scored as (select txn_id, acct, t, label, round((errors * 3 + out_cnt) / (1 + in_cnt), 1) as score, out_cnt, in_cnt, out_amt, max_amt, errors, views_3d from feats)"
+RANKED = "ranked as (select *, row_number() over (order by score desc, md5(cast(txn_id as varchar)), txn_id) as rank from scored)"
+
+
+def scored_frame(spark, d):
+    f = feature_frame(spark, d)
+    return f.withColumn("score", F.round((F.col("errors") * 3 + F.col("out_cnt")) / (1 + F.col("in_cnt")), 1))
+
+
+@query("score_rank", "txn_id:i score:d rank:i", sql(*WIDE, SCORED, RANKED, "select txn_id, score, rank from ranked"))
+def _(spark, d):
+    return R.score_rank(scored_frame(spark, d))
+
+
+TOPK = """topk as (select rank as top_k, sum(label) over (order by rank rows unbounded preceding) as hits, score as s, (select sum(label) from scored) as t from ranked),
+tab as (select top_k, hits, round(hits / top_k::double, 4) as precision, round(case when t > 0 then hits / t::double else 0 end, 4) as recall,
+  round(case when hits > 0 then 2.0 * hits / (top_k + t) else 0 end, 4) as f1, round(s, 6) as score_at_k from topk where top_k % 10 = 0 and top_k <= 1000)"""
+
+
+@query("topk_table", "top_k:i hits:i precision:d recall:d f1:d score_at_k:d",
+       sql(*WIDE, SCORED, RANKED, TOPK, "select * from tab"))
+def _(spark, d):
+    return V.topk_table(scored_frame(spark, d))
+
+
+@query("best_k", "top_k:i f1:d hits:i", sql(*WIDE, SCORED, RANKED, TOPK, "select top_k, f1, hits from tab order by f1 desc, top_k limit 1"))
+def _(spark, d):
+    return V.best_k(V.topk_table(scored_frame(spark, d)))
+
+
+@query("missed_positives", "txn_id:i acct:i score:d rank:i",
+       sql(*WIDE, SCORED, RANKED, "select txn_id, acct, score, rank from ranked where label = 1 and rank > 100"))
+def _(spark, d):
+    return V.missed_positives(R.score_rank(scored_frame(spark, d)), 100)
+
+
+def gaps_sql() -> str:
+    return " union all ".join(
+        f"select '{f}' as feature, avg({f}) filter (where rank <= 100) as hit_mean, avg({f}) filter (where rank > 100) as miss_mean from ranked where label = 1" for f in FEATS)
+
+
+@query("feature_gaps", "feature:s hit_mean:d miss_mean:d gap:d",
+       sql(*WIDE, SCORED, RANKED, f"g as ({gaps_sql()})", "select *, hit_mean - miss_mean as gap from g order by abs(hit_mean - miss_mean) desc, feature limit 4"))
+def _(spark, d):
+    return V.feature_gaps(R.score_rank(scored_frame(spark, d)), FEATS, 100, 4)
+
+
+@query("missed_history_summary", "txn_id:i total:i out_cnt:i in_cnt:i total_amt:d out_amt:d small_out:i night:i",
+       sql(*WIDE, SCORED, RANKED, "missed as (select * from ranked where label = 1 and rank > 100 order by rank limit 10)",
+           """select m.txn_id, count(f.txn_id) as total, count(*) filter (where dir = 0) as out_cnt, count(*) filter (where dir = 1) as in_cnt, sum(amt) as total_amt,
+  coalesce(sum(amt) filter (where dir = 0), 0) as out_amt, count(*) filter (where dir = 0 and amt <= 100) as small_out, count(*) filter (where hh >= 22 or hh <= 5) as night
+  from missed m join flow f on m.acct = f.acct and f.t <= m.t group by 1"""))
+def _(spark, d):
+    flow, _ = labelled(spark, d)
+    missed = R.top_n(V.missed_positives(R.score_rank(scored_frame(spark, d)), 100), 10, -F.col("rank"))
+    got = V.history_summary(missed, flow, "150d")
+    return got.withColumnsRenamed({f"{n}_150d": n for n in ("total", "out_cnt", "in_cnt", "total_amt", "out_amt", "small_out", "night")})
+
+
+@query("missed_histories", "anchor_id:i recency:i txn_id:i dir:i amt:d chan:s",
+       sql(*WIDE, SCORED, RANKED, "missed as (select * from ranked where label = 1 and rank > 100 order by rank limit 10)",
+           """select m.txn_id as anchor_id, row_number() over (partition by m.txn_id order by f.t desc, f.txn_id desc) as recency, f.txn_id, dir, amt, chan
+  from missed m join flow f on m.acct = f.acct and f.t <= m.t"""))
+def _(spark, d):
+    flow, _ = labelled(spark, d)
+    missed = R.top_n(V.missed_positives(R.score_rank(scored_frame(spark, d)), 100), 10, -F.col("rank"))
+    # The whole history is wanted: a limit above any account's length.
+    return R.last_n_before(missed, flow, 1_000_000_000)
+
+
+@query("feature_gate", "n_new:i passed:i",
+       """select count(*) as n_new, case when count(*) > 0 then 1 else 0 end as passed from (
+  select distinct chan from (select event_type as chan from events where value > 400) except select distinct event_type from events where event_id % 3 = 0 and value > 480)""")
+def _(spark, d):
+    e = read(spark, d, "events")
+    current = e.filter("value > 400").select(F.col("event_type").alias("feature")).distinct()
+    previous = e.filter("event_id % 3 = 0 and value > 480").select(F.col("event_type").alias("feature")).distinct()
+    return L.feature_gate(previous, current)
+
+
+@query("iv_tree", "feature:s bin:s n:i bad:i woe:d iv:d")
+def _(spark, d):
+    return L.iv_tree(feature_frame(spark, d).filter("split = 'train'"), FEATS, "label")
+
+
+QUICK = {"maxIter": 3, "maxDepth": 3}
+
+
+@query("oof_scores", "txn_id:i label:i fold:i score:d")
+def _(spark, d):
+    folds = R.stratified_folds(feature_frame(spark, d).filter("split = 'train'"), k=3)
+    return M.oof_scores(folds, FEATS, folds=3, params=QUICK)[0]
+
+
+@query("importance_report", "feature:s importance:d")
+def _(spark, d):
+    train = feature_frame(spark, d).filter("split = 'train'")
+    return M.importance_report(M.importance(spark, M.fit(train, FEATS, params=QUICK), FEATS))
+
+
+@query("importance_screen", "feature:s")
+def _(spark, d):
+    train = feature_frame(spark, d).filter("split = 'train'")
+    return spark.createDataFrame([(f,) for f in M.importance_screen(train, FEATS, 4, params=QUICK)], "feature string")
+
+
+@query("parameter_search", "name:s value:d")
+def _(spark, d):
+    folds = R.stratified_folds(feature_frame(spark, d).filter("split = 'train'"), k=2)
+    best, loss = M.search(folds, FEATS, folds=2, trials=2, space={"stepSize": (0.05, 0.1), "maxIter": (2, 4), "maxDepth": (2, 3)})
+    rows = [*((k, float(v)) for k, v in best.items()), ("log_loss", loss)]
+    return spark.createDataFrame(rows, "name string, value double")

@@ -102,7 +102,7 @@ def _(spark, d):
 
 @query("low_gap_average", "acct:i snap_dt:D low_gap_avg:m",
        sql(ORDERS, SNAPS, days_hist(0, 719), """g as (select *, t - lag(t) over (partition by acct, snap_dt order by t, txn_id) as gap, count(*) over (partition by acct, snap_dt) as total from hist)""",
-           "r as (select *, dense_rank() over (partition by acct, snap_dt order by gap nulls first) as dk from g)",
+           "r as (select *, dense_rank() over (partition by acct, snap_dt order by gap nulls last) as dk from g)",
            "select acct, snap_dt, avg(case when dk / total::double < 0.6 and dk / total::double > 0.2 then gap end) / 1e6 as low_gap_avg from r group by 1, 2"))
 def _(spark, d):
     flow = order_flow(spark, d)

@@ -185,7 +185,7 @@ def low_gap_average(
     # Ranks over distinct gaps: one row per gap value, however many rows share it.
     counts = gaps.groupBy(*key, "gap").agg(F.count(F.lit(1)).alias("n"))
     ranked = counts.withColumns(
-        {"rank": F.dense_rank().over(per.orderBy("gap")), "total": F.sum("n").over(per)}
+        {"rank": F.dense_rank().over(per.orderBy(F.col("gap").asc_nulls_last())), "total": F.sum("n").over(per)}
     )
     share = F.col("rank") / F.col("total").cast("double")
     pick = (share > lo) & (share < hi) & F.col("gap").isNotNull()
