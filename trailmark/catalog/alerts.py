@@ -1 +1,303 @@
-"""Queries."""
+"""Candidates, the wide rule row, the 37 alert rules and the exempted alerts."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from trailmark.catalog.base import FLOW, SNAPS, days_hist, query, sql
+from trailmark.catalog.sequence import PAIRS, RUNS
+from trailmark.operators import rules as M
+from trailmark.operators import sequences as Q
+from trailmark.plans.lineage import settle
+from trailmark.plans.lookback import Measure, look_back, look_back_days
+from trailmark.plans.profile import distinct, key_profile, key_profile_days, when
+from trailmark.schema import WINDOWS, account_days, event_flow
+
+# Row attributes of the test log: remark families, places and flags derived from the ids.
+ROW = {
+    "other_name": "case when txn_id % 3 <> 1 then 1 else 0 end",
+    "reversed": "case when txn_id % 41 = 0 then 1 else 0 end",
+    "offsite": "case when party is null then null when length(party) = 2 then 1 else 0 end",
+    "tr_any": "case when txn_id % 2 = 0 then 1 else 0 end",
+    "tr_short": "case when txn_id % 4 = 0 then 1 else 0 end",
+    "r_std": "case when txn_id % 5 = 0 then 1 else 0 end",
+    "card": "case when party like '6%' then 1 else 0 end",
+    "r_wallet": "case when txn_id % 6 < 3 then 1 else 0 end",
+    "acct_mark": "case when party like '%5' then 1 else 0 end",
+    "r_repay": "case when txn_id % 13 = 0 then 1 else 0 end",
+    "r_interbank": "case when txn_id % 8 < 5 then 1 else 0 end",
+    "r_entrusted": "case when txn_id % 17 = 0 then 1 else 0 end",
+    "r_withdraw": "case when chan = 'signup' then 1 else 0 end",
+    "r_shop": "case when chan in ('purchase', 'click') then 1 else 0 end",
+    "r_fund": "case when chan = 'view' then 1 else 0 end",
+    "r_refund": "case when txn_id % 11 = 0 then 1 else 0 end",
+    "cash": "case when txn_id % 7 < 2 then 1 else 0 end",
+    "to_credit": "case when txn_id % 9 < 4 then 1 else 0 end",
+    "near_bank": "case when txn_id % 10 < 3 then 1 else 0 end",
+    "near_region": "case when txn_id % 10 < 4 then 1 else 0 end",
+    "person": "case when txn_id % 100 > 0 then 1 else 0 end",
+    "age": "20 + acct % 60",
+    "open_days": "(acct * 37) % 2000",
+}
+STRANGER = "dir = 1 and other_name = 1 and novel = 1"
+LATE, DAWN = "hh in (23, 0, 1, 2, 3, 4)", "hh in (1, 2, 3, 4, 5)"
+SHOPPED = "dir = 0 and r_shop = 1 and prev_withdraw = 1 and prev_dir = 1 and since_prev < 36000"
+
+#: name -> (kind, windows, condition, value) over seconds windows, then over day bands.
+SECONDS = {
+    "strangers": ("count", ["3d"], STRANGER, None),
+    "off_strangers": ("count", ["3d"], f"{STRANGER} and offsite = 1", None),
+    "bank_in": ("count", ["2h"], f"{STRANGER} and card = 1", None),
+    "interbank": ("count", ["2h"], f"{STRANGER} and r_interbank = 1", None),
+    "probes": ("count", ["3d", "15d"], "r_interbank = 1 and amt < 1000", None),
+    "funds": ("count", ["3d", "15d"], "dir = 0 and r_fund = 1", None),
+    "withdraw_amt": ("sum", ["15d"], "dir = 1 and r_withdraw = 1", "amt"),
+    "late_withdraw": ("count", ["15d"], f"dir = 1 and r_withdraw = 1 and {LATE}", None),
+    "withdraw_shop": ("count", ["15d"], SHOPPED, None),
+    "rows": ("count", ["15d"], "dir >= 0", None),
+    "ins": ("count", ["15d"], "dir = 1", None),
+    "person_in": ("sum", ["15d"], "dir = 1 and person = 1", "amt"),
+    "in_sum": ("sum", ["15d"], "dir = 1", "amt"),
+    "out_sum": ("sum", ["15d"], "dir = 0", "amt"),
+    "late": ("count", ["15d"], "hh in (23, 0, 1, 2, 3)", None),
+}
+DAYS = {
+    "late_withdraw": ("count", ["180d"], f"r_withdraw = 1 and {LATE}", None),
+    "withdraw_all": ("count", ["180d"], "r_withdraw = 1", None),
+    "withdraw_in": ("count", ["180d"], "r_withdraw = 1 and dir = 1", None),
+    "withdraw_shop": ("count", ["180d"], SHOPPED, None),
+    "rows": ("count", ["180d"], "dir >= 0", None),
+    "days": ("days", ["180d", "gap"], "dir >= 0", None),
+    "in_strangers": ("count", ["180d"], STRANGER, None),
+    "in_others": ("count", ["180d"], "dir = 1 and other_name = 1", None),
+    "out_strangers": ("count", ["180d"], "dir = 0 and other_name = 1 and novel = 1", None),
+    "out_others": ("count", ["180d"], "dir = 0 and other_name = 1", None),
+    "dawn_out": ("count", ["180d"], f"dir = 0 and other_name = 1 and {DAWN}", None),
+    "dawn": ("count", ["180d"], DAWN, None),
+    "shop_out": ("count", ["180d"], "dir = 0 and r_shop = 1", None),
+    "outs": ("count", ["180d"], "dir = 0", None),
+    "shop_in": ("count", ["180d"], "dir = 1 and r_shop = 1", None),
+    "ins": ("count", ["180d"], "dir = 1", None),
+    "cash_out": ("count", ["180d"], "dir = 0 and cash = 1", None),
+    "cash_out_amt": ("sum", ["180d"], "dir = 0 and cash = 1", "amt"),
+    "refunds": ("count", ["180d"], "r_refund = 1", None),
+}
+#: Distinct counterparties: name -> (condition, window or band).
+NAMES = {
+    "off_names_2h": (f"{STRANGER} and offsite = 1", "2h"),
+    "off_names_30min": (f"{STRANGER} and offsite = 1", "30min"),
+    "stranger_names_30min": (STRANGER, "30min"),
+    "novel_in_names_180d": (STRANGER, "180d"),
+    "novel_out_names_180d": ("dir = 0 and other_name = 1 and novel = 1 and offsite = 1", "180d"),
+    "novel_out_parties_180d": ("dir = 0 and other_name = 1 and novel = 1", "180d"),
+}
+PAGES = {"limit": "click", "assets": "view", "cert": "error", "promo": "signup"}
+BANDS = {"180d": (2, 179), "gap": (16, 179)}
+RATIOS = {
+    "person_in_share_15d": ("person_in_15d", "in_sum_15d"),
+    "in_out_ratio_15d": ("in_sum_15d", "out_sum_15d"),
+    "late_share_15d": ("late_15d", "rows_15d"),
+    "withdraw_share_180d": ("withdraw_all_180d", "rows_180d"),
+    "novel_share_180d": ("in_strangers_180d", "in_others_180d"),
+    "novel_out_share_180d": ("out_strangers_180d", "out_others_180d"),
+    "dawn_share_180d": ("dawn_out_180d", "out_others_180d"),
+    "shop_out_share_180d": ("shop_out_180d", "outs_180d"),
+    "shop_in_share_180d": ("shop_in_180d", "ins_180d"),
+    "cash_out_share_180d": ("cash_out_180d", "outs_180d"),
+}
+LAST = ["dir", "novel", "other_name", "r_interbank", "near_bank"]
+RATIO_EXPRS = [f"{a} / nullif(cast({b} as double), 0) as {n}" for n, (a, b) in RATIOS.items()]
+
+
+def marked_flow(spark, d):
+    """Flow with balances, row attributes, the previous row and the latest inflow."""
+    flow = event_flow(spark, d).withColumn("amt", F.round(F.col("amt") * 100, 0))
+    flow = Q.running_balance(flow).withColumns({n: F.expr(e) for n, e in ROW.items()})
+    prev = {"prev_id": "txn_id", "prev_dir": "dir", "prev_amt": "amt", "prev_withdraw": "r_withdraw", "prev_t": "t"}
+    flow = Q.with_neighbours(flow, prev).selectExpr("*", "(t - prev_t) / 1000000.0 as since_prev")
+    inflow = F.expr("dir = 1 and reversed = 0")
+    hot = Q.hot_accounts(flow)
+    row = F.struct("t", "amt", "bal", *LAST)
+    flow = Q.carry_last(flow, ["acct"], list(Q.ORDER), {"last_in": F.when(inflow, row)}, hot)
+    return flow.selectExpr("* except (last_in, prev_t)", *[f"last_in.{c} as in_{c}" for c in LAST],
+                           "last_in.bal - last_in.amt as in_before", "(t - last_in.t) / 1000000.0 as since_in"
+                           ).withColumnsRenamed({"in_r_interbank": "in_interbank"})
+
+
+def chosen(flow):
+    """Candidates: soon after a stranger's inflow, or outflows with stranger inflows in the last day."""
+    recent = Q.rolling_count(flow, {"strangers": F.expr(STRANGER)}, ["1d"])
+    side = flow.join(recent, "txn_id")
+    quick = F.expr("reversed = 0 and in_dir = 1 and since_in between 0 and 7200 and in_other_name = 1 and in_novel = 1 and (tr_any = 1 or card = 1)")
+    risky = F.expr("reversed = 0 and dir = 0 and strangers_1d > 0")
+    return M.candidates(side, quick, risky).select(*flow.columns)
+
+
+def rule_frame(spark, d):
+    """The wide row: candidate attributes with all their history measures."""
+    flow = settle(marked_flow(spark, d))
+    cand = settle(chosen(flow))
+
+    def measures(spec):
+        return [Measure(n, k, w, F.expr(c), None if v is None else F.expr(v)) for n, (k, w, c, v) in spec.items()]
+
+    low = [Measure("min_before", "min", ["2h", "30min"], F.expr("dir = 1"), F.expr("bal - amt"))]
+    parts = [look_back(cand, flow, measures(SECONDS)), look_back(cand, flow, low, inclusive=True)]
+    wide_days = look_back_days(cand, flow, measures(DAYS), BANDS)
+    parts.append(wide_days.drop("acct", "dt"))
+    for name, (cond, w) in NAMES.items():
+        if w in WINDOWS:
+            parts.append(key_profile(cand, flow, ["party"], w, {name: distinct}, where=F.expr(cond)))
+        else:
+            parts.append(key_profile_days(cand, flow, ["party"], BANDS[w], {name: distinct}, where=F.expr(cond), per_day=True, ids=("txn_id",)))
+    for w in ("2h", "3d", "14d"):
+        prof = {f"p_{n}_{w}": when(F.col("chan") == p, distinct) for n, p in PAGES.items()}
+        parts.append(key_profile(cand, flow, ["chan", "party"], w, prof))
+    prof = {f"p_{n}_180d": when(F.col("chan") == p, distinct) for n, p in PAGES.items()}
+    parts.append(key_profile_days(cand, flow, ["chan", "party"], BANDS["180d"], prof, ids=("txn_id",)))
+    snaps = account_days(cand)
+    pairs = Q.equal_amount_runs(snaps, flow, 0, 14).selectExpr("acct", "date_add(snap_dt, 2) as dt", "pair_cnt as pairs_15d")
+    wide = cand.join(pairs, ["acct", "dt"], "left")
+    for part in parts:
+        wide = wide.join(part, "txn_id")
+    return wide.selectExpr("*", *RATIO_EXPRS)
+
+
+def agg_sql(spec, age: str, bands) -> str:
+    cols = []
+    for n, (kind, windows, cond, value) in spec.items():
+        for w in windows:
+            inside = f"h_id is not null and {age} <= {WINDOWS[w]}" if bands is None else f"h_id is not null and off between {bands[w][0]} and {bands[w][1]}"
+            expr = {"count": "count(*)", "sum": f"sum({value})", "days": "count(distinct dt)"}[kind] + f" filter (where {inside} and {cond})"
+            cols.append(f"{f'coalesce({expr}, 0)' if kind == 'sum' else expr} as {n}_{w}")
+    return ", ".join(cols)
+
+
+def names_sql(day: bool) -> str:
+    cols = []
+    for n, (cond, w) in NAMES.items():
+        if (w not in WINDOWS) == day:
+            inside = f"age <= {WINDOWS[w]}" if not day else f"off between {BANDS[w][0]} and {BANDS[w][1]}"
+            cols.append(f"count(distinct party) filter (where {inside} and {cond}) as {n}")
+    for n, p in PAGES.items():
+        for w in ("180d",) if day else ("2h", "3d", "14d"):
+            inside = f"off between {BANDS[w][0]} and {BANDS[w][1]}" if day else f"age <= {WINDOWS[w]}"
+            cols.append(f"count(distinct party) filter (where {inside} and chan = '{p}') as p_{n}_{w}")
+    return ", ".join(cols)
+
+
+LAST_STRUCT = ", ".join(f"'{c}': {c}" for c in ["t", "amt", "bal", *LAST])
+MARKED = (
+    FLOW.replace("value as amt", "round(value * 100, 0) as amt"),
+    """bal as (select *, round(1000 + sum(case when dir = 1 then amt else -amt end) over (partition by acct order by t, txn_id rows unbounded preceding), 2) as bal from flow)""",
+    f"attr as (select *, {', '.join(f'{e} as {n}' for n, e in ROW.items())} from bal)",
+    f"""prev as (select *, lag(txn_id) over w as prev_id, lag(dir) over w as prev_dir, lag(amt) over w as prev_amt, lag(r_withdraw) over w as prev_withdraw, (t - lag(t) over w) / 1e6 as since_prev,
+  last_value(case when dir = 1 and reversed = 0 then {{{LAST_STRUCT}}} end ignore nulls) over (partition by acct order by t, txn_id rows unbounded preceding) as li
+  from attr window w as (partition by acct order by t, txn_id))""",
+    """marked as (select * exclude (li), li.dir as in_dir, li.novel as in_novel, li.other_name as in_other_name, li.r_interbank as in_interbank, li.near_bank as in_near_bank,
+  li.bal - li.amt as in_before, (t - li.t) / 1e6 as since_in from prev)""",
+    f"""roll as (select *, count(*) filter (where {STRANGER}) over (partition by acct order by t range between 86400000000 preceding and 1 preceding) as strangers_1d,
+  min(case when dir = 1 then bal - amt end) over (partition by acct order by t range between 7200000000 preceding and current row) as min_before_2h,
+  min(case when dir = 1 then bal - amt end) over (partition by acct order by t range between 1800000000 preceding and current row) as min_before_30min from marked)""",
+    """cand as (select * from roll where (reversed = 0 and in_dir = 1 and since_in between 0 and 7200 and in_other_name = 1 and in_novel = 1 and (tr_any = 1 or card = 1))
+  or (reversed = 0 and dir = 0 and strangers_1d > 0))""",
+)
+WIDE_SQL = (
+    *MARKED,
+    "sh as (select c.txn_id as cid, (c.t - f.t) / 1e6 as age, f.txn_id as h_id, f.* from cand c left join marked f on c.acct = f.acct and c.t - f.t > 0 and c.t - f.t <= 1296000000000)",
+    f"sagg as (select cid, {agg_sql(SECONDS, 'age', None)}, {names_sql(False)} from sh group by 1)",
+    "dh as (select c.txn_id as cid, date_diff('day', f.dt, c.dt) as off, f.txn_id as h_id, f.* from cand c left join marked f on c.acct = f.acct and date_diff('day', f.dt, c.dt) between 2 and 179)",
+    f"dagg as (select cid, {agg_sql(DAYS, 'age', BANDS)}, {names_sql(True)} from dh group by 1)",
+    SNAPS.replace("from flow", "from cand"),
+    days_hist(0, 14).replace("from snaps s left join flow f", "from snaps s left join marked f"), RUNS, PAIRS,
+    "joined as (select c.*, sagg.* exclude (cid), dagg.* exclude (cid), coalesce(z.pair_cnt, 0) as pairs_15d from cand c join sagg on c.txn_id = sagg.cid join dagg on c.txn_id = dagg.cid "
+    "left join z on c.acct = z.acct and cast(c.dt - 2 as date) = z.snap_dt)",
+    f"wide as (select *, {', '.join(RATIO_EXPRS)} from joined)",
+)
+
+
+@query("candidates", "txn_id:i acct:i since_in:d in_before:d", sql(*MARKED, "select txn_id, acct, since_in, in_before from cand"))
+def _(spark, d):
+    return chosen(settle(marked_flow(spark, d)))
+
+
+FRAME_COLS = (
+    [f"{n}_{w}:{'d' if k == 'sum' else 'i'}" for spec in (SECONDS, DAYS) for n, (k, ws, _, _) in spec.items() for w in ws]
+    + [f"{n}:i" for n in NAMES] + [f"p_{n}_{w}:i" for n in PAGES for w in ("2h", "3d", "14d", "180d")]
+    + [f"{n}:d" for n in RATIOS] + ["min_before_2h:d", "min_before_30min:d", "pairs_15d:i"]
+)
+FRAME_SPEC = "txn_id:i " + " ".join(FRAME_COLS)
+
+
+@query("rule_frame", FRAME_SPEC, sql(*WIDE_SQL, "select " + ", ".join(["txn_id", *[c.split(":")[0] for c in FRAME_COLS]]) + " from wide"))
+def _(spark, d):
+    return rule_frame(spark, d)
+
+
+def rules_sql() -> str:
+    """The rules as SQL, written from their definitions by condition groups."""
+    before = "bal - amt"
+    stranger = "dir = 1 and reversed = 0 and novel = 1 and other_name = 1"
+    low = f"{stranger} and {before} < 50000"
+    remark = "(tr_any = 1 or (card = 1 and r_std = 0))"
+    short = "(tr_short = 1 or (card = 1 and r_std = 0))"
+    chain = "reversed = 0 and dir = 0 and prev_dir = 1 and min_before_2h < 50000"
+    shop = f"{stranger} and offsite = 1 and round(amt, -3) % 5000 = 0 and round(amt, -3) - amt >= 0 and {before} < 300"
+    quiet = f"dir = 1 and reversed = 0 and novel = 1 and {before} < 50000 and offsite = 1 and {short}"
+    rules = {
+        "r1": f"{low} and {remark} and p_limit_14d > 1",
+        "r2": f"{low} and {remark} and strangers_3d > 0 and r_wallet = 1 and p_assets_14d + p_limit_14d > 0",
+        "r3": f"{low} and {remark} and offsite = 1 and p_assets_14d + p_limit_14d > 0",
+        "r4": f"{low} and {remark} and r_wallet = 1 and acct_mark = 1",
+        "r5": f"{chain} and off_names_2h > 0",
+        "r6": f"{chain} and bank_in_2h > 0 and cash = 1 and amt >= 10000 and bal < 1500 and p_assets_14d + p_limit_14d > 0",
+        "r7": "reversed = 0 and dir = 0 and prev_dir = 1 and min_before_30min < 50000 and off_names_30min > 0 and since_prev < 1800 and p_limit_14d > 0 and prev_amt >= 1000 and r_repay = 0 and withdraw_amt_15d > 0",
+        "r8": f"{low} and novel_share_180d > 0.33 and novel_in_names_180d > 18 and late_withdraw_180d > 3 and p_limit_180d > 0 and p_assets_180d > 30",
+        "r9": f"{chain} and off_names_2h > 0 and since_prev < 1800 and prev_amt >= 1000 and r_repay = 0 and withdraw_amt_15d > 0 and p_limit_180d > 1 and round(amt, -2) % 5000 = 0 and round(prev_amt, -2) = round(amt, -2)",
+        "r10": f"{low} and novel_out_share_180d > 0.7 and novel_out_names_180d > 20 and withdraw_amt_15d > 0 and offsite = 1 and {before} < 1500",
+        "r11": f"{low} and offsite = 1 and p_limit_180d > 0 and probes_3d > 0 and days_gap = 0",
+        "r12": f"{chain} and off_names_2h > 0 and to_credit = 1 and refunds_180d > 0",
+        "r13": "reversed = 0 and cash = 1 and dir = 0 and amt >= 1000 and in_near_bank = 0 and prev_amt >= 10000 and prev_dir = 1 and min_before_2h < 300 and interbank_2h > 0 and rows_15d < 5 and days_180d < 5 and p_assets_180d > 0",
+        "r14": f"{low} and near_bank = 0 and card = 1 and p_assets_180d > 30 and dawn_share_180d > 0.2 and late_withdraw_180d >= 12 and novel_out_share_180d > 0.8",
+        "r15": f"{shop} and novel_in_names_180d = 0 and p_limit_180d + p_limit_14d > 0",
+        "r16": f"{shop} and shop_out_share_180d > 0.5 and shop_in_share_180d < 0.33 and p_assets_14d > 0",
+        "r17": f"{shop} and shop_out_share_180d > 0.5 and shop_in_share_180d > 0 and p_assets_14d > 0 and dawn_180d > 0 and p_limit_14d > 0",
+        "r18": f"{shop} and shop_in_share_180d > 0 and p_assets_14d > 0 and dawn_180d > 0 and p_limit_14d > 0",
+        "r19": f"{shop} and shop_in_share_180d > 0 and p_assets_14d > 0 and dawn_180d > 0 and p_limit_14d > 0",
+        "r20": f"{low} and offsite = 1 and shop_out_share_180d > 0.7 and shop_in_share_180d > 0.03 and withdraw_shop_15d > 0 and withdraw_share_180d > 0.15 and days_180d > 70 and p_cert_180d = 0",
+        "r21": f"{low} and {remark} and p_limit_2h > 0 and (offsite = 1 or offsite is null) and near_region = 0 and r_entrusted = 0",
+        "r22": f"{stranger} and {before} < 5000 and (tr_any = 1 or card = 1) and offsite = 1 and cash_out_amt_180d > 10000 and cash_out_180d > 1 and cash_out_share_180d > 0.3 and amt > 1000",
+        "r23": f"{stranger} and {before} < 1500 and {short} and offsite = 1 and p_limit_14d + p_limit_180d > 0 and amt >= 1000 and probes_3d > 0",
+        "r24": f"{stranger} and {before} < 5000 and {remark} and stranger_names_30min > 0 and late_withdraw_15d > 0 and pairs_15d > 3 and r_interbank = 1",
+        "r25": f"{low} and r_interbank = 1 and cash_out_amt_180d >= 100000 and cash_out_180d >= 5 and person_in_share_15d > 0.99 and in_out_ratio_15d between 0.9 and 1.1",
+        "r26": f"{low} and offsite = 1 and ins_15d = pairs_15d and ins_15d > 1 and novel_share_180d >= 0.66 and late_share_15d >= 0.34",
+        "r27": f"{low} and novel_out_parties_180d > 30 and stranger_names_30min >= 2",
+        "r28": f"{low} and offsite = 1 and probes_15d > 1 and withdraw_shop_180d > 0",
+        "r29": f"{low} and offsite = 1 and rows_15d <= 10 and funds_3d > 1",
+        "r30": "in_dir = 1 and in_before < 50000 and in_novel = 1 and in_other_name = 1 and in_interbank = 1 and dir = 0 and since_in > 0 and since_in <= 7200 and withdraw_in_180d > 1 and age > 45",
+        "r31": f"{low} and offsite = 1 and p_limit_2h > 0 and p_limit_14d > 1",
+        "r32": "dir = 0 and prev_dir = 1 and min_before_2h < 50000 and off_names_2h > 0 and p_limit_14d > 0 and age > 65",
+        "r33": "dir = 0 and prev_dir = 1 and min_before_2h < 50000 and off_names_2h > 0 and p_limit_3d > 0 and p_limit_14d > 1",
+        "r34": f"{quiet} and other_name = 1 and p_assets_14d = 0 and p_limit_14d = 0 and open_days < 1095 and age < 26 and funds_15d >= 1",
+        "r35": f"{quiet} and p_assets_14d = 0 and p_limit_14d = 0 and open_days < 1095 and age < 26 and off_strangers_3d > 0",
+        "r36": f"{quiet} and withdraw_shop_15d > 3 and p_promo_14d > 1",
+        "r37": f"{quiet} and age < 30 and p_limit_14d > 0 and novel_out_share_180d > 0.8",
+    }
+    return " union all ".join(f"select txn_id, acct, '{r}' as rule_id, 1 as hit from wide where {p}" for r, p in rules.items())
+
+
+HITS = (*WIDE_SQL, f"hits as ({rules_sql()})")
+
+
+@query("rule_hits", "txn_id:i acct:i rule_id:s hit:i", sql(*HITS, "select * from hits"))
+def _(spark, d):
+    return M.apply_rules(rule_frame(spark, d), M.bank_rules())
+
+
+@query("alerts", "txn_id:i acct:i rule_id:s", sql(*HITS, "select distinct txn_id, acct, rule_id from hits where acct not in (select c_custkey from customer where c_mktsegment = 'HOUSEHOLD')"))
+def _(spark, d):
+    from trailmark.schema import read
+
+    hits = M.apply_rules(rule_frame(spark, d), M.bank_rules()).select("txn_id", "acct", "rule_id")
+    exempt = read(spark, d, "customer").filter("c_mktsegment = 'HOUSEHOLD'").select(F.col("c_custkey").alias("acct"))
+    return M.alerts(hits, exempt, "acct")

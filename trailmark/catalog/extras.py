@@ -200,10 +200,10 @@ def _(spark, d):
 
 @query("group_stats", "grouping:s acct:i chan:s n:i mean_v:d std_v:d min_v:d max_v:d members:i",
        sql(FLOW, " union all ".join(
-           f"select '{g}' as grouping, {'acct' if 'acct' in g else 'null'} as acct, {'chan' if 'chan' in g else 'null'} as chan, count(amt) as n, avg(amt) as mean_v, stddev_samp(amt) as std_v, min(amt) as min_v, max(amt) as max_v, count(distinct party) as members from flow group by {g.replace('+', ', ')}"
+           f"select '{g}' as grouping, {'acct' if 'acct' in g else 'null'} as acct, {'chan' if 'chan' in g else 'null'} as chan, count(amt) as n, round(sum(amt), 2) / count(amt) as mean_v, stddev_samp(amt) as std_v, min(amt) as min_v, max(amt) as max_v, count(distinct party) as members from flow group by {g.replace('+', ', ')}"
            for g in ("acct", "chan", "acct+chan"))))
 def _(spark, d):
-    return E.group_stats(event_flow(spark, d), [["acct"], ["chan"], ["acct", "chan"]])
+    return E.group_stats(event_flow(spark, d), [["acct"], ["chan"], ["acct", "chan"]], digits=2)
 
 
 @query("current_amount_ratios", "txn_id:i div_max:d div_avg:d position:d interaction:d",

@@ -9,6 +9,7 @@ from trailmark.operators import evaluation as V
 from trailmark.operators import modeling as M
 from trailmark.operators import ranking as R
 from trailmark.operators import screening as L
+from trailmark.plans.lineage import settle
 from trailmark.plans.lookback import Measure, look_back
 from trailmark.schema import read
 
@@ -22,18 +23,19 @@ WIDE = (FLOW, LABELLED, hist("14d", "labelled"),
 
 
 def feature_frame(spark, d):
-    """A small labelled wide frame: the input of screening and training."""
+    """A small labelled wide frame, stored once: many screening and training jobs read it."""
     flow, anchors = labelled(spark, d)
     amt = F.col("amt")
     got = look_back(anchors, flow, [
         Measure("out_cnt", "count", ["14d"], F.col("dir") == 0), Measure("in_cnt", "count", ["14d"], F.col("dir") == 1),
         Measure("out_amt", "sum", ["14d"], F.col("dir") == 0, amt), Measure("max_amt", "max", ["14d"], None, amt),
         Measure("errors", "count", ["14d"], F.col("chan") == "error"), Measure("views", "count", ["3d"], F.col("chan") == "view")])
-    return anchors.select("txn_id", "acct", "t", "dt", "label", "split").join(got, "txn_id").select(
+    wide = anchors.select("txn_id", "acct", "t", "dt", "label", "split").join(got, "txn_id").select(
         "txn_id", "acct", "t", "dt", "label", "split",
         *[F.col(f"{n}_14d").cast("double").alias(n) for n in ("out_cnt", "in_cnt")],
         F.round("out_amt_14d", 2).alias("out_amt"), F.col("max_amt_14d").alias("max_amt"),
         F.col("errors_14d").cast("double").alias("errors"), F.col("views_3d").cast("double").alias("views_3d"))
+    return settle(wide)
 
 
 def long_sql(source: str, feats=FEATS, keep: str = "label") -> str:

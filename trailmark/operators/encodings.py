@@ -39,9 +39,13 @@ def target_encode(
     return joined.withColumn(f"{col}_target", safe_ratio(y, n)).select(*df.columns, f"{col}_target")
 
 
-def group_stats(flow: DataFrame, sets: Sequence[Sequence[str]], value: str = "amt", member: str = "party") -> DataFrame:
+def group_stats(
+    flow: DataFrame, sets: Sequence[Sequence[str]], value: str = "amt", member: str = "party", digits: int | None = None
+) -> DataFrame:
     """count, mean, std, min, max and distinct members for several key sets.
 
+    ``digits`` are the decimals of the values: sums are rounded to them before dividing.
+
     The rows are reduced once to (keys, member) partial sums; every set and the distinct count are built
     from that, so the raw rows are shuffled once and never expanded per set.
     """
@@ -67,7 +71,7 @@ def group_stats(flow: DataFrame, sets: Sequence[Sequence[str]], value: str = "am
         keyed = [(F.col(k) if k in group else F.lit(None).cast(flow.schema[k].dataType)).alias(k) for k in keys]
         stats = stats.select(
             F.lit("+".join(group)).alias("grouping"), *keyed, "n",
-            safe_ratio("s", "n").alias("mean_v"), sample_std(F.col("n"), F.col("s"), F.col("ss")).alias("std_v"),
+            safe_ratio("s" if digits is None else F.round("s", digits), "n").alias("mean_v"), sample_std(F.col("n"), F.col("s"), F.col("ss")).alias("std_v"),
             "min_v", "max_v", "members",
         )
         out = stats if out is None else out.unionByName(stats)
