@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trailmark.operators.sequences import with_neighbours
@@ -115,6 +115,18 @@ def sql(*ctes: str) -> str:
     return "with " + ",\n".join(parts) + "\n" + body
 
 
+def outflow() -> Column:
+    return F.col("dir") == 0
+
+
+def inflow() -> Column:
+    return F.col("dir") == 1
+
+
+def amount() -> Column:
+    return F.col("amt")
+
+
 def events(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     flow = event_flow(spark, d)
     return flow, event_anchors(flow)

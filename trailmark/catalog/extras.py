@@ -7,7 +7,7 @@ import tempfile
 
 from pyspark.sql import functions as F
 
-from trailmark.catalog.base import ANCHORS, FLOW, LABELLED, events, hist, labelled, query, sql
+from trailmark.catalog.base import ANCHORS, FLOW, LABELLED, events, hist, inflow, labelled, outflow, query, sql
 from trailmark.functions import scalars as S
 from trailmark.operators import encodings as E
 from trailmark.operators import ranking as R
@@ -16,7 +16,6 @@ from trailmark.plans.profile import distinct, key_profile, rows, xlogx
 from trailmark.schema import event_flow, read
 from trailmark.sources import tables as T
 
-OUT, IN = F.col("dir") == 0, F.col("dir") == 1
 H14 = (FLOW, ANCHORS, hist("14d"))
 
 
@@ -160,7 +159,7 @@ def _(spark, d):
     from trailmark.schema import WINDOWS
 
     flow, anchors = events(spark, d)
-    pairs = pit_join(anchors.select("txn_id", "acct", "t", "amt"), flow.filter(OUT), WINDOWS["14d"], history=["t", "amt"])
+    pairs = pit_join(anchors.select("txn_id", "acct", "t", "amt"), flow.filter(outflow()), WINDOWS["14d"], history=["t", "amt"])
     return pairs.groupBy("txn_id", "amt").agg(F.percentile_approx("h_amt", 0.95).alias("p")).select("txn_id", S.flag(F.col("amt") > F.col("p")).alias("over_p95"))
 
 
@@ -170,8 +169,8 @@ def _(spark, d):
            "select r.txn_id, ratio, s as top_share from r left join g using (txn_id)"))
 def _(spark, d):
     flow, anchors = events(spark, d)
-    i = key_profile(anchors, flow, ["party"], "14d", {"sources": distinct}, where=IN)
-    o = key_profile(anchors, flow, ["party"], "14d", {"dests": distinct, "n": rows}, where=OUT, peak="top")
+    i = key_profile(anchors, flow, ["party"], "14d", {"sources": distinct}, where=inflow())
+    o = key_profile(anchors, flow, ["party"], "14d", {"dests": distinct, "n": rows}, where=outflow(), peak="top")
     return i.join(o, "txn_id").select("txn_id", S.safe_ratio("sources", "dests").alias("ratio"), S.safe_ratio("top", "n").alias("top_share"))
 
 
@@ -212,7 +211,7 @@ def _(spark, d):
 def _(spark, d):
     flow, anchors = events(spark, d)
     a, w = F.col("amt"), ["14d"]
-    got = look_back(anchors, flow, [Measure("hi", "max", w, OUT, a), Measure("lo", "min", w, OUT, a), Measure("s", "sum", w, OUT, a), Measure("n", "count", w, OUT)])
+    got = look_back(anchors, flow, [Measure("hi", "max", w, outflow(), a), Measure("lo", "min", w, outflow(), a), Measure("s", "sum", w, outflow(), a), Measure("n", "count", w, outflow())])
     got = got.join(anchors.select("txn_id", "amt"), "txn_id")
     return got.select("txn_id", S.safe_ratio("amt", "hi_14d").alias("div_max"), S.safe_ratio("amt", S.safe_ratio("s_14d", "n_14d")).alias("div_avg"),
                       S.safe_ratio(a - F.col("lo_14d"), F.col("hi_14d") - F.col("lo_14d")).alias("position"), (a * F.col("n_14d")).alias("interaction"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from trailmark.catalog.base import ANCHORS, BALANCE, FLOW, ORDERS, SNAPS, days_hist, events, hist, query, sql
+from trailmark.catalog.base import ANCHORS, BALANCE, FLOW, ORDERS, SNAPS, days_hist, events, hist, inflow, outflow, query, sql
 from trailmark.functions import scalars as S
 from trailmark.operators import sequences as Q
 from trailmark.operators.joins import lookup_self
@@ -12,7 +12,6 @@ from trailmark.operators.ranking import recency
 from trailmark.plans.lookback import Measure, look_back
 from trailmark.schema import account_days, event_flow, order_flow
 
-OUT, IN = F.col("dir") == 0, F.col("dir") == 1
 
 GAPS = """g as (select *, (t - lag(t) over (partition by txn_id order by t, h_id)) / 1e6 as gap from hist where {cond})"""
 
@@ -24,7 +23,7 @@ GAPS = """g as (select *, (t - lag(t) over (partition by txn_id order by t, h_id
   from anchors a left join s using (txn_id)"""))
 def _(spark, d):
     flow, anchors = events(spark, d)
-    return Q.gap_stats(anchors, flow, "14d", OUT)
+    return Q.gap_stats(anchors, flow, "14d", outflow())
 
 
 @query("gap_extremes", "txn_id:i gap_min:d gap_max:d gap_median:d",
@@ -33,7 +32,7 @@ def _(spark, d):
            "select a.txn_id, lo as gap_min, hi as gap_max, md as gap_median from anchors a left join s using (txn_id)"))
 def _(spark, d):
     flow, anchors = events(spark, d)
-    return Q.gap_extremes(anchors, flow, "14d", OUT)
+    return Q.gap_extremes(anchors, flow, "14d", outflow())
 
 
 @query("rapid_burst", "txn_id:i rapid:i share:d",
@@ -61,7 +60,7 @@ def _(spark, d):
   min(case when dir = 1 then bal - amt end) over (partition by acct order by t range between 604800000000 preceding and current row) as lo_7d from bal"""))
 def _(spark, d):
     flow = Q.running_balance(event_flow(spark, d))
-    return Q.rolling_min(flow, F.col("bal") - F.col("amt"), ["2h", "7d"], "lo", IN)
+    return Q.rolling_min(flow, F.col("bal") - F.col("amt"), ["2h", "7d"], "lo", inflow())
 
 
 @query("rolling_counts", "txn_id:i strangers_2h:i strangers_1d:i bank_1d:i",
@@ -70,8 +69,8 @@ def _(spark, d):
   count(*) filter (where dir = 1 and substr(party, 1, 1) = '6') over (partition by acct order by t range between 86400000000 preceding and 1 preceding) as bank_1d from flow"""))
 def _(spark, d):
     flow = event_flow(spark, d)
-    got = Q.rolling_count(flow, {"strangers": IN & (F.col("novel") == 1)}, ["2h", "1d"])
-    return got.join(Q.rolling_count(flow, {"bank": IN & F.col("party").startswith("6")}, ["1d"]), "txn_id")
+    got = Q.rolling_count(flow, {"strangers": inflow() & (F.col("novel") == 1)}, ["2h", "1d"])
+    return got.join(Q.rolling_count(flow, {"bank": inflow() & F.col("party").startswith("6")}, ["1d"]), "txn_id")
 
 
 @query("last_inflow_lookup", "txn_id:i in_id:i in_amt:d in_chan:s",
@@ -79,7 +78,7 @@ def _(spark, d):
   partition by acct order by t, txn_id rows unbounded preceding) as in_id from flow)""",
            "select l.txn_id, l.in_id, r.amt as in_amt, r.chan as in_chan from l left join flow r on l.in_id = r.txn_id"))
 def _(spark, d):
-    flow = Q.last_qualifying(event_flow(spark, d), IN & (F.col("chan") != "error"), "in_id")
+    flow = Q.last_qualifying(event_flow(spark, d), inflow() & (F.col("chan") != "error"), "in_id")
     return lookup_self(flow, "in_id", ["amt", "chan"], "in_")
 
 
@@ -89,7 +88,7 @@ def _(spark, d):
            """r as (select txn_id, row_number() over (partition by in_id order by t, txn_id) as rn from l where in_id is not null and dir = 0 and t - in_t between 0 and 86399000000)""",
            "select l.txn_id, rn as follow_rank from l left join r using (txn_id)"))
 def _(spark, d):
-    return Q.out_follow_in_rank(event_flow(spark, d), IN & (F.col("novel") == 1), OUT)
+    return Q.out_follow_in_rank(event_flow(spark, d), inflow() & (F.col("novel") == 1), outflow())
 
 
 @query("day_open_close", "acct:i dt:D bal_open:d bal_close:d first_id:i last_id:i",
@@ -199,7 +198,7 @@ def _(spark, d):
   from flow a left join m f on a.acct = f.acct and a.t - f.t > 0 and a.t - f.t <= 1209600000000 where a.chan = 'purchase' group by 1"""))
 def _(spark, d):
     flow, anchors = events(spark, d)
-    marked = Q.follow_pattern_flag(flow, IN, OUT & (F.col("chan") == "view"), 36_000)
+    marked = Q.follow_pattern_flag(flow, inflow(), outflow() & (F.col("chan") == "view"), 36_000)
     return look_back(anchors, marked, [Measure("n", "count", ["14d"], F.col("follows") == 1)])
 
 
@@ -209,7 +208,7 @@ def _(spark, d):
 def _(spark, d):
     flow, anchors = events(spark, d)
     t = F.col("t")
-    got = look_back(anchors, flow, [Measure("out", "max", ["14d"], OUT, t), Measure("in", "max", ["14d"], IN, t), Measure("view", "max", ["14d"], F.col("chan") == "view", t)])
+    got = look_back(anchors, flow, [Measure("out", "max", ["14d"], outflow(), t), Measure("in", "max", ["14d"], inflow(), t), Measure("view", "max", ["14d"], F.col("chan") == "view", t)])
     last = got.withColumnsRenamed({"out_14d": "out", "in_14d": "in", "view_14d": "view"})
     return recency(anchors, last, ["out", "in", "view"])
 
@@ -221,9 +220,9 @@ def _(spark, d):
            "select txn_id, in_amt, (t - in_t) / 1e6 as delay, amt / in_amt as ratio, out_1d, round(out_1d, 2) / in_amt as drained from s where dir = 0"))
 def _(spark, d):
     flow = event_flow(spark, d)
-    carried = Q.carry_last(flow, ["acct"], list(Q.ORDER), {"in_amt": F.when(IN, F.col("amt")), "in_t": F.when(IN, F.col("t"))}, Q.hot_accounts(flow))
-    outs = carried.filter(OUT)
-    day = look_back(flow.filter(OUT), flow, [Measure("out", "sum", ["1d"], OUT, F.col("amt"))])
+    carried = Q.carry_last(flow, ["acct"], list(Q.ORDER), {"in_amt": F.when(inflow(), F.col("amt")), "in_t": F.when(inflow(), F.col("t"))}, Q.hot_accounts(flow))
+    outs = carried.filter(outflow())
+    day = look_back(flow.filter(outflow()), flow, [Measure("out", "sum", ["1d"], outflow(), F.col("amt"))])
     return outs.join(day, "txn_id").select(
         "txn_id", "in_amt", ((F.col("t") - F.col("in_t")) / 1e6).alias("delay"), S.safe_ratio("amt", "in_amt").alias("ratio"),
         F.col("out_1d"), S.safe_ratio(F.round("out_1d", 2), "in_amt").alias("drained"))

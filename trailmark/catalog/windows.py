@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from trailmark.catalog.base import ANCHORS, BALANCE, FLOW, ORDERS, SNAPS, days_hist, events, hist, query, sql
+from trailmark.catalog.base import ANCHORS, BALANCE, FLOW, ORDERS, SNAPS, amount, days_hist, events, hist, inflow, outflow, query, sql
 from trailmark.functions import scalars as S
 from trailmark.operators.joins import pit_join, pit_join_days
 from trailmark.operators.sequences import follow_pattern_flag, running_balance
@@ -12,8 +12,6 @@ from trailmark.plans.lookback import Measure, look_back, look_back_days
 from trailmark.plans.profile import at_least, distinct, key_profile, key_profile_days, rows, squares, when
 from trailmark.schema import DAY_WINDOWS, WINDOWS, account_days, event_flow, order_flow
 
-OUT, IN = F.col("dir") == 0, F.col("dir") == 1
-AMT = F.col("amt")
 H14 = (FLOW, ANCHORS, hist("14d"))
 
 
@@ -24,7 +22,7 @@ H14 = (FLOW, ANCHORS, hist("14d"))
 def _(spark, d):
     flow, anchors = events(spark, d)
     return look_back(anchors, flow, [
-        Measure("out", "count", ["1d", "14d"], OUT), Measure("in", "count", ["2h"], IN),
+        Measure("out", "count", ["1d", "14d"], outflow()), Measure("in", "count", ["2h"], inflow()),
         Measure("view", "count", ["7d"], F.col("chan") == "view")])
 
 
@@ -35,15 +33,15 @@ def _(spark, d):
 def _(spark, d):
     flow, anchors = events(spark, d)
     got = look_back(anchors, flow, [
-        Measure("s", "sum", ["14d"], OUT, AMT), Measure("si", "sum", ["3d"], IN, AMT), Measure("ni", "count", ["3d"], IN),
-        Measure("lo", "min", ["14d"], IN, AMT), Measure("hi", "max", ["7d"], OUT, AMT), Measure("sa", "sum", ["30min"], None, AMT)])
+        Measure("s", "sum", ["14d"], outflow(), amount()), Measure("si", "sum", ["3d"], inflow(), amount()), Measure("ni", "count", ["3d"], inflow()),
+        Measure("lo", "min", ["14d"], inflow(), amount()), Measure("hi", "max", ["7d"], outflow(), amount()), Measure("sa", "sum", ["30min"], None, amount())])
     return got.select("txn_id", F.col("s_14d").alias("s"), S.positive_ratio("si_3d", "ni_3d").alias("a"), F.col("lo_14d").alias("lo"),
                       F.col("hi_7d").alias("hi"), F.col("sa_30min").alias("s30"))
 
 
 def moments(name, where, windows):
-    return [Measure(f"{name}_n", "count", windows, where), Measure(f"{name}_s", "sum", windows, where, AMT),
-            Measure(f"{name}_ss", "sum", windows, where, AMT * AMT)]
+    return [Measure(f"{name}_n", "count", windows, where), Measure(f"{name}_s", "sum", windows, where, amount()),
+            Measure(f"{name}_ss", "sum", windows, where, amount() * amount())]
 
 
 @query("sample_std_cv", "txn_id:i std:d cv:d",
@@ -52,7 +50,7 @@ def moments(name, where, windows):
   from hist group by 1"""))
 def _(spark, d):
     flow, anchors = events(spark, d)
-    got = look_back(anchors, flow, moments("o", OUT, ["14d"]))
+    got = look_back(anchors, flow, moments("o", outflow(), ["14d"]))
     n, s, ss = (F.col(f"o_{x}_14d") for x in ("n", "s", "ss"))
     std = S.sample_std(n, s, ss)
     return got.select("txn_id", std.alias("std"), S.cv(S.positive_ratio(s, n), std).alias("cv"))
@@ -64,7 +62,7 @@ def _(spark, d):
   from hist group by 1"""))
 def _(spark, d):
     flow, anchors = events(spark, d)
-    got = look_back(anchors, flow, moments("i", IN, ["14d"]))
+    got = look_back(anchors, flow, moments("i", inflow(), ["14d"]))
     n, s, ss = (F.col(f"i_{x}_14d") for x in ("n", "s", "ss"))
     std = S.population_std(n, s, ss)
     return got.select("txn_id", std.alias("std"), F.when(n > 1, S.safe_ratio(std, S.safe_ratio(s, n))).alias("cv"))
@@ -77,7 +75,7 @@ def _(spark, d):
            "select txn_id, case when sd > 0 and n >= 5 then (m3 - 3 * m1 * m2 + 2 * m1 ** 3) / sd ** 3 end as skew from m"))
 def _(spark, d):
     flow, anchors = events(spark, d)
-    got = look_back(anchors, flow, [*moments("o", OUT, ["30d"]), Measure("o_sss", "sum", ["30d"], OUT, AMT * AMT * AMT)])
+    got = look_back(anchors, flow, [*moments("o", outflow(), ["30d"]), Measure("o_sss", "sum", ["30d"], outflow(), amount() * amount() * amount())])
     n, s, ss, sss = (F.col(f"o_{x}_30d") for x in ("n", "s", "ss", "sss"))
     return got.select("txn_id", S.mixed_skewness(n, s, ss, sss).alias("skew"))
 
@@ -86,7 +84,7 @@ def _(spark, d):
        sql(*H14, "select txn_id, quantile_disc(amt, 0.5) filter (where dir = 0) as p50, quantile_disc(amt, 0.95) filter (where dir = 0) as p95 from hist group by 1"))
 def _(spark, d):
     flow, anchors = events(spark, d)
-    pairs = pit_join(anchors.select("txn_id", "acct", "t"), flow.filter(OUT), WINDOWS["14d"], history=["t", "amt"])
+    pairs = pit_join(anchors.select("txn_id", "acct", "t"), flow.filter(outflow()), WINDOWS["14d"], history=["t", "amt"])
     q = F.percentile_approx("h_amt", F.array(F.lit(0.5), F.lit(0.95)))
     return pairs.groupBy("txn_id").agg(q.alias("q")).select("txn_id", F.col("q")[0].alias("p50"), F.col("q")[1].alias("p95"))
 
@@ -97,8 +95,8 @@ def _(spark, d):
 def _(spark, d):
     flow, anchors = events(spark, d)
     a = key_profile(anchors, flow, ["party"], "14d", {"parties": distinct})
-    b = key_profile(anchors, flow, ["chan"], "14d", {"out_chans": distinct}, where=OUT)
-    c = key_profile(anchors, flow, ["party"], "3d", {"in_parties_3d": distinct}, where=IN)
+    b = key_profile(anchors, flow, ["chan"], "14d", {"out_chans": distinct}, where=outflow())
+    c = key_profile(anchors, flow, ["party"], "3d", {"in_parties_3d": distinct}, where=inflow())
     e = look_back(anchors, flow, [Measure("days", "days", ["14d"])]).withColumnRenamed("days_14d", "days")
     return a.join(b, "txn_id").join(c, "txn_id").join(e, "txn_id")
 
@@ -110,8 +108,8 @@ def _(spark, d):
     flow, anchors = events(spark, d)
     tag, w = F.col("chan") == "error", ["14d"]
     got = look_back(anchors, flow, [
-        Measure("tn", "count", w, OUT & tag), Measure("n", "count", w, OUT),
-        Measure("ta", "sum", w, OUT & tag, AMT), Measure("a", "sum", w, OUT, AMT)])
+        Measure("tn", "count", w, outflow() & tag), Measure("n", "count", w, outflow()),
+        Measure("ta", "sum", w, outflow() & tag, amount()), Measure("a", "sum", w, outflow(), amount())])
     return got.select("txn_id", S.safe_ratio("tn_14d", "n_14d").alias("cnt_share"), S.safe_ratio(F.round("ta_14d", 2), F.round("a_14d", 2)).alias("amt_share"))
 
 
@@ -122,7 +120,7 @@ def _(spark, d):
     flow, anchors = events(spark, d)
     w = ["14d"]
     got = look_back(anchors, flow, [
-        Measure("n", "count", w, OUT), Measure("od", "days", w, OUT), Measure("sd", "days", w, F.col("chan") == "signup"), Measure("d", "days", w)])
+        Measure("n", "count", w, outflow()), Measure("od", "days", w, outflow()), Measure("sd", "days", w, F.col("chan") == "signup"), Measure("d", "days", w)])
     return got.select("txn_id", S.safe_ratio("n_14d", "od_14d").alias("out_per_day"), S.safe_ratio("sd_14d", "d_14d").alias("tagged_days"))
 
 
@@ -132,7 +130,7 @@ def _(spark, d):
            "select a.txn_id, coalesce(top, 0) as top, top / nullif(total, 0)::double as share from anchors a left join g using (txn_id)"))
 def _(spark, d):
     flow, anchors = events(spark, d)
-    got = key_profile(anchors, flow, ["party"], "14d", {"total": rows}, where=OUT, peak="top", nulls=True)
+    got = key_profile(anchors, flow, ["party"], "14d", {"total": rows}, where=outflow(), peak="top", nulls=True)
     return got.withColumn("share", S.safe_ratio("top", "total"))
 
 
@@ -143,7 +141,7 @@ def _(spark, d):
 def _(spark, d):
     flow, anchors = events(spark, d)
     # The largest real-valued total of a key is an order statistic: it needs the window's keys.
-    pairs = pit_join(anchors.select("txn_id", "acct", "t"), flow.filter(IN & F.col("party").isNotNull()), WINDOWS["14d"], how="inner", history=["t", "party", "amt"])
+    pairs = pit_join(anchors.select("txn_id", "acct", "t"), flow.filter(inflow() & F.col("party").isNotNull()), WINDOWS["14d"], how="inner", history=["t", "party", "amt"])
     keys = pairs.groupBy("txn_id", "h_party").agg(F.sum("h_amt").alias("s"))
     top = keys.groupBy("txn_id").agg(F.max("s").alias("hi"), F.sum("s").alias("total"), F.count(F.lit(1)).alias("n"))
     return anchors.select("txn_id").join(top, "txn_id", "left").select(
@@ -157,9 +155,9 @@ def _(spark, d):
            "select a.txn_id, ps as party_share, s as amt_share from anchors a left join g using (txn_id)"))
 def _(spark, d):
     flow, anchors = events(spark, d)
-    a = key_profile(anchors, flow, ["party"], "14d", {"rp": at_least(2), "n": rows}, where=OUT, nulls=True)
+    a = key_profile(anchors, flow, ["party"], "14d", {"rp": at_least(2), "n": rows}, where=outflow(), nulls=True)
     whole = flow.withColumn("whole", F.round("amt"))
-    b = key_profile(anchors, whole, ["whole"], "14d", {"ra": at_least(2)}, where=OUT)
+    b = key_profile(anchors, whole, ["whole"], "14d", {"ra": at_least(2)}, where=outflow())
     return a.join(b, "txn_id").select("txn_id", S.safe_ratio("rp", "n").alias("party_share"), S.safe_ratio("ra", "n").alias("amt_share"))
 
 
@@ -171,7 +169,7 @@ def _(spark, d):
 def _(spark, d):
     flow, anchors = events(spark, d)
     whole = flow.withColumn("whole", F.round("amt"))
-    got = key_profile(anchors, whole, ["whole"], "14d", {"r3": at_least(3), "keys": distinct}, where=IN, peak="max_repeat")
+    got = key_profile(anchors, whole, ["whole"], "14d", {"r3": at_least(3), "keys": distinct}, where=inflow(), peak="max_repeat")
     return got.withColumn("ratio", F.when(F.col("keys") > 0, S.safe_ratio("r3", F.col("r3") + F.col("keys"))))
 
 
@@ -202,8 +200,8 @@ def _(spark, d):
 def _(spark, d):
     flow, anchors = events(spark, d)
     got = look_back(anchors, flow, [
-        Measure("o", "count", ["1d", "14d"], OUT), Measure("oa", "sum", ["1d", "14d"], OUT, AMT),
-        Measure("i", "count", ["3d", "14d"], IN), Measure("id", "days", ["14d"], IN)])
+        Measure("o", "count", ["1d", "14d"], outflow()), Measure("oa", "sum", ["1d", "14d"], outflow(), amount()),
+        Measure("i", "count", ["3d", "14d"], inflow()), Measure("id", "days", ["14d"], inflow())])
     daily = S.safe_ratio(F.col("i_14d") * 3.0, "id_14d")
     return got.select("txn_id", S.safe_ratio("o_1d", "o_14d").alias("cnt_burst"), S.safe_ratio("oa_1d", "oa_14d").alias("amt_burst"),
                       S.safe_ratio("i_3d", daily).alias("rate_burst"))
@@ -217,15 +215,12 @@ def _(spark, d):
 def _(spark, d):
     flow, anchors = events(spark, d)
     w = ["14d"]
-    got = look_back(anchors, flow, [Measure("ia", "sum", w, IN, AMT), Measure("oa", "sum", w, OUT, AMT), Measure("ic", "count", w, IN), Measure("oc", "count", w, OUT)])
+    got = look_back(anchors, flow, [Measure("ia", "sum", w, inflow(), amount()), Measure("oa", "sum", w, outflow(), amount()), Measure("ic", "count", w, inflow()), Measure("oc", "count", w, outflow())])
     ia, oa, ic, oc = (F.col(f"{x}_14d") for x in ("ia", "oa", "ic", "oc"))
     return got.select("txn_id", (ia - oa).alias("net"), S.safe_ratio(ia - oa, ia + oa).alias("sign"), S.safe_ratio(oc, ic).alias("cnt_ratio"),
                       S.safe_ratio(oa, ia).alias("amt_ratio"), (oc - ic).alias("diff"), S.safe_ratio(oa - ia, ia).alias("drain"))
 
 
-LATE = F.col("hh").isin(*S.LATE_TEXT_HOURS)
-
-
 @query("tag_counters", """txn_id:i strangers_3d:i strangers_2h:i names_30min:i late_err_15d:i err_share_15d:d err_amt_15d:d sleep_15d:d work_15d:d rest_15d:d
   late_15d:d m1000_15d:i tens_amt_3h:d m100_3h:i max_share_15d:d min_share_15d:d std_share_15d:d bal_min_3d:d bal_avg_3d:d follow_15d:i""",
        sql(FLOW, BALANCE, """marked as (select *, lag(chan) over w as pc, lag(t) over w as pt, amt / case when bal + amt > 0 then bal + amt else 0.1 end as share
@@ -247,18 +242,18 @@ LATE = F.col("hh").isin(*S.LATE_TEXT_HOURS)
   count(*) filter (where dir = 0 and chan = 'view' and pc = 'click' and t - pt < 300000000) as follow_15d from h group by 1"""))
 def _(spark, d):
     bal = running_balance(event_flow(spark, d)).withColumn("share", S.balance_parts()["out_share"])
-    flow = follow_pattern_flag(bal, F.col("chan") == "click", OUT & (F.col("chan") == "view"))
+    flow = follow_pattern_flag(bal, F.col("chan") == "click", outflow() & (F.col("chan") == "view"))
     anchors = flow.filter("chan = 'purchase'")
-    err, stranger = IN & (F.col("chan") == "error"), IN & (F.col("novel") == 1)
+    err, stranger = inflow() & (F.col("chan") == "error"), inflow() & (F.col("novel") == 1)
     w, share = ["15d"], F.col("share")
     got = look_back(anchors, flow, [
-        Measure("strangers", "count", ["3d", "2h"], stranger), Measure("late_err", "count", w, err & LATE), Measure("err", "count", w, err), Measure("ins", "count", w, IN),
-        Measure("err_amt", "sum", w, err, AMT), Measure("n", "count", w), Measure("sleep", "count", w, S.in_hours("hh", S.SLEEP_HOURS)),
+        Measure("strangers", "count", ["3d", "2h"], stranger), Measure("late_err", "count", w, err & S.in_hours("hh", S.LATE_TEXT_HOURS)), Measure("err", "count", w, err), Measure("ins", "count", w, inflow()),
+        Measure("err_amt", "sum", w, err, amount()), Measure("n", "count", w), Measure("sleep", "count", w, S.in_hours("hh", S.SLEEP_HOURS)),
         Measure("work", "count", w, S.in_hours("hh", S.WORK_HOURS)), Measure("rest", "count", w, S.in_hours("hh", S.REST_HOURS)),
         Measure("late", "count", w, S.in_hours("hh", S.LATE_HOURS)), Measure("m1000", "count", w, F.pmod("amt", F.lit(10.0)) == 0),
-        Measure("tens_amt", "sum", ["3h"], S.round_amount_flags("amt")["tens_ones_zero"], AMT), Measure("m100", "count", ["3h"], F.pmod("amt", F.lit(1.0)) == 0),
-        Measure("max_share", "max", w, OUT, share), Measure("min_share", "min", w, OUT, share), Measure("o", "count", w, OUT),
-        Measure("ss1", "sum", w, OUT, share), Measure("ss2", "sum", w, OUT, share * share),
+        Measure("tens_amt", "sum", ["3h"], S.round_amount_flags("amt")["tens_ones_zero"], amount()), Measure("m100", "count", ["3h"], F.pmod("amt", F.lit(1.0)) == 0),
+        Measure("max_share", "max", w, outflow(), share), Measure("min_share", "min", w, outflow(), share), Measure("o", "count", w, outflow()),
+        Measure("ss1", "sum", w, outflow(), share), Measure("ss2", "sum", w, outflow(), share * share),
         Measure("bal_min", "min", ["3d"], None, F.col("bal")), Measure("bal_sum", "sum", ["3d"], None, F.col("bal")), Measure("n3", "count", ["3d"]),
         Measure("follow", "count", w, F.col("follows") == 1)])
     names = key_profile(anchors, flow, ["party"], "30min", {"names_30min": distinct}, where=stranger)
@@ -282,9 +277,9 @@ def _(spark, d):
     flow = order_flow(spark, d)
     w = ["180d"]
     got = look_back_days(account_days(flow), flow, [
-        Measure("ins", "count", ["15d"], IN), Measure("rows", "count", w), Measure("days", "days", ["180d", "gap"]), Measure("max", "max", w, None, AMT),
-        Measure("max_in", "max", w, IN, AMT), Measure("urgent", "count", w, OUT & (F.col("chan") == "1-URGENT")), Measure("outs", "count", w, OUT),
-        Measure("high_amt", "sum", ["gap"], F.col("chan") == "2-HIGH", AMT), Measure("min", "min", ["360d"], None, AMT)], DAY_WINDOWS, keys=("acct", "snap_dt"))
+        Measure("ins", "count", ["15d"], inflow()), Measure("rows", "count", w), Measure("days", "days", ["180d", "gap"]), Measure("max", "max", w, None, amount()),
+        Measure("max_in", "max", w, inflow(), amount()), Measure("urgent", "count", w, outflow() & (F.col("chan") == "1-URGENT")), Measure("outs", "count", w, outflow()),
+        Measure("high_amt", "sum", ["gap"], F.col("chan") == "2-HIGH", amount()), Measure("min", "min", ["360d"], None, amount())], DAY_WINDOWS, keys=("acct", "snap_dt"))
     return got.withColumn("urgent_share_180d", S.safe_ratio("urgent_180d", "outs_180d"))
 
 
@@ -295,7 +290,7 @@ def _(spark, d):
     flow = order_flow(spark, d)
     snaps = account_days(flow)
     kw = {"ids": ("acct", "snap_dt"), "day": "snap_dt"}
-    a = key_profile_days(snaps, flow, ["party"], DAY_WINDOWS["180d"], {"parties_180d": distinct}, where=OUT, **kw)
+    a = key_profile_days(snaps, flow, ["party"], DAY_WINDOWS["180d"], {"parties_180d": distinct}, where=outflow(), **kw)
     b = key_profile_days(snaps, flow, ["chan"], DAY_WINDOWS["gap"], {"chans_gap": distinct}, **kw)
     return a.join(b, ["acct", "snap_dt"])
 
@@ -304,7 +299,7 @@ def _(spark, d):
        sql(*H14, "select txn_id, (count(*) filter (where dir = 0 and amt <= amt0)) / nullif(count(*) filter (where dir = 0), 0)::double as prank from hist group by 1"))
 def _(spark, d):
     flow, anchors = events(spark, d)
-    pairs = pit_join(anchors.select("txn_id", "acct", "t", "amt"), flow.filter(OUT), WINDOWS["14d"], history=["t", "amt"])
+    pairs = pit_join(anchors.select("txn_id", "acct", "t", "amt"), flow.filter(outflow()), WINDOWS["14d"], history=["t", "amt"])
     return pairs.groupBy("txn_id").agg(S.safe_ratio(F.count_if(F.col("h_amt") <= F.col("amt")), F.count("h_amt")).alias("prank"))
 
 
@@ -313,9 +308,9 @@ def _(spark, d):
   from hist group by 1"""))
 def _(spark, d):
     flow, anchors = events(spark, d)
-    got = look_back(anchors, flow, moments("o", OUT, ["14d"])).join(anchors.select("txn_id", "amt"), "txn_id")
+    got = look_back(anchors, flow, moments("o", outflow(), ["14d"])).join(anchors.select("txn_id", "amt"), "txn_id")
     n, s, ss = (F.col(f"o_{x}_14d") for x in ("n", "s", "ss"))
-    return got.select("txn_id", S.positive_ratio(AMT - S.safe_ratio(s, n), S.sample_std(n, s, ss)).alias("z"))
+    return got.select("txn_id", S.positive_ratio(amount() - S.safe_ratio(s, n), S.sample_std(n, s, ss)).alias("z"))
 
 
 def cube_sql():
@@ -344,7 +339,7 @@ def feature_cube(anchors, flow, windows, dirs, values, flags):
         for vn, vp in values.items():
             for fn, fp in flags.items():
                 pred = S.all_of([dp, vp, fp])
-                measures += [Measure(f"{dn}_{vn}_{fn}_cnt", "count", windows, pred), Measure(f"{dn}_{vn}_{fn}_amt", "sum", windows, pred, AMT)]
+                measures += [Measure(f"{dn}_{vn}_{fn}_cnt", "count", windows, pred), Measure(f"{dn}_{vn}_{fn}_amt", "sum", windows, pred, amount())]
     got = look_back(anchors, flow, measures)
     return got.select("txn_id", *[F.col(f"{m.name}_{w}").alias(f"f{w}_{m.name}") for m in measures for w in windows])
 
@@ -353,7 +348,7 @@ def feature_cube(anchors, flow, windows, dirs, values, flags):
 def _(spark, d):
     flow, anchors = events(spark, d)
     yes = F.lit(True)
-    return feature_cube(anchors, flow, ["3d", "14d"], {"in": IN, "out": OUT, "all": yes},
+    return feature_cube(anchors, flow, ["3d", "14d"], {"in": inflow(), "out": outflow(), "all": yes},
                         {"click": F.col("chan") == "click", "view": F.col("chan") == "view", "all": yes},
                         {"novel": F.col("novel") == 1, "all": yes})
 
@@ -363,7 +358,7 @@ def _(spark, d):
 def _(spark, d):
     flow, anchors = events(spark, d)
     w = ["14d"]
-    got = look_back(anchors, flow, [Measure("lo", "min", w, IN, AMT), Measure("hi", "max", w, IN, AMT), *moments("a", None, w)])
+    got = look_back(anchors, flow, [Measure("lo", "min", w, inflow(), amount()), Measure("hi", "max", w, inflow(), amount()), *moments("a", None, w)])
     n, s, ss = (F.col(f"a_{x}_14d") for x in ("n", "s", "ss"))
     return got.select("txn_id", F.col("lo_14d").alias("f14d_in_min_amt"), F.col("hi_14d").alias("f14d_in_max_amt"), S.sample_std(n, s, ss).alias("f14d_all_std_amt"))
 
@@ -374,7 +369,7 @@ def _(spark, d):
            "select a.txn_id, r.hh as mode_hour, least(abs(hh0 - r.hh), 24 - abs(hh0 - r.hh)) as deviation from anchors a left join r on a.txn_id = r.txn_id and rn = 1"))
 def _(spark, d):
     flow, anchors = events(spark, d)
-    got = look_back(anchors, flow, [Measure(f"h{h}", "count", ["14d"], OUT & (F.col("hh") == h)) for h in range(24)])
+    got = look_back(anchors, flow, [Measure(f"h{h}", "count", ["14d"], outflow() & (F.col("hh") == h)) for h in range(24)])
     # Largest count, then smallest hour.
     best = F.greatest(*[F.struct(F.col(f"h{h}_14d").alias("n"), F.lit(-h).alias("neg")) for h in range(24)])
     mode = F.when(best["n"] > 0, -best["neg"])
@@ -389,7 +384,7 @@ def _(spark, d):
 def _(spark, d):
     flow, anchors = events(spark, d)
     w = ["3d", "14d"]
-    got = look_back(anchors, flow, [Measure("tag", "count", w, OUT & F.col("chan").isin("view", "click")), Measure("n", "count", w, OUT)])
+    got = look_back(anchors, flow, [Measure("tag", "count", w, outflow() & F.col("chan").isin("view", "click")), Measure("n", "count", w, outflow())])
     return got.select("txn_id", (S.safe_ratio("tag_14d", "n_14d") - S.safe_ratio("tag_3d", "n_3d")).alias("shift"))
 
 
@@ -444,5 +439,5 @@ def _(spark, d):
 def _(spark, d):
     flow = order_flow(spark, d)
     w = ["15d", "gap"]
-    got = look_back_days(account_days(flow), flow, [Measure("n", "count", w), Measure("a", "sum", w, None, AMT)], DAY_WINDOWS, keys=("acct", "snap_dt"))
+    got = look_back_days(account_days(flow), flow, [Measure("n", "count", w), Measure("a", "sum", w, None, amount())], DAY_WINDOWS, keys=("acct", "snap_dt"))
     return got.select("acct", "snap_dt", S.safe_ratio("n_15d", "n_gap").alias("cnt_ratio"), S.safe_ratio("a_15d", "a_gap").alias("amt_ratio"))

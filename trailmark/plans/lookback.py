@@ -26,23 +26,28 @@ from trailmark.plans.blocked import HOT_CAP, HOT_ROWS
 from trailmark.schema import SECOND, WINDOWS
 
 
+def _column(c: Column | str) -> Column:
+    return F.expr(c) if isinstance(c, str) else c
+
+
 @dataclass(frozen=True)
 class Measure:
     """One aggregate over the rows of a window.
 
     kind: ``count``, ``sum``, ``min``, ``max``, ``days`` (distinct active days) or ``peak`` (largest
-    number of rows in one day). Output columns are ``{name}_{window label}``.
+    number of rows in one day). ``where`` and ``value`` are columns or SQL text. Output columns are
+    ``{name}_{window label}``.
     """
 
     name: str
     kind: str
     windows: Sequence[str]
-    where: Column | None = field(default=None, compare=False)
-    value: Column | None = field(default=None, compare=False)
+    where: Column | str | None = field(default=None, compare=False)
+    value: Column | str | None = field(default=None, compare=False)
 
     def row_value(self) -> Column:
-        value = F.lit(1) if self.kind in ("count", "days", "peak") else self.value
-        return value if self.where is None else F.when(self.where, value)
+        value = F.lit(1) if self.kind in ("count", "days", "peak") else _column(self.value)
+        return value if self.where is None else F.when(_column(self.where), value)
 
     def fold(self, x: str) -> str:
         """Aggregate (SQL) of row values within a block."""
