@@ -47,6 +47,19 @@ def test_gap_stats(spark, hot_rows):
         assert g["gap_avg"] == (pytest.approx(sum(pos) / len(pos)) if pos else None)
 
 
+@pytest.mark.parametrize("hot_rows", [2_000_000, 3])
+def test_gap_range(spark, hot_rows):
+    rows = random_rows(120, seed=6)
+    flow = flow_of(spark, rows)
+    for lab in ("1d", "3d", "14d"):
+        got = {r["txn_id"]: r for r in Q.gap_range(flow, flow, lab, F.col("dir") == 0, hot_rows).collect()}
+        for a in rows:
+            times = sorted(r["t"] for r in before(rows, a, WINDOWS[lab]) if r["dir"] == 0)
+            pos = [(y - x) / SECOND for x, y in zip(times, times[1:]) if y > x]
+            g = got[a["txn_id"]]
+            assert (g["gap_min"], g["gap_max"]) == (min(pos, default=None), max(pos, default=None))
+
+
 @pytest.mark.parametrize("hot_rows", [2_000_000, 2])
 def test_last_n_before(spark, hot_rows):
     rows = random_rows(80, seed=9)

@@ -2,6 +2,8 @@ from pyspark.sql import functions as F
 
 from trailmark.operators.joins import pit_join, pit_join_days
 from trailmark.plans.lineage import settle
+from trailmark.plans.lookback import Measure, look_back
+from trailmark.plans.prune import relevant_history
 from trailmark.schema import event_anchors, event_flow
 from trailmark.sources import tables as T
 
@@ -38,6 +40,17 @@ def test_settle_keeps_rows(spark):
     assert settle(spark.range(7)).count() == 7
 
 
+def test_relevant_history_changes_no_result(spark, sf):
+    flow = event_flow(spark, sf)
+    anchors = event_anchors(flow).filter("acct < 5 and dt >= date'2024-01-20'")
+    for cap in (1, 1_000):
+        near = relevant_history(flow, anchors, 14, cap)
+        assert near.count() < flow.count()
+        ms = [Measure("n", "count", ["14d"])]
+        assert look_back(anchors, near, ms).exceptAll(look_back(anchors, flow, ms)).count() == 0
+    assert relevant_history(flow, anchors.limit(0), 14).count() == 0
+
+
 def test_band_join_reads_only_what_it_needs(spark, sf):
     flow = event_flow(spark, sf)
     plan = pit_join(event_anchors(flow).select("txn_id", "acct", "t"), flow, 3_600, history=["t"], how="inner")._jdf.queryExecution().toString()

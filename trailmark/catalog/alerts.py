@@ -11,6 +11,7 @@ from trailmark.operators import sequences as Q
 from trailmark.plans.lineage import settle
 from trailmark.plans.lookback import Measure, look_back, look_back_days
 from trailmark.plans.profile import distinct, key_profile, key_profile_days, when
+from trailmark.plans.prune import relevant_history
 from trailmark.schema import WINDOWS, account_days, event_flow
 
 # Row attributes of the test log: remark families, places and flags derived from the ids.
@@ -137,6 +138,7 @@ def rule_frame(spark, d):
     """The wide row: candidate attributes with all their history measures."""
     flow = settle(marked_flow(spark, d))
     cand = settle(chosen(flow))
+    flow = relevant_history(flow, cand, days=180)
 
     def measures(spec):
         return [Measure(n, k, w, F.expr(c), None if v is None else F.expr(v)) for n, (k, w, c, v) in spec.items()]

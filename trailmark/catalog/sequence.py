@@ -32,7 +32,7 @@ def _(spark, d):
            "select a.txn_id, lo as gap_min, hi as gap_max, md as gap_median from anchors a left join s using (txn_id)"))
 def _(spark, d):
     flow, anchors = events(spark, d)
-    return Q.gap_extremes(anchors, flow, "14d", outflow())
+    return Q.gap_range(anchors, flow, "14d", outflow()).join(Q.gap_median(anchors, flow, "14d", outflow()), "txn_id")
 
 
 @query("rapid_burst", "txn_id:i rapid:i share:d",

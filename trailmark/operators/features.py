@@ -21,7 +21,7 @@ from trailmark.functions.scalars import contains_any
 from trailmark.functions.tagsets import CHANNEL_TAGS
 from trailmark.operators.joins import pit_join
 from trailmark.operators.novelty import value_history
-from trailmark.operators.sequences import gap_extremes, gap_stats
+from trailmark.operators.sequences import gap_median, gap_range, gap_stats
 from trailmark.plans.lookback import Measure, look_back
 from trailmark.plans.profile import at_least, distinct, key_profile, key_profile_band, squares
 from trailmark.schema import WINDOWS
@@ -413,10 +413,11 @@ def build(
     if ("atm_rapid", "14d") in found:
         parts.append(gap_stats(anchors, hist, "14d", F.expr(f"{OUT} and g_atm_cash")).selectExpr("txn_id", "rapid_cnt as atm_rapid_14d"))
     for w in ("14d", "150d"):
-        want = [b for b in ("gap_min", "gap_max", "gap_median") if (b, w) in found]
+        want = [b for b in ("gap_min", "gap_max") if (b, w) in found]
         if want:
-            got = gap_extremes(anchors, hist, w, F.expr(OUT))
-            parts.append(got.selectExpr("txn_id", *[f"{b} as {b}_{w}" for b in want]))
+            parts.append(gap_range(anchors, hist, w, F.expr(OUT)).selectExpr("txn_id", *[f"{b} as {b}_{w}" for b in want]))
+        if ("gap_median", w) in found:
+            parts.append(gap_median(anchors, hist, w, F.expr(OUT)).selectExpr("txn_id", f"gap_median as gap_median_{w}"))
     for w in ("90d", "150d"):
         want = [b for b in ("out_p50", "out_p95", "prank") if (b, w) in found]
         if want:

@@ -11,7 +11,7 @@ from trailmark.functions.scalars import flag, positive_ratio, sample_std
 from trailmark.operators.joins import pit_join, pit_join_days
 from trailmark.plans.blocked import HOT_ROWS, carry_last, hot_accounts, neighbours, running_sum, sum_before
 from trailmark.plans.lookback import Measure, look_back
-from trailmark.schema import SECOND, WINDOWS
+from trailmark.schema import DAY, SECOND, WINDOWS
 
 ORDER = ("t", "txn_id")
 
@@ -87,17 +87,58 @@ def gap_stats(
     )
 
 
-def gap_extremes(anchors: DataFrame, flow: DataFrame, window: str, where: Column) -> DataFrame:
-    """Smallest, largest and median positive gap inside the window (order statistics need the rows)."""
+def gap_range(anchors: DataFrame, flow: DataFrame, window: str, where: Column, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Smallest and largest positive gap between consecutive qualifying rows inside the window.
+
+    A window is an oldest piece, whole days and a newest piece. Gaps inside a piece come from gaps inside
+    a day (to the next row for the oldest piece, to the previous row for the newest one); gaps across
+    pieces follow from the first and last row of each piece; gaps from one whole day to the next
+    are one row per day. Nothing is joined row by row.
+    """
+    days = WINDOWS[window] // 86_400
+    if WINDOWS[window] % 86_400:
+        raise ValueError("gap_range needs whole days")
+    hot = hot_accounts(flow, "t", hot_rows)
+    day = f"({{}} - pmod({{}}, {DAY}L)) div {DAY}L"
+    rows = neighbours(
+        flow.filter(where).select("acct", "txn_id", "t"), ["acct"], list(ORDER), hot, {"pt": "t"}, {"nt": "t"}
+    ).selectExpr("*", f"{day.format('t', 't')} as d", f"{day.format('pt', 'pt')} as pd", f"{day.format('nt', 'nt')} as nd")
+    back, ahead = "case when pd = d and t > pt then t - pt end", "case when nd = d and nt > t then nt - t end"
+    w = [window]
+    got = look_back(anchors, rows, [
+        Measure("lo_back", "min", w, None, back), Measure("hi_back", "max", w, None, back), Measure("lo_ahead", "min", w, None, ahead),
+        Measure("hi_ahead", "max", w, None, ahead), Measure("first", "min", w, None, "t"), Measure("last", "max", w, None, "t"),
+    ], pieces=True, hot_rows=hot_rows)
+    # Whole day to whole day: at most one row per account and day.
+    cross = rows.filter("nd <> d").select("acct", "d", "nd", (F.col("nt") - F.col("t")).alias("g"))
+    own = anchors.selectExpr("acct", f"{day.format('t', 't')} as d0").distinct()
+    between = (
+        own.alias("a")
+        .join(cross.alias("c"), F.expr(f"a.acct = c.acct and c.nd < a.d0 and c.d > a.d0 - {days}"))
+        .groupBy("a.acct", "a.d0")
+        .agg(F.min("g").alias("lo_cross"), F.max("g").alias("hi_cross"))
+    )
+    parts = anchors.selectExpr("txn_id", "acct", f"{day.format('t', 't')} as d0").join(between, ["acct", "d0"], "left").join(got, "txn_id")
+    f, l = f"first_{window}", f"last_{window}"
+    enter = f"coalesce({f}_mid, {f}_end) - {l}_start"
+    leave = f"case when {l}_mid is not null then {f}_end - {l}_mid end"
+
+    def all_of(side: str) -> str:
+        return f"{side}_ahead_{window}_start, {side}_back_{window}_mid, {side}_back_{window}_end, {side}_cross, {enter}, {leave}"
+
+    second = f"/ {float(SECOND)}D"
+    return parts.selectExpr(
+        "txn_id", f"least({all_of('lo')}) {second} as gap_min", f"greatest({all_of('hi')}) {second} as gap_max"
+    )
+
+
+def gap_median(anchors: DataFrame, flow: DataFrame, window: str, where: Column) -> DataFrame:
+    """Median positive gap inside the window: an order statistic, so it needs the rows of the window."""
     tagged = flow.filter(where).select("acct", "t", "txn_id")
-    w = WINDOWS[window]
-    rows = pit_join(anchors.select("txn_id", "acct", "t"), tagged, w, how="inner", history=["t", "txn_id"])
+    rows = pit_join(anchors.select("txn_id", "acct", "t"), tagged, WINDOWS[window], how="inner", history=["t", "txn_id"])
     per = Window.partitionBy("txn_id").orderBy("h_t", "h_txn_id")
     gaps = rows.withColumn("gap", (F.col("h_t") - F.lag("h_t").over(per)) / F.lit(float(SECOND)))
-    pos = F.when(F.col("gap") > 0, F.col("gap"))
-    stats = gaps.groupBy("txn_id").agg(
-        F.min(pos).alias("gap_min"), F.max(pos).alias("gap_max"), F.percentile_approx(pos, 0.5).alias("gap_median")
-    )
+    stats = gaps.filter("gap > 0").groupBy("txn_id").agg(F.percentile_approx("gap", 0.5).alias("gap_median"))
     return anchors.select("txn_id").join(stats, "txn_id", "left")
 
 

@@ -74,12 +74,15 @@ def look_back(
     measures: Sequence[Measure],
     *,
     inclusive: bool = False,
+    pieces: bool = False,
     hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
     """One row per anchor: ``txn_id`` and ``{measure}_{window}`` over the strictly earlier history.
 
     Every anchor is kept: counts, sums and days are 0 and minima and maxima NULL on an empty history.
     ``inclusive`` also counts the rows at the anchor's own time (a frame ending at the current row).
+    ``pieces`` returns the three parts of each window instead of their combination, as
+    ``{measure}_{window}_start`` (oldest block), ``_mid`` (whole blocks) and ``_end`` (the anchor's block).
     """
     groups: dict[int, dict[str, list[str]]] = {}
     for m in measures:
@@ -97,7 +100,7 @@ def look_back(
     out = None
     for width, labels in sorted(groups.items()):
         used = sorted({n for names in labels.values() for n in names})
-        part = _scan(anchors, flow, [by_name[n] for n in used], labels, width * SECOND, inclusive, hot_rows)
+        part = _scan(anchors, flow, [by_name[n] for n in used], labels, width * SECOND, inclusive, pieces, hot_rows)
         out = part if out is None else out.join(part, "txn_id")
     return out
 
@@ -109,6 +112,7 @@ def _scan(
     labels: dict[str, list[str]],
     width: int,
     inclusive: bool,
+    pieces: bool,
     hot_rows: int | None,
 ) -> DataFrame:
     names = [m.name for m in measures]
@@ -163,7 +167,10 @@ def _scan(
     if hot_rows:
         edge = _add_slot_carry(edge, lines, measures)
 
-    picks = [f"{m.merge(f'case when w in (0, {span[lab]}) then {m.name} end')} as {m.name}_{lab}" for m, lab in wants]
+    picks = []
+    for m, lab in wants:
+        parts = {"_end": "0", "_start": str(span[lab])} if pieces else {"": f"0, {span[lab]}"}
+        picks += [f"{m.merge(f'case when w in ({ws}) then {m.name} end')} as {m.name}_{lab}{p}" for p, ws in parts.items()]
     per_anchor = (
         edge.selectExpr("*", "b + w as b0").groupBy("txn_id", "acct", "b0").agg(*[F.expr(x) for x in picks])
     )
@@ -185,6 +192,12 @@ def _scan(
             .agg(*[F.expr(x) for x in mids])
         )
         per_anchor = per_anchor.join(between, ["acct", "b0"], "left")
+    if pieces:
+        cols = []
+        for m, lab in wants:
+            mid = f"mid_{m.name}_{lab}" if span[lab] > 1 else "null"
+            cols += [f"{m.name}_{lab}_start", f"{mid} as {m.name}_{lab}_mid", f"{m.name}_{lab}_end"]
+        return per_anchor.selectExpr("txn_id", *cols)
     return per_anchor.selectExpr("txn_id", *[f"{m.combine(parts)} as {n}" for n, (m, parts) in outs.items()])
 
 

@@ -40,12 +40,12 @@ DAY_WINDOWS = {
 }
 
 
-def micros(ts: str | Column) -> Column:
-    """Microseconds since the epoch of a zone-less timestamp, whatever the session zone is."""
-    name = ts if isinstance(ts, str) else None
-    if name is None:
-        raise TypeError("pass a column name")
-    return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', cast({name} as timestamp_ntz))")
+def micros(ts: str) -> Column:
+    """Microseconds since the epoch of the wall-clock time in column ``ts``, whatever the session zone is."""
+    return F.expr(
+        f"unix_date(to_date({ts})) * 86400000000L + (hour({ts}) * 3600 + minute({ts}) * 60) * 1000000L"
+        f" + cast(date_part('SECOND', {ts}) * 1000000 as bigint)"
+    )
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
