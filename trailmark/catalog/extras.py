@@ -13,6 +13,7 @@ from trailmark.operators import encodings as E
 from trailmark.operators import ranking as R
 from trailmark.plans.lookback import Measure, look_back
 from trailmark.plans.profile import distinct, key_profile, rows, xlogx
+from trailmark.plans.quantiles import window_quantile
 from trailmark.schema import event_flow, read
 from trailmark.sources import tables as T
 
@@ -155,12 +156,9 @@ def _(spark, d):
 @query("over_percentile", "txn_id:i over_p95:i",
        sql(*H14, "select txn_id, case when any_value(amt0) > quantile_disc(amt, 0.95) filter (where dir = 0) then 1 else 0 end as over_p95 from hist group by 1"))
 def _(spark, d):
-    from trailmark.operators.joins import pit_join
-    from trailmark.schema import WINDOWS
-
     flow, anchors = events(spark, d)
-    pairs = pit_join(anchors.select("txn_id", "acct", "t", "amt"), flow.filter(outflow()), WINDOWS["14d"], history=["t", "amt"])
-    return pairs.groupBy("txn_id", "amt").agg(F.percentile_approx("h_amt", 0.95).alias("p")).select("txn_id", S.flag(F.col("amt") > F.col("p")).alias("over_p95"))
+    got = window_quantile(anchors, flow, "14d", [0.95], outflow()).join(anchors.select("txn_id", "amt"), "txn_id")
+    return got.select("txn_id", S.flag(F.col("amt") > F.col("q0")).alias("over_p95"))
 
 
 @query("source_dest_ratio", "txn_id:i ratio:d top_share:d",

@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from trailmark.catalog.base import ANCHORS, BALANCE, FLOW, ORDERS, SNAPS, amount, days_hist, events, hist, inflow, outflow, query, sql
 from trailmark.functions import scalars as S
-from trailmark.operators.joins import pit_join, pit_join_days
+from trailmark.operators.joins import pit_join
 from trailmark.operators.sequences import follow_pattern_flag, running_balance
 from trailmark.plans.lookback import Measure, look_back, look_back_days
 from trailmark.plans.profile import at_least, distinct, key_profile, key_profile_days, rows, squares, when
+from trailmark.plans.quantiles import window_quantile, window_rank
 from trailmark.schema import DAY_WINDOWS, WINDOWS, account_days, event_flow, order_flow
 
 H14 = (FLOW, ANCHORS, hist("14d"))
@@ -84,9 +85,8 @@ def _(spark, d):
        sql(*H14, "select txn_id, quantile_disc(amt, 0.5) filter (where dir = 0) as p50, quantile_disc(amt, 0.95) filter (where dir = 0) as p95 from hist group by 1"))
 def _(spark, d):
     flow, anchors = events(spark, d)
-    pairs = pit_join(anchors.select("txn_id", "acct", "t"), flow.filter(outflow()), WINDOWS["14d"], history=["t", "amt"])
-    q = F.percentile_approx("h_amt", F.array(F.lit(0.5), F.lit(0.95)))
-    return pairs.groupBy("txn_id").agg(q.alias("q")).select("txn_id", F.col("q")[0].alias("p50"), F.col("q")[1].alias("p95"))
+    got = window_quantile(anchors, flow, "14d", [0.5, 0.95], outflow())
+    return got.withColumnsRenamed({"q0": "p50", "q1": "p95"})
 
 
 @query("distinct_if", "txn_id:i parties:i out_chans:i days:i in_parties_3d:i",
@@ -299,8 +299,7 @@ def _(spark, d):
        sql(*H14, "select txn_id, (count(*) filter (where dir = 0 and amt <= amt0)) / nullif(count(*) filter (where dir = 0), 0)::double as prank from hist group by 1"))
 def _(spark, d):
     flow, anchors = events(spark, d)
-    pairs = pit_join(anchors.select("txn_id", "acct", "t", "amt"), flow.filter(outflow()), WINDOWS["14d"], history=["t", "amt"])
-    return pairs.groupBy("txn_id").agg(S.safe_ratio(F.count_if(F.col("h_amt") <= F.col("amt")), F.count("h_amt")).alias("prank"))
+    return window_rank(anchors, flow, "14d", outflow()).withColumnRenamed("share", "prank")
 
 
 @query("zscore_current", "txn_id:i z:m",

@@ -24,6 +24,7 @@ from trailmark.operators.novelty import value_history
 from trailmark.operators.sequences import gap_median, gap_range, gap_stats
 from trailmark.plans.lookback import Measure, look_back
 from trailmark.plans.profile import at_least, distinct, key_profile, key_profile_band, squares
+from trailmark.plans.quantiles import window_quantile, window_rank
 from trailmark.schema import WINDOWS
 
 OUT, IN = "dir = 0", "dir = 1"
@@ -126,8 +127,8 @@ STATS = {
     "rows": lambda c: c.cast("long"),
 }
 
-#: base -> (condition, column, order statistic): needs the rows of the window.
-ORDERED = {"out_p50": (OUT, 0.5), "out_p95": (OUT, 0.95)}
+#: base -> percentile of the outgoing amounts.
+ORDERED = {"out_p50": 0.5, "out_p95": 0.95}
 
 WINDOW_RE = "|".join(sorted(WINDOWS, key=len, reverse=True))
 TOKEN = re.compile(rf"\b([a-z][a-z0-9_]*?)_({WINDOW_RE})\b")
@@ -419,14 +420,12 @@ def build(
         if ("gap_median", w) in found:
             parts.append(gap_median(anchors, hist, w, F.expr(OUT)).selectExpr("txn_id", f"gap_median as gap_median_{w}"))
     for w in ("90d", "150d"):
-        want = [b for b in ("out_p50", "out_p95", "prank") if (b, w) in found]
+        want = [b for b in ORDERED if (b, w) in found]
         if want:
-            rows = pit_join(anchors.select("txn_id", "acct", "t", "amt"), hist.filter(OUT), WINDOWS[w], how="inner", history=["t", "amt"])
-            aggs = {
-                "out_p50": "percentile_approx(h_amt, 0.5)", "out_p95": "percentile_approx(h_amt, 0.95)",
-                "prank": "count_if(h_amt <= amt) / cast(count(1) as double)",
-            }
-            parts.append(rows.groupBy("txn_id").agg(*[F.expr(f"{aggs[b]} as {b}_{w}") for b in want]))
+            got = window_quantile(anchors, hist, w, [ORDERED[b] for b in want], F.expr(OUT))
+            parts.append(got.selectExpr("txn_id", *[f"q{i} as {b}_{w}" for i, b in enumerate(want)]))
+        if ("prank", w) in found:
+            parts.append(window_rank(anchors, hist, w, F.expr(OUT)).selectExpr("txn_id", f"share as prank_{w}"))
     if uses(blocks, "source_top_share_150d"):
         rows = pit_join(anchors.select("txn_id", "acct", "t"), hist.filter(_and(IN, NAMED)), WINDOWS["150d"], how="inner", history=["t", "party", "amt"])
         keys = rows.groupBy("txn_id", "h_party").agg(F.sum("h_amt").alias("s"))
