@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from trailmark.catalog.base import FLOW, LABELLED, hist, labelled, query, sql
+from trailmark.catalog.blocks import EXTRA, FAMILIES
+from trailmark.catalog.extras import scratch
+from trailmark.experiment import run_experiment
 from trailmark.operators import evaluation as V
 from trailmark.operators import modeling as M
 from trailmark.operators import ranking as R
@@ -240,3 +243,17 @@ def _(spark, d):
     best, loss = M.search(folds, FEATS, folds=2, trials=2, space={"stepSize": (0.05, 0.1), "maxIter": (2, 4), "maxDepth": (2, 3)})
     rows = [*((k, float(v)) for k, v in best.items()), ("log_loss", loss)]
     return spark.createDataFrame(rows, "name string, value double")
+
+
+@query("experiment_run", "run:i f1:d best_k:i n_features:i hit_y:i missed_y:i")
+def _(spark, d):
+    flow, anchors = labelled_rich(spark, d)
+    return run_experiment(anchors, flow, ["sparse_probe", "inflow_burst"], scratch(spark, "experiment"), 1, families=FAMILIES,
+                          iv_min=0.0001, keep_top=12, folds=3, params=QUICK)
+
+
+def labelled_rich(spark, d):
+    """Labelled anchors and the flow with the extra columns of the feature blocks, stored once."""
+    flow, anchors = labelled(spark, d)
+    extra = {n: F.expr(e) for n, e in EXTRA.items()}
+    return flow.withColumns(extra), settle(anchors.withColumns(extra))

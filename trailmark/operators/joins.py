@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from trailmark.schema import SECOND
 
 
+def _bucket(x: str, width: int) -> str:
+    return f"({x} - pmod({x}, {width}L)) div {width}L"
+
+
 def pit_join(
     anchors: DataFrame,
     flow: DataFrame,
@@ -18,24 +22,24 @@ def pit_join(
     lo_sec: int = 0,
     how: str = "left",
     history: Sequence[str] = ("t", "dt", "hh", "dir", "amt", "chan", "party"),
+    splits: int = 4,
 ) -> DataFrame:
     """Anchors with each of their earlier rows, ``lo < t0 - t <= hi``; history columns get ``h_``.
 
     The pairs are the result asked for, so their number is inherent. They are spread by joining on
-    (account, time bucket of width ``hi - lo``): a busy account becomes many join keys and a task only
-    holds the rows of one bucket. For aggregates over windows use ``plans.lookback`` or
-    ``plans.profile``, which build no pairs.
+    (account, time bucket) with ``splits`` buckets per window: a busy account becomes many join keys and
+    a task only holds the rows of one bucket, which meet ``splits + 1`` copies of each small anchor row.
+    For aggregates over windows use ``plans.lookback`` or ``plans.profile``, which build no pairs.
     """
     lo, hi = lo_sec * SECOND, hi_sec * SECOND
-    width = hi - lo
-    bucket = f"(`{{}}` - pmod(`{{}}`, {width}L)) div {width}L"
+    width = max((hi - lo) // splits, 1)
     h = flow.select(
         F.col("acct").alias("h_acct"),
-        F.expr(bucket.format("t", "t")).alias("h_bucket"),
+        F.expr(_bucket("t", width)).alias("h_bucket"),
         *[F.col(c).alias(f"h_{c}") for c in dict.fromkeys([*history, "t"])],
     )
-    near = F.expr(f"((t - {lo}L) - pmod(t - {lo}L, {width}L)) div {width}L")
-    a = anchors.withColumn("h_bucket", F.explode(F.array(near, near - 1)))
+    near = f"sequence({_bucket(f't - {hi}L', width)}, {_bucket(f't - {lo}L', width)})"
+    a = anchors.withColumn("h_bucket", F.explode(F.expr(near)))
     age = F.col("t") - F.col("h_t")
     cond = (F.col("a.acct") == F.col("h.h_acct")) & (F.col("a.h_bucket") == F.col("h.h_bucket"))
     pairs = a.alias("a").join(h.alias("h"), cond & (age > lo) & (age <= hi)).drop("h_bucket", "h_acct")
@@ -57,17 +61,18 @@ def pit_join_days(
     day: str = "dt",
     how: str = "left",
     history: Sequence[str] = ("txn_id", "t", "dt", "dir", "amt"),
+    splits: int = 4,
 ) -> DataFrame:
     """The same over day offsets ``lo <= datediff(day, history day) <= hi`` (a gap when ``lo > 0``)."""
-    width = hi - lo + 1
+    width = max((hi - lo + 1) // splits, 1)
     h = flow.select(
         F.col("acct").alias("h_acct"),
-        F.expr(f"(unix_date(dt) - pmod(unix_date(dt), {width})) div {width}").alias("h_bucket"),
+        F.expr(_bucket("cast(unix_date(dt) as bigint)", width)).alias("h_bucket"),
         *[F.col(c).alias(f"h_{c}") for c in dict.fromkeys([*history, "dt"])],
     )
-    newest = F.unix_date(day) - lo
-    near = F.floor((newest - F.pmod(newest, F.lit(width))) / width)
-    a = points.withColumn("h_bucket", F.explode(F.array(near, near - 1)))
+    number = f"cast(unix_date({day}) as bigint)"
+    near = f"sequence({_bucket(f'{number} - {hi}', width)}, {_bucket(f'{number} - {lo}', width)})"
+    a = points.withColumn("h_bucket", F.explode(F.expr(near)))
     off = F.datediff(day, "h_dt")
     cond = (F.col("a.acct") == F.col("h.h_acct")) & (F.col("a.h_bucket") == F.col("h.h_bucket"))
     pairs = a.alias("a").join(h.alias("h"), cond & off.between(lo, hi)).drop("h_bucket", "h_acct")

@@ -51,7 +51,7 @@ def _digest(id_col: str) -> Column:
     return F.md5(F.col(id_col).cast("string"))
 
 
-def score_rank(scored: DataFrame, score: str = "score", id_col: str = "txn_id", buckets: int = 256) -> DataFrame:
+def score_rank(scored: DataFrame, score: str = "score", id_col: str = "txn_id", buckets: int = 64) -> DataFrame:
     """Exact rank by score descending, ties by the digest of the id.
 
     Rows are bucketed at score quantiles and, within one score, by digest prefix. Only the counts of
@@ -60,7 +60,7 @@ def score_rank(scored: DataFrame, score: str = "score", id_col: str = "txn_id",
     """
     cuts = scored.approxQuantile(score, [i / buckets for i in range(1, buckets)], 1 / (4 * buckets))
     cuts = sorted({c for c in cuts if c is not None})
-    bucket = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c > F.col(score))) if cuts else F.lit(0)
+    bucket = F.expr(" + ".join(f"cast(`{score}` < {c!r}D as int)" for c in cuts) or "0")
     rows = scored.withColumns({"__h": _digest(id_col), "__b": bucket}).withColumn("__u", F.substring("__h", 1, 3))
     units = rows.groupBy("__b", score, "__u").agg(F.count(F.lit(1)).alias("n"))
     heads = units.groupBy("__b").agg(F.sum("n").alias("bn"))
