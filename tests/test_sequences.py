@@ -60,6 +60,17 @@ def test_gap_range(spark, hot_rows):
             assert (g["gap_min"], g["gap_max"]) == (min(pos, default=None), max(pos, default=None))
 
 
+@pytest.mark.parametrize("pair_factor,hot_rows", [(1e9, 2_000_000), (0.0, 6)])
+def test_gap_median(spark, pair_factor, hot_rows):
+    rows = random_rows(80, seed=8)
+    flow = flow_of(spark, rows)
+    got = {r["txn_id"]: r["gap_median"] for r in Q.gap_median(flow, flow, "3d", F.col("dir") == 0, pair_factor, hot_rows).collect()}
+    for a in rows:
+        times = sorted(r["t"] for r in before(rows, a, WINDOWS["3d"]) if r["dir"] == 0)
+        pos = sorted((y - x) / SECOND for x, y in zip(times, times[1:]) if y > x)
+        assert got[a["txn_id"]] == (pos[(len(pos) + 1) // 2 - 1] if pos else None)
+
+
 @pytest.mark.parametrize("hot_rows", [2_000_000, 2])
 def test_last_n_before(spark, hot_rows):
     rows = random_rows(80, seed=9)

@@ -11,6 +11,7 @@ from trailmark.functions.scalars import flag, positive_ratio, sample_std
 from trailmark.operators.joins import pit_join, pit_join_days
 from trailmark.plans.blocked import HOT_ROWS, carry_last, hot_accounts, neighbours, running_sum, sum_before
 from trailmark.plans.lookback import Measure, look_back
+from trailmark.plans.quantiles import PAIR_FACTOR, interval_quantile, pair_ratio
 from trailmark.schema import DAY, SECOND, WINDOWS
 
 ORDER = ("t", "txn_id")
@@ -132,14 +133,30 @@ def gap_range(anchors: DataFrame, flow: DataFrame, window: str, where: Column, h
     )
 
 
-def gap_median(anchors: DataFrame, flow: DataFrame, window: str, where: Column) -> DataFrame:
-    """Median positive gap inside the window: an order statistic, so it needs the rows of the window."""
+def gap_median(
+    anchors: DataFrame,
+    flow: DataFrame,
+    window: str,
+    where: Column,
+    pair_factor: float = PAIR_FACTOR,
+    hot_rows: int = HOT_ROWS,
+) -> DataFrame:
+    """Median positive gap inside the window. Joins the rows only while that builds few pairs."""
     tagged = flow.filter(where).select("acct", "t", "txn_id")
-    rows = pit_join(anchors.select("txn_id", "acct", "t"), tagged, WINDOWS[window], how="inner", history=["t", "txn_id"])
-    per = Window.partitionBy("txn_id").orderBy("h_t", "h_txn_id")
-    gaps = rows.withColumn("gap", (F.col("h_t") - F.lag("h_t").over(per)) / F.lit(float(SECOND)))
-    stats = gaps.filter("gap > 0").groupBy("txn_id").agg(F.percentile_approx("gap", 0.5).alias("gap_median"))
-    return anchors.select("txn_id").join(stats, "txn_id", "left")
+    mine = anchors.select("txn_id", "acct", "t")
+    if pair_ratio(mine, tagged) <= pair_factor:
+        rows = pit_join(mine, tagged, WINDOWS[window], how="inner", history=["t", "txn_id"])
+        per = Window.partitionBy("txn_id").orderBy("h_t", "h_txn_id")
+        gaps = rows.withColumn("gap", F.col("h_t") - F.lag("h_t").over(per))
+        stats = gaps.filter("gap > 0").groupBy("txn_id").agg(F.percentile_approx("gap", 0.5).alias("q"))
+    else:
+        hot = hot_accounts(tagged, "t", hot_rows)
+        pairs = neighbours(tagged, ["acct"], list(ORDER), hot, {"pt": "t"}).filter("t > pt")
+        w = WINDOWS[window] * SECOND
+        items = pairs.selectExpr("acct", "t as enter", f"pt + {w}L as leave", "t - pt as v").filter("enter <= leave")
+        stats = interval_quantile(mine, items, 0.5, hot_rows)
+    median = (F.col("q") / F.lit(float(SECOND))).alias("gap_median")
+    return mine.select("txn_id").join(stats, "txn_id", "left").select("txn_id", median)
 
 
 def rolling_min(

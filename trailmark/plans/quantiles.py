@@ -15,6 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trailmark.plans.blocked import hot_accounts, sum_before
 from trailmark.plans.lineage import settle
 from trailmark.plans.lookback import HOT_ROWS, Measure, look_back
 
@@ -136,3 +137,33 @@ def window_quantile(
     found = state.selectExpr("txn_id.txn_id as txn_id", "txn_id.i as i", f"round((p + {low}L) * {unit}D, 9) as q")
     picked = found.groupBy("txn_id").agg(*[F.max(F.when(F.col("i") == i, F.col("q"))).alias(f"q{i}") for i in range(len(probs))])
     return anchors.select("txn_id").join(picked, "txn_id", "left")
+
+
+def interval_quantile(anchors: DataFrame, items: DataFrame, prob: float, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Discrete percentile of the items that are valid at each anchor: ``enter < t <= leave``.
+
+    ``items`` have acct, enter, leave and a non-negative integer ``v``. Every item is one entry and one exit
+    on the time line; the percentile is chosen digit by digit from the running counts per value prefix.
+    """
+    steps = items.selectExpr(
+        "acct", "v", "explode(array(struct(enter as e, 1L as d), struct(leave as e, -1L as d))) as x"
+    ).selectExpr("acct", "v", "x.e as e", "x.d as d")
+    bits = max(1, int(items.agg(F.max("v")).first()[0] or 0).bit_length())
+    rounds = (bits + 3) // 4
+    mine = anchors.selectExpr("txn_id", "acct", "t as e")
+    valid = sum_before(mine, steps.selectExpr("acct", "e", "d as n"), "e", ["n"], hot_accounts(steps, "e", hot_rows))
+    state = settle(valid.filter("n > 0").selectExpr(
+        "txn_id", "acct", "e", f"greatest(n - cast(floor(n - {float(prob)}D * n) as bigint), 1L) as k", "0L as p"))
+    names = [f"c{i}" for i in range(16)]
+    sums = [" + ".join(names[: i + 1]) for i in range(16)]
+    cases = " ".join(f"when {x} >= k then {i}" for i, x in enumerate(sums))
+    for r in range(rounds):
+        shift = 4 * (rounds - 1 - r)
+        deltas = steps.selectExpr(
+            f"struct(acct, shiftright(v, {shift + 4}) as p) as acct", "e",
+            *[f"case when shiftright(v, {shift}) & 15 = {i} then d else 0L end as c{i}" for i in range(16)])
+        probes = state.selectExpr("txn_id", "struct(acct, p) as acct", "e")
+        counts = sum_before(probes, deltas, "e", names, hot_accounts(deltas, "e", hot_rows)).select("txn_id", *names)
+        chosen = state.join(counts, "txn_id").selectExpr("*", f"case {cases} end as digit", f"array(0L, {', '.join(sums)}) as run")
+        state = settle(chosen.selectExpr("txn_id", "acct", "e", "k - run[digit] as k", "p * 16 + digit as p"))
+    return anchors.select("txn_id").join(state.selectExpr("txn_id", "p as q"), "txn_id", "left")
