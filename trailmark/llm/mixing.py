@@ -16,11 +16,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trailmark.llm.common import word_count
+from trailmark.llm.common import settled, word_count
 
 WEIGHTS = (5, 2, 1)
 #: Tokens of a block, most shards of a source, blocks a shard should have at least, passes over a source at most.
 BLOCK, SHARDS, SHARD_BLOCKS, MOST = 64, 1024, 64, 3
+#: Rounds in which parties far above their caps are held; caps that come to bind later hold in the ranking.
+ROUNDS = 2
 
 
 def apportion(parties: DataFrame, group: list[str], party: str, value: str, seats: str, cap: str, name: str) -> DataFrame:
@@ -28,13 +30,13 @@ def apportion(parties: DataFrame, group: list[str], party: str, value: str, seat
 
     With n parties the common divisor lies between total / (seats + n/2) and total / (seats - n/2), where parties
     are not held by their caps. So a party surely has the seats that it gets under the larger one, and only some
-    3n quotients of a group are ranked for the rest. Held parties are settled by their caps first, in rounds that
-    end as soon as no further party exceeds its cap.
+    3n quotients of a group are ranked for the rest. Parties surely above their caps are
+    held first, in ``ROUNDS`` rounds.
     """
     w = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
     free = F.col("__free")
     out = parties.withColumn("__free", F.col(value) > 0).withColumn(name, F.lit(0).cast("long"))
-    for _ in range(4):  # parties that would exceed their caps hold them; the others share the rest
+    for _ in range(ROUNDS):  # parties that would exceed their caps hold them; the others share the rest
         total, held = F.sum(F.when(free, F.col(value))).over(w), F.sum(F.when(free, 0).otherwise(F.col(name))).over(w)
         out = out.withColumn("__total", total).withColumn("__left", F.greatest(F.col(seats) - held, F.lit(0)))
         seats_left = F.col("__left") - F.sum(free.cast("long")).over(w) / 2  # fewest, whatever the rounding
@@ -44,10 +46,10 @@ def apportion(parties: DataFrame, group: list[str], party: str, value: str, seat
         out = out.withColumn("__free", free & ~F.col("__over")).drop("__over")
     n, total = F.sum(free.cast("long")).over(w), F.sum(F.when(free, F.col(value))).over(w)
     held = F.sum(F.when(free, 0).otherwise(F.col(name))).over(w)
-    out = out.withColumn("__n", n).withColumn("__total", total).withColumn("__left", F.greatest(F.col(seats) - held, F.lit(0)))
+    out = out.withColumn("__parties", n).withColumn("__total", total).withColumn("__left", F.greatest(F.col(seats) - held, F.lit(0)))
     exact = F.col(value) / F.nullif(F.col("__total"), F.lit(0))
-    sure = F.floor(exact * F.greatest(F.col("__left") - F.col("__n") / 2, F.lit(0)) - 0.5)
-    most = F.ceil(exact * (F.col("__left") + 2 * F.col("__n")) + 1.5)
+    sure = F.floor(exact * F.greatest(F.col("__left") - F.col("__parties") / 2, F.lit(0)) - 0.5)
+    most = F.ceil(exact * (F.col("__left") + 2 * F.col("__parties")) + 1.5)
     out = out.withColumn("__sure", F.when(free, F.least(F.greatest(sure, F.lit(0)), F.col(cap))).otherwise(0).cast("long"))
     out = out.withColumn("__most", F.when(free, F.least(most, F.col(cap))).otherwise(0).cast("long"))
     out = out.withColumn("__rest", F.col("__left") - F.sum("__sure").over(w))
@@ -97,6 +99,7 @@ def mix(
 ) -> DataFrame:
     """One row per document: size, source_size, target, taken (words, repeats counted) and source."""
     sized = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"))
+    sized = settled(sized)  # texts are read once
     sums = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     aimed = targets(sums, weights, most)
     blocks = F.greatest(F.round(F.col("source_size") / block), F.least(F.col("source_size"), F.lit(1)))
@@ -115,6 +118,7 @@ def mix(
     spread = Window.partitionBy("source", "__shard")
     line = spread.orderBy(seeded(seed + 1, F.col("doc_id")), "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = placed.withColumn("__from", F.coalesce(F.sum("size").over(line), F.lit(0)))
+    placed = settled(placed)
 
     lines = placed.groupBy("source", "__shard").agg(F.sum("size").alias("__long"), F.first("quota").alias("__quota"))
     lines = lines.withColumn("__n", F.greatest(F.round(F.col("__long") / block), F.least(F.col("__long"), F.lit(1))).cast("long"))
