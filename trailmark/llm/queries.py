@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailmark.llm import langid, mixing, pii, quality, warc
+from trailmark.llm import decontam, langid, mixing, pii, quality, warc
 from trailmark.llm.common import fold, table
 
 
@@ -29,11 +29,15 @@ def op8_quality(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def op9_decontamination(spark: SparkSession, d: str) -> DataFrame:
+    return decontam.matches(table(spark, d, "documents"), table(spark, d, "benchmark"))
+
+
 def op10_language(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
     model = langid.learn(docs.filter(fold("doc_id", 4) != 2), F.xxhash64("doc_id"))
     return langid.predict(docs, model).select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op4_mixing, op7_warc, op8_quality, op10_language)}
+QUERIES = {f.__name__: f for f in (op1_pii, op4_mixing, op7_warc, op8_quality, op9_decontamination, op10_language)}
 ORACLE_SQL: dict[str, str] = {}
