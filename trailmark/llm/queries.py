@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailmark.llm import decontam, langid, mixing, pii, quality, warc
+from trailmark.llm import ann, decontam, jaccard, langid, mixing, pii, quality, warc
 from trailmark.llm.common import fold, table
 
 
@@ -13,6 +13,14 @@ def op1_pii(spark: SparkSession, d: str) -> DataFrame:
     return pii.scan(table(spark, d, "documents"))
 
 
+def op2_jaccard(spark: SparkSession, d: str) -> DataFrame:
+    return jaccard.join(table(spark, d, "documents"), width=4, percent=85)
+
+
+def op3_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    return ann.search(table(spark, d, "embeddings"))
+
+
 def op4_mixing(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(table(spark, d, "documents"))
 
@@ -39,5 +47,5 @@ def op10_language(spark: SparkSession, d: str) -> DataFrame:
     return langid.predict(docs, model).select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op4_mixing, op7_warc, op8_quality, op9_decontamination, op10_language)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_jaccard, op3_neighbours, op4_mixing, op7_warc, op8_quality, op9_decontamination, op10_language)}
 ORACLE_SQL: dict[str, str] = {}
