@@ -58,70 +58,87 @@ def words(text: Column) -> Column:
     return F.split(text, GAP)
 
 
-def windows(form: Column, width: int) -> Column:
-    """Hashes of the windows of a template, in order."""
-    starts = F.when(F.size(form) >= width, F.sequence(F.lit(1), F.size(form) - (width - 1)))
-    return F.transform(starts, lambda i: F.xxhash64(F.slice(form, i, width)))
-
-
-def index(items: DataFrame, item_id: str, text: str) -> DataFrame:
-    """(item_id, h, at, width, n_windows, form, words) of the items' windows."""
-    known = items.select(F.col(item_id).alias("item_id"), plain(F.col(text)).alias("w"))
-    known = known.select("item_id", words(F.col("w")).alias("w"), words(template(F.col("w"))).alias("f")).withColumn("width", F.least(F.size("w"), F.lit(WINDOW)))
-    known = known.filter(F.get("w", F.lit(0)) != "")
-    starts = F.sequence(F.lit(1), F.size("w") - F.col("width") + 1)
-    cut = known.select("item_id", "width", "w", "f", F.posexplode(starts).alias("at", "i"))
-    cut = cut.select("item_id", "width", "at", F.slice("f", F.col("i"), F.col("width")).alias("form"), F.slice("w", F.col("i"), F.col("width")).alias("words"))
-    literal = F.size(F.filter("form", lambda t: ~t.isin(*SLOTS)))
-    cut = cut.filter(literal >= F.least(F.lit(LITERALS), F.col("width")))
-    cut = cut.withColumn("h", F.xxhash64("form"))
-    counts = cut.groupBy("item_id").agg(F.countDistinct("at").alias("n_windows"))
-    return cut.alias("c").join(counts.alias("k"), F.col("c.item_id").eqNullSafe(F.col("k.item_id"))).select("c.*", "k.n_windows")
+def with_windows(rows: DataFrame, width: int) -> DataFrame:
+    """Adds ``hs``: the hashes of the windows of the template ``f``, in order, by doubling: 1, 2, 4 ... words.
+
+    Every step is a column of its own, so Spark keeps it instead of computing it for each use.
+    """
+    def paired(left: str, gap: int) -> Column:
+        n = F.greatest(F.size(left) - gap, F.lit(0))
+        return F.zip_with(F.slice(left, F.lit(1), n), F.slice(left, F.lit(gap + 1), n), lambda x, y: F.xxhash64(x, y))
+
+    rows = rows.withColumn("h1", F.transform("f", lambda t: F.xxhash64(t)))
+    span, made = 1, ["h1"]
+    while 2 * span <= width:
+        rows = rows.withColumn(f"h{2 * span}", paired(f"h{span}", span))
+        span *= 2
+        made.append(f"h{span}")
+    rows = rows.withColumn("hs", F.col(f"h{span}") if span == width else paired(f"h{span}", width - span))
+    return rows.drop(*made)
+
+
+def index(items: DataFrame, item_id: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """(item_key, item_id, width, f, w, n_windows) of the items and (item_key, width, h, at) of their telling windows."""
+    known = items.select(F.col(item_id).alias("item_id"), plain(F.col(text)).alias("w")).filter("w <> ''")
+    known = known.withColumn("item_key", F.xxhash64("item_id", "w"))
+    known = known.select("item_key", "item_id", words(F.col("w")).alias("w"), words(template(F.col("w"))).alias("f"))
+    known = known.withColumn("width", F.least(F.size("w"), F.lit(WINDOW)))
+    said = F.transform("f", lambda t: (~t.isin(*SLOTS)).cast("int"))
+    literal = lambda at: F.aggregate(F.slice(said, at + 1, F.col("width")), F.lit(0), lambda a, x: a + x)
+    telling = F.filter(F.sequence(F.lit(0), F.size("w") - F.col("width")), lambda at: literal(at) >= F.least(F.lit(LITERALS), F.col("width")))
+    known = settled(known.withColumn("ats", telling).withColumn("n_windows", F.size("ats")).filter("n_windows > 0").dropDuplicates(["item_key"]))
+    return known, known.select("item_key", "width", "f", "ats")
 
 
 def matches(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text") -> DataFrame:
     """One row per document and item that it holds: windows met, where, slots, and whether values were replaced."""
-    known = settled(index(items, item_id, text))
-    widths = [r[0] for r in known.select("width").distinct().orderBy("width").collect()]  # WINDOW values at most
-    few = known.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS
+    known, cuts = index(items, item_id, text)
+    sizes = known.groupBy("width").agg(F.sum("n_windows").alias("n")).orderBy("width").collect()  # WINDOW rows at most
+    few = sum(r.n for r in sizes) <= BROADCAST_WINDOWS
     rows = docs.select(F.col(doc_id).alias("doc_id"), plain(F.col(text)).alias("w"))
-    rows = rows.withColumn("f", words(template(F.col("w"))))
-    parts = None
-    for width in widths:
-        mine = known.filter(F.col("width") == width).select("item_id", "h", "at", "form", F.col("words").alias("theirs"), "n_windows")
+    rows = rows.select("doc_id", "w", words(template(F.col("w"))).alias("f"), F.xxhash64("w").alias("row"))
+    parts = []
+    for width in (r.width for r in sizes):
+        mine = with_windows(cuts.filter(F.col("width") == width), width).select("item_key", F.explode("ats").alias("at"), "hs")
+        mine = mine.select("item_key", "at", F.get("hs", F.col("at")).alias("h"))
         # outer, as for the inner form Spark would add a filter that computes all windows once more
-        cut = rows.select("doc_id", "w", windows(F.col("f"), width).alias("hs"))
-        cut = cut.select("doc_id", "w", F.posexplode_outer("hs").alias("pos", "h"))
-        met = cut.join(F.broadcast(mine) if few else mine, "h")
-        here = lambda c: F.slice(words(c), F.col("pos") + 1, F.lit(width))
-        # the words themselves, not only their hash; as an equality Spark would make it a join key, computed for every window
-        met = met.filter(F.array_contains(F.array("form"), here(template(F.col("w")))))
-        pairs = F.arrays_zip(F.col("form").alias("kind"), F.col("theirs"), here(F.col("w")).alias("ours"))
-        slots = F.filter(pairs, lambda s: s["kind"].isin(*SLOTS))
-        met = met.select("doc_id", "item_id", "pos", "at", "n_windows", F.lit(width).alias("width"), slots.alias("slots"))
-        parts = met if parts is None else parts.unionByName(met)
-    if parts is None:
-        empty = docs.select(F.col(doc_id).alias("doc_id")).filter(F.lit(False))
-        return empty.crossJoin(items.select(F.col(item_id).alias("item_id")).limit(0)).select(
-            "doc_id", "item_id", *(F.lit(None).cast(t).alias(n) for n, t in RESULT)
-        )
-    found = parts.groupBy("doc_id", "item_id", (F.col("pos") - F.col("at")).alias("diagonal"), "n_windows", "width").agg(
-        F.countDistinct("at").alias("met"), F.min("pos").alias("first"), F.max("pos").alias("last"),
-        F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"),
+        cut = with_windows(rows, width).select("doc_id", "w", "row", F.posexplode_outer("hs").alias("pos", "h"))
+        parts.append(cut.join(F.broadcast(mine) if few else mine, "h").select("doc_id", "w", "row", "pos", "at", "item_key"))
+    if not parts:
+        return docs.sparkSession.createDataFrame([], f"doc_id {docs.schema[doc_id].dataType.simpleString()}, item_id {items.schema[item_id].dataType.simpleString()}, {RESULT}")
+    met = parts[0]
+    for part in parts[1:]:
+        met = met.unionByName(part)
+    # texts are cut into words again only here, once for each document, item and diagonal
+    found = met.groupBy("doc_id", "row", "item_key", (F.col("pos") - F.col("at")).alias("diagonal")).agg(F.collect_set("at").alias("ats"), F.first("w").alias("w"))
+    found = found.select("doc_id", "item_key", "diagonal", "ats", words(F.col("w")).alias("w"), words(template(F.col("w"))).alias("f"))
+    theirs = known.select("item_key", "item_id", "width", "n_windows", F.col("w").alias("iw"), F.col("f").alias("if"))
+    found = found.join(theirs, "item_key")
+    ours = lambda c, at: F.slice(c, F.col("diagonal") + at + 1, F.col("width"))
+    same = F.filter("ats", lambda at: ours("f", at) == F.slice("if", at + 1, F.col("width")))  # the words, not only their hash
+    found = found.withColumn("ats", same)
+    pairs = lambda at: F.arrays_zip(
+        F.slice("if", at + 1, F.col("width")).alias("kind"), F.slice("iw", at + 1, F.col("width")).alias("theirs"), ours("w", at).alias("ours")
     )
+    slots = F.array_distinct(F.flatten(F.transform("ats", lambda at: F.filter(pairs(at), lambda s: s["kind"].isin(*SLOTS)))))
+    found = found.withColumn("slots", slots)
     values = F.array_distinct(F.transform("slots", lambda s: F.struct(s["kind"], s["theirs"])))
-    found = found.filter((F.size(values) == F.size("slots")) & (F.col("met") >= F.least(F.lit(LEAST), F.col("n_windows"))))
+    found = found.filter((F.size(values) == F.size("slots")) & (F.size("ats") >= F.least(F.lit(LEAST), F.col("n_windows"))))
     changed = F.size(F.filter("slots", lambda s: s["theirs"] != s["ours"]))
-    found = found.withColumn("changed", changed)
-    best = F.struct(F.col("met"), (-F.col("changed")).alias("kept"), (-F.col("diagonal")).alias("early"), "first", "last", "width", F.size("slots").alias("n_slots"))
-    return found.groupBy("doc_id", "item_id", "n_windows").agg(F.max(best).alias("b")).select(
-        "doc_id", "item_id", F.col("b.met").alias("windows"), F.col("n_windows").cast("long").alias("item_windows"),
-        F.col("b.first").cast("long").alias("first_word"), (F.col("b.last") + F.col("b.width")).cast("long").alias("end_word"),
-        F.col("b.n_slots").cast("long").alias("slots"), (-F.col("b.kept")).cast("long").alias("replaced"),
+    best = F.struct(
+        F.size("ats").alias("windows"), (-changed).alias("kept"), (-F.col("diagonal")).alias("early"), F.size("slots").alias("slots"),
+        (F.col("diagonal") + F.array_min("ats")).alias("first"), (F.col("diagonal") + F.array_max("ats") + F.col("width")).alias("end"),
+    )
+    found = found.groupBy("doc_id", "item_id", "n_windows").agg(F.max(best).alias("b"))
+    long = lambda c: c.cast("long")
+    return found.select(
+        "doc_id", "item_id", long(F.col("b.windows")).alias("windows"), long(F.col("n_windows")).alias("item_windows"),
+        long(F.col("b.first")).alias("first_word"), long(F.col("b.end")).alias("end_word"), long(F.col("b.slots")).alias("slots"),
+        long(-F.col("b.kept")).alias("replaced"),
     )
 
 
-RESULT = (("windows", "long"), ("item_windows", "long"), ("first_word", "long"), ("end_word", "long"), ("slots", "long"), ("replaced", "long"))
+RESULT = "windows long, item_windows long, first_word long, end_word long, slots long, replaced long"
 
 
 def clean(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
