@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trailmark.llm import mixing, pii, quality
+from trailmark.llm import decontam, jaccard, mixing, pii, quality
 from trailmark.llm.common import shared_dir, table
 
 
@@ -15,6 +15,16 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return quality.keep(docs, quality.learn(docs, quality.training_labels(table(spark, sf_dir, "labels"))))
 
 
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies, the one with the smallest id."""
+    return jaccard.keep_one(docs)
+
+
+def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item, re-parameterised ones included."""
+    return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, personal data replaced by placeholders."""
     return pii.redact(docs)
@@ -27,6 +37,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("quality", drop_low_quality),
+    ("near_duplicates", drop_near_duplicates),
+    ("decontamination", drop_benchmark_leaks),
     ("pii", redact_personal_data),
     ("mixing", mix_sources),
 ]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailmark.llm import ann, decontam, jaccard, langid, mixing, pii, quality, warc
+from trailmark.llm import ann, decontam, jaccard, langid, licences, mixing, pii, quality, quotes, warc
 from trailmark.llm.common import fold, table
 
 
@@ -25,6 +25,14 @@ def op4_mixing(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(table(spark, d, "documents"))
 
 
+def op5_licences(spark: SparkSession, d: str) -> DataFrame:
+    return licences.scan(table(spark, d, "documents"))
+
+
+def op6_quotations(spark: SparkSession, d: str) -> DataFrame:
+    return quotes.conversations(table(spark, d, "conversations"))
+
+
 def op7_warc(spark: SparkSession, d: str) -> DataFrame:
     return warc.archive(table(spark, d, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
@@ -47,5 +55,5 @@ def op10_language(spark: SparkSession, d: str) -> DataFrame:
     return langid.predict(docs, model).select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_jaccard, op3_neighbours, op4_mixing, op7_warc, op8_quality, op9_decontamination, op10_language)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_jaccard, op3_neighbours, op4_mixing, op5_licences, op6_quotations, op7_warc, op8_quality, op9_decontamination, op10_language)}
 ORACLE_SQL: dict[str, str] = {}
