@@ -93,7 +93,7 @@ NAMES = {
     "novel_out_parties_180d": ("dir = 0 and other_name = 1 and novel = 1", "180d"),
 }
 PAGES = {"limit": "click", "assets": "view", "cert": "error", "promo": "signup"}
-BANDS = {"180d": (2, 179), "gap": (16, 179)}
+BANDS = {"180d": (2, 179), "gap": (16, 179), "pages": (2, 181)}
 RATIOS = {
     "person_in_share_15d": ("person_in_15d", "in_sum_15d"),
     "in_out_ratio_15d": ("in_sum_15d", "out_sum_15d"),
@@ -138,7 +138,7 @@ def rule_frame(spark, d):
     """The wide row: candidate attributes with all their history measures."""
     flow = settle(marked_flow(spark, d))
     cand = settle(chosen(flow))
-    flow = relevant_history(flow, cand, days=180)
+    flow = relevant_history(flow, cand, days=181)
 
     def measures(spec):
         return [Measure(n, k, w, F.expr(c), None if v is None else F.expr(v)) for n, (k, w, c, v) in spec.items()]
@@ -156,7 +156,7 @@ def rule_frame(spark, d):
         prof = {f"p_{n}_{w}": when(F.col("chan") == p, distinct) for n, p in PAGES.items()}
         parts.append(key_profile(cand, flow, ["chan", "party"], w, prof))
     prof = {f"p_{n}_180d": when(F.col("chan") == p, distinct) for n, p in PAGES.items()}
-    parts.append(key_profile_days(cand, flow, ["chan", "party"], BANDS["180d"], prof, ids=("txn_id",)))
+    parts.append(key_profile_days(cand, flow, ["chan", "party"], BANDS["pages"], prof, ids=("txn_id",)))
     snaps = account_days(cand)
     pairs = Q.equal_amount_runs(snaps, flow, 0, 14).selectExpr("acct", "date_add(snap_dt, 2) as dt", "pair_cnt as pairs_15d")
     wide = cand.join(pairs, ["acct", "dt"], "left")
@@ -183,7 +183,7 @@ def names_sql(day: bool) -> str:
             cols.append(f"count(distinct party) filter (where {inside} and {cond}) as {n}")
     for n, p in PAGES.items():
         for w in ("180d",) if day else ("2h", "3d", "14d"):
-            inside = f"off between {BANDS[w][0]} and {BANDS[w][1]}" if day else f"age <= {WINDOWS[w]}"
+            inside = "off between 2 and 181" if day else f"age <= {WINDOWS[w]}"
             cols.append(f"count(distinct party) filter (where {inside} and chan = '{p}') as p_{n}_{w}")
     return ", ".join(cols)
 
@@ -208,7 +208,7 @@ WIDE_SQL = (
     *MARKED,
     "sh as (select c.txn_id as cid, (c.t - f.t) / 1e6 as age, f.txn_id as h_id, f.* from cand c left join marked f on c.acct = f.acct and c.t - f.t > 0 and c.t - f.t <= 1296000000000)",
     f"sagg as (select cid, {agg_sql(SECONDS, 'age', None)}, {names_sql(False)} from sh group by 1)",
-    "dh as (select c.txn_id as cid, date_diff('day', f.dt, c.dt) as off, f.txn_id as h_id, f.* from cand c left join marked f on c.acct = f.acct and date_diff('day', f.dt, c.dt) between 2 and 179)",
+    "dh as (select c.txn_id as cid, date_diff('day', f.dt, c.dt) as off, f.txn_id as h_id, f.* from cand c left join marked f on c.acct = f.acct and date_diff('day', f.dt, c.dt) between 2 and 181)",
     f"dagg as (select cid, {agg_sql(DAYS, 'age', BANDS)}, {names_sql(True)} from dh group by 1)",
     SNAPS.replace("from flow", "from cand"),
     days_hist(0, 14).replace("from snaps s left join flow f", "from snaps s left join marked f"), RUNS, PAIRS,
@@ -259,7 +259,7 @@ def rules_sql() -> str:
         "r10": f"{low} and novel_out_share_180d > 0.7 and novel_out_names_180d > 20 and withdraw_amt_15d > 0 and offsite = 1 and {before} < 1500",
         "r11": f"{low} and offsite = 1 and p_limit_180d > 0 and probes_3d > 0 and days_gap = 0",
         "r12": f"{chain} and off_names_2h > 0 and to_credit = 1 and refunds_180d > 0",
-        "r13": "reversed = 0 and cash = 1 and dir = 0 and amt >= 1000 and in_near_bank = 0 and prev_amt >= 10000 and prev_dir = 1 and min_before_2h < 300 and interbank_2h > 0 and rows_15d < 5 and days_180d < 5 and p_assets_180d > 0",
+        "r13": "reversed = 0 and cash = 1 and dir = 0 and amt >= 1000 and coalesce(in_near_bank, 0) = 0 and prev_amt >= 10000 and prev_dir = 1 and min_before_2h < 300 and interbank_2h > 0 and rows_15d < 5 and days_180d < 5 and p_assets_180d > 0",
         "r14": f"{low} and near_bank = 0 and card = 1 and p_assets_180d > 30 and dawn_share_180d > 0.2 and late_withdraw_180d >= 12 and novel_out_share_180d > 0.8",
         "r15": f"{shop} and novel_in_names_180d = 0 and p_limit_180d + p_limit_14d > 0",
         "r16": f"{shop} and shop_out_share_180d > 0.5 and shop_in_share_180d < 0.33 and p_assets_14d > 0",

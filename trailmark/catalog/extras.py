@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import functions as F
 
@@ -12,6 +11,7 @@ from trailmark.functions import scalars as S
 from trailmark.operators import encodings as E
 from trailmark.operators import ranking as R
 from trailmark.plans.lookback import Measure, look_back
+from trailmark.plans.lineage import shared_folder
 from trailmark.plans.profile import distinct, key_profile, rows, xlogx
 from trailmark.plans.quantiles import window_quantile
 from trailmark.schema import event_flow, read
@@ -21,11 +21,8 @@ H14 = (FLOW, ANCHORS, hist("14d"))
 
 
 def scratch(spark, name: str) -> str:
-    """A fresh folder for written tables: the cluster's shared folder, or a local one where none is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return f"{root.rstrip('/')}/trailmark-{name}-{os.urandom(6).hex()}"
-    return os.path.join(tempfile.mkdtemp(prefix="trailmark-"), name)
+    """A fresh folder for written tables in the folder that the cluster shares."""
+    return f"{shared_folder(spark)}/{name}-{os.urandom(6).hex()}"
 
 
 PER_ACCT = sql(FLOW, "select acct, chan, count(*) as n, round(sum(amt), 2) as total from flow group by 1, 2")

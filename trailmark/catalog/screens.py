@@ -186,8 +186,7 @@ def _(spark, d):
 def _(spark, d):
     flow, _ = labelled(spark, d)
     missed = R.top_n(V.missed_positives(R.score_rank(scored_frame(spark, d)), 100), 10, -F.col("rank"))
-    got = V.history_summary(missed, flow, "150d")
-    return got.withColumnsRenamed({f"{n}_150d": n for n in ("total", "out_cnt", "in_cnt", "total_amt", "out_amt", "small_out", "night")})
+    return V.history_summary(missed, flow)
 
 
 @query("missed_histories", "anchor_id:i recency:i txn_id:i dir:i amt:d chan:s",
@@ -197,8 +196,7 @@ def _(spark, d):
 def _(spark, d):
     flow, _ = labelled(spark, d)
     missed = R.top_n(V.missed_positives(R.score_rank(scored_frame(spark, d)), 100), 10, -F.col("rank"))
-    # The whole history is wanted: a limit above any account's length.
-    return R.last_n_before(missed, flow, 1_000_000_000)
+    return R.last_n_before(missed, flow, None)
 
 
 @query("feature_gate", "n_new:i passed:i",

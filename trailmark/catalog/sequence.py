@@ -175,13 +175,10 @@ def _(spark, d):
            "r as (select *, row_number() over (partition by txn_id order by n desc, chan) as rn from k)",
            "select a.txn_id, r.chan, coalesce(r.n, 0) as n from anchors a left join r on a.txn_id = r.txn_id and rn = 1"))
 def _(spark, d):
-    from trailmark.operators.ranking import enumerate_values
+    from trailmark.operators.ranking import top_value
 
     flow, anchors = events(spark, d)
-    values = sorted(enumerate_values(flow, "chan"))
-    got = look_back(anchors, flow, [Measure(f"c{i}", "count", ["14d"], F.col("chan") == v) for i, v in enumerate(values)])
-    best = F.greatest(*[F.struct(F.col(f"c{i}_14d").alias("n"), F.lit(-i).alias("o"), F.lit(v).alias("v")) for i, v in enumerate(values)])
-    return got.select("txn_id", F.when(best["n"] > 0, best["v"]).alias("chan"), best["n"].alias("n"))
+    return top_value(anchors, flow, "chan", "14d")
 
 
 @query("with_total", "l_orderkey:i l_linenumber:i l_partkey:i total:i",

@@ -11,11 +11,11 @@ from trailmark.functions.scalars import safe_ratio, sample_std
 
 
 def freq_encode(df: DataFrame, col: str) -> DataFrame:
-    """Global share of the row's category."""
+    """Global share of the row's category; NULL is a category."""
     counts = df.groupBy(col).agg(F.count(F.lit(1)).alias("__n"))
     total = df.agg(F.count(F.lit(1))).scalar()
-    shares = counts.select(col, (F.col("__n").cast("double") / total).alias(f"{col}_freq"))
-    return df.join(shares, col, "left")
+    shares = counts.select(F.col(col).alias("__c"), (F.col("__n").cast("double") / total).alias(f"{col}_freq"))
+    return df.join(shares, F.col(col).eqNullSafe(F.col("__c")), "left").drop("__c")
 
 
 def target_encode(

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trailmark.functions.scalars import is_night
-from trailmark.plans.lookback import Measure, look_back
+from trailmark.plans.blocked import HOT_ROWS, hot_accounts, sum_before
 
 # K from 10 to 1000 in steps of 10.
 TOPK = (10, 1000, 10)
@@ -66,23 +66,16 @@ def feature_gaps(ranked: DataFrame, feats: Sequence[str], k: int, top: int = 15,
     return out.withColumn("gap", gap).orderBy(F.abs("gap").desc_nulls_last(), "feature").limit(top)
 
 
-def history_summary(missed: DataFrame, flow: DataFrame, window: str = "150d") -> DataFrame:
-    """Per missed anchor: rows, in and out counts and amounts, small outflows and night rows before it."""
-    out, inn = F.col("dir") == 0, F.col("dir") == 1
-    amt = F.col("amt")
-    w = [window]
-    got = look_back(
-        missed,
-        flow,
-        [
-            Measure("total", "count", w),
-            Measure("out_cnt", "count", w, out),
-            Measure("in_cnt", "count", w, inn),
-            Measure("total_amt", "sum", w, None, amt),
-            Measure("out_amt", "sum", w, out, amt),
-            Measure("small_out", "count", w, out & (amt <= 100)),
-            Measure("night", "count", w, is_night("hh")),
-        ],
-        inclusive=True,
+def history_summary(missed: DataFrame, flow: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Per missed anchor, over the whole history up to it: rows, in and out counts and amounts, small outflows, night rows."""
+    out, amt = F.col("dir") == 0, F.coalesce("amt", F.lit(0.0))
+    parts = {
+        "total": F.lit(True), "out_cnt": out, "in_cnt": F.col("dir") == 1, "small_out": out & (F.col("amt") <= 100), "night": is_night("hh"),
+    }
+    steps = flow.select(
+        "acct", F.col("t").alias("e"), *[F.coalesce(c, F.lit(False)).cast("long").alias(n) for n, c in parts.items()],
+        amt.alias("total_amt"), F.when(out, amt).otherwise(0.0).alias("out_amt"),
     )
-    return got
+    probes = missed.select("txn_id", "acct", (F.col("t") + 1).alias("e"))
+    names = [*parts, "total_amt", "out_amt"]
+    return sum_before(probes, steps, "e", names, hot_accounts(flow, "t", hot_rows)).select("txn_id", *names)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trailmark.plans.blocked import HOT_ROWS, hot_accounts, running_sum, sum_before
+from trailmark.plans.lookback import Measure, look_back
 from trailmark.schema import SECOND
 
 
@@ -21,62 +22,78 @@ def top_n(df: DataFrame, n: int, by: str | Column, *ties: str) -> DataFrame:
     return rank_desc(df, by, *ties).limit(n)
 
 
-def last_n_before(anchors: DataFrame, flow: DataFrame, n: int = 50, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """The latest ``n`` rows of the account at or before each anchor, newest first, for all anchors at once.
+#: Rows of a block in which a whole history is joined.
+HISTORY_BLOCK = 10_000
+
+
+def last_n_before(anchors: DataFrame, flow: DataFrame, n: int | None = 50, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """The latest ``n`` rows (None: all) of the account at or before each anchor, newest first, for all anchors at once.
 
     Rows are numbered per account, so the anchor's own position gives the range of numbers to fetch and
-    the join is on (account, number block of size n): at most n rows per anchor are ever paired.
+    the join is on (account, number block of size n): at most n rows per anchor are ever paired. A whole
+    history is fetched in blocks, so an account of any length is many join keys.
     """
     hot = hot_accounts(flow, "t", hot_rows)
     side = flow.select("acct", "t", "txn_id", "dir", "amt", "chan")
     numbered = running_sum(side, ["acct"], ["t", "txn_id"], {"pos": F.lit(1).cast("long")}, hot)
     probes = anchors.select(F.col("txn_id").alias("anchor_id"), "acct", (F.col("t") + 1).alias("e"))
     one = flow.select("acct", F.col("t").alias("e"), F.lit(1).cast("long").alias("pos"))
-    own = sum_before(probes, one, "e", ["pos"], hot)
-    block = f"({{}} - pmod({{}}, {n}L)) div {n}L"
-    wanted = own.withColumn("blk", F.expr(block.format("pos", "pos"))).select(
-        "anchor_id", "acct", F.col("pos").alias("last_pos"), F.explode(F.array("blk", F.col("blk") - 1)).alias("blk")
+    own = sum_before(probes, one, "e", ["pos"], hot).filter("pos > 0")
+    size = n or HISTORY_BLOCK
+    block = F.expr(f"(pos - pmod(pos, {size}L)) div {size}L")
+    first = F.lit(0).cast("long") if n is None else F.greatest(F.col("blk") - 1, F.lit(0).cast("long"))
+    wanted = own.withColumn("blk", block).select(
+        "anchor_id", "acct", F.col("pos").alias("last_pos"), F.explode(F.sequence(first, "blk")).alias("blk")
     )
-    rows = numbered.withColumn("blk", F.expr(block.format("pos", "pos")))
+    rows = numbered.withColumn("blk", block)
     rank = F.col("last_pos") - F.col("pos") + 1
-    return (
-        wanted.join(rows, ["acct", "blk"])
-        .withColumn("recency", rank)
-        .filter(F.col("recency").between(1, n))
-        .select("anchor_id", "acct", "recency", "txn_id", "t", "dir", "amt", "chan")
-    )
+    wide = wanted.join(rows, ["acct", "blk"]).withColumn("recency", rank).filter("recency >= 1")
+    if n is not None:
+        wide = wide.filter(F.col("recency") <= n)
+    return wide.select("anchor_id", "acct", "recency", "txn_id", "t", "dir", "amt", "chan")
 
 
 def _digest(id_col: str) -> Column:
     return F.md5(F.col(id_col).cast("string"))
 
 
-def score_rank(scored: DataFrame, score: str = "score", id_col: str = "txn_id", buckets: int = 64) -> DataFrame:
-    """Exact rank by score descending, ties by the digest of the id.
+def _rejoin(rows: DataFrame, offsets: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Add the offsets of each unit; a NULL key is a unit like any other."""
+    right = offsets.withColumnsRenamed({k: f"__o{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"__o{k}")) for k in keys]
+    return rows.join(right, same).drop(*[f"__o{k}" for k in keys])
+
+
+def score_rank(scored: DataFrame, score: str = "score", id_col: str = "txn_id", buckets: int | None = None) -> DataFrame:
+    """Exact rank by score descending, ties by the digest of the id; NULL and NaN scores come last.
 
     Rows are bucketed at score quantiles and, within one score, by digest prefix. Only the counts of
     those units are ordered globally; each unit is numbered on its own, so no task sees all rows and a
-    score shared by a third of them is still spread over 4096 units.
+    score shared by a third of them is still spread over 4096 units. There are as many buckets as shuffle
+    partitions, 64 at least.
     """
-    cuts = scored.approxQuantile(score, [i / buckets for i in range(1, buckets)], 1 / (4 * buckets))
+    buckets = buckets or max(64, int(scored.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    value = F.col(score).cast("double")
+    rows = scored.withColumns({"__s": F.when(~F.isnan(value), value), "__h": _digest(id_col)})
+    cuts = rows.approxQuantile("__s", [i / buckets for i in range(1, buckets)], 1 / (4 * buckets))
     cuts = sorted({c for c in cuts if c is not None})
-    bucket = F.expr(" + ".join(f"cast(`{score}` < {c!r}D as int)" for c in cuts) or "0")
-    rows = scored.withColumns({"__h": _digest(id_col), "__b": bucket}).withColumn("__u", F.substring("__h", 1, 3))
-    units = rows.groupBy("__b", score, "__u").agg(F.count(F.lit(1)).alias("n"))
+    bucket = F.expr(" + ".join(f"cast(__s < {c!r}D as int)" for c in cuts) or "0")
+    rows = rows.withColumns({"__b": F.coalesce(bucket, F.lit(len(cuts) + 1)), "__u": F.substring("__h", 1, 3)})
+    units = rows.groupBy("__b", "__s", "__u").agg(F.count(F.lit(1)).alias("n"))
     heads = units.groupBy("__b").agg(F.sum("n").alias("bn"))
     whole = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     heads = heads.select("__b", F.coalesce(F.sum("bn").over(whole), F.lit(0)).alias("b_off"))
-    inner = Window.partitionBy("__b").orderBy(F.desc(score), "__u").rowsBetween(Window.unboundedPreceding, -1)
+    inner = Window.partitionBy("__b").orderBy(F.desc("__s"), "__u").rowsBetween(Window.unboundedPreceding, -1)
     offsets = units.withColumn("u_off", F.coalesce(F.sum("n").over(inner), F.lit(0))).join(F.broadcast(heads), "__b")
-    own = Window.partitionBy("__b", score, "__u").orderBy("__h", id_col)
-    out = rows.withColumn("__rn", F.row_number().over(own)).join(offsets.drop("n"), ["__b", score, "__u"])
+    own = Window.partitionBy("__b", "__s", "__u").orderBy("__h", id_col)
+    out = _rejoin(rows.withColumn("__rn", F.row_number().over(own)), offsets.drop("n"), ["__b", "__s", "__u"])
     return out.withColumn("rank", F.col("b_off") + F.col("u_off") + F.col("__rn")).select(*scored.columns, "rank")
 
 
 def stratified_folds(df: DataFrame, label: str = "label", k: int = 5, id_col: str = "txn_id") -> DataFrame:
-    """Fold = (number of the row within its label, in digest order) mod k.
+    """Fold = (number of the row within its label, in digest order) mod k; rows without a label are a class of their own.
 
-    Numbers come from digest-prefix units, so neither class is ordered in one task.
+    Numbers come from digest-prefix units, so no class is ordered in one task.
     """
     rows = df.withColumn("__h", _digest(id_col)).withColumn("__u", F.substring("__h", 1, 3))
     before = Window.partitionBy(label).orderBy("__u").rowsBetween(Window.unboundedPreceding, -1)
@@ -86,7 +103,7 @@ def stratified_folds(df: DataFrame, label: str = "label", k: int = 5, id_col: st
         .select(label, "__u", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("off"))
     )
     own = Window.partitionBy(label, "__u").orderBy("__h", id_col)
-    numbered = rows.withColumn("__rn", F.row_number().over(own)).join(F.broadcast(offsets), [label, "__u"])
+    numbered = _rejoin(rows.withColumn("__rn", F.row_number().over(own)), F.broadcast(offsets), [label, "__u"])
     fold = F.pmod(F.col("off") + F.col("__rn") - 1, F.lit(k)).cast("int")
     return numbered.withColumn("fold", fold).select(*df.columns, "fold")
 
@@ -117,6 +134,23 @@ def enumerate_values(flow: DataFrame, col: str, top: int = 50) -> list[str]:
     return [r[0] for r in counts.orderBy(F.desc("count"), col).limit(top).collect()]
 
 
+def top_value(anchors: DataFrame, flow: DataFrame, col: str, window: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Per anchor the most frequent value of the window (smallest of equals; NULL if empty) and its count.
+
+    Counts are looked back per (account, value), for the values that the account has at all: rows are never
+    paired with anchors, and no list of values is needed.
+    """
+    rows = flow.filter(F.col(col).isNotNull()).select("acct", F.col(col).alias("v"), "t")
+    probes = anchors.select("txn_id", "acct", "t").join(rows.select("acct", "v").distinct(), "acct")
+    keyed = F.struct("acct", "v").alias("acct")
+    asked = probes.select(F.struct("txn_id", "v").alias("txn_id"), keyed, "t")
+    counts = look_back(asked, rows.select(keyed, "t"), [Measure("n", "count", [window])], hot_rows=hot_rows)
+    best = counts.withColumn("n", F.col(f"n_{window}")).filter("n > 0").groupBy(F.col("txn_id.txn_id").alias("txn_id"))
+    top = best.agg(F.min(F.struct((-F.col("n")).alias("n"), F.col("txn_id.v").alias("v"))).alias("b"))
+    top = top.select("txn_id", F.col("b.v").alias(col), (-F.col("b.n")).alias("n"))
+    return anchors.select("txn_id").join(top, "txn_id", "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
+
+
 Block = Callable[..., DataFrame]
 _BLOCKS: dict[str, Block] = {}
 

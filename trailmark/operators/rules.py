@@ -81,7 +81,7 @@ def bank_rules() -> dict[str, Column]:
         & (c("withdraw_amt_15d") > 0) & off & (before < 1_500),
         "r11": low & off & (limit_180 > 0) & (c("probes_3d") > 0) & (c("days_gap") == 0),
         "r12": off_chain & (c("to_credit") == 1) & (c("refunds_180d") > 0),
-        "r13": live & (c("cash") == 1) & outflow & (c("amt") >= 1_000) & (c("in_near_bank") == 0)
+        "r13": live & (c("cash") == 1) & outflow & (c("amt") >= 1_000) & (nz("in_near_bank") == 0)
         & (c("prev_amt") >= 10_000) & (c("prev_dir") == 1) & (c("min_before_2h") < 300)
         & (c("interbank_2h") > 0) & (c("rows_15d") < 5) & (c("days_180d") < 5) & (assets_180 > 0),
         "r14": low & not_home_bank & (c("card") == 1) & (assets_180 > 30) & (c("dawn_share_180d") > 0.2)

@@ -43,7 +43,8 @@ def gap_stats(
     ``rapid_cnt`` counts rows at most ``rapid_sec`` after the one before.
 
     A gap counts for anchors after its later row and as long as its earlier row is still inside the
-    window, so each gap is one entry and one exit on the account's time line.
+    window, so each gap is one entry and one exit on the account's time line. Sums are exact integers (microseconds
+    and their squares), so what has left the window leaves no trace in the deviation.
     """
     w = WINDOWS[window] * SECOND
     rows = flow.filter(where).select("acct", "txn_id", "t")
@@ -51,7 +52,7 @@ def gap_stats(
     gaps = (
         neighbours(rows, ["acct"], list(ORDER), hot, lags={"pt": "t"})
         .filter(F.col("pt").isNotNull())
-        .withColumn("gap", (F.col("t") - F.col("pt")) / F.lit(float(SECOND)))
+        .withColumn("gap", F.col("t") - F.col("pt"))
         .filter(F.col("t") <= F.col("pt") + w)
     )
     g = F.when(F.col("gap") > 0, F.col("gap"))
@@ -62,20 +63,22 @@ def gap_stats(
             F.struct((F.col("pt") + w).alias("e"), F.lit(-1).alias("d")),
         )).alias("x"),
         g.alias("g"),
-        flag(F.col("gap") <= rapid_sec).alias("r"),
+        flag(F.col("gap") <= rapid_sec * SECOND).alias("r"),
     )
     d = F.col("x.d")
     deltas = steps.select(
         "acct",
         F.col("x.e").alias("e"),
         (d * flag(F.col("g").isNotNull())).cast("long").alias("gap_n"),
-        F.coalesce(d * F.col("g"), F.lit(0.0)).alias("gap_sum"),
-        F.coalesce(d * F.col("g") * F.col("g"), F.lit(0.0)).alias("gap_ss"),
+        F.coalesce(d * F.col("g"), F.lit(0)).cast("long").alias("gap_sum"),
+        F.expr("cast(coalesce(x.d * (cast(g as decimal(19,0)) * cast(g as decimal(19,0))), 0) as decimal(38,0))").alias("gap_ss"),
         (d * F.col("r")).cast("long").alias("rapid_cnt"),
     )
     names = ["gap_n", "gap_sum", "gap_ss", "rapid_cnt"]
     probes = anchors.select("txn_id", "acct", F.col("t").alias("e"))
-    out = sum_before(probes, deltas, "e", names, hot)
+    out = sum_before(probes, deltas, "e", names, hot).withColumns({
+        "gap_sum": F.col("gap_sum") / F.lit(float(SECOND)), "gap_ss": F.col("gap_ss").cast("double") / F.lit(float(SECOND) ** 2),
+    })
     mean = positive_ratio("gap_sum", "gap_n")
     std = sample_std(F.col("gap_n"), F.col("gap_sum"), F.col("gap_ss"))
     return out.select(
@@ -141,14 +144,14 @@ def gap_median(
     pair_factor: float = PAIR_FACTOR,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """Median positive gap inside the window. Joins the rows only while that builds few pairs."""
+    """Median positive gap inside the window, exact. Joins the rows only while that builds few pairs."""
     tagged = flow.filter(where).select("acct", "t", "txn_id")
     mine = anchors.select("txn_id", "acct", "t")
     if pair_ratio(mine, tagged) <= pair_factor:
         rows = pit_join(mine, tagged, WINDOWS[window], how="inner", history=["t", "txn_id"])
         per = Window.partitionBy("txn_id").orderBy("h_t", "h_txn_id")
         gaps = rows.withColumn("gap", F.col("h_t") - F.lag("h_t").over(per))
-        stats = gaps.filter("gap > 0").groupBy("txn_id").agg(F.percentile_approx("gap", 0.5).alias("q"))
+        stats = gaps.filter("gap > 0").groupBy("txn_id").agg(F.expr("percentile_disc(0.5) within group (order by gap)").alias("q"))
     else:
         hot = hot_accounts(tagged, "t", hot_rows)
         pairs = neighbours(tagged, ["acct"], list(ORDER), hot, {"pt": "t"}).filter("t > pt")

@@ -19,20 +19,18 @@ from pyspark.sql import functions as F
 
 #: Rows of one account above which its time line is cut.
 HOT_ROWS = 2_000_000
-#: Longest cut list: bounds the broadcast. Accounts beyond it stay whole.
-HOT_CAP = 100_000
 
 _CUT, _LO, _WIDE = "__cut", "__lo", "__wide"
 
 
 def hot_accounts(flow: DataFrame, time: str = "t", hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Accounts to cut: start of their time line and width of one stretch (at most HOT_CAP rows)."""
+    """Accounts to cut: start of their time line and width of one stretch .
+
+    The list has at most rows / hot_rows entries, so it is small enough to broadcast at any size."""
     return (
         flow.groupBy("acct")
         .agg(F.count(F.lit(1)).alias("n"), F.min(time).alias(_LO), F.max(time).alias("hi"))
         .filter(F.col("n") > hot_rows)
-        .orderBy(F.desc("n"), "acct")
-        .limit(HOT_CAP)
         .select("acct", _LO, F.expr(f"(hi - {_LO}) div (n div {hot_rows}L + 1) + 1").alias(_WIDE))
     )
 

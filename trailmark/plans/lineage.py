@@ -2,20 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
+from pyspark.sql import DataFrame, SparkSession
 
-from pyspark.sql import DataFrame
+
+def shared_folder(spark: SparkSession) -> str:
+    """A folder that driver and executors share: ``spark.checkpoint.dir``, or one in the warehouse where that is unset."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    return root.rstrip("/") if root else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_trailmark"
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Store ``df`` once and return the stored copy.
+    """Store ``df`` once and return the stored copy: a reliable checkpoint, which survives lost executors.
 
-    A reliable checkpoint in the shared folder of the cluster (``spark.checkpoint.dir``), which survives
-    lost executors. Only where no folder is configured, as in tests, a local one is set.
+    Set ``spark.cleaner.referenceTracking.cleanCheckpoints`` to have Spark remove it when the frame is gone.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="trailmark-checkpoint-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()

@@ -5,23 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Most anchor accounts that are broadcast as a filter (about 16 MB of ids).
-PRUNE_CAP = 1_000_000
 
+def relevant_history(flow: DataFrame, anchors: DataFrame, days: int) -> DataFrame:
+    """Flow rows of the last ``days`` days before any anchor, of anchor accounts.
 
-def relevant_history(flow: DataFrame, anchors: DataFrame, days: int, cap: int = PRUNE_CAP) -> DataFrame:
-    """Flow rows of the last ``days`` days before any anchor and, if few enough, of anchor accounts only.
-
-    Two small facts about the anchors are fetched first: their day range, which becomes a literal filter
-    on ``dt`` (pushed to the scan, partition pruning if stored by day), and whether their distinct
-    accounts number at most ``cap``. Only then is the account list broadcast; otherwise the day filter
-    alone applies, since shuffling the whole flow to filter it would cost more than it saves.
+    One small fact about the anchors is fetched first: their day range, which becomes a literal filter on ``dt``
+    (pushed to the scan, partition pruning if stored by day). The accounts are a plain semi join, so Spark
+    chooses by their size whether to broadcast them.
     """
-    accounts = anchors.select("acct").distinct()
     first, last = anchors.agg(F.min("dt"), F.max("dt")).first()
     if first is None:
         return flow.limit(0)
     near = flow.filter(F.col("dt").between(F.date_sub(F.lit(first), days), F.lit(last)))
-    if accounts.limit(cap + 1).count() > cap:
-        return near
-    return near.join(F.broadcast(accounts), "acct", "left_semi")
+    return near.join(anchors.select("acct").distinct(), "acct", "left_semi")

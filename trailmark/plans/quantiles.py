@@ -1,18 +1,20 @@
 """Ranks and percentiles of a value inside trailing windows.
 
+Both are exact at every size, whatever the values: NULL rows are left out, equal values are equal, nothing is rounded.
 With few rows per account the rows of each window are simply joined. Where that would build too many
-pairs - the bound, anchors times rows summed over accounts, is computed first - the values are written
-as integers (multiples of ``unit``) and handled digit by digit: the rows below a value split by the first
-digit in which they differ, so a rank is a sum of windowed counts over (account, value prefix), and a
+pairs - the bound, anchors times rows summed over accounts, is computed first - the values are replaced by their
+positions among all distinct values and handled digit by digit: the rows below a value split by the first
+digit in which they differ, so a rank is a sum of windowed counts over (account, position prefix), and a
 percentile is found by choosing one hexadecimal digit per round from windowed counts. Cost is
-rows x digits, and a hot account is spread over its value prefixes as well as its time blocks.
+rows x digits, and a hot account is spread over its prefixes as well as its time blocks. The two plans give
+the same rows; tests hold them against each other and the definition.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trailmark.plans.blocked import hot_accounts, sum_before
@@ -32,21 +34,25 @@ def pair_ratio(anchors: DataFrame, flow: DataFrame) -> float:
     return pairs / max(n_a + n_r, 1.0)
 
 
-def _code(value: str, unit: float, low: int = 0) -> str:
-    return f"cast(round({value} / {unit}) as bigint) - {low}L"
+def positions(frames: Sequence[DataFrame], value: str) -> tuple[DataFrame, int]:
+    """(value, v): the position of every distinct non-NULL value in order, and how many bits hold all positions.
 
-
-def _range(frames: Sequence[tuple[DataFrame, str]], unit: float) -> tuple[int, int]:
-    """Smallest code and number of bits that hold all codes."""
-    lows, highs = [], []
-    for df, value in frames:
-        lo, hi = df.agg(F.expr(f"min({_code(value, unit)})"), F.expr(f"max({_code(value, unit)})")).first()
-        if lo is not None:
-            lows.append(lo)
-            highs.append(hi)
-    if not lows:
-        return 0, 1
-    return min(lows), max(1, (max(highs) - min(lows)).bit_length())
+    Values are dealt out by range and numbered range by range; only one count for each range is fetched.
+    """
+    values = frames[0].select(value)
+    for df in frames[1:]:
+        values = values.unionByName(df.select(value))
+    values = values.filter(F.col(value).isNotNull()).distinct()
+    ranged = settle(values.repartitionByRange(value).withColumn("__p", F.spark_partition_id()))
+    sizes = ranged.groupBy("__p").count().orderBy("__p").collect()
+    offsets, total = [], 0
+    for p, n in sizes:
+        offsets.append((p, total))
+        total += n
+    starts = values.sparkSession.createDataFrame(offsets or [(0, 0)], "__p int, __o long")
+    own = F.row_number().over(Window.partitionBy("__p").orderBy(value))
+    codes = ranged.join(F.broadcast(starts), "__p").select(value, (F.col("__o") + own - 1).alias("v"))
+    return settle(codes), max(1, max(total - 1, 0).bit_length())
 
 
 def window_rank(
@@ -55,38 +61,41 @@ def window_rank(
     window: str,
     where: Column | str,
     value: str = "amt",
-    unit: float = 0.01,
     pair_factor: float = PAIR_FACTOR,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """Per anchor: rows of the window (``n``), those not above the anchor's value (``n_le``), their share."""
+    """Per anchor: rows of the window (``n``), those not above the anchor's value (``n_le``), their share.
+
+    Rows without a value do not count; nothing is at or below an anchor without one.
+    """
     from trailmark.operators.joins import pit_join
     from trailmark.schema import WINDOWS
 
-    src = flow.filter(where)
+    src = flow.filter(where).filter(F.col(value).isNotNull()).select("acct", "t", value)
     mine = anchors.select("txn_id", "acct", "t", value)
     if pair_ratio(mine, src) <= pair_factor:
         pairs = pit_join(mine, src, WINDOWS[window], history=["t", value])
         out = pairs.groupBy("txn_id").agg(
             F.count(f"h_{value}").alias("n"), F.count_if(F.col(f"h_{value}") <= F.col(value)).alias("n_le"))
     else:
-        low, bits = _range([(mine, value), (src, value)], unit)
+        codes, bits = positions([mine, src], value)
         nodes = [
             f"struct({i} as l, shiftright(v, {bits - i}) as p, shiftright(v, {bits - 1 - i}) & 1 as bit)" for i in range(bits)
         ]
         nodes.append(f"struct({bits} as l, v as p, 2L as bit)")
 
         def spread(df: DataFrame, bit: int) -> DataFrame:
-            coded = df.selectExpr("*", f"{_code(value, unit, low)} as v").selectExpr("*", f"explode(array({', '.join(nodes)})) as x")
+            coded = df.join(codes, value).selectExpr("*", f"explode(array({', '.join(nodes)})) as x")
             return coded.filter(f"x.bit in ({bit}, 2)").withColumn("acct", F.struct("acct", "x.l", "x.p"))
 
         # Rows sit below their first differing digit: 0 where the anchor has 1; or they are equal.
-        rows = spread(src.select("acct", "t", value), 0).select("acct", "t")
+        rows = spread(src, 0).select("acct", "t")
         probes = spread(mine, 1).select(F.struct("txn_id", "x.l").alias("txn_id"), "acct", "t")
         counts = look_back(probes, rows, [Measure("c", "count", [window])], hot_rows=hot_rows)
         below = counts.groupBy(F.col("txn_id.txn_id").alias("txn_id")).agg(F.sum(f"c_{window}").alias("n_le"))
         total = look_back(mine, src, [Measure("rows", "count", [window])], hot_rows=hot_rows)
-        out = total.select("txn_id", F.col(f"rows_{window}").alias("n")).join(below, "txn_id")
+        out = total.select("txn_id", F.col(f"rows_{window}").alias("n")).join(below, "txn_id", "left")
+        out = out.withColumn("n_le", F.coalesce("n_le", F.lit(0).cast("long")))
     return out.withColumn("share", F.expr("n_le / nullif(cast(n as double), 0)"))
 
 
@@ -97,25 +106,26 @@ def window_quantile(
     probs: Sequence[float],
     where: Column | str,
     value: str = "amt",
-    unit: float = 0.01,
     pair_factor: float = PAIR_FACTOR,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """Per anchor the discrete percentiles of the window as columns ``q0``, ``q1``, ... (NULL if empty)."""
+    """Per anchor the discrete percentiles of the window's values as columns ``q0``, ``q1``, ... (NULL if it has none).
+
+    The percentile is the smallest value that at least the share ``p`` of the values does not exceed.
+    """
     from trailmark.operators.joins import pit_join
     from trailmark.schema import WINDOWS
 
-    src = flow.filter(where)
+    src = flow.filter(where).filter(F.col(value).isNotNull()).select("acct", "t", value)
     mine = anchors.select("txn_id", "acct", "t")
     if pair_ratio(mine, src) <= pair_factor:
         pairs = pit_join(mine, src, WINDOWS[window], history=["t", value])
-        q = F.percentile_approx(f"h_{value}", F.array(*[F.lit(float(p)) for p in probs]))
-        return pairs.groupBy("txn_id").agg(q.alias("q")).select(
-            "txn_id", *[F.col("q")[i].alias(f"q{i}") for i in range(len(probs))])
+        exact = [F.expr(f"percentile_disc({float(p)}) within group (order by h_{value})").alias(f"q{i}") for i, p in enumerate(probs)]
+        return pairs.groupBy("txn_id").agg(*exact)
 
-    low, bits = _range([(src, value)], unit)
+    codes, bits = positions([src], value)
     rounds = (bits + 3) // 4
-    coded = src.selectExpr("acct", "t", f"{_code(value, unit, low)} as v")
+    coded = src.join(codes, value).select("acct", "t", "v")
     total = look_back(mine, src, [Measure("rows", "count", [window])], hot_rows=hot_rows)
     ranks = ", ".join(f"struct({i} as i, n - floor(n - {float(p)}D * n) as k)" for i, p in enumerate(probs))
     state = settle(
@@ -134,8 +144,8 @@ def window_quantile(
         cases = " ".join(f"when {s} >= k then {d}" for d, s in enumerate(sums))
         joined = state.join(counts, "txn_id").selectExpr("*", f"case {cases} end as digit", f"array(0L, {', '.join(sums)}) as run")
         state = settle(joined.selectExpr("txn_id", "acct", "t", "k - run[digit] as k", "p * 16 + digit as p"))
-    found = state.selectExpr("txn_id.txn_id as txn_id", "txn_id.i as i", f"round((p + {low}L) * {unit}D, 9) as q")
-    picked = found.groupBy("txn_id").agg(*[F.max(F.when(F.col("i") == i, F.col("q"))).alias(f"q{i}") for i in range(len(probs))])
+    found = state.selectExpr("txn_id.txn_id as txn_id", "txn_id.i as i", "p as v").join(codes, "v")
+    picked = found.groupBy("txn_id").agg(*[F.max(F.when(F.col("i") == i, F.col(value))).alias(f"q{i}") for i in range(len(probs))])
     return anchors.select("txn_id").join(picked, "txn_id", "left")
 
 
