@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trailmark.plans.lineage import shared_folder
+
 #: A word is a run of characters other than these (fixed by the contracts).
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
@@ -18,13 +18,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is configured, as in tests."""
+    """The folder that driver and executors share; set as the checkpoint folder where there is none yet."""
     found = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if found.isDefined():
-        return found.get()
-    own = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-")
-    spark.sparkContext.setCheckpointDir(own)
-    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
+    if not found.isDefined():
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+        found = spark.sparkContext._jsc.sc().getCheckpointDir()
+    return found.get()
 
 
 def settled(df: DataFrame) -> DataFrame:
@@ -33,6 +32,15 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Rows of ids up to which a list is broadcast (some 100 MB); longer ones are joined by shuffling.
+BROADCAST_IDS = 2_000_000
+
+
+def sent_if_small(ids: DataFrame) -> DataFrame:
+    """A settled list of ids with the hint to broadcast it, if it is short."""
+    return F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
+
+
 def word_count(text) -> F.Column:
     """Words of a text; null and empty texts have none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

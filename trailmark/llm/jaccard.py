@@ -8,7 +8,7 @@ coordinate minima. The tree has three levels:
    shingles whose group some other document touches; below the threshold it has no partner and leaves. Chunks of
    documents send each distinct group once, packed, so frequent passages are no hot keys.
 2. Below are nodes that share a fine group among the first ``n - overlap + 1`` of a document in hash order: by the same
-   bound, documents that share none of these cannot link. Nodes with equal members are one.
+   bound, documents that share none of these cannot link. Nodes with the same smallest member are one.
 3. In a node, points over ``GROUPS`` coarse groups are packed into leaves by size and count; pairs of leaves and then
    pairs of points are pruned by the bound, surviving pairs verified on whole shingle sets.
 
@@ -30,7 +30,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trailmark.llm.common import lower_ascii, mix, row_blocks, settled, string_bytes, word_hashes, words
+from trailmark.llm.common import lower_ascii, mix, row_blocks, sent_if_small, settled, string_bytes, word_hashes, words
 from trailmark.llm.components import components
 
 WORDS, PERCENT = 5, 80
@@ -38,6 +38,8 @@ GROUPS, LEAF, MEMBERS = 64, 16, 768
 BLOCK, MOST_ROWS = 4 << 20, 60_000
 #: In a chunk's list: a group that is known to be shared, so that no document is to be told.
 TOLD = 0xFFFF
+#: Bytes of a fine group beside the bits that deal it out.
+REST = 3
 
 
 def shingles(data: np.ndarray, bounds: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -83,9 +85,13 @@ def enough(shared, n_a, n_b, percent: int):
 
 
 def bounded_by_root(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """(doc_id, n, alive): size of each document's set, and whether the root's box leaves it a partner."""
-    bits = max(6, min(16, docs.rdd.getNumPartitions().bit_length() + 1))
-    shift, low = np.uint64(64 - bits), np.uint64(32 - bits)
+    """(doc_id, n, alive, digest): each document's set in short, and whether the root's box leaves it a partner.
+
+    A group is ``bits`` bits of the hash, which say where it is dealt to, and ``REST`` bytes more. There are more of them
+    in proportion to the partitions of the input, so groups stay as fine as the input grows.
+    """
+    bits = max(6, min(24, docs.rdd.getNumPartitions().bit_length() + 2))
+    shift, low = np.uint64(64 - bits), np.uint64(64 - bits - 8 * REST)
 
     def send(batches):
         import pyarrow as pa
@@ -94,9 +100,9 @@ def bounded_by_root(docs: DataFrame, width: int, percent: int) -> DataFrame:
         chunk = TaskContext.get().partitionId() << 24
         for batch in batches:
             for a, b, data, bounds in text_blocks(batch.column(1)):
-                rows, values = shingles(data, bounds, width)
-                order = np.argsort(values, kind="stable")
-                rows, values = rows[order], values[order]
+                own_rows, own_values = shingles(data, bounds, width)
+                order = np.argsort(own_values, kind="stable")
+                rows, values = own_rows[order], own_values[order]
                 first = np.ones(len(values), bool)
                 first[1:] = values[1:] != values[:-1]
                 again = np.zeros(len(values), bool)  # several documents of the chunk have it
@@ -106,23 +112,27 @@ def bounded_by_root(docs: DataFrame, width: int, percent: int) -> DataFrame:
                 owner = np.where(again, TOLD, rows)[first].astype(np.uint16)
                 values = values[first]
                 part = (values >> shift).astype(np.int64)
-                rest = (values >> low).astype(np.uint32)
+                rest = (values >> low).astype(np.uint32).view(np.uint8).reshape(-1, 4)[:, :REST]
                 cut = np.searchsorted(part, np.arange((1 << bits) + 1))
                 sizes = np.bincount(rows, minlength=b - a).astype(np.int32)
                 full = np.flatnonzero(np.diff(cut))
+                edge = np.searchsorted(own_rows, np.arange(b - a + 1))
+                digests = [hashlib.blake2b(own_values[x:y].tobytes(), digest_size=16).digest() for x, y in zip(edge[:-1], edge[1:], strict=True)]
                 payload = [known.tobytes()] + [rest[cut[p] : cut[p + 1]].tobytes() + owner[cut[p] : cut[p + 1]].tobytes() for p in full]
                 none = [None] * len(full)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([chunk] * len(payload), pa.int64()), pa.array([-1 - chunk, *full], pa.int64()),
                         pa.array([batch.column(0).slice(a, b - a).to_pylist(), *none], pa.list_(pa.int64())),
-                        pa.array([sizes.tolist(), *none], pa.list_(pa.int32())), pa.array(payload, pa.binary()),
+                        pa.array([sizes.tolist(), *none], pa.list_(pa.int32())),
+                        pa.array([digests, *none], pa.list_(pa.binary())), pa.array(payload, pa.binary()),
                     ],
-                    ["chunk", "part", "ids", "sizes", "payload"],
+                    ["chunk", "part", "ids", "sizes", "digests", "payload"],
                 )
                 chunk += 1
 
-    sent = docs.mapInArrow(send, "chunk long, part long, ids array<long>, sizes array<int>, payload binary")
+    own = "ids array<long>, sizes array<int>, digests array<binary>, payload binary"
+    sent = docs.mapInArrow(send, f"chunk long, part long, {own}")
 
     def meet(group):
         import pyarrow as pa
@@ -130,9 +140,11 @@ def bounded_by_root(docs: DataFrame, width: int, percent: int) -> DataFrame:
         if group["part"][0].as_py() < 0:  # a chunk's own row passes
             return group.drop_columns(["part"])
         lists = [p.as_py() for p in group["payload"]]
-        long = np.array([len(p) // 6 for p in lists])
-        rest = np.concatenate([np.frombuffer(p, np.uint32, n) for p, n in zip(lists, long, strict=True)])
-        owner = np.concatenate([np.frombuffer(p, np.uint16, n, 4 * n) for p, n in zip(lists, long, strict=True)])
+        long = np.array([len(p) // (REST + 2) for p in lists])
+        rest = np.zeros((long.sum(), 4), np.uint8)
+        rest[:, :REST] = np.concatenate([np.frombuffer(p, np.uint8, REST * n).reshape(-1, REST) for p, n in zip(lists, long, strict=True)])
+        rest = rest.view(np.uint32).ravel()
+        owner = np.concatenate([np.frombuffer(p[REST * n :], np.uint16) for p, n in zip(lists, long, strict=True)])
         order = np.argsort(rest, kind="stable")
         same = rest[order][1:] == rest[order][:-1]
         shared = np.zeros(len(rest), bool)
@@ -145,27 +157,27 @@ def bounded_by_root(docs: DataFrame, width: int, percent: int) -> DataFrame:
         none = [None] * len(keep)
         return pa.table({
             "chunk": group["chunk"].take(pa.array(keep, pa.int64())), "ids": pa.array(none, pa.list_(pa.int64())),
-            "sizes": pa.array(none, pa.list_(pa.int32())), "payload": pa.array([told[k] for k in keep], pa.binary()),
+            "sizes": pa.array(none, pa.list_(pa.int32())), "digests": pa.array(none, pa.list_(pa.binary())), "payload": pa.array([told[k] for k in keep], pa.binary()),
         })
 
-    told = sent.groupBy("part").applyInArrow(meet, "chunk long, ids array<long>, sizes array<int>, payload binary")
+    told = sent.groupBy("part").applyInArrow(meet, f"chunk long, {own}")
 
     def settle_chunk(group):
         import pyarrow as pa
 
-        own = group.filter(group["ids"].is_valid())
+        own = group.filter(group["ids"].is_valid())  # the chunk's own row
         ids = own["ids"].combine_chunks().flatten()
         sizes = own["sizes"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
         shared = np.frombuffer(own["payload"][0].as_py(), np.int32).astype(np.int64)
         for p in group.filter(group["ids"].is_null())["payload"]:
             shared += np.bincount(np.frombuffer(p.as_py(), np.uint16), minlength=len(sizes))
-        return pa.table({"doc_id": ids, "n": pa.array(sizes, pa.int32()), "alive": pa.array((sizes > 0) & (100 * shared >= percent * sizes))})
+        return pa.table({"doc_id": ids, "n": pa.array(sizes, pa.int32()), "alive": pa.array((sizes > 0) & (100 * shared >= percent * sizes)), "digest": own["digests"].combine_chunks().flatten()})
 
-    return told.groupBy("chunk").applyInArrow(settle_chunk, "doc_id long, n int, alive boolean")
+    return told.groupBy("chunk").applyInArrow(settle_chunk, "doc_id long, n int, alive boolean, digest binary")
 
 
 def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, n, digest, shingles): the sorted set of each document that has one."""
+    """(rep, shingles): the sorted set of each document that has one."""
 
     def run(batches):
         import pyarrow as pa
@@ -178,13 +190,12 @@ def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
                 sets = [values[cut[r] : cut[r + 1]].tobytes() for r in full]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).slice(a, b - a).take(pa.array(full)), pa.array(np.diff(cut)[full].astype(np.int32)),
-                        pa.array([hashlib.blake2b(s, digest_size=16).digest() for s in sets], pa.binary()), pa.array(sets, pa.binary()),
+                        batch.column(0).slice(a, b - a).take(pa.array(full)), pa.array(sets, pa.binary()),
                     ],
-                    ["doc_id", "n", "digest", "shingles"],
+                    ["rep", "shingles"],
                 )
 
-    return docs.mapInArrow(run, "doc_id long, n int, digest binary, shingles binary")
+    return docs.mapInArrow(run, "rep long, shingles binary")
 
 
 def node_entries(sets: DataFrame, percent: int) -> DataFrame:
@@ -271,15 +282,15 @@ def linked(ids: np.ndarray, sets: list[np.ndarray], side: np.ndarray, percent: i
 def links(sets: DataFrame, percent: int) -> DataFrame:
     """(a, b): links between set representatives that connect all that are similar."""
     entries = node_entries(sets, percent)
-    nodes = entries.groupBy("token").agg(
-        F.count(F.lit(1)).alias("members"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "rep")).alias("y")
-    ).filter("members > 1")
-    nodes = nodes.groupBy("members", "x", "y").agg(F.min("token").alias("token")).select("token", F.ceil(F.col("members") / MEMBERS).cast("int").alias("blocks"))
-    placed = entries.join(nodes, "token").withColumn("block", F.pmod(F.xxhash64(F.lit(2), "rep"), F.col("blocks")).cast("int"))
+    shared = entries.groupBy("token").agg(F.min("rep").alias("node"), F.count(F.lit(1)).alias("members")).filter("members > 1")
+    entered = settled(entries.join(shared.select("token", "node"), "token").select("node", "rep").distinct())
+    nodes = entered.groupBy("node").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).cast("int").alias("blocks"))
+    placed = entered.join(nodes, "node").withColumn("block", F.pmod(F.xxhash64(F.lit(2), "rep"), F.col("blocks")).cast("int"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    placed = placed.select("rep", "token", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"))
-    key = ["token", "i", "j"]
-    full = placed.join(sets.select("rep", "shingles"), "rep").repartition(*key).sortWithinPartitions(*key)
+    placed = placed.select("rep", "node", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"))
+    key = ["node", "i", "j"]
+    placed = settled(placed)
+    full = sets.join(sent_if_small(placed), "rep").repartition(*key).sortWithinPartitions(*key)
 
     def run(batches):
         import pyarrow as pa
@@ -298,11 +309,11 @@ def links(sets: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             found = []
             names = batch.schema.names
-            at = [batch.column(names.index(n)) for n in ("token", "i", "j", "rep", "side", "shingles")]
-            for token, i, j, rep, side, s in zip(*(c.to_pylist() for c in at), strict=True):
-                if (token, i, j) != current:
+            at = [batch.column(names.index(n)) for n in ("node", "i", "j", "rep", "side", "shingles")]
+            for node, i, j, rep, side, s in zip(*(c.to_pylist() for c in at), strict=True):
+                if (node, i, j) != current:
                     found += close()
-                    current = (token, i, j)
+                    current = (node, i, j)
                 held.append((rep, side, np.frombuffer(s, np.int64)))
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
         found = close()
@@ -315,14 +326,13 @@ def join(docs: DataFrame, width: int = WORDS, percent: int = PERCENT, doc_id: st
     """(doc_id, n_shingles, component_id) of every document."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     sized = settled(bounded_by_root(rows, width, percent))
-    alive = sized.filter("alive and doc_id is not null").select("doc_id").distinct()
-    sets = settled(shingle_sets(rows.join(alive, "doc_id", "left_semi"), width))
-    reps = sets.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    member = settled(sets.select("doc_id", "digest").distinct().join(reps.select("digest", "rep"), "digest").select("doc_id", "rep"))
-    own = sets.join(reps.select("rep", F.col("digest").alias("d")), (F.col("doc_id") == F.col("rep")) & (F.col("digest") == F.col("d")))
-    own = own.select("rep", "shingles").dropDuplicates(["rep", "shingles"])
+    alive = sized.filter("alive and doc_id is not null").select("doc_id", "digest").distinct()
+    reps = alive.groupBy("digest").agg(F.min("doc_id").alias("rep"))
+    member = settled(alive.join(reps, "digest").select("doc_id", "rep"))
+    own = settled(member.select("rep").distinct())
+    sets = shingle_sets(rows.join(sent_if_small(own), rows["doc_id"] == own["rep"], "left_semi"), width)
     first = member.groupBy("doc_id").agg(F.min("rep").alias("rep"), F.max("rep").alias("other"))
-    found = links(own, percent).unionByName(first.filter("rep <> other").select(F.col("rep").alias("a"), F.col("other").alias("b")))
+    found = links(sets, percent).unionByName(first.filter("rep <> other").select(F.col("rep").alias("a"), F.col("other").alias("b")))
     roots = components(found)
     placed = first.join(roots, first["rep"] == roots["node"], "left").select("doc_id", F.coalesce("root", "rep").alias("root"))
     out = sized.select("doc_id", "n").join(placed, "doc_id", "left")
