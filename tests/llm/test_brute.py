@@ -248,12 +248,13 @@ def test_archive_round_trip(spark, tmp_path):
 
 
 def test_query_quality(spark, sf):
+    sf = sf.replace("sf0.001", "sf0.01")  # some 60 labelled rows are too few to learn from
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
     got = queries.op8_quality(spark, sf).collect()
     assert len(got) == spark.read.parquet(f"{sf}/documents.parquet").count()
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and r.predicted == int(r.score >= 0.3) for r in got)
     held = [r for r in got if r.held_out and r.doc_id in labels]
-    assert sum(r.predicted == labels[r.doc_id] for r in held) >= 0.9 * len(held)
+    assert sum(r.predicted == labels[r.doc_id] for r in held) >= 0.95 * len(held)
 
 
 def test_query_decontamination(spark, sf):

@@ -54,7 +54,7 @@ def shingles(data: np.ndarray, bounds: np.ndarray, width: int) -> tuple[np.ndarr
     total = np.zeros(len(h), np.uint64)
     for k in range(width):
         part = np.zeros(len(h), np.uint64)
-        part[: len(h) - k] = h[k:]
+        part[: max(0, len(h) - k)] = h[k:]
         total = mix(total * np.uint64(0x9E3779B97F4A7C15) + part)
     whole = np.arange(len(h)) + width <= (first + count)[row]
     rows, values = row[whole], total[whole]
