@@ -12,6 +12,7 @@ from trailmark.operators import evaluation as V
 from trailmark.operators import modeling as M
 from trailmark.operators import ranking as R
 from trailmark.operators import screening as L
+from trailmark.operators.features import BLOCKS
 from trailmark.plans.lineage import settle
 from trailmark.plans.lookback import Measure, look_back
 from trailmark.schema import read
@@ -117,7 +118,17 @@ def _(spark, d):
     return L.corr_pairs(feature_frame(spark, d).filter("split = 'train'"), FEATS)
 
 
-@query("drop_correlated", "feature:s")
+DROPPED = """iv as (select feature, sum(iv) as iv from woe group by 1),
+pl as (select feature, row_number() over (order by iv desc, feature) as p from iv), pr as ({corr}),
+hp as (select row_number() over (order by least(a.p, b.p), greatest(a.p, b.p)) as k, case when a.p < b.p then a.feature else b.feature end as good,
+  case when a.p < b.p then b.feature else a.feature end as bad from pr join pl a on f1 = a.feature join pl b on f2 = b.feature where r >= 0.6),
+walk as (select 0::bigint as k, []::varchar[] as gone union all
+  select h.k, case when list_contains(gone, good) or list_contains(gone, bad) then gone else list_append(gone, bad) end from walk join hp h on h.k = walk.k + 1)"""
+
+
+@query("drop_correlated", "feature:s",
+       sql(*TRAIN, f"long as ({long_sql('train')})", CUTS.format(src="long"), BINNED.format(src="long"), WOE, DROPPED.format(corr=corr_sql()),
+           "select feature from pl where not list_contains((select gone from walk order by k desc limit 1), feature)").replace("with ", "with recursive ", 1))
 def _(spark, d):
     train = feature_frame(spark, d).filter("split = 'train'")
     iv = L.iv_total(L.iv_quantile(train, FEATS, "label"))
@@ -209,45 +220,83 @@ def _(spark, d):
     return L.feature_gate(previous, current)
 
 
-@query("iv_tree", "feature:s bin:s n:i bad:i woe:d iv:d")
+@query("iv_tree", "feature:s n:i bad:i bins_hold:i few_leaves:i",
+       sql(*TRAIN, f"long as ({long_sql('train')})", "select feature, count(*) as n, sum(label) as bad, 1 as bins_hold, 1 as few_leaves from long group by 1"))
 def _(spark, d):
-    return L.iv_tree(feature_frame(spark, d).filter("split = 'train'"), FEATS, "label")
+    """The tree's cuts have no SQL twin; what must hold of its table has: every row in one bin, at most four leaves."""
+    t = L.iv_tree(feature_frame(spark, d).filter("split = 'train'"), FEATS, "label")
+    ok = F.min(((F.col("bad") >= 0) & (F.col("bad") <= F.col("n")) & (F.col("n") > 0)).cast("int"))
+    leaves = F.count_if(F.col("bin") != "Missing")
+    return t.groupBy("feature").agg(
+        F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.least(ok, (F.count_distinct("bin") == F.count("bin")).cast("int")).alias("bins_hold"),
+        leaves.between(1, 4).cast("int").alias("few_leaves"))
 
 
 QUICK = {"maxIter": 3, "maxDepth": 3}
 
 
-@query("oof_scores", "txn_id:i label:i fold:i score:d")
+# Trained models have no SQL twin. The queries return what must hold of their results whatever the model is.
+
+
+@query("oof_scores", "txn_id:i label:i fold:i times:i in_range:i",
+       sql(*TRAIN, """select txn_id, label, (row_number() over (partition by label order by md5(cast(txn_id as varchar)), txn_id) - 1) % 3 as fold,
+  1 as times, 1 as in_range from train"""))
 def _(spark, d):
     folds = R.stratified_folds(feature_frame(spark, d).filter("split = 'train'"), k=3)
-    return M.oof_scores(folds, FEATS, folds=3, params=QUICK)[0]
+    scored = M.oof_scores(folds, FEATS, folds=3, params=QUICK)[0]
+    return scored.groupBy("txn_id", "label", "fold").agg(F.count("score").alias("times"), F.min(F.col("score").between(0, 1).cast("int")).alias("in_range"))
 
 
-@query("importance_report", "feature:s importance:d")
+@query("model_persistence", "n:i differing:i", sql(*TRAIN, "select count(*) as n, 0 as differing from train"))
+def _(spark, d):
+    """Scores of a model and of its stored copy."""
+    train, path = feature_frame(spark, d).filter("split = 'train'"), scratch(spark, "model")
+    model = M.fit(train, FEATS, params=QUICK)
+    M.save_model(model, path)
+    mine, again = (M.score(m, train, FEATS).select("txn_id", "score") for m in (model, M.load_model(path)))
+    both = mine.join(again.withColumnRenamed("score", "again"), "txn_id")
+    return both.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.abs(F.col("score") - F.col("again")) > 0).alias("differing"))
+
+
+@query("importance_report", "feature:s in_range:i total:d",
+       " union all ".join(f"select '{f}' as feature, 1 as in_range, 1.0 as total" for f in FEATS))
 def _(spark, d):
     train = feature_frame(spark, d).filter("split = 'train'")
-    return M.importance_report(M.importance(spark, M.fit(train, FEATS, params=QUICK), FEATS))
+    got = M.importance_report(M.importance(spark, M.fit(train, FEATS, params=QUICK), FEATS))
+    total = got.agg(F.sum("importance").alias("total"))
+    return got.crossJoin(F.broadcast(total)).select("feature", F.col("importance").between(0, 1).cast("int").alias("in_range"), "total")
 
 
-@query("importance_screen", "feature:s")
+@query("importance_screen", "kept:i known:i", "select 4 as kept, 4 as known")
 def _(spark, d):
     train = feature_frame(spark, d).filter("split = 'train'")
-    return spark.createDataFrame([(f,) for f in M.importance_screen(train, FEATS, 4, params=QUICK)], "feature string")
+    kept = spark.createDataFrame([(f,) for f in M.importance_screen(train, FEATS, 4, params=QUICK)], "feature string")
+    return kept.agg(F.count_distinct("feature").alias("kept"), F.count_if(F.col("feature").isin(FEATS)).alias("known"))
+
+
+SPACE = {"stepSize": (0.05, 0.1), "maxIter": (2, 4), "maxDepth": (2, 3)}
 
 
-@query("parameter_search", "name:s value:d")
+@query("parameter_search", "name:s inside:i", " union all ".join(f"select '{n}' as name, 1 as inside" for n in (*SPACE, "log_loss")))
 def _(spark, d):
     folds = R.stratified_folds(feature_frame(spark, d).filter("split = 'train'"), k=2)
-    best, loss = M.search(folds, FEATS, folds=2, trials=2, space={"stepSize": (0.05, 0.1), "maxIter": (2, 4), "maxDepth": (2, 3)})
-    rows = [*((k, float(v)) for k, v in best.items()), ("log_loss", loss)]
-    return spark.createDataFrame(rows, "name string, value double")
+    best, loss = M.search(folds, FEATS, folds=2, trials=2, space=SPACE)
+    rows = [*((k, float(v), float(SPACE[k][0]), float(SPACE[k][1])) for k, v in best.items()), ("log_loss", loss, 0.0, 1.0)]
+    return spark.createDataFrame(rows, "name string, value double, lo double, hi double").select(
+        "name", F.col("value").between(F.col("lo"), F.col("hi")).cast("int").alias("inside"))
 
 
-@query("experiment_run", "run:i f1:d best_k:i n_features:i hit_y:i missed_y:i")
+@query("experiment_run", "run:i positives:i f1_holds:i k_holds:i features_hold:i gate:i",
+       sql(*TRAIN, "select 1 as run, sum(label) as positives, 1 as f1_holds, 1 as k_holds, 1 as features_hold, 1 as gate from train"))
 def _(spark, d):
+    """One whole run over all feature blocks; its counts must add up."""
     flow, anchors = labelled_rich(spark, d)
-    return run_experiment(anchors, flow, ["sparse_probe", "inflow_burst"], scratch(spark, "experiment"), 1, families=FAMILIES,
-                          iv_min=0.0001, keep_top=12, folds=3, params=QUICK)
+    row = run_experiment(anchors, flow, list(BLOCKS), scratch(spark, "experiment"), 1, tag="v1", families=FAMILIES,
+                         iv_min=0.0001, keep_top=12, folds=3, params=QUICK)
+    return row.select(
+        "run", (F.col("hit_y") + F.col("missed_y")).alias("positives"), F.col("f1").between(0, 1).cast("int").alias("f1_holds"),
+        F.col("best_k").between(10, 1000).cast("int").alias("k_holds"), F.col("n_features").between(1, 12).cast("int").alias("features_hold"),
+        F.col("gate_passed").cast("int").alias("gate"))
 
 
 def labelled_rich(spark, d):

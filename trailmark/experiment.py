@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
@@ -17,23 +18,18 @@ from trailmark.operators import screening as L
 from trailmark.sources import tables as T
 
 #: Missed positives whose histories are pulled.
-MISSED_ACCOUNTS = 10
-
-
 def build_wide(
     anchors: DataFrame, flow: DataFrame, blocks: Sequence[str], root: str, tag: str, families: Mapping = CHANNEL_TAGS
 ) -> tuple[DataFrame, list[str]]:
-    """Anchors with all features of ``blocks``. Each block is stored once per (block, tag) and reread."""
+    """Anchors with all features of ``blocks``, built in one pass and stored by version of the data, blocks and families."""
     spark = anchors.sparkSession
-    wide, names = anchors, []
-    for block in blocks:
-        stored = T.materialize(
-            spark, lambda b=block: B.build(anchors, flow, [b], families), f"{root}/blocks", block, {"tag": tag}
-        )
-        wide = wide.join(stored, "txn_id", "left")
-        names += list(B.BLOCKS[block])
-    wide = T.materialize(spark, lambda: to_numeric(wide, names), f"{root}/wide", "wide", {"tag": tag, "blocks": list(blocks)})
-    return wide, names
+    names = [f for block in blocks for f in B.BLOCKS[block]]
+    key = {"tag": tag, "blocks": list(blocks), "families": {k: list(v) for k, v in sorted(families.items())}}
+
+    def made() -> DataFrame:
+        return to_numeric(anchors.join(B.build(anchors, flow, blocks, families), "txn_id", "left"), names)
+
+    return T.materialize(spark, made, f"{root}/wide", "wide", key), names
 
 
 def run_experiment(
@@ -42,7 +38,7 @@ def run_experiment(
     blocks: Sequence[str],
     root: str,
     run: int,
-    tag: str = "default",
+    tag: str,
     families: Mapping = CHANNEL_TAGS,
     previous: Sequence[str] | None = None,
     iv_min: float = L.IV_MIN,
@@ -51,14 +47,16 @@ def run_experiment(
     folds: int = 5,
     params: Mapping | None = None,
     trials: int = 0,
+    missed_accounts: int = 10,
 ) -> DataFrame:
     """Run everything and return one row: run, f1, best_k, n_features, hit and missed counts, passed gate.
 
     ``anchors`` carry ``label`` and ``split`` (train / test). Reports are written below ``root``. Stages
     that feed several jobs are stored; only feature names, information values and the best K reach the
-    driver.
+    driver. ``tag`` names the version of anchors and flow: stored features and scores are reused under the same tag
+    and parameters only.
     """
-    spark = anchors.sparkSession
+    spark, began = anchors.sparkSession, time.perf_counter()
     wide, names = build_wide(anchors, flow, blocks, root, tag, families)
     train, test = T.split_by(wide, "split", ["train"], ["test"])
 
@@ -83,7 +81,7 @@ def run_experiment(
     kept = M.importance_screen(train, kept, None, params=params) or kept
     scored, importance = M.oof_scores(folded, kept, folds=folds, params=params)
     meta = ["txn_id", "acct", "t", "dt", "label", "score"]
-    stored = T.materialize(spark, lambda: scored.select(*meta, *kept), f"{root}/scores", "oof", {"tag": tag, "run": run})
+    stored = T.materialize(spark, lambda: scored.select(*meta, *kept), f"{root}/scores", "oof", {"tag": tag, "run": run, "kept": list(kept), "folds": folds, "params": sorted((params or {}).items())})
     T.write_csv(stored, f"{root}/oof_scores-{run}")
     T.write_csv(M.importance_report(importance), f"{root}/importance-{run}")
     M.save_model(M.fit(train, kept, params=params), f"{root}/model-{run}")
@@ -96,8 +94,10 @@ def run_experiment(
     missed = V.missed_positives(ranked, k)
     T.write_csv(missed, f"{root}/missed-{run}")
     T.write_csv(V.feature_gaps(ranked, kept, k), f"{root}/gaps-{run}")
-    first = R.top_n(missed, MISSED_ACCOUNTS, -F.col("rank"), "txn_id").select("txn_id", "acct", "t", "dt")
+    first = R.top_n(missed, missed_accounts, -F.col("rank"), "txn_id").select("txn_id", "acct", "t", "dt")
     T.write_csv(V.history_summary(first, flow), f"{root}/missed_history-{run}")
+    T.write_csv(R.last_n_before(first, flow, None), f"{root}/missed_rows-{run}")
+    T.write_report({"kept": spark.createDataFrame([(f,) for f in kept], "feature string")}, f"{root}/kept-{run}")
 
     hits = ranked.agg(
         F.count_if((F.col("label") == 1) & (F.col("rank") <= k)).alias("hit_y"),
@@ -109,7 +109,7 @@ def run_experiment(
     T.write_json(out, f"{root}/result-{run}")
     log = head.select(
         F.current_timestamp().alias("run_at"), "run", F.lit(f1).alias("f1"), F.lit(k).alias("best_k"),
-        F.lit(len(kept)).alias("n_features"), F.lit(None).cast("double").alias("seconds"), F.lit(",".join(blocks)).alias("notes"))
+        F.lit(len(kept)).alias("n_features"), F.lit(round(time.perf_counter() - began, 3)).alias("seconds"), F.lit(",".join(blocks)).alias("notes"))
     T.log_run(log, f"{root}/runs")
     return out
 

@@ -24,6 +24,7 @@ from trailmark.operators.novelty import value_history
 from trailmark.operators.sequences import gap_median, gap_range, gap_stats
 from trailmark.plans.lookback import Measure, look_back
 from trailmark.plans.profile import at_least, distinct, key_profile, key_profile_band, squares
+from trailmark.plans.prune import relevant_history
 from trailmark.plans.quantiles import window_quantile, window_rank
 from trailmark.schema import WINDOWS
 
@@ -376,9 +377,14 @@ def tag_flow(flow: DataFrame, families: Mapping[str, Sequence[str]] = CHANNEL_TA
 def build(
     anchors: DataFrame, flow: DataFrame, blocks: Sequence[str], families: Mapping[str, Sequence[str]] = CHANNEL_TAGS
 ) -> DataFrame:
-    """One row per anchor with the features of ``blocks``."""
-    hist = tag_flow(flow, families)
+    """One row per anchor with the features of ``blocks``.
+
+    Only history that an anchor can see is read: its accounts, back to the longest window (and the three days by which
+    a window of gaps may be shifted).
+    """
     found = tokens(blocks)
+    longest = max([WINDOWS[w] for _, w in found if w in WINDOWS] + [WINDOWS["150d"]])
+    hist = tag_flow(relevant_history(flow, anchors, longest // 86_400 + 4), families)
     parts = []
 
     windows: dict[str, list[str]] = {}
