@@ -18,18 +18,28 @@ from trailmark.operators import screening as L
 from trailmark.sources import tables as T
 
 #: Missed positives whose histories are pulled.
+#: Feature blocks of one build.
+TOGETHER = 3
+
+
 def build_wide(
     anchors: DataFrame, flow: DataFrame, blocks: Sequence[str], root: str, tag: str, families: Mapping = CHANNEL_TAGS
 ) -> tuple[DataFrame, list[str]]:
-    """Anchors with all features of ``blocks``, built in one pass and stored by version of the data, blocks and families."""
+    """Anchors with all features of ``blocks``, stored by version of the data, blocks and families.
+
+    Blocks are built ``TOGETHER`` at a time, so measures that they share are computed once, and no plan grows with the
+    number of blocks.
+    """
     spark = anchors.sparkSession
     names = [f for block in blocks for f in B.BLOCKS[block]]
-    key = {"tag": tag, "blocks": list(blocks), "families": {k: list(v) for k, v in sorted(families.items())}}
-
-    def made() -> DataFrame:
-        return to_numeric(anchors.join(B.build(anchors, flow, blocks, families), "txn_id", "left"), names)
-
-    return T.materialize(spark, made, f"{root}/wide", "wide", key), names
+    key = {"tag": tag, "families": {k: list(v) for k, v in sorted(families.items())}}
+    wide = anchors
+    for i in range(0, len(blocks), TOGETHER):
+        some = list(blocks[i : i + TOGETHER])
+        stored = T.materialize(spark, lambda some=some: B.build(anchors, flow, some, families), f"{root}/blocks", "-".join(some), key | {"blocks": some})
+        wide = wide.join(stored, "txn_id", "left")
+    wide = T.materialize(spark, lambda: to_numeric(wide, names), f"{root}/wide", "wide", key | {"blocks": list(blocks)})
+    return wide, names
 
 
 def run_experiment(
