@@ -6,8 +6,8 @@ templates. A multinomial logistic regression learns the families from templates
 probability that any family is meant; below ``LEAST`` the paragraph is unknown. A prediction is confirmed by comparison
 with the templates of its family: the paragraph must hold at least ``COVER`` of one template's features.
 
-Scoring explodes features and joins the weights (one row per template feature, so of fixed size); only features with a
-weight are grouped. The unknown class is learned from at most about ``SAMPLE`` paragraphs of the documents, by
+Scoring explodes features and joins the numbers of those with a weight (one row per template feature, so of fixed size);
+a paragraph's numbers come together in the task that read it, so little is shuffled. The unknown class is learned from at most about ``SAMPLE`` paragraphs of the documents, by
 hash (documented bound); all paragraphs of all texts are scored.
 
 Defined cases: null and empty texts have no paragraphs; documents that share an id are told apart by their text, equal
@@ -147,14 +147,19 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", model: dic
     words = lines.select("doc_id", "row", "paragraph", F.split(F.btrim("line"), " ").alias("ws"))
     pairs = F.zip_with(F.slice("ws", F.lit(1), F.greatest(F.size("ws") - 1, F.lit(0))), F.slice("ws", F.lit(2), F.size("ws")), lambda a, b: F.concat(a, F.lit(" "), b))
     said = words.select("doc_id", "row", "paragraph", F.concat("ws", pairs).alias("gs")).select("doc_id", "row", "paragraph", F.explode_outer("gs").alias("g"))
-    weights = weight_table(spark, model)
-    met = said.join(F.broadcast(weights), "g").groupBy("doc_id", "row", "paragraph", "g").agg(F.first("w").alias("w"))
-    scored = met.groupBy("doc_id", "row", "paragraph").agg(*sums(n), F.collect_set("g").alias("gs"))
+    names = [g for g, _ in model["weights"]]
+    numbers = spark.createDataFrame([(g, i + 1) for i, g in enumerate(names)], "g string, k int")
+    met = said.join(F.broadcast(numbers), "g").groupBy("doc_id", "row", "paragraph").agg(F.collect_set("k").alias("ks"))
+    column = lambda k: F.array(*(F.lit(w[k]) for _, w in model["weights"]))
+    total = lambda k: F.aggregate("ks", F.lit(0.0), lambda a, i: a + F.element_at(column(k), i))
+    scored = met.select("doc_id", "row", "paragraph", "ks", *(total(k).alias(f"s{k}") for k in range(n)))
     sure = 1 / (1 + F.exp(-(margin(model) * model["slope"] + model["shift"])))
     ranked = F.array(*(F.struct((F.col(f"s{k}") + model["bias"][k]).alias("s"), F.lit(model["families"][k]).alias("family")) for k in range(n - 1)))
     best = F.array_max(ranked)["family"]
-    scored = scored.select("doc_id", "row", "paragraph", best.alias("family"), sure.alias("probability"), "gs").filter(F.col("probability") >= LEAST)
+    scored = scored.select("doc_id", "row", "paragraph", best.alias("family"), sure.alias("probability"), "ks").filter(F.col("probability") >= LEAST)
     templates = spark.createDataFrame([(f, t) for f, ts in TEMPLATES.items() for t in ts], "family string, t string").select("family", grams(F.col("t")).alias("ts"))
-    held = F.size(F.array_intersect("ts", "gs")) / F.size("ts")
+    known = F.array(*(F.lit(g) for g in names))
+    templates = templates.select("family", F.transform("ts", lambda t: F.array_position(known, t).cast("int")).alias("ts"))
+    held = F.size(F.array_intersect("ts", "ks")) / F.size("ts")
     compared = scored.join(F.broadcast(templates), "family").groupBy("doc_id", "row", "paragraph", "family", "probability").agg(F.max(held).alias("cover"))
     return compared.filter(F.col("cover") >= COVER).select("doc_id", F.col("paragraph").cast("long").alias("paragraph"), "family", "probability", "cover")
