@@ -8,7 +8,8 @@ coordinate minima. The tree has three levels:
    shingles whose group some other document touches; below the threshold it has no partner and leaves. Chunks of
    documents send each distinct group once, packed, so frequent passages are no hot keys.
 2. Below are nodes that share a fine group among the first ``n - overlap + 1`` of a document in hash order: by the same
-   bound, documents that share none of these cannot link. Nodes with the same smallest member are one.
+   bound, documents that share none of these cannot link. Sizes are a bound too: a node holds sets of like size. Nodes
+   with the same smallest member are one.
 3. In a node, points over ``GROUPS`` coarse groups are packed into leaves by size and count; pairs of leaves and then
    pairs of points are pruned by the bound, surviving pairs verified on whole shingle sets.
 
@@ -199,7 +200,12 @@ def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
 
 
 def node_entries(sets: DataFrame, percent: int) -> DataFrame:
-    """(token, rep): the nodes that a document enters, its first n - overlap + 1 groups in hash order."""
+    """(token, rep): the nodes that a document enters, its first n - overlap + 1 groups in hash order.
+
+    Sets that link differ in size by less than 100 / percent, so they are of one or of neighbouring size bands. A node is
+    for one group and band, and a document enters those of its own band and the next.
+    """
+    band = np.log(100 / percent * 1.0001)
 
     def run(batches):
         import pyarrow as pa
@@ -208,8 +214,10 @@ def node_entries(sets: DataFrame, percent: int) -> DataFrame:
             heads, owners = [], []
             for rep, s in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 values = np.frombuffer(s.as_py(), np.int64)
-                heads.append(values[: len(values) - -(-percent * len(values) // 100) + 1])
-                owners.append(np.full(len(heads[-1]), rep, np.int64))
+                first = values[: len(values) - -(-percent * len(values) // 100) + 1].view(np.uint64)
+                own = int(np.log(len(values)) / band)
+                heads += [mix(first + np.uint64(b * 0x9E3779B97F4A7C15 % (1 << 64))).view(np.int64) for b in (own, own + 1)]
+                owners.append(np.full(2 * len(first), rep, np.int64))
             if heads:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(heads)), pa.array(np.concatenate(owners))], ["token", "rep"])
 
