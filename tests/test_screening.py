@@ -39,7 +39,7 @@ def test_drift_of_same_and_shifted(spark):
 
 def test_correlation_pairs_and_greedy_drop(spark):
     df = spark.range(50).selectExpr("cast(id as double) a", "cast(id * 2 as double) b", "cast(id % 7 as double) c", "case when id > 40 then null else cast(id as double) end d")
-    pairs = L.corr_pairs(df, ["a", "b", "c", "d"], batch=2)
+    pairs = L.corr_pairs(df, ["a", "b", "c", "d"])
     r = {(p["f1"], p["f2"]): p["r"] for p in pairs.collect()}
     assert len(r) == 6 and r[("a", "b")] == pytest.approx(1.0) and r[("a", "d")] == pytest.approx(1.0)
     iv = spark.createDataFrame([("a", 0.3), ("b", 0.2), ("c", 0.1), ("d", 0.25)], "feature string, iv double")

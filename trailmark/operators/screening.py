@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
-from itertools import combinations
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -121,22 +120,42 @@ def psi(train: DataFrame, test: DataFrame, feats: Sequence[str], bins: int = 5)
     return w.groupBy("feature").agg(F.sum("iv").alias("psi"))
 
 
-def corr_pairs(df: DataFrame, feats: Sequence[str], batch: int = 300) -> DataFrame:
-    """(f1, f2, r): absolute pairwise-complete Pearson correlation of every feature pair.
+def corr_pairs(df: DataFrame, feats: Sequence[str]) -> DataFrame:
+    """(f1, f2, r): absolute pairwise-complete Pearson correlation of every feature pair; NULL where there is none.
 
-    Each batch is one pass with map-side combination; only one number per pair leaves the executors.
+    Two passes whatever the number of features: one for the means, which values are centred on, and one in which every
+    task adds up products of its batches. A task sends one row per pair.
     """
-    pairs = list(combinations(feats, 2))
-    out = None
-    for i in range(0, len(pairs), batch):
-        part = pairs[i : i + batch]
-        row = df.agg(*[F.abs(F.corr(F.col(a).cast("double"), F.col(b).cast("double"))).alias(f"p{j}")
-                       for j, (a, b) in enumerate(part)])
-        structs = [F.struct(F.lit(a).alias("f1"), F.lit(b).alias("f2"), F.col(f"p{j}").alias("r"))
-                   for j, (a, b) in enumerate(part)]
-        got = row.select(F.explode(F.array(*structs)).alias("x")).select("x.*")
-        out = got if out is None else out.unionByName(got)
-    return out
+    feats = list(feats)
+    numbers = df.select(*[F.col(f).cast("double").alias(f) for f in feats])
+    means = numbers.agg(*[F.avg(F.when(~F.isnan(f), F.col(f))).alias(f) for f in feats]).first()
+    centre = [means[f] or 0.0 for f in feats]
+
+    def products(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        n = len(feats)
+        total = np.zeros((4, n, n))
+        for batch in batches:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns]) - centre
+            known = ~np.isnan(x)
+            x, m = np.where(known, x, 0.0), known.astype(float)
+            total += np.stack([m.T @ m, x.T @ m, (x * x).T @ m, x.T @ x])
+        i, j = np.triu_indices(n, 1)
+        count, sums, squares, both = total
+        cols = [i, j, count[i, j], sums[i, j], sums[j, i], squares[i, j], squares[j, i], both[i, j]]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["i", "j", "n", "sx", "sy", "sxx", "syy", "sxy"])
+
+    parts = numbers.mapInArrow(products, "i long, j long, n double, sx double, sy double, sxx double, syy double, sxy double")
+    whole = parts.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")])
+    n = F.nullif(F.col("n"), F.lit(0.0))
+    vx, vy = F.col("sxx") - F.col("sx") ** 2 / n, F.col("syy") - F.col("sy") ** 2 / n
+    r = (F.col("sxy") - F.col("sx") * F.col("sy") / n) / F.sqrt(vx * vy)
+    names = F.array(*[F.lit(f) for f in feats])
+    name = lambda c: F.element_at(names, (F.col(c) + 1).cast("int"))
+    ok = F.when(F.col("n") > 1, (vx > 0) & (vy > 0))
+    return whole.select(name("i").alias("f1"), name("j").alias("f2"), F.when(ok, F.least(F.abs(r), F.lit(1.0))).alias("r"))
 
 
 def drop_correlated(pairs: DataFrame, iv: DataFrame, threshold: float = CORR_MAX) -> list[str]:
