@@ -43,7 +43,9 @@ def test_future_rows_change_nothing(spark):
     flow = flow_of(spark, rows)
     past = flow.filter(F.col("t") < cut)
     ms = [Measure("n", "count", ["3d", "14d"], OUT), Measure("s", "sum", ["14d"], None, AMT)]
-    assert collect(look_back(past, flow, ms)) == collect(look_back(past, past, ms))
+    # the order in which equal times are added up is open, so sums agree but for their last digits
+    seen = [{k: r | {"s_14d": round(r["s_14d"], 6)} for k, r in collect(look_back(past, f, ms)).items()} for f in (flow, past)]
+    assert seen[0] == seen[1]
 
 
 @pytest.mark.parametrize("hot_rows", [None, 2_000_000, 1, 3])
