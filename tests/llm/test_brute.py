@@ -285,6 +285,13 @@ def test_changed_values_are_caught_if_consistent(spark):
     assert set(got) == {1} and got[1].replaced > 0
 
 
+def test_items_of_names_and_numbers_are_found_verbatim(spark):
+    texts = ["What is Spark", "Compute 12 34 56 78 90 11 and 13 14", "Alice Bob Carol Dave Erin Frank Grace Heidi Ivan Judy"]
+    items = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+    docs = spark.createDataFrame([(k, f"so here {t}, it ends") for k, t in enumerate(texts)] + [(9, "What was Spark when Alice met Bob and 12 34")], "doc_id long, text string")
+    assert {(r.doc_id, r.item_id, r.replaced) for r in decontam.matches(docs, items).collect()} == {(k, k, 0) for k in range(3)}
+
+
 def phrases(text, corpus):
     n, at = 0, 0
     while at < len(text):
