@@ -292,6 +292,13 @@ def test_items_of_names_and_numbers_are_found_verbatim(spark):
     assert {(r.doc_id, r.item_id, r.replaced) for r in decontam.matches(docs, items).collect()} == {(k, k, 0) for k in range(3)}
 
 
+def test_one_changed_name_leaves_the_rest_of_a_copy(spark):
+    text = "The first of them went on to see what lay there and said so. The second of them had never been in that place at all and so stayed where it was"
+    items = spark.createDataFrame([(1, text)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, text.replace("The second", "This second")), (2, "The first of others")], "doc_id long, text string")
+    assert {r.doc_id for r in decontam.matches(docs, items).collect()} == {1}
+
+
 def phrases(text, corpus):
     n, at = 0, 0
     while at < len(text):

@@ -3,7 +3,8 @@
 Numbers, units and names become typed placeholders, so an item and its re-parameterised copy share their template.
 Windows of ``WINDOW`` words, of the template and of the plain words in lower case, are hash-joined with the items' windows.
 A pair of document and item is kept on one diagonal (document position minus item position) if at least ``LEAST``
-windows meet, or all of a shorter item, and the slots are consistent: one item value never stands for two document values.
+windows meet, or all of a shorter item. Windows with other values than the item's count only if the values are consistent:
+one item value never stands for two document values in them. Windows said word for word count in any case.
 
 The windows of the items are broadcast only while they number at most ``BROADCAST_WINDOWS``; beyond that Spark joins
 them as it sees fit. Documents and items are counted whole; items of fewer than ``WINDOW`` words are looked for at their
@@ -161,11 +162,14 @@ def matches(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id:
     found = found.withColumn("other", F.filter("tells", lambda at: whole("alike", at) & ~whole("same", at)))
     slots_of = lambda ats: F.array_distinct(F.flatten(F.transform(ats, lambda at: F.transform(
         F.filter(F.slice("pairs", at + 1, F.col("width")), lambda s: s["kind"].isin(*SLOTS)), lambda s: F.struct(s["kind"], s["theirs"], s["ours"])))))
-    found = found.withColumn("ats", F.concat("exact", "other")).withColumn("slots", slots_of("ats"))
+    found = found.withColumn("slots", slots_of("other"))
     values = F.array_distinct(F.transform("slots", lambda s: F.struct(s["kind"], s["theirs"])))
+    # windows with other values count only if these are consistent; those said word for word count in any case
+    found = found.withColumn("ats", F.when(F.size(values) == F.size("slots"), F.concat("exact", "other")).otherwise(F.col("exact")))
+    found = found.withColumn("slots", slots_of("ats"))
     enough = (F.size("ats") >= F.least(F.lit(LEAST), F.col("n_windows"))) | (
         (F.size("tells") > 0) & (F.size(F.array_intersect("ats", "tells")) >= F.least(F.lit(LEAST), F.size("tells"))))
-    found = found.filter((F.size(values) == F.size("slots")) & enough)
+    found = found.filter(enough)
     changed = F.size(F.filter("slots", lambda s: s["theirs"] != s["ours"]))
     best = F.struct(
         F.size("ats").alias("windows"), (-changed).alias("kept"), (-F.col("diagonal")).alias("early"), F.size("slots").alias("slots"),
