@@ -299,6 +299,20 @@ def test_one_changed_name_leaves_the_rest_of_a_copy(spark):
     assert {r.doc_id for r in decontam.matches(docs, items).collect()} == {1}
 
 
+def test_changed_case_and_one_changed_word(spark):
+    named = "Die Straße nach Rom führt an Wien und Linz vorbei bis nach Graz"
+    short = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen".split()
+    items = spark.createDataFrame([(0, named), *((n, " ".join(short[:n])) for n in (8, 11, 15))], "item_id long, text string")
+    texts = {(0, "lower"): named.lower(), (0, "upper"): named.upper()}
+    for n in (8, 11, 15):
+        texts |= {(n, at): " ".join([*short[:at], "other", *short[at + 1 : n]]) for at in (0, n // 2, n - 1)}
+    docs = spark.createDataFrame([(f"{k[0]} {k[1]}", f"so {t} end") for k, t in texts.items()], "doc_id string, text string")
+    got = {(r.doc_id, r.item_id) for r in decontam.matches(docs, items).collect()}
+    assert {(f"{k[0]} {k[1]}", k[0]) for k in texts} <= got
+    twice = spark.createDataFrame([(1, "one two three other five six seven again nine ten eleven")], "doc_id long, text string")
+    assert decontam.matches(twice, items).count() == 0
+
+
 def phrases(text, corpus):
     n, at = 0, 0
     while at < len(text):

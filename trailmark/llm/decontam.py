@@ -1,9 +1,10 @@
 """Benchmark decontamination by plain words and by template canonicalisation, in DataFrame functions only.
 
 Numbers, units and names become typed placeholders, so an item and its re-parameterised copy share their template.
-Windows of ``WINDOW`` words, of the template and of the plain words in lower case, are hash-joined with the items' windows.
+Windows of ``WINDOW`` words, of the template and of the plain words whatever their case, are hash-joined with the items' windows.
 A pair of document and item is kept on one diagonal (document position minus item position) if at least ``LEAST``
-windows meet, or all of a shorter item. Windows with other values than the item's count only if the values are consistent:
+windows meet, or all of a shorter item. Items of ``WINDOW`` words or more survive one changed word: of those too short to
+keep ``LEAST`` windows then, all words but one must be there. Windows with other values than the item's count only if the values are consistent:
 one item value never stands for two document values in them. Windows said word for word count in any case.
 
 The windows of the items are broadcast only while they number at most ``BROADCAST_WINDOWS``; beyond that Spark joins
@@ -55,8 +56,8 @@ def template(bare: Column) -> Column:
 
 
 def folded(bare: Column) -> Column:
-    """The plain text in lower case."""
-    return F.lower(bare)
+    """The plain text without regard to case; by way of upper case, where one letter can become two."""
+    return F.lower(F.upper(bare))
 
 
 def words(text: Column) -> Column:
@@ -101,7 +102,7 @@ def with_windows(rows: DataFrame, kinds: list[tuple[str, int]]) -> DataFrame:
 def index(items: DataFrame, item_id: str, text: str) -> tuple[DataFrame, DataFrame]:
     """(item_key, item_id, w, c, f, width, tells, n_windows) of the items and (item_key, c, f, kind, width, ats) of what is looked for.
 
-    ``c`` are the plain words in lower case, ``f`` the template; ``tells`` are the template windows with enough literal words.
+    ``c`` are the plain words without regard to case, ``f`` the template; ``tells`` are the template windows with enough literal words.
     """
     known = items.select(F.col(item_id).alias("item_id"), plain(F.col(text)).alias("w")).filter("w <> ''")
     known = known.withColumn("item_key", F.xxhash64("item_id", "w"))
@@ -115,9 +116,13 @@ def index(items: DataFrame, item_id: str, text: str) -> tuple[DataFrame, DataFra
     # windows of a template without a slot are those of the plain words
     slotted = F.filter("tells", lambda at: literal(at) < F.col("width"))
     known = settled(known.withColumn("slotted", slotted).withColumn("n_windows", F.size("starts")).dropDuplicates(["item_key"]))
+    n = F.size("c")
+    half = F.floor(n / 2).cast("int")
     wanted = F.array(
         F.struct(F.lit("c").alias("kind"), "width", F.col("starts").alias("ats")),
         F.struct(F.lit("f").alias("kind"), "width", F.col("slotted").alias("ats")),
+        # the halves: one changed word leaves one of them; from 2 * WINDOW words on, they hold a window
+        F.struct(F.lit("c").alias("kind"), half.alias("width"), F.when(n.between(WINDOW, 2 * WINDOW - 1), F.array(F.lit(0), n - half)).alias("ats")),
     )
     cuts = known.select("item_key", "c", "f", F.inline(wanted)).filter("size(ats) > 0")
     return known.drop("said", "slotted"), cuts
@@ -169,11 +174,15 @@ def matches(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id:
     found = found.withColumn("slots", slots_of("ats"))
     enough = (F.size("ats") >= F.least(F.lit(LEAST), F.col("n_windows"))) | (
         (F.size("tells") > 0) & (F.size(F.array_intersect("ats", "tells")) >= F.least(F.lit(LEAST), F.size("tells"))))
-    found = found.filter(enough)
+    # where one changed word leaves fewer than LEAST windows, all other words must be there
+    n = F.size("f")
+    near = n.between(WINDOW, 2 * WINDOW + LEAST - 2) & (F.size(F.filter("same", lambda x: x)) >= n - 1)
+    found = found.withColumn("near", near).filter(enough | F.col("near"))
     changed = F.size(F.filter("slots", lambda s: s["theirs"] != s["ours"]))
     best = F.struct(
         F.size("ats").alias("windows"), (-changed).alias("kept"), (-F.col("diagonal")).alias("early"), F.size("slots").alias("slots"),
-        (F.col("diagonal") + F.array_min("ats")).alias("first"), (F.col("diagonal") + F.array_max("ats") + F.col("width")).alias("end"),
+        F.when(F.col("near"), F.greatest(F.col("diagonal"), F.lit(0))).otherwise(F.col("diagonal") + F.array_min("ats")).alias("first"),
+        F.when(F.col("near"), F.least(F.col("diagonal") + n, F.size("ours"))).otherwise(F.col("diagonal") + F.array_max("ats") + F.col("width")).alias("end"),
     )
     found = found.groupBy("doc_id", "item_id", "n_windows").agg(F.max(best).alias("b"))
     long = lambda c: c.cast("long")
