@@ -200,6 +200,17 @@ def test_query_licences(spark, sf):
     assert {(r.doc_id, r.paragraph, r.family) for r in queries.op5_licences(spark, sf).collect()} == expected
 
 
+def test_wrapped_licences(spark):
+    from trailmark.llm import licences
+
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met"
+    gpl = "# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License"
+    texts = [bsd, f"Intro.\n\n{gpl}\n#\n# More.", f"All rights reserved.\n{bsd}", "All of them went.\nThe rights were\nreserved.", "Released under the MIT License.\nMore text."]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted((r.doc_id, r.paragraph, r.family) for r in licences.scan(docs).collect())
+    assert got == [(0, 0, "bsd"), (1, 2, "gpl-3.0"), (2, 0, "proprietary"), (2, 1, "bsd"), (4, 0, "mit")]
+
+
 def test_quotation_links(spark):
     rows = [(1, 0, "user", "Hello there, what is Spark?\nSecond line."), (1, 1, "assistant", "> Hello there,   what is spark\nAn engine.\nIt is fast."),
             (1, 2, "user", "> > Hello there, what is Spark?\n> An engine.\nThanks"), (1, 3, "user", "New topic"), (1, 4, "user", "> New topic\nyes"),

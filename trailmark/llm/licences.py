@@ -1,10 +1,11 @@
 """Licence scan with a trained paragraph classifier, in DataFrame functions and Spark ML only.
 
-Features of a paragraph (a line of the text) are its words and word pairs, as far as they occur in the licence
+A paragraph is a line of the text, or a run of non-blank lines (hard-wrapped text) without the lines that state a
+licence on their own; its number is that of its first line. Features of a paragraph are its words and word pairs, as far as they occur in the licence
 templates. A multinomial logistic regression learns the families from templates and pieces of templates, and the class
 ``unknown`` from other paragraphs. A second regression on the margin over ``unknown`` turns it into a calibrated
 probability that any family is meant; below ``LEAST`` the paragraph is unknown. A prediction is confirmed by comparison
-with the templates of its family: the paragraph must hold at least ``COVER`` of one template's features.
+with the templates of its family: the paragraph must hold at least ``COVER`` of one template's features, and a run as much of one's word pairs.
 
 Scoring explodes features and joins the weights (one row per template feature, so of fixed size); only features with a
 weight are grouped. The unknown class is learned from at most about ``SAMPLE`` paragraphs of the documents, by
@@ -16,11 +17,15 @@ rows count once; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizer, CountVectorizerModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trailmark.llm.common import settled
+
 SAMPLE, LEAST, COVER = 2000, 0.5, 0.6
 UNKNOWN = "unknown"
 
@@ -70,11 +75,39 @@ def grams(text: Column) -> Column:
     return F.array_distinct(F.concat(words, F.transform(F.slice(words, 2, F.size(words)), lambda x, i: F.concat_ws(" ", F.get(words, i), x))))
 
 
+def line_lists(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(doc_id, row, ls): the normalised lines of every text, blank ones too."""
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).filter("text <> ''")
+    return rows.select("doc_id", F.xxhash64("text").alias("row"), F.split(F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}\n]+", " "), "\n").alias("ls"))
+
+
 def paragraphs(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """(doc_id, row, paragraph, words): normalised lines; several blank ones are counted too."""
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).filter("text <> ''")
-    rows = rows.select("doc_id", F.xxhash64("text").alias("row"), F.split(F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}\n]+", " "), "\n").alias("ls"))
-    return rows.select("doc_id", "row", F.posexplode_outer("ls").alias("paragraph", "line"))
+    return line_lists(docs, doc_id, text).select("doc_id", "row", F.posexplode_outer("ls").alias("paragraph", "line"))
+
+
+def pairs_of(words: str) -> Column:
+    return F.zip_with(F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, F.lit(2), F.size(words)), lambda a, b: F.concat(a, F.lit(" "), b))
+
+
+def runs(lists: DataFrame) -> DataFrame:
+    """(doc_id, row, ls, paragraph, line) of runs of several lines that hold ``COVER`` of one template's word pairs, so that its words stand together.
+
+    ``paragraph`` is the first line of the run, ``line`` the whole of it.
+    """
+    said = [re.findall("[a-z0-9]+", x.lower()) for ts in TEMPLATES.values() for x in ts]
+    wanted = [sorted({f"{a} {b}" for a, b in zip(ws, ws[1:], strict=False)}) for ws in said]
+    rows = lists.withColumn("ls", F.transform("ls", lambda x: F.btrim(x)))
+    blank = lambda i: F.coalesce(F.get("ls", i), F.lit("")) == ""
+    at = F.sequence(F.lit(0), F.size("ls") - 1)
+    rows = rows.withColumn("a", F.filter(at, lambda i: ~blank(i) & blank(i - 1))).withColumn("b", F.filter(at, lambda i: ~blank(i) & blank(i + 1)))
+    rows = rows.select("doc_id", "row", "ls", F.inline(F.arrays_zip("a", "b"))).filter("b > a")
+    rows = rows.withColumn("line", F.array_join(F.slice("ls", F.col("a") + 1, F.col("b") - F.col("a") + 1), " ")).withColumn("ws", F.split("line", " "))
+    rows = rows.withColumn("held", F.array_intersect(F.array(*(F.lit(x) for x in sorted({x for xs in wanted for x in xs}))), pairs_of("ws")))
+    kept = F.lit(False)
+    for xs in wanted:
+        kept = kept | (F.size(F.array_intersect("held", F.array(*(F.lit(x) for x in xs)))) >= COVER * len(xs))
+    return rows.filter(kept).select("doc_id", "row", "ls", F.col("a").alias("paragraph"), "line")
 
 
 def training(spark: SparkSession, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -140,12 +173,24 @@ def margin(model: dict) -> Column:
 
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", model: dict | None = None) -> DataFrame:
     """One row per paragraph that states a licence: family, probability and how much of a template it holds."""
-    spark = docs.sparkSession
-    model = model or learn(spark, docs, doc_id, text)
+    model = model or learn(docs.sparkSession, docs, doc_id, text)
+    single = settled(stated(paragraphs(docs, doc_id, text), model))
+    # runs are looked at without the lines that state a licence on their own; these end a run
+    lines = single.groupBy(F.col("doc_id").alias("__d"), F.col("row").alias("__r")).agg(F.collect_set("paragraph").alias("__ps"))
+    likely = runs(line_lists(docs, doc_id, text)).select("doc_id", "row", "ls").distinct()
+    likely = likely.join(lines, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("row") == F.col("__r")), "left")
+    left = F.transform("ls", lambda x, i: F.when(F.coalesce(F.array_contains("__ps", i), F.lit(False)), "").otherwise(x))
+    wrapped = stated(runs(likely.select("doc_id", "row", left.alias("ls"))).drop("ls"), model)
+    found = single.unionByName(wrapped)
+    return found.select("doc_id", F.col("paragraph").cast("long").alias("paragraph"), "family", "probability", "cover")
+
+
+def stated(lines: DataFrame, model: dict) -> DataFrame:
+    """(doc_id, row, paragraph, family, probability, cover) of the lines that state a licence."""
+    spark = lines.sparkSession
     n = len(model["families"])
-    lines = paragraphs(docs, doc_id, text)
     words = lines.select("doc_id", "row", "paragraph", F.split(F.btrim("line"), " ").alias("ws"))
-    pairs = F.zip_with(F.slice("ws", F.lit(1), F.greatest(F.size("ws") - 1, F.lit(0))), F.slice("ws", F.lit(2), F.size("ws")), lambda a, b: F.concat(a, F.lit(" "), b))
+    pairs = pairs_of("ws")
     said = words.select("doc_id", "row", "paragraph", F.concat("ws", pairs).alias("gs")).select("doc_id", "row", "paragraph", F.explode_outer("gs").alias("g"))
     weights = weight_table(spark, model)
     met = said.join(F.broadcast(weights), "g").groupBy("doc_id", "row", "paragraph", "g").agg(F.first("w").alias("w"))
@@ -157,4 +202,4 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", model: dic
     templates = spark.createDataFrame([(f, t) for f, ts in TEMPLATES.items() for t in ts], "family string, t string").select("family", grams(F.col("t")).alias("ts"))
     held = F.size(F.array_intersect("ts", "gs")) / F.size("ts")
     compared = scored.join(F.broadcast(templates), "family").groupBy("doc_id", "row", "paragraph", "family", "probability").agg(F.max(held).alias("cover"))
-    return compared.filter(F.col("cover") >= COVER).select("doc_id", F.col("paragraph").cast("long").alias("paragraph"), "family", "probability", "cover")
+    return compared.filter(F.col("cover") >= COVER)
