@@ -86,7 +86,7 @@ def paragraphs(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return line_lists(docs, doc_id, text).select("doc_id", "row", F.posexplode_outer("ls").alias("paragraph", "line"))
 
 
-def pairs_of(words: str) -> Column:
+def pairs_of(words: Column | str) -> Column:
     return F.zip_with(F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, F.lit(2), F.size(words)), lambda a, b: F.concat(a, F.lit(" "), b))
 
 
@@ -102,11 +102,17 @@ def runs(lists: DataFrame) -> DataFrame:
     at = F.sequence(F.lit(0), F.size("ls") - 1)
     rows = rows.withColumn("a", F.filter(at, lambda i: ~blank(i) & blank(i - 1))).withColumn("b", F.filter(at, lambda i: ~blank(i) & blank(i + 1)))
     rows = rows.select("doc_id", "row", "ls", F.inline(F.arrays_zip("a", "b"))).filter("b > a")
-    rows = rows.withColumn("line", F.array_join(F.slice("ls", F.col("a") + 1, F.col("b") - F.col("a") + 1), " ")).withColumn("ws", F.split("line", " "))
-    rows = rows.withColumn("held", F.array_intersect(F.array(*(F.lit(x) for x in sorted({x for xs in wanted for x in xs}))), pairs_of("ws")))
-    kept = F.lit(False)
-    for xs in wanted:
-        kept = kept | (F.size(F.array_intersect("held", F.array(*(F.lit(x) for x in xs)))) >= COVER * len(xs))
+    rows = rows.withColumn("line", F.array_join(F.slice("ls", F.col("a") + 1, F.col("b") - F.col("a") + 1), " "))
+    vocabulary = F.array(*(F.lit(x) for x in sorted({x for xs in wanted for x in xs})))
+
+    def covers(held: Column) -> Column:
+        found = F.lit(False)
+        for xs in wanted:
+            found = found | (F.size(F.array_intersect(held, F.array(*(F.lit(x) for x in xs)))) >= COVER * len(xs))
+        return found
+
+    # bound by lambdas, as Spark would put the columns into the filter once for each use
+    kept = F.exists(F.array(F.split("line", " ")), lambda ws: F.exists(F.array(F.array_intersect(vocabulary, pairs_of(ws))), covers))
     return rows.filter(kept).select("doc_id", "row", "ls", F.col("a").alias("paragraph"), "line")
 
 
