@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailmark.llm import ann, decontam, jaccard, langid, licences, mixing, pii, quality, quotes, warc
+from trailmark.llm import ann, decontam, jaccard, langid, licences, mixing, pii, quality, quotes, repair, repeats, runs, warc
 from trailmark.llm.common import fold, table
 
 
@@ -55,5 +55,25 @@ def op10_language(spark: SparkSession, d: str) -> DataFrame:
     return langid.predict(docs, model).select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_jaccard, op3_neighbours, op4_mixing, op5_licences, op6_quotations, op7_warc, op8_quality, op9_decontamination, op10_language)}
+def op11_repeats(spark: SparkSession, d: str) -> DataFrame:
+    return repeats.remove(table(spark, d, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+def op12_runs(spark: SparkSession, d: str) -> DataFrame:
+    return runs.digests(runs.find(table(spark, d, "documents"), runs.planted))
+
+
+def op13_repair(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "conversations").select("conv_id", "turn", "role", "text")
+    done = repair.report(repair.damaged(rows)).withColumnRenamed("conv_id", "__conv_id")
+    zero = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    out = rows.select("conv_id").distinct().join(done, F.col("conv_id").eqNullSafe(F.col("__conv_id")), "left")
+    return out.select("conv_id", *zero, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
+
+
+OPERATORS = (
+    op1_pii, op2_jaccard, op3_neighbours, op4_mixing, op5_licences, op6_quotations, op7_warc, op8_quality, op9_decontamination, op10_language,
+    op11_repeats, op12_runs, op13_repair,
+)
+QUERIES = {f.__name__: f for f in OPERATORS}
 ORACLE_SQL: dict[str, str] = {}
