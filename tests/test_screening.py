@@ -7,6 +7,7 @@ from trailmark.operators import evaluation as V
 from trailmark.operators import modeling as M
 from trailmark.operators import screening as L
 from trailmark.operators.ranking import score_rank, stratified_folds
+from trailmark.plans.selection import exact_quantiles
 
 
 def test_woe_special_cases(spark):
@@ -47,13 +48,38 @@ def test_correlation_pairs_and_greedy_drop(spark):
 
 
 def test_tree_bins_find_the_step(spark):
-    df = spark.range(600).selectExpr("cast(id % 100 as double) as x", "cast((id % 100) >= 60 as int) as label", "case when id % 10 = 0 then null else cast(id % 3 as double) end as z")
+    df = spark.range(600).selectExpr("id as txn_id", "cast(id % 100 as double) as x", "cast((id % 100) >= 60 as int) as label", "case when id % 10 = 0 then null else cast(id % 3 as double) end as z")
     got = {r["bin"]: (r["n"], r["bad"]) for r in L.iv_tree(df, ["x", "z"], "label").filter("feature = 'x'").collect()}
     assert got == {"0.0__59.0": (360, 0), "60.0__99.0": (240, 240)}
     z = L.iv_tree(df, ["x", "z"], "label").filter("feature = 'z' and bin = 'Missing'").first()
     assert z["n"] == 60
 
 
+def test_tree_bins_of_many_values(spark):
+    """A step that no grid of quantiles would meet, among 100,000 distinct values in shuffled order."""
+    df = spark.range(100_000).selectExpr("id as txn_id", "cast((id * 7919) % 100003 as double) / 8 as x").withColumn(
+        "label", (F.col("x").between(6001.5, 6009.25) | (F.col("x") > 12000)).cast("int"))
+    got = {(r["lo"], r["hi"]): (r["n"], r["bad"]) for r in L.iv_tree(df, ["x"], "label").collect()}
+    low, high = df.agg(F.min("x"), F.max("x")).first()
+    assert len(got) == 4 and {b for _, b in got.values() if b} == {df.filter("x between 6001.5 and 6009.25").count(), df.filter("x > 12000").count()}
+    assert all(b in (0, n) for n, b in got.values()) and min(got)[0] == low and max(got)[1] == high
+
+
+def test_exact_quantiles(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    columns = {"wide": rng.normal(0, 1, 30_000) * 10.0 ** rng.integers(-9, 9, 30_000), "few": rng.integers(0, 3, 30_000) * 1.0,
+               "one": np.full(30_000, 7.0), "hot": np.where(rng.random(30_000) < 0.4, 5.0, rng.random(30_000) * 10)}
+    import pandas as pd
+
+    long = spark.createDataFrame(pd.DataFrame(columns)).unpivot([], list(columns), "feature", "value")
+    probs = [0.0, 0.2, 0.25, 0.4, 0.5, 0.6, 0.8, 0.999, 1.0]
+    got = exact_quantiles(long.unionByName(spark.createDataFrame([("wide", None), ("tiny", 3.0), ("tiny", 4.0)], "feature string, value double")), probs)
+    for name, values in {**columns, "tiny": np.array([3.0, 4.0])}.items():
+        assert got[name] == pytest.approx(np.quantile(values, probs).tolist(), rel=1e-12)
+
+
 def test_topk_ties_short_tables_and_no_positives(spark):
     df = spark.range(35).selectExpr("id as txn_id", "0.5D as score", "cast(id < 5 as int) as label")
     table = V.topk_table(df).orderBy("top_k").collect()

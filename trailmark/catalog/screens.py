@@ -45,7 +45,7 @@ def long_sql(source: str, feats=FEATS, keep: str = "label") -> str:
     return " union all ".join(f"select '{f}' as feature, {f} as value, {keep} from {source}" for f in feats)
 
 
-CUTS = """cuts as (select feature, list_sort(list_distinct(list_transform(quantile_disc(value, [0.2, 0.4, 0.6, 0.8]), lambda x: round(x, 3)))) as c from {src} group by 1)"""
+CUTS = """cuts as (select feature, list_sort(list_distinct(list_transform(quantile_cont(value, [0.2, 0.4, 0.6, 0.8]), lambda x: round(x, 3)))) as c from {src} group by 1)"""
 BINNED = """binned as (select l.feature, label, case when value is null then 'Missing'
   else lpad(cast(len(list_filter(c, lambda x: x < value)) + 1 as varchar), 2, '0') end as bin from {src} l join cuts using (feature))"""
 WOE = """cells as (select feature, bin, count(*) as n, sum(label) as bad from binned group by 1, 2),
@@ -219,16 +219,74 @@ def _(spark, d):
     return L.feature_gate(previous, current)
 
 
-@query("iv_tree", "feature:s n:i bad:i bins_hold:i few_leaves:i",
-       sql(*TRAIN, f"long as ({long_sql('train')})", "select feature, count(*) as n, sum(label) as bad, 1 as bins_hold, 1 as few_leaves from long group by 1"))
+def tree_sql(folds: int = 3, leaves: int = 4) -> list[str]:
+    """The supervised bins of ``long`` (feature, value, label, fold) as CTEs; ``bins`` has the table."""
+    out = [f"""tr as (select feature, s, value, count(*)::double as n, sum(label)::double as b from long, (select unnest(range({folds + 1})) as s)
+  where value is not null and (s = {folds} or fold <> s) and feature in (select feature from long where value is not null group by 1 having count(*) >= {folds}) group by 1, 2, 3)""",
+           "onward as (select *, lead(value) over (partition by feature, s order by value) as nx from tr)",
+           "cuts0 as (select feature, s, 0 as step, 0.0::double as cut, 0.0::double as nx from tr where false)"]
+    for k in range(1, leaves):
+        out.append(f"""at{k} as (select n.*, coalesce(len(list_filter(c, lambda x: x < value)), 0) as node from onward n
+  left join (select feature, s, list(cut) as c from cuts{k - 1} group by 1, 2) using (feature, s))""")
+        out.append(f"""run{k} as (select *, sum(n) over w as ln, sum(b) over w as lb, sum(n) over p as tn, sum(b) over p as tb from at{k}
+  window w as (partition by feature, s, node order by value rows unbounded preceding), p as (partition by feature, s, node))""")
+        out.append(f"""gain{k} as (select *, 2.0 * tb * (tn - tb) / tn - 2.0 * lb * (ln - lb) / ln - 2.0 * (tb - lb) * ((tn - ln) - (tb - lb)) / (tn - ln) as gain
+  from run{k} where ln < tn and tb > 0 and tb < tn)""")
+        out.append(f"""cuts{k} as (select * from cuts{k - 1} union all select feature, s, {k}, value, nx from gain{k} where gain > 1e-9
+  qualify row_number() over (partition by feature, s order by gain desc, value) = 1)""")
+    last = f"cuts{leaves - 1}"
+    out += [
+        f"sizes as (select unnest(range(2, {leaves + 1})) as m)",
+        f"marks as (select feature, s, m, list(cut) filter (where step < m) as c, list((cut + nx) / 2) filter (where step < m) as t from {last}, sizes group by 1, 2, 3)",
+        f"every as (select distinct feature, s, m from tr, sizes where s < {folds})",
+        """rates as (select e.feature, e.s, e.m, coalesce(len(list_filter(c, lambda x: x < value)), 0) as leaf, sum(b) / sum(n) as rate
+  from every e join tr using (feature, s) left join marks k on (k.feature, k.s, k.m) = (e.feature, e.s, e.m) group by 1, 2, 3, 4)""",
+        """held as (select e.feature, e.s, e.m, coalesce(len(list_filter(t, lambda x: x < value)), 0) as leaf, sum(label) as b, count(*) - sum(label) as g
+  from every e join long l on l.feature = e.feature and l.fold = e.s and l.value is not null left join marks k on (k.feature, k.s, k.m) = (e.feature, e.s, e.m) group by 1, 2, 3, 4)""",
+        "ranked as (select r.feature, r.s, r.m, rate, sum(coalesce(b, 0)) as b, sum(coalesce(g, 0)) as g from rates r left join held h on (h.feature, h.s, h.m, h.leaf) = (r.feature, r.s, r.m, r.leaf) group by 1, 2, 3, 4)",
+        """below as (select *, coalesce(sum(g) over (partition by feature, s, m order by rate rows between unbounded preceding and 1 preceding), 0) as low,
+  sum(b) over (partition by feature, s, m) as tb, sum(g) over (partition by feature, s, m) as tg from ranked)""",
+        "areas as (select feature, s, m, case when any_value(tb) = 0 or any_value(tg) = 0 then 0.5 else sum(b * (low + g / 2.0)) / any_value(tb * tg) end as area from below group by 1, 2, 3)",
+        """best as (select feature, m from (select feature, m, round(avg(area), 9) as mean, round(stddev_pop(area), 9) as spread from areas group by 1, 2)
+  qualify row_number() over (partition by feature order by mean desc, spread, m) = 1)""",
+        f"""leaf as (select l.*, case when value is null then null when best.m is null then -1 else coalesce(len(list_filter(c, lambda x: x < value)), 0) end as leaf
+  from long l left join best using (feature) left join marks k on k.feature = l.feature and k.s = {folds} and k.m = best.m)""",
+        """bins as (select feature, min(value) as lo, max(value) as hi, count(*) as n, sum(label) as bad from leaf
+  group by feature, leaf, case when leaf = -1 then value end)""",
+        """stats as (select *, sum(n) over f as tn, sum(bad) over f as tb, (bad + 0.0001) / sum(bad) over f as pb, (n - bad + 0.0001) / (sum(n) over f - sum(bad) over f) as pg
+  from bins window f as (partition by feature))""",
+    ]
+    return out
+
+
+TREE = "select feature, lo, hi, n, bad, bad * 100.0 / n as bad_rate, n * 100.0 / tn as pct, ln(pb / pg) as woe, (pb - pg) * ln(pb / pg) as iv from stats"
+TREE_SPEC = "feature:s lo:d hi:d n:i bad:i bad_rate:d pct:d woe:d iv:d"
+
+
+def fold_sql(source: str, id_col: str) -> str:
+    return f"select *, (row_number() over (partition by label order by md5(cast({id_col} as varchar)), {id_col}) - 1) % 3 as fold from {source}"
+
+
+@query("iv_tree", TREE_SPEC, sql(*TRAIN, f"folded as ({fold_sql('train', 'txn_id')})", f"long as ({long_sql('folded', keep='label, fold')})", *tree_sql(), TREE))
 def _(spark, d):
-    """The tree's cuts have no SQL twin; what must hold of its table has: every row in one bin, at most four leaves."""
-    t = L.iv_tree(feature_frame(spark, d).filter("split = 'train'"), FEATS, "label")
-    ok = F.min(((F.col("bad") >= 0) & (F.col("bad") <= F.col("n")) & (F.col("n") > 0)).cast("int"))
-    leaves = F.count_if(F.col("bin") != "Missing")
-    return t.groupBy("feature").agg(
-        F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.least(ok, (F.count_distinct("bin") == F.count("bin")).cast("int")).alias("bins_hold"),
-        leaves.between(1, 4).cast("int").alias("few_leaves"))
+    return L.iv_tree(feature_frame(spark, d).filter("split = 'train'"), FEATS, "label")
+
+
+ORDERS = ["o_totalprice", "customer", "priority", "constant", "few", "gone"]
+
+
+@query("iv_tree_orders", TREE_SPEC,
+       sql("""src as (select o_orderkey, o_totalprice, o_custkey::double as customer, case when o_totalprice < 200000 then cast(left(o_orderpriority, 1) as double) end as priority, 1.0 as constant,
+  case when o_orderkey <= 2 then o_totalprice end as few, null::double as gone, case when o_totalprice % 50000 < 9000 or o_custkey % 100 > 90 then 1 else 0 end as label from orders)""",
+           f"folded as ({fold_sql('src', 'o_orderkey')})", f"long as ({long_sql('folded', ORDERS, 'label, fold')})", *tree_sql(), TREE))
+def _(spark, d):
+    """Columns of many distinct values, of a few, of one, of two rows and of none."""
+    price = F.col("o_totalprice")
+    src = read(spark, d, "orders").select(
+        "o_orderkey", "o_totalprice", F.col("o_custkey").cast("double").alias("customer"), F.when(price < 200000, F.substring("o_orderpriority", 1, 1).cast("double")).alias("priority"),
+        F.lit(1.0).alias("constant"), F.when(F.col("o_orderkey") <= 2, price).alias("few"), F.lit(None).cast("double").alias("gone"),
+        F.when((price % 50000 < 9000) | (F.col("o_custkey") % 100 > 90), 1).otherwise(0).alias("label"))
+    return L.iv_tree(src, ORDERS, "label", id_col="o_orderkey")
 
 
 QUICK = {"maxIter": 3, "maxDepth": 3}

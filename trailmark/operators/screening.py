@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trailmark.operators.ranking import stratified_folds
+from trailmark.operators.treebins import tree_bins
+from trailmark.plans.selection import exact_quantiles
+
 # Smoothing of bin shares, thresholds of the screens.
 SMOOTH = 0.0001
 IV_MIN = 0.02
@@ -23,12 +27,11 @@ def to_long(df: DataFrame, feats: Sequence[str], keep: Sequence[str]) -> DataFra
     return df.select(*keep, *clean).unpivot(list(keep), list(feats), "feature", "value")
 
 
-def quantile_cuts(long: DataFrame, bins: int = 5, digits: int = 3, accuracy: int = 10_000) -> DataFrame:
-    """(feature, cuts): sorted distinct inner quantiles. A mergeable sketch per feature, bounded in size."""
-    probs = F.array(*[F.lit(i / bins) for i in range(1, bins)])
-    raw = F.percentile_approx("value", probs, accuracy)
-    cuts = F.array_sort(F.array_distinct(F.transform(raw, lambda c: F.round(c, digits))))
-    return long.groupBy("feature").agg(cuts.alias("cuts"))
+def quantile_cuts(long: DataFrame, bins: int = 5, digits: int = 3) -> DataFrame:
+    """(feature, cuts): sorted distinct inner quantiles, exact and interpolated, whatever the number of distinct values."""
+    cuts = exact_quantiles(long, [i / bins for i in range(1, bins)])
+    rows = [(f, sorted({math.floor(c * 10**digits + 0.5) / 10**digits for c in cs})) for f, cs in cuts.items()]
+    return long.sparkSession.createDataFrame(rows, "feature string, cuts array<double>")
 
 
 def assign_bins(long: DataFrame, cuts: DataFrame) -> DataFrame:
@@ -50,14 +53,18 @@ def woe_table(binned: DataFrame, label: str) -> DataFrame:
     cells = binned.groupBy("feature", "bin").agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.col(label).cast("long")).alias("bad")
     )
+    return evidence(cells, ["feature", "bin"])
+
+
+def evidence(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rates, shares in percent, weight of evidence and information value of bins with counts ``n`` and ``bad``."""
     totals = cells.groupBy("feature").agg(F.sum("n").alias("tn"), F.sum("bad").alias("tb"))
     x = cells.join(totals, "feature")
     pct_bad = (F.col("bad") + SMOOTH) / F.nullif(F.col("tb").cast("double"), F.lit(0.0))
     pct_good = (F.col("n") - F.col("bad") + SMOOTH) / F.nullif((F.col("tn") - F.col("tb")).cast("double"), F.lit(0.0))
     woe = F.log(pct_bad / pct_good)
     return x.select(
-        "feature",
-        "bin",
+        *keys,
         "n",
         "bad",
         (F.col("bad") * 100.0 / F.col("n")).alias("bad_rate"),
@@ -181,115 +188,14 @@ def feature_gate(previous: DataFrame, current: DataFrame) -> DataFrame:
     return fresh.agg(n.alias("n_new"), (n > 0).alias("passed"))
 
 
-def iv_tree(df: DataFrame, feats: Sequence[str], label: str, max_leaves: int = 4, folds: int = 3, grain: int = 128) -> DataFrame:
-    """Weight-of-evidence table with supervised bins: a one-feature Gini tree of 2..max_leaves leaves.
+def iv_tree(df: DataFrame, feats: Sequence[str], label: str, max_leaves: int = 4, folds: int = 3, id_col: str = "txn_id") -> DataFrame:
+    """Weight-of-evidence table with supervised bins: for each feature a Gini tree of 2..max_leaves leaves on its exact values.
 
-    Values are first reduced to at most ``grain`` quantile cells per (feature, fold). Only these counts,
-    a few hundred rows per feature whatever the data size, go to the split search.
+    The number of leaves is chosen on folds that are stratified by the label; see ``treebins``.
     """
-    long = to_long(df.withColumn("__fold", F.pmod(F.xxhash64(*feats, label), F.lit(folds))), feats, [label, "__fold"])
-    cells = assign_cells(long, grain)
-    hist = cells.groupBy("feature", "__fold", "cell").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum(F.col(label).cast("long")).alias("bad"),
-        F.min("value").alias("lo"),
-        F.max("value").alias("hi"),
-    )
-    schema = "feature string, bin string, n long, bad long"
-
-    def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        return tree_bins(pdf, max_leaves)
-
-    bins = hist.groupBy("feature").applyInPandas(search, schema)
-    totals = bins.groupBy("feature").agg(F.sum("n").alias("tn"), F.sum("bad").alias("tb"))
-    x = bins.join(totals, "feature")
-    pb = (F.col("bad") + SMOOTH) / F.nullif(F.col("tb").cast("double"), F.lit(0.0))
-    pg = (F.col("n") - F.col("bad") + SMOOTH) / F.nullif((F.col("tn") - F.col("tb")).cast("double"), F.lit(0.0))
-    return x.select("feature", "bin", "n", "bad", F.log(pb / pg).alias("woe"), ((pb - pg) * F.log(pb / pg)).alias("iv"))
-
-
-def assign_cells(long: DataFrame, grain: int) -> DataFrame:
-    probs = F.array(*[F.lit(i / grain) for i in range(1, grain)])
-    cuts = long.groupBy("feature").agg(F.array_distinct(F.percentile_approx("value", probs, 10_000)).alias("cuts"))
-    over = F.size(F.filter("cuts", lambda c: c < F.col("value")))
-    return long.join(F.broadcast(cuts), "feature", "left").withColumn(
-        "cell", F.when(F.col("value").isNotNull(), over)
-    ).drop("cuts")
-
-
-def _split(n, bad, a: int, b: int):
-    """Best Gini split of cells [a, b): (gain, position)."""
-    tn, tb = n[a:b].sum(), bad[a:b].sum()
-    if tn == 0 or tb in (0, tn) or b - a < 2:
-        return 0.0, None
-    ln, lb = n[a : b - 1].cumsum(), bad[a : b - 1].cumsum()
-    rn, rb = tn - ln, tb - lb
-
-    def impurity(k, y):
-        return 2.0 * y * (k - y) / k.clip(1)
-
-    gain = 2.0 * tb * (tn - tb) / tn - impurity(ln, lb) - impurity(rn, rb)
-    i = int(gain.argmax())
-    return float(gain[i]), a + i + 1
-
-
-def _grow(n, bad, leaves: int) -> list[int]:
-    """Best-first growth; returns the leaf boundaries."""
-    edges = [0, len(n)]
-    while len(edges) - 1 < leaves:
-        options = [(*_split(n, bad, a, b), a) for a, b in zip(edges, edges[1:])]
-        gain, cut, _ = max(options, key=lambda o: o[0])
-        if cut is None or gain <= 0:
-            break
-        edges = sorted([*edges, cut])
-    return edges
-
-
-def _auc(n, bad, rate) -> float:
-    tb, tg = bad.sum(), (n - bad).sum()
-    if tb == 0 or tg == 0:
-        return 0.5
-    t = pd.DataFrame({"r": rate, "b": bad, "g": n - bad}).groupby("r", as_index=False).sum().sort_values("r")
-    below = t["g"].cumsum() - t["g"]
-    return float((t["b"] * (below + t["g"] / 2)).sum() / (tb * tg))
-
-
-def tree_bins(pdf: pd.DataFrame, max_leaves: int) -> pd.DataFrame:
-    """Bins of one feature from its (fold, cell) counts: leaf count by mean fold AUC, then smallest spread."""
-    name = pdf["feature"].iloc[0]
-    missing = pdf[pdf["cell"].isna()]
-    known = pdf[pdf["cell"].notna()]
-    rows: list[tuple] = []
-    if len(known):
-        spans = known.groupby("cell").agg(lo=("lo", "min"), hi=("hi", "max")).sort_index()
-        folds = sorted(known["__fold"].unique())
-
-        def counts(part: pd.DataFrame):
-            t = part.groupby("cell")[["n", "bad"]].sum().reindex(spans.index).fillna(0)
-            return t["n"].to_numpy(), t["bad"].to_numpy()
-
-        def score(leaves: int) -> tuple[float, float]:
-            aucs = []
-            for f in folds:
-                n, bad = counts(known[known["__fold"] != f])
-                vn, vb = counts(known[known["__fold"] == f])
-                edges = _grow(n, bad, leaves)
-                rate = pd.Series(0.0, index=range(len(n)))
-                for a, b in zip(edges, edges[1:]):
-                    rate[a : b] = bad[a:b].sum() / max(n[a:b].sum(), 1)
-                aucs.append(_auc(vn, vb, rate.to_numpy()))
-            s = pd.Series(aucs)
-            return float(s.mean()), -float(s.std(ddof=0))
-
-        best = max(range(2, max_leaves + 1), key=score) if len(folds) > 1 and len(spans) > 1 else 1
-        n, bad = counts(known)
-        edges = _grow(n, bad, best)
-        for a, b in zip(edges, edges[1:]):
-            lo, hi = spans["lo"].iloc[a], spans["hi"].iloc[b - 1]
-            rows.append((name, f"{lo}__{hi}" if lo < hi else f"{lo}", int(n[a:b].sum()), int(bad[a:b].sum())))
-    if len(missing):
-        rows.append((name, "Missing", int(missing["n"].sum()), int(missing["bad"].sum())))
-    return pd.DataFrame(rows, columns=["feature", "bin", "n", "bad"])
+    marked = stratified_folds(df.select(id_col, label, *[c for c in feats if c != id_col]), label, folds, id_col)
+    bins = tree_bins(to_long(marked, feats, [label, "fold"]), label, "fold", folds, max_leaves)
+    return evidence(bins, ["feature", "bin", "lo", "hi"])
 
 
 def available(declared: Iterable[str], df: DataFrame) -> list[str]:
