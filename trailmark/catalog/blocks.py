@@ -75,7 +75,7 @@ def block_sql(name: str) -> str:
             gaps = f"select txn_id, (t - lag(t) over (partition by txn_id order by t, h_id)) / 1e6 as gap from hist where {inside} and dir = 0 and g_atm_cash"
             side(tok + "_q", f"select txn_id, count(*) filter (where gap <= 120) as {tok} from ({gaps}) group by 1")
         elif base == "source_top_share":
-            keys = "select txn_id, party, sum(amt) as s from hist where h_id is not null and dir = 1 and party is not null group by 1, 2"
+            keys = "select txn_id, party, sum(amt::decimal(26,6)) as s from hist where h_id is not null and dir = 1 and party is not null group by 1, 2"
             side(tok + "_q", f"select txn_id, max(s) / nullif(sum(s), 0) as {tok} from ({keys}) group by 1")
         else:
             raise ValueError(f"no SQL for token {tok} of {name}")

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from trailmark.catalog.base import ANCHORS, BALANCE, FLOW, ORDERS, SNAPS, amount, days_hist, events, hist, inflow, outflow, query, sql
 from trailmark.functions import scalars as S
-from trailmark.operators.joins import pit_join
 from trailmark.operators.sequences import follow_pattern_flag, running_balance
+from trailmark.plans.dyadic import window_tops
 from trailmark.plans.lookback import Measure, look_back, look_back_days
 from trailmark.plans.profile import at_least, distinct, key_profile, key_profile_days, rows, squares, when
 from trailmark.plans.quantiles import window_quantile, window_rank
@@ -140,12 +140,8 @@ def _(spark, d):
            "select a.txn_id, share, coalesce(sources, 0) as sources from anchors a left join g using (txn_id)"))
 def _(spark, d):
     flow, anchors = events(spark, d)
-    # The largest real-valued total of a key is an order statistic: it needs the window's keys.
-    pairs = pit_join(anchors.select("txn_id", "acct", "t"), flow.filter(inflow() & F.col("party").isNotNull()), WINDOWS["14d"], how="inner", history=["t", "party", "amt"])
-    keys = pairs.groupBy("txn_id", "h_party").agg(F.sum("h_amt").alias("s"))
-    top = keys.groupBy("txn_id").agg(F.max("s").alias("hi"), F.sum("s").alias("total"), F.count(F.lit(1)).alias("n"))
-    return anchors.select("txn_id").join(top, "txn_id", "left").select(
-        "txn_id", S.safe_ratio("hi", "total").alias("share"), F.coalesce("n", F.lit(0)).alias("sources"))
+    got = window_tops(anchors, flow, "party", "14d", amount(), inflow())
+    return got.select("txn_id", S.safe_ratio("top", "total").alias("share"), F.col("keys").alias("sources"))
 
 
 @query("repeat_share", "txn_id:i party_share:d amt_share:d",

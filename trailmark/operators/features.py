@@ -19,11 +19,11 @@ from pyspark.sql import functions as F
 
 from trailmark.functions.scalars import contains_any
 from trailmark.functions.tagsets import CHANNEL_TAGS
-from trailmark.operators.joins import pit_join
 from trailmark.operators.novelty import value_history
 from trailmark.operators.sequences import gap_median, gap_range, gap_stats
+from trailmark.plans.dyadic import window_tops
 from trailmark.plans.lookback import Measure, look_back
-from trailmark.plans.profile import at_least, distinct, key_profile, key_profile_band, squares
+from trailmark.plans.profile import KeyMeasure, at_least, distinct, key_profile, key_profile_band, key_profiles, squares
 from trailmark.plans.prune import relevant_history
 from trailmark.plans.quantiles import window_quantile, window_rank
 from trailmark.schema import WINDOWS
@@ -403,10 +403,16 @@ def build(
         if base in PROFILES:
             key, cond, stat, nulls = PROFILES[base]
             runs.setdefault((key, cond, nulls, w), {})[f"{base}_{w}"] = stat
+    together = []
     for (key, cond, nulls, w), stats in runs.items():
         peak = next((n for n, s in stats.items() if s == "peak"), None)
         prof = {n: STATS[s] for n, s in stats.items() if s != "peak"}
-        parts.append(key_profile(anchors, hist, [key], w, prof, where=F.expr(cond), peak=peak, nulls=nulls))
+        if peak:
+            parts.append(key_profile(anchors, hist, [key], w, prof, where=F.expr(cond), peak=peak, nulls=nulls))
+        else:
+            together.append(KeyMeasure(prof, (key,), w, F.expr(cond), nulls))
+    if together:
+        parts.append(key_profiles(anchors, hist, together))
     for word, key, cond, lo in (("sources_older14", "party", _and(IN, "trim(party) <> ''"), "14d"), ("out_chans_older3", "chan", OUT, "3d")):
         if uses(blocks, word):
             parts.append(key_profile_band(anchors, hist, [key], lo, "150d", {word: distinct}, where=F.expr(cond)))
@@ -433,9 +439,8 @@ def build(
         if ("prank", w) in found:
             parts.append(window_rank(anchors, hist, w, F.expr(OUT)).selectExpr("txn_id", f"share as prank_{w}"))
     if uses(blocks, "source_top_share_150d"):
-        rows = pit_join(anchors.select("txn_id", "acct", "t"), hist.filter(_and(IN, NAMED)), WINDOWS["150d"], how="inner", history=["t", "party", "amt"])
-        keys = rows.groupBy("txn_id", "h_party").agg(F.sum("h_amt").alias("s"))
-        parts.append(keys.groupBy("txn_id").agg(F.expr("max(s) / nullif(sum(s), 0) as source_top_share_150d")))
+        got = window_tops(anchors, hist, "party", "150d", F.col("amt"), F.expr(_and(IN, NAMED)))
+        parts.append(got.selectExpr("txn_id", "top / nullif(total, 0) as source_top_share_150d"))
     if uses(blocks, "last_out_older3"):
         # Last row at or before the start of the 3-day window, still inside 150 days of the anchor.
         back = anchors.selectExpr("txn_id", "acct", "t - 259200000000L as t", "t as t0")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trailmark.plans.blocked import HOT_ROWS, hot_accounts, running_sum, sum_before
-from trailmark.plans.lookback import Measure, look_back
+from trailmark.plans.dyadic import window_tops
 from trailmark.schema import SECOND
 
 
@@ -137,18 +137,10 @@ def enumerate_values(flow: DataFrame, col: str, top: int = 50) -> list[str]:
 def top_value(anchors: DataFrame, flow: DataFrame, col: str, window: str, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Per anchor the most frequent value of the window (smallest of equals; NULL if empty) and its count.
 
-    Counts are looked back per (account, value), for the values that the account has at all: rows are never
-    paired with anchors, and no list of values is needed.
+    No anchor meets the values its account ever had: see ``plans.dyadic.window_tops``.
     """
-    rows = flow.filter(F.col(col).isNotNull()).select("acct", F.col(col).alias("v"), "t")
-    probes = anchors.select("txn_id", "acct", "t").join(rows.select("acct", "v").distinct(), "acct")
-    keyed = F.struct("acct", "v").alias("acct")
-    asked = probes.select(F.struct("txn_id", "v").alias("txn_id"), keyed, "t")
-    counts = look_back(asked, rows.select(keyed, "t"), [Measure("n", "count", [window])], hot_rows=hot_rows)
-    best = counts.withColumn("n", F.col(f"n_{window}")).filter("n > 0").groupBy(F.col("txn_id.txn_id").alias("txn_id"))
-    top = best.agg(F.min(F.struct((-F.col("n")).alias("n"), F.col("txn_id.v").alias("v"))).alias("b"))
-    top = top.select("txn_id", F.col("b.v").alias(col), (-F.col("b.n")).alias("n"))
-    return anchors.select("txn_id").join(top, "txn_id", "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
+    got = window_tops(anchors, flow, col, window, hot_rows=hot_rows)
+    return got.select("txn_id", col, F.coalesce("top", F.lit(0).cast("long")).alias("n"))
 
 
 Block = Callable[..., DataFrame]

@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from trailmark.functions.scalars import flag, positive_ratio, sample_std
 from trailmark.operators.joins import pit_join, pit_join_days
 from trailmark.plans.blocked import HOT_ROWS, carry_last, hot_accounts, neighbours, running_sum, sum_before
+from trailmark.plans.dyadic import above, cover
+from trailmark.plans.lineage import settle
 from trailmark.plans.lookback import Measure, look_back
-from trailmark.plans.quantiles import PAIR_FACTOR, interval_quantile, pair_ratio
+from trailmark.plans.quantiles import PAIR_FACTOR, interval_quantile, pair_ratio, smallest_sums
 from trailmark.schema import DAY, SECOND, WINDOWS
 
 ORDER = ("t", "txn_id")
@@ -236,24 +238,37 @@ def trend_rollup(points: DataFrame, trend: DataFrame, day: str = "snap_dt", days
 
 
 def low_gap_average(
-    points: DataFrame, flow: DataFrame, days: int = 180, lo: float = 0.005, hi: float = 0.015, day: str = "snap_dt"
+    points: DataFrame, flow: DataFrame, days: int = 180, lo: float = 0.005, hi: float = 0.015, day: str = "snap_dt", hot_rows: int = HOT_ROWS
 ) -> DataFrame:
-    """Mean of the gaps whose dense rank, as a share of the window's rows, lies strictly in (lo, hi)."""
-    rows = pit_join_days(points, flow, 0, days - 1, day, "left", ["t", "txn_id"])
-    key = ["acct", day]
-    per = Window.partitionBy(*key)
-    gaps = rows.withColumn("gap", F.col("h_t") - F.lag("h_t").over(per.orderBy("h_t", "h_txn_id")))
-    # Ranks over distinct gaps: one row per gap value, however many rows share it.
-    counts = gaps.groupBy(*key, "gap").agg(F.count(F.lit(1)).alias("n"))
-    ranked = counts.withColumns(
-        {"rank": F.dense_rank().over(per.orderBy(F.col("gap").asc_nulls_last())), "total": F.sum("n").over(per)}
-    )
-    share = F.col("rank") / F.col("total").cast("double")
-    pick = (share > lo) & (share < hi) & F.col("gap").isNotNull()
-    secs = F.col("gap") / F.lit(float(SECOND))
-    return ranked.groupBy(*key).agg(
-        positive_ratio(F.sum(F.when(pick, secs * F.col("n"))), F.sum(F.when(pick, F.col("n")))).alias("low_gap_avg")
-    )
+    """Mean of the gaps whose dense rank, as a share of the window's rows, lies strictly in (lo, hi).
+
+    A gap is in the windows that hold both its rows: one entry and one exit on the account's days. The ranks asked for are
+    found digit by digit among the distinct gaps in the window, and what lies up to them is added up on the way, so no
+    window is ever listed.
+    """
+    hot = hot_accounts(flow, "t", hot_rows)
+    follows = neighbours(flow.select("acct", "txn_id", "t", "dt"), ["acct"], list(ORDER), hot, lags={"pt": "t", "pd": "dt"})
+    number = F.unix_date("dt").cast("long")
+    gaps = follows.filter(F.col("pt").isNotNull()).select(
+        "acct", (F.col("t") - F.col("pt")).alias("v"), (number - 1).alias("enter"), (F.unix_date("pd").cast("long") + days - 1).alias("leave"))
+    gaps = gaps.filter("enter < leave")
+    rows = flow.groupBy("acct", number.alias("d")).agg(F.count(F.lit(1)).alias("n"))
+    rows = rows.select("acct", F.explode(F.array(F.struct((F.col("d") - 1).alias("e"), "n"), F.struct((F.col("d") + days - 1).alias("e"), (-F.col("n")).alias("n")))).alias("x"))
+    probes = points.select("acct", F.unix_date(day).cast("long").alias("e")).distinct()
+    steps = rows.select("acct", "x.*").groupBy("acct", "e").agg(F.sum("n").alias("n"))
+    total = sum_before(probes, steps, "e", ["n"], hot_accounts(steps, "e", hot_rows)).filter("n > 0")
+    # the least rank above ``lo`` and the largest below ``hi``, by the same division as in the definition
+    at = lambda r: f"(({r}) / cast(n as double))"
+    least, most = f"cast(floor({float(lo)}D * n) as bigint)", f"cast(ceil({float(hi)}D * n) as bigint)"
+    asked = total.selectExpr(
+        "acct", "e", f"case when {at(least)} > {float(lo)}D then {least} when {at(least + ' + 1')} > {float(lo)}D then {least} + 1 else {least} + 2 end as r1",
+        f"case when {at(most)} < {float(hi)}D then {most} when {at(most + ' - 1')} < {float(hi)}D then {most} - 1 else {most} - 2 end as r2")
+    asked = asked.filter("r1 <= r2").selectExpr("acct", "e", "explode(array(struct(0 as side, r1 - 1 as k), struct(1 as side, r2 as k))) as x")
+    sums = smallest_sums(asked.selectExpr("acct", "e", "x.side as side", "x.k as k"), gaps, ["acct", "e", "side"], hot_rows)
+    both = sums.groupBy("acct", "e").agg(*[F.sum(F.when(F.col("side") == 1, F.col(c)).otherwise(-F.col(c))).alias(c) for c in ("n", "total")])
+    mean = F.when(F.col("n") > 0, F.col("total").cast("double") / F.col("n") / F.lit(float(SECOND))).alias("low_gap_avg")
+    found = both.select("acct", F.date_from_unix_date(F.col("e").cast("int")).alias(day), mean)
+    return points.select("acct", day).distinct().join(found, ["acct", day], "left")
 
 
 def direction_runs(
@@ -291,39 +306,80 @@ def equal_amount_runs(
 
     Runs alternate, so pairing a run with the one before it inside the group opened by each inflow run
     (or by each outflow run) is pairing an outflow run with its inflow run (or the reverse).
-    """
-    runs = direction_runs(points, flow, lo, hi, day, hot_rows)
-    order = Window.partitionBy("acct", day).orderBy("end_t", "run")
-    prev_dir, prev_amt, prev_cnt = (F.lag(c).over(order) for c in ("dir", "run_amt", "run_cnt"))
-    paired = runs.withColumns(
-        {
-            "ratio": F.when(prev_dir.isNotNull(), F.col("run_amt") / F.nullif(prev_amt, F.lit(0.0))),
-            # Maxima over the two runs of the group: the opener and its follower.
-            "back_amt": F.greatest("run_amt", prev_amt),
-            "back_cnt": F.greatest("run_cnt", prev_cnt),
-        }
-    )
-    hit = F.col("ratio").between(low, high)
-    after_in, after_out = F.col("dir") == 0, F.col("dir") == 1
-
-    def both(agg, value: Column) -> list[Column]:
-        return [agg(F.when(side, value)) for side in (after_in, after_out)]
 
+    A window cuts only its first and its last run. The pairs of whole runs between them are constant: they are summarised in aligned blocks
+    of 1, 2, 4, ... pairs, and a window merges the few blocks that cover its pairs with those two at its ends. No run is
+    ever listed for a window, so an account whose directions alternate costs rows x log(rows).
+    """
+    hot = hot_accounts(flow, "t", hot_rows)
+    turned = neighbours(flow.select("acct", "txn_id", "t", "dt", "dir", "amt"), ["acct"], list(ORDER), hot, {"pd": "dir"})
+    change = flag(F.col("pd").isNull() | (F.col("pd") != F.col("dir"))).cast("long")
+    numbered = running_sum(turned, ["acct"], list(ORDER), {"run": change}, hot)
+    pieces = settle(numbered.groupBy("acct", "run", "dt", "dir").agg(F.sum("amt").alias("amt"), F.count("amt").alias("cnt")))
+    runs = settle(pieces.groupBy("acct", "run", "dir").agg(F.sum("amt").alias("amt"), F.sum("cnt").alias("cnt")))
+
+    def paired(prev_amt: Column, prev_cnt: Column, amt: Column, cnt: Column, after: Column) -> Column:
+        """What a pair adds, as the summary of one pair: of the side that its second run's direction names."""
+        ratio = amt / F.nullif(prev_amt, F.lit(0.0))
+        hit = ratio.between(low, high)
+        return F.struct(
+            after.alias("side"), F.when(hit, 1).otherwise(0).cast("long").alias("hits"), F.when(hit, F.greatest(amt, prev_amt)).alias("back_amt"),
+            F.when(hit, F.greatest(cnt, prev_cnt)).alias("back_cnt"), F.when(ratio.isNotNull(), 1).otherwise(0).cast("long").alias("n"),
+            ratio.alias("mean"), F.when(ratio.isNotNull(), F.lit(0.0)).alias("m2"), ratio.alias("top"), ratio.alias("least"))
+
+    # pair j is of the runs j and j + 1 (numbers start at 1)
+    nexts = runs.select("acct", (F.col("run") - 1).alias("run"), F.col("dir").alias("n_dir"), F.col("amt").alias("n_amt"), F.col("cnt").alias("n_cnt"))
+    pairs = runs.join(nexts, ["acct", "run"]).select("acct", "run", paired(F.col("amt"), F.col("cnt"), F.col("n_amt"), F.col("n_cnt"), F.col("n_dir")).alias("p"))
+    blocks = pairs.select("acct", F.explode(above(F.col("run"))).alias("b"), "p.*").groupBy("acct", "b.level", "b.node", "side").agg(
+        F.sum("hits").alias("hits"), F.max("back_amt").alias("back_amt"), F.max("back_cnt").alias("back_cnt"), F.sum("n").alias("n"),
+        F.avg("mean").alias("mean"), (F.var_pop("mean") * F.count("mean")).alias("m2"), F.max("top").alias("top"), F.min("least").alias("least"))
+
+    # what is left of a day's first run from that day on, and what there is of its last run up to that day
+    by_day = Window.partitionBy("acct", "run")
+    ahead, back = (by_day.orderBy(F.desc("dt")), by_day.orderBy("dt"))
+    so_far = pieces.withColumns({f"{c}_{n}": F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, 0)) for c in ("amt", "cnt") for n, w in (("left", ahead), ("upto", back))})
+    days = so_far.groupBy("acct", "dt").agg(
+        F.min(F.struct("run", F.col("amt_left").alias("amt"), F.col("cnt_left").alias("cnt"))).alias("first"),
+        F.max(F.struct("run", F.col("amt_upto").alias("amt"), F.col("cnt_upto").alias("cnt"), "dir")).alias("last"))
+    # one row for each active day and each end of a window: bounded by the days of the history
+    ends = points.select("acct", day).distinct()
+    marks = ends.select("acct", day, F.explode(F.array(F.struct(F.date_sub(day, hi).alias("dt"), F.lit(0).alias("end")), F.struct(F.date_sub(day, lo).alias("dt"), F.lit(1).alias("end")))).alias("m"))
+    line = days.select("acct", "dt", "first", "last", F.lit(None).cast("date").alias(day), F.lit(None).cast("int").alias("end")).unionByName(
+        marks.select("acct", "m.dt", F.lit(None).cast(days.schema["first"].dataType).alias("first"), F.lit(None).cast(days.schema["last"].dataType).alias("last"), day, "m.end"))
+    onward = Window.partitionBy("acct").orderBy(F.desc("dt"), F.asc_nulls_first("end")).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy("acct").orderBy("dt", F.asc_nulls_first("end")).rowsBetween(Window.unboundedPreceding, 0)
+    line = line.withColumns({"next_day": F.last(F.when(F.col("first").isNotNull(), F.struct("dt", "first")), ignorenulls=True).over(onward),
+        "last_day": F.last(F.when(F.col("last").isNotNull(), F.struct("dt", "last")), ignorenulls=True).over(before)})
+    cut = line.filter(F.col("end").isNotNull()).groupBy("acct", day).agg(
+        F.max(F.when(F.col("end") == 0, F.col("next_day"))).alias("a"), F.max(F.when(F.col("end") == 1, F.col("last_day"))).alias("b"))
+    cut = cut.filter("a.dt <= b.dt and a.first.run < b.last.run").select(
+        "acct", day, F.col("a.first.run").alias("run_a"), F.col("a.first.amt").alias("amt_a"), F.col("a.first.cnt").alias("cnt_a"),
+        F.col("b.last.run").alias("run_b"), F.col("b.last.amt").alias("amt_b"), F.col("b.last.cnt").alias("cnt_b"), F.col("b.last.dir").alias("dir_b"))
+    cut = settle(cut)
+
+    # the pairs at both ends; they are one and the same where two runs are all there is
+    wide = cut.filter("run_b > run_a + 1")
+    second = runs.select("acct", (F.col("run") - 1).alias("run_a"), F.col("dir").alias("o_dir"), F.col("amt").alias("o_amt"), F.col("cnt").alias("o_cnt"))
+    prior = runs.select("acct", (F.col("run") + 1).alias("run_b"), F.col("amt").alias("o_amt"), F.col("cnt").alias("o_cnt"))
+    only = cut.filter("run_b = run_a + 1").select("acct", day, paired(F.col("amt_a"), F.col("cnt_a"), F.col("amt_b"), F.col("cnt_b"), F.col("dir_b")).alias("p"))
+    opens = wide.join(second, ["acct", "run_a"]).select("acct", day, paired(F.col("amt_a"), F.col("cnt_a"), F.col("o_amt"), F.col("o_cnt"), F.col("o_dir")).alias("p"))
+    closes = wide.join(prior, ["acct", "run_b"]).select("acct", day, paired(F.col("o_amt"), F.col("o_cnt"), F.col("amt_b"), F.col("cnt_b"), F.col("dir_b")).alias("p"))
+    whole = wide.select("acct", day, F.explode(cover(F.col("run_a") + 1, F.col("run_b") - 1)).alias("x")).select("acct", day, "x.*")
+    inner = whole.join(blocks, ["acct", "level", "node"]).drop("level", "node")
+    parts = inner.unionByName(only.unionByName(opens).unionByName(closes).select("acct", day, "p.*"))
+
+    # a few summaries for each window and side: means and squared deviations are merged about the common mean
+    mean = (F.sum(F.col("n") * F.col("mean")) / F.nullif(F.sum("n"), F.lit(0))).alias("mean")
+    sides = parts.groupBy("acct", day, "side").agg(
+        F.sum("hits").alias("hits"), F.max("back_amt").alias("back_amt"), F.max("back_cnt").alias("back_cnt"), F.sum("n").alias("n"), mean,
+        F.sum("m2").alias("m2"), F.collect_list(F.when(F.col("n") > 0, F.struct("n", "mean"))).alias("parts"), F.max("top").alias("top"), F.min("least").alias("least"))
+    spread = F.aggregate("parts", F.lit(0.0), lambda a, x: a + x["n"] * (x["mean"] - F.col("mean")) * (x["mean"] - F.col("mean")))
+    sides = sides.withColumn("std", F.sqrt((F.col("m2") + spread) / F.nullif(F.col("n"), F.lit(0))))
     zero = F.lit(0)
-    best_amt = [F.coalesce(F.max(F.when(s & hit, F.col("back_amt"))), F.lit(0.0)) for s in (after_in, after_out)]
-    best_cnt = [F.coalesce(F.max(F.when(s & hit, F.col("back_cnt"))), zero) for s in (after_in, after_out)]
-    stats = paired.groupBy("acct", day).agg(
-        F.greatest(*[F.count_if(s & hit) for s in (after_in, after_out)]).alias("pair_cnt"),
-        F.greatest(*best_amt).alias("pair_max_amt"),
-        F.greatest(*best_cnt).alias("pair_max_cnt"),
-        F.least(*both(F.stddev_pop, F.col("ratio"))).alias("ratio_std"),
-        F.greatest(*both(F.avg, F.col("ratio"))).alias("ratio_avg"),
-        F.greatest(*both(F.max, F.col("ratio"))).alias("ratio_max"),
-        F.least(*both(F.min, F.col("ratio"))).alias("ratio_min"),
-    )
-    return points.select("acct", day).distinct().join(stats, ["acct", day], "left").fillna(
-        0, ["pair_cnt", "pair_max_amt", "pair_max_cnt"]
-    )
+    stats = sides.groupBy("acct", day).agg(
+        F.max("hits").alias("pair_cnt"), F.coalesce(F.max("back_amt"), F.lit(0.0)).alias("pair_max_amt"), F.coalesce(F.max("back_cnt"), zero).alias("pair_max_cnt"),
+        F.min("std").alias("ratio_std"), F.max("mean").alias("ratio_avg"), F.max("top").alias("ratio_max"), F.min("least").alias("ratio_min"))
+    return ends.join(stats, ["acct", day], "left").fillna(0, ["pair_cnt", "pair_max_amt", "pair_max_cnt"])
 
 
 def follow_pattern_flag(

@@ -12,12 +12,14 @@ hot account is cut into time stretches, so neither it nor a hot key lands in one
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trailmark.plans.blocked import HOT_ROWS, hot_accounts, running_sum, sum_before
-from trailmark.schema import SECOND, WINDOWS
+from trailmark.plans.lineage import settle
+from trailmark.schema import DAY, SECOND, WINDOWS
 
 Profile = Mapping[str, Callable[[Column], Column]]
 
@@ -116,6 +118,55 @@ def key_profile_days(
     return _profile(probes, changes, ids, keys, profiles, None, hot)
 
 
+@dataclass(frozen=True)
+class KeyMeasure:
+    """Profiles over the distinct keys of one window: a label of ``WINDOWS`` or a band of days (lo, hi) before the anchor's day."""
+
+    profiles: Profile
+    keys: tuple[str, ...]
+    window: str | tuple[int, int]
+    where: Column | None = None
+    nulls: bool = False
+
+    def bounds(self) -> tuple[Column, Column]:
+        """The moments after which a row is in the window, and out of it again."""
+        if isinstance(self.window, str):
+            return F.col("t"), F.col("t") + WINDOWS[self.window] * SECOND
+        lo, hi = self.window
+        day = F.unix_date("dt").cast("long")
+        return (day + lo) * DAY - 1, (day + hi + 1) * DAY - 1
+
+
+def key_profiles(anchors: DataFrame, flow: DataFrame, measures: Sequence[KeyMeasure], hot_rows: int = HOT_ROWS) -> DataFrame:
+    """One row per anchor: ``txn_id`` and the profiles of all ``measures``, from one stream of changes.
+
+    Every change carries the number of its measure; changes of one (account, measure, key, moment) are added up before they
+    are shuffled. So any number of (keys, window, condition) takes the passes of one: the counts run per (account, measure, key), and
+    the steps of all measures at one moment are one row of the account's time line.
+    """
+    changes = []
+    for tag, m in enumerate(measures):
+        texts = [F.col(k).cast("string") for k in m.keys]
+        texts = [F.coalesce(x, F.lit("\0")) for x in texts] if m.nulls else texts
+        key = F.concat(*[part for x in texts for part in (F.length(x).cast("string"), F.lit(":"), x)])
+        counts = key.isNotNull() if m.where is None else key.isNotNull() & m.where
+        for moment, d in zip(m.bounds(), (1, -1), strict=True):
+            changes.append(F.when(counts, F.struct(F.lit(tag).alias("tag"), key.alias("key"), moment.alias("e"), F.lit(d).alias("d"))))
+    steps = flow.select("acct", F.explode(F.array_compact(F.array(*changes))).alias("x")).select("acct", "x.*")
+    steps = steps.groupBy("acct", "tag", "key", "e").agg(F.sum("d").alias("d")).filter("d <> 0")
+    hot = hot_accounts(flow, "t", hot_rows)
+    counted = running_sum(steps, ["acct", "tag", "key"], ["e"], {"c": F.col("d")}, hot)
+    c, d = F.col("c"), F.col("d")
+    deltas = {n: F.when(F.col("tag") == tag, f(c) - f(c - d)) for tag, m in enumerate(measures) for n, f in m.profiles.items()}
+    # changes that move no profile of any measure are dropped
+    moved = F.lit(False)
+    for f in {f for m in measures for f in m.profiles.values()}:
+        moved = moved | (f(c) != f(c - d))
+    merged = settle(counted.filter(moved).groupBy("acct", "e").agg(*[F.coalesce(F.sum(x), F.lit(0)).alias(n) for n, x in deltas.items()]))
+    probes = anchors.select("txn_id", "acct", F.col("t").alias("e"))
+    return sum_before(probes, merged, "e", list(deltas), hot).select("txn_id", *deltas)
+
+
 def _keyed(flow: DataFrame, keys: Sequence[str], nulls: bool) -> DataFrame:
     if nulls:
         return flow.withColumns({k: F.coalesce(F.col(k).cast("string"), F.lit("\0")) for k in keys})

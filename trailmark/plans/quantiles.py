@@ -17,7 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trailmark.plans.blocked import hot_accounts, sum_before
+from trailmark.plans.blocked import hot_accounts, running_sum, sum_before
 from trailmark.plans.lineage import settle
 from trailmark.plans.lookback import HOT_ROWS, Measure, look_back
 
@@ -177,3 +177,48 @@ def interval_quantile(anchors: DataFrame, items: DataFrame, prob: float, hot_row
         chosen = state.join(counts, "txn_id").selectExpr("*", f"case {cases} end as digit", f"array(0L, {', '.join(sums)}) as run")
         state = settle(chosen.selectExpr("txn_id", "acct", "e", "k - run[digit] as k", "p * 16 + digit as p"))
     return anchors.select("txn_id").join(state.selectExpr("txn_id", "p as q"), "txn_id", "left")
+
+
+def smallest_sums(probes: DataFrame, items: DataFrame, ids: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Number and sum of the items among the ``k`` smallest *distinct* values valid at each probe: (ids..., n, total).
+
+    ``probes`` have acct, e, k and further ``ids``; ``items`` have acct, enter, leave and an integer ``v``, and are valid where
+    ``enter < e <= leave``. Fewer than ``k`` distinct values: all of them. Values are replaced by their positions and the k-th one
+    is found digit by digit; at each digit the items of smaller digits are added, so nothing is listed.
+    """
+    codes, bits = positions([items.select(F.col("v").alias("value"))], "value")
+    codes = codes.withColumnRenamed("v", "code")
+    rounds = (bits + 3) // 4
+    moves = items.selectExpr("acct", "v", "explode(array(struct(enter as e, 1L as d), struct(leave as e, -1L as d))) as x").select("acct", "v", "x.*")
+    moves = moves.groupBy("acct", "v", "e").agg(F.sum("d").alias("d")).filter("d <> 0")
+    hot = hot_accounts(moves, "e", hot_rows)
+    counted = running_sum(moves, ["acct", "v"], ["e"], {"c": F.col("d")}, hot)
+    steps = counted.selectExpr("acct", "v as value", "e", "d", "case when c >= 1 then 1L else 0L end - case when c - d >= 1 then 1L else 0L end as seen")
+    steps = settle(steps.join(codes, "value"))
+    key = F.struct(*[F.col(c) for c in ids])
+    state = settle(probes.filter("k > 0").select(key.alias("txn_id"), "acct", "e", F.col("k").cast("long").alias("k"), F.lit(0).cast("long").alias("p"),
+                                                 F.lit(0).cast("long").alias("n"), F.lit(0).cast("decimal(38,0)").alias("total")))
+    names = [f"{x}{i}" for i in range(16) for x in ("s", "n", "t")]
+    upto = {x: [" + ".join(f"{x}{j}" for j in range(i + 1)) for i in range(16)] for x in "snt"}
+    cases = " ".join(f"when {upto['s'][i]} >= k then {i}" for i in range(16))
+    for r in range(rounds):
+        shift = 4 * (rounds - 1 - r)
+        digit = f"shiftright(code, {shift}) & 15"
+        deltas = steps.selectExpr(
+            f"struct(acct, shiftright(code, {shift + 4}) as p) as acct", "e",
+            *[f"case when {digit} = {i} then {x} else {z} end as {n}{i}" for i in range(16)
+              for n, x, z in (("s", "seen", "0L"), ("n", "d", "0L"), ("t", "cast(d as decimal(38,0)) * value", "cast(0 as decimal(38,0))"))])
+        deltas = deltas.groupBy("acct", "e").agg(*[F.sum(n).cast("decimal(38,0)" if n[0] == "t" else "long").alias(n) for n in names])
+        asked = state.selectExpr("txn_id", "struct(acct, p) as acct", "e")
+        found = sum_before(asked, deltas, "e", names, hot_accounts(deltas, "e", hot_rows)).select("txn_id", *names)
+        found = found.selectExpr("txn_id", *[f"coalesce({n}, 0) as {n}" for n in names])
+        # digit 16: fewer distinct values than asked for, all of them count and the search ends
+        picked = state.join(found, "txn_id").selectExpr("*", f"case {cases} else 16 end as digit", *[f"array(0, {', '.join(upto[x])}) as run_{x}" for x in "snt"])
+        last = r == rounds - 1
+        add = "least(digit + 1, 16)" if last else "digit"
+        state = picked.selectExpr("txn_id", "acct", "e", "k - run_s[digit] as k", "p * 16 + digit as p", f"n + run_n[{add}] as n",
+                                  f"cast(total + run_t[{add}] as decimal(38,0)) as total", "digit")
+        state = settle(state.selectExpr("txn_id", "acct", "e", "k", "case when digit = 16 then -1L else p end as p", "n", "total"))
+    out = state.select("txn_id.*", "n", "total")
+    none = probes.filter("k <= 0").select(*ids, F.lit(0).cast("long").alias("n"), F.lit(0).cast("decimal(38,0)").alias("total"))
+    return out.unionByName(none)
