@@ -1,4 +1,7 @@
-"""Candidates, the wide rule row, the 37 alert rules and the exempted alerts."""
+"""Candidates, the wide rule row, the 37 alert rules and the exempted alerts, on statements with texts.
+
+The SQL twins are written from the definitions, not from the specifications of the Spark side.
+"""
 
 from __future__ import annotations
 
@@ -6,234 +9,170 @@ from pyspark.sql import functions as F
 
 from trailmark.catalog.base import FLOW, SNAPS, days_hist, query, sql
 from trailmark.catalog.sequence import PAIRS, RUNS
+from trailmark.operators import rulerow as W
 from trailmark.operators import rules as M
 from trailmark.operators import sequences as Q
+from trailmark.operators.statements import with_text_flags
 from trailmark.plans.lineage import settle
-from trailmark.plans.lookback import Measure, look_back, look_back_days
-from trailmark.plans.profile import distinct, key_profile, key_profile_days, when
-from trailmark.plans.prune import relevant_history
-from trailmark.schema import WINDOWS, account_days, event_flow
-
-# Row attributes of the test log: remark families, places and flags derived from the ids.
-ROW = {
-    "other_name": "case when txn_id % 3 <> 1 then 1 else 0 end",
-    "reversed": "case when txn_id % 41 = 0 then 1 else 0 end",
-    "offsite": "case when party is null then null when length(party) = 2 then 1 else 0 end",
-    "tr_any": "case when txn_id % 2 = 0 then 1 else 0 end",
-    "tr_short": "case when txn_id % 4 = 0 then 1 else 0 end",
-    "r_std": "case when txn_id % 5 = 0 then 1 else 0 end",
-    "card": "case when party like '6%' then 1 else 0 end",
-    "r_wallet": "case when txn_id % 6 < 3 then 1 else 0 end",
-    "acct_mark": "case when party like '%5' then 1 else 0 end",
-    "r_repay": "case when txn_id % 13 = 0 then 1 else 0 end",
-    "r_interbank": "case when txn_id % 8 < 5 then 1 else 0 end",
-    "r_entrusted": "case when txn_id % 17 = 0 then 1 else 0 end",
-    "r_withdraw": "case when chan = 'signup' then 1 else 0 end",
-    "r_shop": "case when chan in ('purchase', 'click') then 1 else 0 end",
-    "r_fund": "case when chan = 'view' then 1 else 0 end",
-    "r_refund": "case when txn_id % 11 = 0 then 1 else 0 end",
-    "cash": "case when txn_id % 7 < 2 then 1 else 0 end",
-    "to_credit": "case when txn_id % 9 < 4 then 1 else 0 end",
-    "near_bank": "case when txn_id % 10 < 3 then 1 else 0 end",
-    "near_region": "case when txn_id % 10 < 4 then 1 else 0 end",
-    "person": "case when txn_id % 100 > 0 then 1 else 0 end",
-    "age": "20 + acct % 60",
-    "open_days": "(acct * 37) % 2000",
-}
-STRANGER = "dir = 1 and other_name = 1 and novel = 1"
-LATE, DAWN = "hh in (23, 0, 1, 2, 3, 4)", "hh in (1, 2, 3, 4, 5)"
-SHOPPED = "dir = 0 and r_shop = 1 and prev_withdraw = 1 and prev_dir = 1 and since_prev < 36000"
-
-#: name -> (kind, windows, condition, value) over seconds windows, then over day bands.
-SECONDS = {
-    "strangers": ("count", ["3d"], STRANGER, None),
-    "off_strangers": ("count", ["3d"], f"{STRANGER} and offsite = 1", None),
-    "bank_in": ("count", ["2h"], f"{STRANGER} and card = 1", None),
-    "interbank": ("count", ["2h"], f"{STRANGER} and r_interbank = 1", None),
-    "probes": ("count", ["3d", "15d"], "r_interbank = 1 and amt < 1000", None),
-    "funds": ("count", ["3d", "15d"], "dir = 0 and r_fund = 1", None),
-    "withdraw_amt": ("sum", ["15d"], "dir = 1 and r_withdraw = 1", "amt"),
-    "late_withdraw": ("count", ["15d"], f"dir = 1 and r_withdraw = 1 and {LATE}", None),
-    "withdraw_shop": ("count", ["15d"], SHOPPED, None),
-    "rows": ("count", ["15d"], "dir >= 0", None),
-    "ins": ("count", ["15d"], "dir = 1", None),
-    "person_in": ("sum", ["15d"], "dir = 1 and person = 1", "amt"),
-    "in_sum": ("sum", ["15d"], "dir = 1", "amt"),
-    "out_sum": ("sum", ["15d"], "dir = 0", "amt"),
-    "late": ("count", ["15d"], "hh in (23, 0, 1, 2, 3)", None),
-}
-DAYS = {
-    "late_withdraw": ("count", ["180d"], f"r_withdraw = 1 and {LATE}", None),
-    "withdraw_all": ("count", ["180d"], "r_withdraw = 1", None),
-    "withdraw_in": ("count", ["180d"], "r_withdraw = 1 and dir = 1", None),
-    "withdraw_shop": ("count", ["180d"], SHOPPED, None),
-    "rows": ("count", ["180d"], "dir >= 0", None),
-    "days": ("days", ["180d", "gap"], "dir >= 0", None),
-    "in_strangers": ("count", ["180d"], STRANGER, None),
-    "in_others": ("count", ["180d"], "dir = 1 and other_name = 1", None),
-    "out_strangers": ("count", ["180d"], "dir = 0 and other_name = 1 and novel = 1", None),
-    "out_others": ("count", ["180d"], "dir = 0 and other_name = 1", None),
-    "dawn_out": ("count", ["180d"], f"dir = 0 and other_name = 1 and {DAWN}", None),
-    "dawn": ("count", ["180d"], DAWN, None),
-    "shop_out": ("count", ["180d"], "dir = 0 and r_shop = 1", None),
-    "outs": ("count", ["180d"], "dir = 0", None),
-    "shop_in": ("count", ["180d"], "dir = 1 and r_shop = 1", None),
-    "ins": ("count", ["180d"], "dir = 1", None),
-    "cash_out": ("count", ["180d"], "dir = 0 and cash = 1", None),
-    "cash_out_amt": ("sum", ["180d"], "dir = 0 and cash = 1", "amt"),
-    "refunds": ("count", ["180d"], "r_refund = 1", None),
-}
-#: Distinct counterparties: name -> (condition, window or band).
-NAMES = {
-    "off_names_2h": (f"{STRANGER} and offsite = 1", "2h"),
-    "off_names_30min": (f"{STRANGER} and offsite = 1", "30min"),
-    "stranger_names_30min": (STRANGER, "30min"),
-    "novel_in_names_180d": (STRANGER, "180d"),
-    "novel_out_names_180d": ("dir = 0 and other_name = 1 and novel = 1 and offsite = 1", "180d"),
-    "novel_out_parties_180d": ("dir = 0 and other_name = 1 and novel = 1", "180d"),
-}
-PAGES = {"limit": "click", "assets": "view", "cert": "error", "promo": "signup"}
-BANDS = {"180d": (2, 179), "gap": (16, 179), "pages": (2, 181)}
-RATIOS = {
-    "person_in_share_15d": ("person_in_15d", "in_sum_15d"),
-    "in_out_ratio_15d": ("in_sum_15d", "out_sum_15d"),
-    "late_share_15d": ("late_15d", "rows_15d"),
-    "withdraw_share_180d": ("withdraw_all_180d", "rows_180d"),
-    "novel_share_180d": ("in_strangers_180d", "in_others_180d"),
-    "novel_out_share_180d": ("out_strangers_180d", "out_others_180d"),
-    "dawn_share_180d": ("dawn_out_180d", "out_others_180d"),
-    "shop_out_share_180d": ("shop_out_180d", "outs_180d"),
-    "shop_in_share_180d": ("shop_in_180d", "ins_180d"),
-    "cash_out_share_180d": ("cash_out_180d", "outs_180d"),
-}
-LAST = ["dir", "novel", "other_name", "r_interbank", "near_bank"]
-RATIO_EXPRS = [f"{a} / nullif(cast({b} as double), 0) as {n}" for n, (a, b) in RATIOS.items()]
-
-
-def marked_flow(spark, d):
-    """Flow with balances, row attributes, the previous row and the latest inflow."""
-    flow = event_flow(spark, d).withColumn("amt", F.round(F.col("amt") * 100, 0))
-    flow = Q.running_balance(flow).withColumns({n: F.expr(e) for n, e in ROW.items()})
-    prev = {"prev_id": "txn_id", "prev_dir": "dir", "prev_amt": "amt", "prev_withdraw": "r_withdraw", "prev_t": "t"}
-    flow = Q.with_neighbours(flow, prev).selectExpr("*", "(t - prev_t) / 1000000.0 as since_prev")
-    inflow = F.expr("dir = 1 and reversed = 0")
-    hot = Q.hot_accounts(flow)
-    row = F.struct("t", "amt", "bal", *LAST)
-    flow = Q.carry_last(flow, ["acct"], list(Q.ORDER), {"last_in": F.when(inflow, row)}, hot)
-    return flow.selectExpr("* except (last_in, prev_t)", *[f"last_in.{c} as in_{c}" for c in LAST],
-                           "last_in.bal - last_in.amt as in_before", "(t - last_in.t) / 1000000.0 as since_in"
-                           ).withColumnsRenamed({"in_r_interbank": "in_interbank"})
-
-
-def chosen(flow):
-    """Candidates: soon after a stranger's inflow, or outflows with stranger inflows in the last day."""
-    recent = Q.rolling_count(flow, {"strangers": F.expr(STRANGER)}, ["1d"])
-    side = flow.join(recent, "txn_id")
-    quick = F.expr("reversed = 0 and in_dir = 1 and since_in between 0 and 7200 and in_other_name = 1 and in_novel = 1 and (tr_any = 1 or card = 1)")
-    risky = F.expr("reversed = 0 and dir = 0 and strangers_1d > 0")
-    return M.candidates(side, quick, risky).select(*flow.columns)
-
-
-def rule_frame(spark, d):
-    """The wide row: candidate attributes with all their history measures."""
-    flow = settle(marked_flow(spark, d))
-    cand = settle(chosen(flow))
-    flow = relevant_history(flow, cand, days=181)
-
-    def measures(spec):
-        return [Measure(n, k, w, F.expr(c), None if v is None else F.expr(v)) for n, (k, w, c, v) in spec.items()]
-
-    low = [Measure("min_before", "min", ["2h", "30min"], F.expr("dir = 1"), F.expr("bal - amt"))]
-    parts = [look_back(cand, flow, measures(SECONDS)), look_back(cand, flow, low, inclusive=True)]
-    wide_days = look_back_days(cand, flow, measures(DAYS), BANDS)
-    parts.append(wide_days.drop("acct", "dt"))
-    for name, (cond, w) in NAMES.items():
-        if w in WINDOWS:
-            parts.append(key_profile(cand, flow, ["party"], w, {name: distinct}, where=F.expr(cond)))
-        else:
-            parts.append(key_profile_days(cand, flow, ["party"], BANDS[w], {name: distinct}, where=F.expr(cond), per_day=True, ids=("txn_id",)))
-    for w in ("2h", "3d", "14d"):
-        prof = {f"p_{n}_{w}": when(F.col("chan") == p, distinct) for n, p in PAGES.items()}
-        parts.append(key_profile(cand, flow, ["chan", "party"], w, prof))
-    prof = {f"p_{n}_180d": when(F.col("chan") == p, distinct) for n, p in PAGES.items()}
-    parts.append(key_profile_days(cand, flow, ["chan", "party"], BANDS["pages"], prof, ids=("txn_id",)))
-    snaps = account_days(cand)
-    pairs = Q.equal_amount_runs(snaps, flow, 0, 14).selectExpr("acct", "date_add(snap_dt, 2) as dt", "pair_cnt as pairs_15d")
-    wide = cand.join(pairs, ["acct", "dt"], "left")
-    for part in parts:
-        wide = wide.join(part, "txn_id")
-    return wide.selectExpr("*", *RATIO_EXPRS)
-
-
-def agg_sql(spec, age: str, bands) -> str:
-    cols = []
-    for n, (kind, windows, cond, value) in spec.items():
-        for w in windows:
-            inside = f"h_id is not null and {age} <= {WINDOWS[w]}" if bands is None else f"h_id is not null and off between {bands[w][0]} and {bands[w][1]}"
-            expr = {"count": "count(*)", "sum": f"sum({value})", "days": "count(distinct dt)"}[kind] + f" filter (where {inside} and {cond})"
-            cols.append(f"{f'coalesce({expr}, 0)' if kind == 'sum' else expr} as {n}_{w}")
-    return ", ".join(cols)
-
-
-def names_sql(day: bool) -> str:
-    cols = []
-    for n, (cond, w) in NAMES.items():
-        if (w not in WINDOWS) == day:
-            inside = f"age <= {WINDOWS[w]}" if not day else f"off between {BANDS[w][0]} and {BANDS[w][1]}"
-            cols.append(f"count(distinct party) filter (where {inside} and {cond}) as {n}")
-    for n, p in PAGES.items():
-        for w in ("180d",) if day else ("2h", "3d", "14d"):
-            inside = "off between 2 and 181" if day else f"age <= {WINDOWS[w]}"
-            cols.append(f"count(distinct party) filter (where {inside} and chan = '{p}') as p_{n}_{w}")
-    return ", ".join(cols)
-
-
-LAST_STRUCT = ", ".join(f"'{c}': {c}" for c in ["t", "amt", "bal", *LAST])
-MARKED = (
-    FLOW.replace("value as amt", "round(value * 100, 0) as amt"),
-    """bal as (select *, round(1000 + sum(case when dir = 1 then amt else -amt end) over (partition by acct order by t, txn_id rows unbounded preceding), 2) as bal from flow)""",
-    f"attr as (select *, {', '.join(f'{e} as {n}' for n, e in ROW.items())} from bal)",
-    f"""prev as (select *, lag(txn_id) over w as prev_id, lag(dir) over w as prev_dir, lag(amt) over w as prev_amt, lag(r_withdraw) over w as prev_withdraw, (t - lag(t) over w) / 1e6 as since_prev,
-  last_value(case when dir = 1 and reversed = 0 then {{{LAST_STRUCT}}} end ignore nulls) over (partition by acct order by t, txn_id rows unbounded preceding) as li
-  from attr window w as (partition by acct order by t, txn_id))""",
-    """marked as (select * exclude (li), li.dir as in_dir, li.novel as in_novel, li.other_name as in_other_name, li.r_interbank as in_interbank, li.near_bank as in_near_bank,
-  li.bal - li.amt as in_before, (t - li.t) / 1e6 as since_in from prev)""",
-    f"""roll as (select *, count(*) filter (where {STRANGER}) over (partition by acct order by t range between 86400000000 preceding and 1 preceding) as strangers_1d,
+from trailmark.schema import read, statement_flow
+
+
+def statements(spark, d):
+    """Statements with the attributes of their texts and a running balance."""
+    return Q.running_balance(with_text_flags(statement_flow(spark, d)))
+
+
+def frame(spark, d, predicates):
+    flow = settle(W.marked(W.of_interest(statements(spark, d))))
+    return W.rule_row(settle(W.chosen(flow)), flow, predicates)
+
+
+def any_like(text: str, words: str) -> str:
+    return "(" + " or ".join(f"{text} like '%{w}%'" for w in words.split()) + ")"
+
+
+def bit(condition: str) -> str:
+    return f"case when {condition} then 1 else 0 end"
+
+
+STATEMENTS = (
+    FLOW.replace("flow as", "log as"),
+    """raw as (select * exclude (amt, novel, party), round(amt * 100, 0) as amt, party as p, cast(party as int) as k,
+  ['跨行网银贷记', '支付宝转账', '转账', '往来款', '普通贷记来帐', '委托实时贷记', '数字人民币兑回', '微信提现', '商品购买', '商户消费', '基金申购', '借款发放', '贷款提前归还', '代付代付退款', '手续费', ''][(txn_id * 7 + acct) % 17 + 1] as remark,
+  ['转存', '现金', '取现', 'ATM取款', '冲销', '转贷记卡'][txn_id % 9 + 1] as summary from log)""",
+    """texts as (select *, case when k % 11 = 0 then '顺德贸易公司' else '户' || (k % 30) end as party, '户' || (acct % 30) as own_name,
+  case k % 4 when 0 then '6222052' || lpad(p, 9, '0') when 1 then '6217' || lpad(p, 15, '0') when 2 then '2088' || lpad(p, 12, '0') else '8' || lpad(p, 11, '0') end as party_acct,
+  ['广东顺德农村商业银行', '北京分行', '中国银行佛山支行', '上海浦东支行', '深圳南山支行', null, '成都支行'][k % 7 + 1] as bank,
+  ['广东', '北京', '广东', '上海', null, '四川', '广东'][k % 7 + 1] as region, ['佛山', '北京', '佛山', '上海', null, '成都', '深圳'][k % 7 + 1] as city,
+  case chan when 'click' then 'limit' when 'view' then 'assets' when 'error' then 'cert' when 'signup' then 'promo' end as page,
+  20 + acct % 60 as age, (acct * 37) % 2000 as open_days from raw)""",
+    f"""flagged as (select *, {bit("length(party) between 1 and 4 and own_name <> party")} as other_name,
+  {bit("own_name <> party and length(party) between 2 and 4")} as unlike_name, {bit("length(party) in (2, 3)")} as person,
+  {bit("summary like '%冲销%'")} as reversed, case when region <> '广东' then 1 when region = '广东' then 0 end as offsite,
+  {bit(any_like("remark", "跨行网银贷记 转账 数字人民币兑回 往来款 委托实时贷记 普通贷记来帐"))} as tr_any,
+  {bit(any_like("remark", "跨行网银贷记 转账 数字人民币兑回 往来款 委托实时贷记"))} as tr_short, {bit("remark = ''")} as no_remark,
+  case when remark like '%普通贷记来帐%' then 1 when remark is not null then 0 end as r_std, {bit("remark like '%支付宝%'")} as r_wallet,
+  case when remark like '%贷款提前归还%' or remark like '%还款%' then 1 when remark is not null then 0 end as r_repay,
+  {bit("remark like '%跨行网银贷记%'")} as r_interbank, case when remark like '%委托实时贷记%' then 1 when remark is not null then 0 end as r_entrusted,
+  {bit("summary = '现金'")} as cash_only, {bit("summary like '%现金%' or summary like '%取现%'")} as cash, {bit("summary like '%转贷记卡%'")} as to_credit,
+  {bit("left(party_acct, 2) = '62' and length(party_acct) in (16, 19)")} as card, {bit("substr(party_acct, 5, 3) = '052'")} as acct_mark,
+  {bit("left(party_acct, 2) = '62' or left(party_acct, 4) = '2088'")} as pay_acct,
+  {bit("bank like '%顺德%' or bank like '%佛山%' or city = '佛山'")} as near_bank,
+  case when {any_like("bank", "广东 顺德 佛山 江门 东莞 深圳 广州 肇庆 珠海 中山 湛江 云浮 惠州")} then 1 when bank is not null then 0 end as near_region from texts)""",
+    "named as (select distinct acct, party, dt from flagged where own_name <> party and length(trim(party)) between 2 and 4)",
+    """fresh as (select * from named n where not exists (select 1 from named o where o.acct = n.acct and o.party = n.party and date_diff('day', o.dt, n.dt) between 7 and 180))""",
+    """bal as (select f.*, case when n.dt is null then 0 else 1 end as novel, round(1000 + sum(case when dir = 1 then amt else -amt end) over (partition by f.acct order by t, txn_id rows unbounded preceding), 2) as bal
+  from flagged f left join fresh n on n.acct = f.acct and n.party = f.party and n.dt = f.dt)""",
+    """prev as (select *, lag(dir) over w as prev_dir, lag(amt) over w as prev_amt, lag(remark) over w as prev_remark, (t - lag(t) over w) / 1e6 as since_prev, lead(reversed) over w as next_reversed,
+  last_value(case when dir = 1 and reversed = 0 then txn_id end ignore nulls) over (partition by acct order by t, txn_id rows unbounded preceding) as in_id
+  from bal window w as (partition by acct order by t, txn_id))""",
+    """linked as (select p.*, i.dir as in_dir, i.novel as in_novel, i.other_name as in_other_name, i.unlike_name as in_unlike_name, i.r_interbank as in_interbank, i.near_bank as in_near_bank,
+  i.bal - i.amt as in_before, (p.t - i.t) / 1e6 as since_in from prev p left join bal i on i.txn_id = p.in_id)""",
+    """numbered as (select txn_id, row_number() over (partition by acct, in_id order by t, txn_id) as out_number from linked
+  where dir = 0 and reversed = 0 and coalesce(next_reversed, 0) = 0 and in_unlike_name = 1 and in_novel = 1 and since_in between 0 and 86399)""",
+    "marked as (select l.*, out_number from linked l left join numbered using (txn_id))",
+    """roll as (select *, count(*) filter (where dir = 1 and other_name = 1 and novel = 1) over (partition by acct order by t range between 86400000000 preceding and 1 preceding) as strangers_1d,
   min(case when dir = 1 then bal - amt end) over (partition by acct order by t range between 7200000000 preceding and current row) as min_before_2h,
   min(case when dir = 1 then bal - amt end) over (partition by acct order by t range between 1800000000 preceding and current row) as min_before_30min from marked)""",
-    """cand as (select * from roll where (reversed = 0 and in_dir = 1 and since_in between 0 and 7200 and in_other_name = 1 and in_novel = 1 and (tr_any = 1 or card = 1))
-  or (reversed = 0 and dir = 0 and strangers_1d > 0))""",
+    """cand as (select * from roll where (reversed = 0 and in_dir = 1 and since_in between 0 and 7200 and in_unlike_name = 1 and in_novel = 1 and (tr_any = 1 or remark = '' or card = 1)
+  and (out_number = 1 or out_number is null)) or (reversed = 0 and dir = 0 and strangers_1d > 0))""",
 )
+IN_STRANGER, OUT_STRANGER = "dir = 1 and other_name = 1 and novel = 1", "dir = 0 and other_name = 1 and novel = 1"
+BOUGHT = "dir = 0 and remark like '%商品%' and prev_remark like '%提现%' and prev_dir = 1 and since_prev < 300"
+SHOP = "(remark like '%商品%' or remark like '%商户%')"
+TAKEN = "(summary like '%取款%' or summary like '%现金%')"
+PAGES = ("limit", "assets", "cert", "promo")
+
+
+def by_age(seconds: int, condition: str, what: str = "count(*)") -> str:
+    return f"{what} filter (where age <= {seconds} and {condition})"
+
+
+def by_day(low: int, high: int, condition: str, what: str = "count(*)") -> str:
+    return f"{what} filter (where off between {low} and {high} and {condition})"
+
+
+H2, MIN30, D3, D14, D15 = 7200, 1800, 259200, 1209600, 1296000
+SECONDS_SQL = {
+    "strangers_3d": by_age(D3, IN_STRANGER), "off_strangers_3d": by_age(D3, f"{IN_STRANGER} and region <> '广东'"),
+    "bank_in_2h": by_age(H2, f"{IN_STRANGER} and card = 1"), "interbank_2h": by_age(H2, f"{IN_STRANGER} and remark like '%跨行网银贷记%'"),
+    "probes_3d": by_age(D3, "remark like '%跨行网银贷记%' and amt < 100"), "probes_15d": by_age(D15, "remark like '%跨行网银贷记%' and amt < 100"),
+    "funds_3d": by_age(D3, "dir = 0 and remark like '%基金%'"), "funds_15d": by_age(D15, "dir = 0 and remark like '%基金%'"),
+    "withdraw_amt_15d": f"coalesce({by_age(D15, 'dir = 1 and remark like ' + repr('%提现%'), 'sum(amt)')}, 0)",
+    "late_withdraw_15d": by_age(D15, "dir = 1 and remark like '%提现%' and hh in (23, 0, 1, 2, 3, 4)"), "withdraw_shop_15d": by_age(D15, BOUGHT),
+    "rows_15d": by_age(D15, "true"), "ins_15d": by_age(D15, "dir = 1"),
+    "person_in_15d": f"coalesce({by_age(D15, 'dir = 1 and length(party) between 2 and 3', 'sum(amt)')}, 0)",
+    "in_sum_15d": f"coalesce({by_age(D15, 'dir = 1', 'sum(amt)')}, 0)", "out_sum_15d": f"coalesce({by_age(D15, 'dir = 0', 'sum(amt)')}, 0)",
+    "late_15d": by_age(D15, "hh in (23, 0, 1, 2, 3)"),
+    "off_names_2h": by_age(H2, f"{IN_STRANGER} and region <> '广东'", "count(distinct party)"),
+    "off_names_30min": by_age(MIN30, f"{IN_STRANGER} and region <> '广东'", "count(distinct party)"),
+    "stranger_names_30min": by_age(MIN30, IN_STRANGER, "count(distinct party)"),
+    **{f"p_{p}_{w}": by_age(s, f"page = '{p}'", "count(distinct party)") for p in PAGES for w, s in (("2h", H2), ("3d", D3), ("14d", D14))},
+}
+DAYS_SQL = {
+    "late_withdraw_180d": by_day(2, 179, "remark like '%提现%' and hh in (23, 0, 1, 2, 3, 4)"), "withdraw_all_180d": by_day(2, 179, "remark like '%提现%'"),
+    "withdraw_in_180d": by_day(2, 179, "remark like '%提现%' and dir = 1"), "withdraw_shop_180d": by_day(2, 179, BOUGHT),
+    "rows_180d": by_day(2, 179, "true"), "days_180d": by_day(2, 179, "true", "count(distinct dt)"), "days_gap": by_day(16, 179, "true", "count(distinct dt)"),
+    "in_strangers_180d": by_day(2, 179, IN_STRANGER), "in_others_180d": by_day(2, 179, "dir = 1 and other_name = 1"),
+    "out_strangers_180d": by_day(2, 179, f"{OUT_STRANGER} and pay_acct = 1"), "out_others_180d": by_day(2, 179, "dir = 0 and other_name = 1 and pay_acct = 1"),
+    "out_named_180d": by_day(2, 179, "dir = 0 and other_name = 1"), "dawn_out_180d": by_day(2, 179, "dir = 0 and other_name = 1 and hh between 1 and 5"),
+    "dawn_180d": by_day(2, 179, "hh between 1 and 5"), "shop_out_180d": by_day(2, 179, f"dir = 0 and {SHOP}"), "outs_180d": by_day(2, 179, "dir = 0"),
+    "shop_in_180d": by_day(2, 179, f"dir = 1 and {SHOP}"), "ins_180d": by_day(2, 179, "dir = 1"), "cash_out_180d": by_day(2, 179, f"dir = 0 and {TAKEN}"),
+    "cash_out_amt_180d": f"coalesce({by_day(2, 179, f'dir = 0 and {TAKEN}', 'sum(amt)')}, 0)", "refunds_180d": by_day(2, 179, "remark like '%代付代付退款%'"),
+    "novel_in_names_180d": by_day(2, 179, IN_STRANGER, "count(distinct party)"),
+    "novel_out_names_180d": by_day(2, 179, f"{OUT_STRANGER} and region <> '广东'", "count(distinct party)"),
+    "novel_out_parties_180d": by_day(2, 179, f"{OUT_STRANGER} and pay_acct = 1", "count(distinct party)"),
+    **{f"p_{p}_180d": by_day(2, 181, f"page = '{p}'", "count(distinct party)") for p in PAGES},
+}
+SHARES_SQL = {
+    "person_in_share_15d": "person_in_15d / nullif(in_sum_15d, 0)", "in_out_ratio_15d": "in_sum_15d / nullif(out_sum_15d, 0)",
+    "late_share_15d": "late_15d / nullif(rows_15d, 0)", "withdraw_share_180d": "withdraw_all_180d / nullif(rows_180d, 0)",
+    "novel_share_180d": "in_strangers_180d / nullif(in_others_180d, 0)", "novel_out_share_180d": "out_strangers_180d / nullif(out_others_180d, 0)",
+    "dawn_share_180d": "dawn_out_180d / nullif(out_named_180d, 0)", "shop_out_share_180d": "shop_out_180d / nullif(outs_180d, 0)",
+    "shop_in_share_180d": "shop_in_180d / nullif(ins_180d, 0)", "cash_out_share_180d": "cash_out_180d / nullif(outs_180d, 0)",
+}
+
+
+def listed(columns: dict[str, str]) -> str:
+    return ", ".join(f"{e} as {n}" for n, e in columns.items())
+
+
 WIDE_SQL = (
-    *MARKED,
-    "sh as (select c.txn_id as cid, (c.t - f.t) / 1e6 as age, f.txn_id as h_id, f.* from cand c left join marked f on c.acct = f.acct and c.t - f.t > 0 and c.t - f.t <= 1296000000000)",
-    f"sagg as (select cid, {agg_sql(SECONDS, 'age', None)}, {names_sql(False)} from sh group by 1)",
-    "dh as (select c.txn_id as cid, date_diff('day', f.dt, c.dt) as off, f.txn_id as h_id, f.* from cand c left join marked f on c.acct = f.acct and date_diff('day', f.dt, c.dt) between 2 and 181)",
-    f"dagg as (select cid, {agg_sql(DAYS, 'age', BANDS)}, {names_sql(True)} from dh group by 1)",
+    *STATEMENTS,
+    "sh as (select c.txn_id as cid, (c.t - f.t) / 1e6 as age, f.* exclude (age) from cand c join marked f on c.acct = f.acct and c.t - f.t > 0 and c.t - f.t <= 1296000000000)",
+    f"sagg as (select c.txn_id as cid, {listed(SECONDS_SQL)} from (select txn_id from cand) c left join (select * rename (txn_id as h_id) from sh) sh on sh.cid = c.txn_id group by 1)",
+    "dh as (select c.txn_id as cid, date_diff('day', f.dt, c.dt) as off, f.* from cand c join marked f on c.acct = f.acct and date_diff('day', f.dt, c.dt) between 2 and 181)",
+    f"dagg as (select c.txn_id as cid, {listed(DAYS_SQL)} from (select txn_id from cand) c left join (select * rename (txn_id as h_id) from dh) dh on dh.cid = c.txn_id group by 1)",
     SNAPS.replace("from flow", "from cand"),
     days_hist(0, 14).replace("from snaps s left join flow f", "from snaps s left join marked f"), RUNS, PAIRS,
     "joined as (select c.*, sagg.* exclude (cid), dagg.* exclude (cid), coalesce(z.pair_cnt, 0) as pairs_15d from cand c join sagg on c.txn_id = sagg.cid join dagg on c.txn_id = dagg.cid "
     "left join z on c.acct = z.acct and cast(c.dt - 2 as date) = z.snap_dt)",
-    f"wide as (select *, {', '.join(RATIO_EXPRS)} from joined)",
+    f"wide as (select *, {listed(SHARES_SQL)} from joined)",
 )
 
 
-@query("candidates", "txn_id:i acct:i since_in:d in_before:d", sql(*MARKED, "select txn_id, acct, since_in, in_before from cand"))
+@query("statement_flags", "txn_id:i other_name:i reversed:i offsite:i tr_any:i tr_short:i r_std:i r_repay:i cash:i card:i pay_acct:i acct_mark:i near_bank:i near_region:i novel:i bal:d",
+       sql(*STATEMENTS, "select txn_id, other_name, reversed, offsite, tr_any, tr_short, r_std, r_repay, cash, card, pay_acct, acct_mark, near_bank, near_region, novel, bal from bal"))
 def _(spark, d):
-    return chosen(settle(marked_flow(spark, d)))
+    """Attributes of remark, summary, name, account, bank and region texts, and new counterparties."""
+    return statements(spark, d)
 
 
-FRAME_COLS = (
-    [f"{n}_{w}:{'d' if k == 'sum' else 'i'}" for spec in (SECONDS, DAYS) for n, (k, ws, _, _) in spec.items() for w in ws]
-    + [f"{n}:i" for n in NAMES] + [f"p_{n}_{w}:i" for n in PAGES for w in ("2h", "3d", "14d", "180d")]
-    + [f"{n}:d" for n in RATIOS] + ["min_before_2h:d", "min_before_30min:d", "pairs_15d:i"]
-)
-FRAME_SPEC = "txn_id:i " + " ".join(FRAME_COLS)
+@query("candidates", "txn_id:i acct:i since_in:d in_before:d out_number:i", sql(*STATEMENTS, "select txn_id, acct, since_in, in_before, out_number from cand"))
+def _(spark, d):
+    return W.chosen(settle(W.marked(W.of_interest(statements(spark, d)))))
+
 
+SUMS = ("withdraw_amt_15d", "person_in_15d", "in_sum_15d", "out_sum_15d", "cash_out_amt_180d")
+FRAME_COLS = [
+    *(f"{n}:{'d' if n in SUMS else 'i'}" for n in (*SECONDS_SQL, *DAYS_SQL)), *(f"{n}:d" for n in SHARES_SQL), "min_before_2h:d", "min_before_30min:d", "pairs_15d:i",
+]
+NAMES = [c.split(":")[0] for c in FRAME_COLS]
 
-@query("rule_frame", FRAME_SPEC, sql(*WIDE_SQL, "select " + ", ".join(["txn_id", *[c.split(":")[0] for c in FRAME_COLS]]) + " from wide"))
+
+@query("rule_frame", "txn_id:i " + " ".join(FRAME_COLS), sql(*WIDE_SQL, f"select txn_id, {', '.join(NAMES)} from wide"))
 def _(spark, d):
-    return rule_frame(spark, d)
+    return frame(spark, d, [F.col(n) for n in NAMES])
 
 
 def rules_sql() -> str:
@@ -252,7 +191,7 @@ def rules_sql() -> str:
         "r3": f"{low} and {remark} and offsite = 1 and p_assets_14d + p_limit_14d > 0",
         "r4": f"{low} and {remark} and r_wallet = 1 and acct_mark = 1",
         "r5": f"{chain} and off_names_2h > 0",
-        "r6": f"{chain} and bank_in_2h > 0 and cash = 1 and amt >= 10000 and bal < 1500 and p_assets_14d + p_limit_14d > 0",
+        "r6": f"{chain} and bank_in_2h > 0 and summary = '现金' and amt >= 10000 and bal < 1500 and p_assets_14d + p_limit_14d > 0",
         "r7": "reversed = 0 and dir = 0 and prev_dir = 1 and min_before_30min < 50000 and off_names_30min > 0 and since_prev < 1800 and p_limit_14d > 0 and prev_amt >= 1000 and r_repay = 0 and withdraw_amt_15d > 0",
         "r8": f"{low} and novel_share_180d > 0.33 and novel_in_names_180d > 18 and late_withdraw_180d > 3 and p_limit_180d > 0 and p_assets_180d > 30",
         "r9": f"{chain} and off_names_2h > 0 and since_prev < 1800 and prev_amt >= 1000 and r_repay = 0 and withdraw_amt_15d > 0 and p_limit_180d > 1 and round(amt, -2) % 5000 = 0 and round(prev_amt, -2) = round(amt, -2)",
@@ -293,13 +232,13 @@ HITS = (*WIDE_SQL, f"hits as ({rules_sql()})")
 
 @query("rule_hits", "txn_id:i acct:i rule_id:s hit:i", sql(*HITS, "select * from hits"))
 def _(spark, d):
-    return M.apply_rules(rule_frame(spark, d), M.bank_rules())
+    rules = M.bank_rules()
+    return M.apply_rules(frame(spark, d, list(rules.values())), rules)
 
 
 @query("alerts", "txn_id:i acct:i rule_id:s", sql(*HITS, "select distinct txn_id, acct, rule_id from hits where acct not in (select c_custkey from customer where c_mktsegment = 'HOUSEHOLD')"))
 def _(spark, d):
-    from trailmark.schema import read
-
-    hits = M.apply_rules(rule_frame(spark, d), M.bank_rules()).select("txn_id", "acct", "rule_id")
+    rules = M.bank_rules()
+    hits = M.apply_rules(W.alert_rows(statements(spark, d), rules), rules).select("txn_id", "acct", "rule_id")
     exempt = read(spark, d, "customer").filter("c_mktsegment = 'HOUSEHOLD'").select(F.col("c_custkey").alias("acct"))
     return M.alerts(hits, exempt, "acct")

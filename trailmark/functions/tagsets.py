@@ -35,9 +35,13 @@ CHANNEL_TAGS = {
 # Remark and summary words used by the alert rules.
 REMARK_TAGS = {
     "transfer_in": ["跨行网银贷记", "转账", "数字人民币兑回", "往来款", "委托实时贷记", "普通贷记来帐"],
+    "transfer_short": ["跨行网银贷记", "转账", "数字人民币兑回", "往来款", "委托实时贷记"],
+    "standard_credit": ["普通贷记来帐"],
+    "entrusted": ["委托实时贷记"],
     "interbank": ["跨行网银贷记"],
     "wallet": ["支付宝"],
     "withdraw": ["提现"],
+    "goods": ["商品"],
     "shopping": ["商品", "商户"],
     "loan": ["借款"],
     "fund": ["基金"],
@@ -46,6 +50,8 @@ REMARK_TAGS = {
     "refund": ["代付代付退款"],
     "reversal": ["冲销"],
     "cash": ["取款", "现金"],
+    "cash_taken": ["现金", "取现"],
+    "cash_word": ["现金"],
     "to_credit_card": ["转贷记卡"],
 }
 REMARK_NOISE = ["手续费", "短信费", "利息"]

@@ -29,7 +29,7 @@ def candidates(flow: DataFrame, quick: Column, risky: Column) -> DataFrame:
 
 
 def bank_rules() -> dict[str, Column]:
-    """The 37 alert rules over the wide row.
+    """The 37 alert rules over the wide row. All numbers below are fixed values.
 
     Column names: ``dir`` 1 in / 0 out, ``amt``, ``bal``, ``novel`` unseen counterparty, ``other_name``
     counterparty name differs, ``reversed`` reversal entry, ``offsite`` counterparty region is not home
@@ -68,7 +68,7 @@ def bank_rules() -> dict[str, Column]:
         "r3": low & remark & off & (assets_14 + limit_14 > 0),
         "r4": low & remark & (c("r_wallet") == 1) & (c("acct_mark") == 1),
         "r5": off_chain,
-        "r6": chain & (c("bank_in_2h") > 0) & (c("cash") == 1) & (c("amt") >= 10_000) & (c("bal") < 1_500)
+        "r6": chain & (c("bank_in_2h") > 0) & (c("cash_only") == 1) & (c("amt") >= 10_000) & (c("bal") < 1_500)
         & (assets_14 + limit_14 > 0),
         "r7": quick & (c("since_prev") < 1_800) & (limit_14 > 0) & (c("prev_amt") >= 1_000) & no_repay
         & (nz("withdraw_amt_15d") > 0),

@@ -69,6 +69,29 @@ def event_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def statement_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as bank statement rows with texts: remark, summary, names, account, bank, region and city, and the page visited.
+
+    The log has no such texts, so they are picked from short lists by the event's ids and its key ``k``.
+    """
+    k, u, i = "cast(party as int)", "acct", "txn_id"
+    return event_flow(spark, sf_dir).drop("novel").selectExpr(
+        "* except (amt, party)", "round(amt * 100, 0) as amt",
+        f"""get(array('跨行网银贷记', '支付宝转账', '转账', '往来款', '普通贷记来帐', '委托实时贷记', '数字人民币兑回', '微信提现', '商品购买', '商户消费',
+            '基金申购', '借款发放', '贷款提前归还', '代付代付退款', '手续费', ''), cast(({i} * 7 + {u}) % 17 as int)) as remark""",
+        f"get(array('转存', '现金', '取现', 'ATM取款', '冲销', '转贷记卡'), cast({i} % 9 as int)) as summary",
+        f"case when {k} % 11 = 0 then '顺德贸易公司' else concat('户', {k} % 30) end as party",
+        f"concat('户', {u} % 30) as own_name",
+        f"""case {k} % 4 when 0 then concat('6222052', lpad(party, 9, '0')) when 1 then concat('6217', lpad(party, 15, '0'))
+            when 2 then concat('2088', lpad(party, 12, '0')) else concat('8', lpad(party, 11, '0')) end as party_acct""",
+        f"get(array('广东顺德农村商业银行', '北京分行', '中国银行佛山支行', '上海浦东支行', '深圳南山支行', null, '成都支行'), {k} % 7) as bank",
+        f"get(array('广东', '北京', '广东', '上海', null, '四川', '广东'), {k} % 7) as region",
+        f"get(array('佛山', '北京', '佛山', '上海', null, '成都', '深圳'), {k} % 7) as city",
+        "case chan when 'click' then 'limit' when 'view' then 'assets' when 'error' then 'cert' when 'signup' then 'promo' end as page",
+        f"20 + {u} % 60 as age", f"({u} * 37) % 2000 as open_days",
+    )
+
+
 def event_anchors(flow: DataFrame, chan: str = "purchase") -> DataFrame:
     """Transactions to score: one channel of the flow."""
     return flow.filter(F.col("chan") == chan).withColumn(
