@@ -13,7 +13,7 @@ coordinate minima. The tree has three levels:
 3. In a node, points over ``GROUPS`` coarse groups are packed into leaves by size and count; pairs of leaves and then
    pairs of points are pruned by the bound, surviving pairs verified on whole shingle sets.
 
-Equal sets are collapsed to the smallest id first. Nodes of more than ``MEMBERS`` documents are cut into blocks that meet
+Equal sets are collapsed to the smallest id first. Nodes of more than ``MEMBERS`` documents or ``SHINGLES`` shingles are cut into blocks that meet
 in pairs. Only one link for each new connection leaves a node, never all pairs. Nothing is capped.
 
 Shingles are compared by 64-bit hashes. Defined cases: a text with fewer words than a shingle has its whole sequence as
@@ -35,8 +35,10 @@ from trailmark.llm.common import lower_ascii, mix, row_blocks, sent_if_small, se
 from trailmark.llm.components import components
 
 WORDS, PERCENT = 5, 80
-GROUPS, LEAF, MEMBERS = 64, 16, 768
-BLOCK, MOST_ROWS = 4 << 20, 60_000
+#: Coarse groups of a point, points of a leaf, and the documents and shingles that a block of a node holds at most (a longer set stands alone).
+GROUPS, LEAF, MEMBERS, SHINGLES = 64, 16, 768, 1 << 19
+#: Bytes of text of a chunk, and those that are hashed at once.
+CHUNK, BLOCK, MOST_ROWS = 4 << 20, 1 << 20, 60_000
 #: In a chunk's list: a group that is known to be shared, so that no document is to be told.
 TOLD = 0xFFFF
 #: Bytes of a fine group beside the bits that deal it out.
@@ -71,13 +73,19 @@ def shingles(data: np.ndarray, bounds: np.ndarray, width: int) -> tuple[np.ndarr
     return rows[new], values[new]
 
 
-def text_blocks(column) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Row range, bytes and bounds of blocks of a string column."""
+def chunk_shingles(column, width: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Row range of each chunk of a string column, and its ``shingles``; what is hashed at once is smaller than a chunk."""
     data, bounds = string_bytes(column)
-    for a, b in row_blocks(bounds, BLOCK):
+    for a, b in row_blocks(bounds, CHUNK):
         for c in range(a, b, MOST_ROWS):
             d = min(b, c + MOST_ROWS)
-            yield c, d, data[bounds[c] : bounds[d]], bounds[c : d + 1] - bounds[c]
+            rows, values = [], []
+            for x, y in row_blocks(bounds[c : d + 1], BLOCK):
+                lo, hi = bounds[c + x], bounds[c + y]
+                r, v = shingles(data[lo:hi], bounds[c + x : c + y + 1] - lo, width)
+                rows.append(r + x)
+                values.append(v)
+            yield c, d, np.concatenate(rows), np.concatenate(values)
 
 
 def enough(shared, n_a, n_b, percent: int):
@@ -100,8 +108,7 @@ def bounded_by_root(docs: DataFrame, width: int, percent: int) -> DataFrame:
 
         chunk = TaskContext.get().partitionId() << 24
         for batch in batches:
-            for a, b, data, bounds in text_blocks(batch.column(1)):
-                own_rows, own_values = shingles(data, bounds, width)
+            for a, b, own_rows, own_values in chunk_shingles(batch.column(1), width):
                 order = np.argsort(own_values, kind="stable")
                 rows, values = own_rows[order], own_values[order]
                 first = np.ones(len(values), bool)
@@ -184,8 +191,7 @@ def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            for a, b, data, bounds in text_blocks(batch.column(1)):
-                rows, values = shingles(data, bounds, width)
+            for a, b, rows, values in chunk_shingles(batch.column(1), width):
                 cut = np.searchsorted(rows, np.arange(b - a + 1))
                 full = np.flatnonzero(np.diff(cut))
                 sets = [values[cut[r] : cut[r + 1]].tobytes() for r in full]
@@ -200,7 +206,7 @@ def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
 
 
 def node_entries(sets: DataFrame, percent: int) -> DataFrame:
-    """(token, rep): the nodes that a document enters, its first n - overlap + 1 groups in hash order.
+    """(token, rep, n): the nodes that a document enters, its first n - overlap + 1 groups in hash order.
 
     Sets that link differ in size by less than 100 / percent, so they are of one or of neighbouring size bands. A node is
     for one group and band, and a document enters those of its own band and the next.
@@ -211,17 +217,18 @@ def node_entries(sets: DataFrame, percent: int) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            heads, owners = [], []
+            heads, owners, sizes = [], [], []
             for rep, s in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 values = np.frombuffer(s.as_py(), np.int64)
                 first = values[: len(values) - -(-percent * len(values) // 100) + 1].view(np.uint64)
                 own = int(np.log(len(values)) / band)
                 heads += [mix(first + np.uint64(b * 0x9E3779B97F4A7C15 % (1 << 64))).view(np.int64) for b in (own, own + 1)]
                 owners.append(np.full(2 * len(first), rep, np.int64))
+                sizes.append(np.full(2 * len(first), len(values), np.int32))
             if heads:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(heads)), pa.array(np.concatenate(owners))], ["token", "rep"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (heads, owners, sizes)], ["token", "rep", "n"])
 
-    return sets.select("rep", "shingles").mapInArrow(run, "token long, rep long")
+    return sets.select("rep", "shingles").mapInArrow(run, "token long, rep long, n int")
 
 
 @dataclass
@@ -260,26 +267,34 @@ def linked(ids: np.ndarray, sets: list[np.ndarray], side: np.ndarray, percent: i
     two = side.any() and not side.all()
     members = [np.flatnonzero(side == k) for k in (0, 1)] if two else [np.arange(len(ids))] * 2
     trees = [packed(points[m], sizes[m]) for m in members]
-    as_sets: dict[int, set] = {}
-
-    def whole(i: int) -> set:
-        if i not in as_sets:
-            as_sets[i] = set(sets[i].tolist())
-        return as_sets[i]
-
+    known, numbers = np.unique(np.concatenate(sets), return_inverse=True)
+    cut = np.cumsum(sizes) - sizes
+    numbered = [numbers[x : x + n] for x, n in zip(cut, sizes, strict=True)]
+    held = np.zeros((len(known), LEAF), np.uint8)  # which shingles the points of a leaf have
     left, right = trees
     for a in range(len(left.least)):
-        near = np.minimum(left.corner[a], right.corner).sum(1)
-        for b in np.flatnonzero(enough(near, left.least[a], right.least, percent)):
-            if not two and b < a:
-                continue
-            i = members[0][left.order[left.cut[a] : left.cut[a + 1]]]
+        i = members[0][left.order[left.cut[a] : left.cut[a + 1]]]
+        near = np.flatnonzero(enough(np.minimum(left.corner[a], right.corner).sum(1), left.least[a], right.least, percent))
+        near = near if two else near[near >= a]
+        if not len(near):
+            continue
+        for x, p in enumerate(i):
+            held[numbered[p], x] = 1
+        for b in near:
             j = members[1][right.order[right.cut[b] : right.cut[b + 1]]]
             most = np.minimum(points[i][:, None, :], points[j][None, :, :]).sum(2)
-            for x, y in zip(*np.nonzero(enough(most, sizes[i][:, None], sizes[j][None, :], percent)), strict=True):
-                p, q = int(i[x]), int(j[y])
-                if p != q and top(p) != top(q) and enough(len(whole(p) & whole(q)), sizes[p], sizes[q], percent):
-                    parent[top(p)] = top(q)
+            maybe = enough(most, sizes[i][:, None], sizes[j][None, :], percent)
+            for y in np.flatnonzero(maybe.any(0)):
+                q = int(j[y])
+                open_ = [x for x in np.flatnonzero(maybe[:, y]) if i[x] != q and top(int(i[x])) != top(q)]
+                if open_:
+                    shared = held[numbered[q]].sum(0, dtype=np.int64)
+                    for x in open_:
+                        p = int(i[x])
+                        if enough(shared[x], sizes[p], sizes[q], percent):
+                            parent[top(p)] = top(q)
+        for p in i:
+            held[numbered[p]] = 0
     least: dict[int, int] = {}
     for i in range(len(ids)):
         r = top(i)
@@ -291,8 +306,9 @@ def links(sets: DataFrame, percent: int) -> DataFrame:
     """(a, b): links between set representatives that connect all that are similar."""
     entries = node_entries(sets, percent)
     shared = entries.groupBy("token").agg(F.min("rep").alias("node"), F.count(F.lit(1)).alias("members")).filter("members > 1")
-    entered = settled(entries.join(shared.select("token", "node"), "token").select("node", "rep").distinct())
-    nodes = entered.groupBy("node").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).cast("int").alias("blocks"))
+    entered = settled(entries.join(shared.select("token", "node"), "token").select("node", "rep", "n").distinct())
+    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / MEMBERS), F.ceil(F.sum("n") / SHINGLES))
+    nodes = entered.groupBy("node").agg(blocks.cast("int").alias("blocks"))
     placed = entered.join(nodes, "node").withColumn("block", F.pmod(F.xxhash64(F.lit(2), "rep"), F.col("blocks")).cast("int"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     placed = placed.select("rep", "node", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"))

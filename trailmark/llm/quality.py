@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from trailmark.llm.common import fold, lower_ascii, mix, row_blocks, string_bytes, word_hashes, words
 
 SAMPLE, BINS, ROUNDS, RATE, PAIRS, PAIR_BINS, PAIR_ROUNDS = 12_000, 32, 150, 0.1, 6, 8, 60
-BLOCK = 4 << 20
+BLOCK = 1 << 20
 FEATURES = (
     "log_bytes", "log_words", "word_length", "letters", "digits", "upper", "punctuation", "marks", "non_ascii", "spaces",
     "lines", "distinct_words", "distinct_pairs", "repeated_lines", "ended_words", "sentence_words", "pure_marks",
