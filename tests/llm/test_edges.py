@@ -110,3 +110,12 @@ def test_modules_import(name):
     import importlib
 
     assert importlib.import_module(name)
+
+
+@pytest.mark.parametrize("sizes", [[20] * 600, [95, 2000, 20], [1, 1, 1, 5], [64 * 40, 64 * 90, 7]])
+def test_mixing_comes_near_small_targets(spark, sizes):
+    rows = [(100 * s + k, "w " * n, f"s{s:04d}") for s, size in enumerate(sizes) for k, n in enumerate([size // 2, size - size // 2])]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    by = got.groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target"), F.first("source_size").alias("size")).collect()
+    assert all(abs(r.taken - r.target) <= max(1.5, 0.04 * r.target) for r in by), [r for r in by if abs(r.taken - r.target) > max(1.5, 0.04 * r.target)][:5]
+    assert got.filter("taken > 3 * size").count() == 0

@@ -4,9 +4,11 @@ Sources get token targets from their weights (excess over ``most`` times a sourc
 others). Targets become whole blocks of equal token length by highest quotients, a source's blocks become
 quotas of its shards in the same way, and a seeded permutation says which blocks of a shard are taken once
 more than its others. A shard is an ordered line of documents, its blocks are equal stretches of that line, so
-what a document gives is the overlap of its stretch with the taken blocks.
+what a document gives is the overlap of its stretch with the taken blocks. Blocks have ``BLOCK`` words, or as many fewer (one at
+least) as the smallest source needs to have ``FEWEST`` of them, so small sources come near their targets too.
 
-Only (id, source, size) rows are shuffled: once by source and shard. Shards split a hot source. Defined
+Only (id, source, size) rows are shuffled: once by source and shard. Shards split a hot source; there are as many as the root of its blocks,
+so neither their number nor their length grows with the source alone. Defined
 cases: null texts have size 0 and give 0 words; a null source is a source of its own, last in the order;
 repeated rows are documents of their own; an empty table gives no rows; other columns are ignored.
 """
@@ -19,8 +21,10 @@ from pyspark.sql import functions as F
 from trailmark.llm.common import settled, word_count
 
 WEIGHTS = (5, 2, 1)
-#: Tokens of a block, most shards of a source, blocks a shard should have at least, passes over a source at most.
-BLOCK, SHARDS, SHARD_BLOCKS, MOST = 64, 1024, 64, 3
+#: Tokens of a block at most, blocks a shard should have at least, passes over a source at most.
+BLOCK, SHARD_BLOCKS, MOST = 64, 64, 3
+#: Blocks that the smallest source and the smallest target should have, so that whole blocks come near every target.
+FEWEST = 32
 #: Rounds in which parties far above their caps are held; caps that come to bind later hold in the ranking.
 ROUNDS = 2
 
@@ -102,13 +106,15 @@ def mix(
     sized = settled(sized)  # texts are read once
     sums = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     aimed = targets(sums, weights, most)
+    smallest = aimed.filter("source_size > 0").agg(F.min(F.least("target", "source_size"))).first()[0]
+    block = int(max(1, min(block, (smallest or 0) // FEWEST)))
     blocks = F.greatest(F.round(F.col("source_size") / block), F.least(F.col("source_size"), F.lit(1)))
     aimed = aimed.withColumn("__blocks", blocks.cast("long"))
     everything = Window.partitionBy(F.lit(0))
     aimed = aimed.withColumn("__seats", F.round(F.sum("target").over(everything) / block).cast("long"))
     aimed = aimed.withColumn("__cap", F.col("__blocks") * most)
     aimed = apportion(aimed, [], "source", "target", "__seats", "__cap", "quota")
-    shards = F.least(F.greatest(F.floor(F.col("__blocks") / SHARD_BLOCKS), F.lit(1)), F.lit(SHARDS)).cast("long")
+    shards = F.greatest(F.least(F.floor(F.col("__blocks") / SHARD_BLOCKS), F.ceil(F.sqrt("__blocks"))), F.lit(1)).cast("long")
     aimed = aimed.withColumn("__shards", shards).drop("__cap", "__seats", "weight")
 
     placed = sized.alias("a").join(aimed.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source")), "left").select(
@@ -138,7 +144,13 @@ def mix(
     turn = F.pmod(seeded(seed + 2, F.col("source"), F.col("__shard")), n)
     step = lambda k: div((k + 1) * extra, n) - div(k * extra, n)
     overlap = lambda j: F.greatest(F.least(end, bound(j + 1)) - F.greatest(begin, bound(j)), F.lit(0))
-    taken = F.aggregate(F.sequence(first, last), F.lit(0).cast("long"), lambda a, j: a + overlap(j) * (passes + step(F.pmod(j + turn, n))))
+    if block > 1:
+        taken = F.aggregate(F.sequence(first, last), F.lit(0).cast("long"), lambda a, j: a + overlap(j) * (passes + step(F.pmod(j + turn, n))))
+    else:  # blocks are words: those taken once more are counted without listing them
+        start, upto = F.pmod(begin + turn, n), lambda k: div(k * extra, n)
+        past = start + F.col("size") - n
+        more = F.when(past > 0, extra - upto(start) + upto(past)).otherwise(upto(start + F.col("size")) - upto(start))
+        taken = passes * F.col("size") + more
     return rows.select(
         "doc_id", "size", F.col("source_size").cast("long").alias("source_size"), F.col("target").cast("double").alias("target"),
         F.when(F.col("size") > 0, taken).otherwise(0).cast("long").alias("taken"), "source",

@@ -41,7 +41,7 @@ def op8_quality(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
     model = quality.learn(docs, quality.training_labels(table(spark, d, "labels")))
     return quality.score(docs, model).select(
-        "doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
+        "doc_id", F.coalesce(fold("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
     )
 
 
@@ -52,7 +52,7 @@ def op9_decontamination(spark: SparkSession, d: str) -> DataFrame:
 def op10_language(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
     model = langid.learn(docs.filter(fold("doc_id", 4) != 2), F.xxhash64("doc_id"))
-    return langid.predict(docs, model).select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+    return langid.predict(docs, model).select("doc_id", F.coalesce(fold("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
 def op11_repeats(spark: SparkSession, d: str) -> DataFrame:
