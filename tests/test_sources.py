@@ -1,3 +1,5 @@
+import datetime
+
 from pyspark.sql import functions as F
 
 from trailmark.operators.joins import pit_join, pit_join_days
@@ -65,3 +67,32 @@ def test_pit_join_keeps_every_anchor(spark, sf):
     days = pit_join_days(anchors, flow, 2, 3, history=["txn_id", "t", "dt"])
     assert days.select("txn_id").distinct().count() == anchors.count()
     assert days.filter("datediff(dt, h_dt) not between 2 and 3").count() == 0
+
+
+def test_only_changed_days_are_rewritten(spark, tmp_path):
+    def source(rows):
+        return spark.createDataFrame(rows, "dt date, acct long, amt double")
+
+    day = lambda n: datetime.date(2024, 1, n)
+    built = []
+
+    def keep(frame, **kw):
+        def build(days):
+            built.append(sorted(r["day"] for r in days.collect()))
+            return frame.join(days.withColumnRenamed("day", "dt"), "dt").groupBy(F.col("dt").alias("day")).agg(F.sum("amt").alias("total"))
+
+        return T.materialize_days(spark, frame, build, str(tmp_path), "t", {"tag": "same"}, **kw)
+
+    rows = [(day(1), 1, 5.0), (day(2), 1, 1.0), (day(2), 1, 1.0), (day(3), 2, 7.0)]
+    table, days = keep(source(rows))
+    assert days == ["2024-01-01", "2024-01-02", "2024-01-03"] and {r["day"]: r["total"] for r in table.collect()} == {day(1): 5.0, day(2): 2.0, day(3): 7.0}
+    files = {p: p.stat().st_mtime_ns for p in tmp_path.rglob("*.parquet") if "__day" in str(p)}
+    assert keep(source(rows[::-1]))[1] == [] and len(built) == 1
+    rows[1] = (day(2), 1, 2.0)
+    table, days = keep(source(rows))
+    assert days == ["2024-01-02"] and built[-1] == [day(2)] and {r["day"]: r["total"] for r in table.collect()} == {day(1): 5.0, day(2): 3.0, day(3): 7.0}
+    after = {p: p.stat().st_mtime_ns for p in tmp_path.rglob("*.parquet") if "__day" in str(p)}
+    assert {str(p) for p in files.keys() - after.keys()} == {str(p) for p in files if "2024-01-02" in str(p)}
+    table, days = keep(source([r for r in rows if r[0] != day(1)]), reach=1)
+    assert days == ["2024-01-02"] and {r["day"] for r in table.collect()} == {day(2), day(3)}
+    assert keep(source(rows).filter("false"))[0].count() == 0

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from trailmark.catalog.base import ANCHORS, BALANCE, FLOW, ORDERS, SNAPS, amount, days_hist, events, hist, inflow, outflow, query, sql
 from trailmark.functions import scalars as S
+from trailmark.operators.cube import feature_cube
 from trailmark.operators.sequences import follow_pattern_flag, running_balance
 from trailmark.plans.dyadic import window_tops
 from trailmark.plans.lookback import Measure, look_back, look_back_days
@@ -309,43 +310,27 @@ def _(spark, d):
 
 
 def cube_sql():
-    cells = []
+    cols, spec = [], []
     for lab, age in (("3d", 259200), ("14d", 1209600)):
         for dname, dcond in (("in", "dir = 1"), ("out", "dir = 0"), ("all", "true")):
-            for cname in ("click", "view", "all"):
+            for cname in ("click", "error", "purchase", "signup", "view", "all"):
                 ccond = "true" if cname == "all" else f"chan = '{cname}'"
                 for nname, ncond in (("novel", "novel = 1"), ("all", "true")):
-                    where = f"h_id is not null and age <= {age} and {dcond} and {ccond} and {ncond}"
-                    cells.append((f"f{lab}_{dname}_{cname}_{nname}", where))
-    cols = []
-    for name, where in cells:
-        cols.append(f"count(*) filter (where {where}) as {name}_cnt")
-        cols.append(f"coalesce(sum(amt) filter (where {where}), 0) as {name}_amt")
-    return ", ".join(cols), " ".join(f"{n}_cnt:i {n}_amt:d" for n, _ in cells)
+                    where = f"filter (where h_id is not null and age <= {age} and {dcond} and {ccond} and {ncond})"
+                    name = f"f{lab}_{dname}_{cname}_{nname}"
+                    cols += [f"count(*) {where} as {name}_cnt", f"coalesce(sum(amt) {where}, 0) as {name}_sum", f"min(amt) {where} as {name}_min", f"max(amt) {where} as {name}_max",
+                             f"stddev_samp(amt) {where} as {name}_std"]
+                    spec.append(f"{name}_cnt:i {name}_sum:d {name}_min:d {name}_max:d {name}_std:m")
+    return ", ".join(cols), " ".join(spec)
 
 
 CUBE_COLS, CUBE_SPEC = cube_sql()
 
 
-def feature_cube(anchors, flow, windows, dirs, values, flags):
-    """Sparse cube of conditional counts and sums: every (window, direction, value, flag) cell in one scan."""
-    measures = []
-    for dn, dp in dirs.items():
-        for vn, vp in values.items():
-            for fn, fp in flags.items():
-                pred = S.all_of([dp, vp, fp])
-                measures += [Measure(f"{dn}_{vn}_{fn}_cnt", "count", windows, pred), Measure(f"{dn}_{vn}_{fn}_amt", "sum", windows, pred, amount())]
-    got = look_back(anchors, flow, measures)
-    return got.select("txn_id", *[F.col(f"{m.name}_{w}").alias(f"f{w}_{m.name}") for m in measures for w in windows])
-
-
 @query("feature_cube", "txn_id:i " + CUBE_SPEC, sql(*H14, f"select txn_id, {CUBE_COLS} from hist group by 1"))
 def _(spark, d):
     flow, anchors = events(spark, d)
-    yes = F.lit(True)
-    return feature_cube(anchors, flow, ["3d", "14d"], {"in": inflow(), "out": outflow(), "all": yes},
-                        {"click": F.col("chan") == "click", "view": F.col("chan") == "view", "all": yes},
-                        {"novel": F.col("novel") == 1, "all": yes})
+    return feature_cube(anchors, flow, ["3d", "14d"], {"in": inflow(), "out": outflow()}, "chan", {"novel": F.col("novel") == 1}, amount())
 
 
 @query("amount_range_std", "txn_id:i f14d_in_min_amt:d f14d_in_max_amt:d f14d_all_std_amt:d",

@@ -17,9 +17,10 @@ from trailmark.operators import ranking as R
 from trailmark.operators import screening as L
 from trailmark.sources import tables as T
 
-#: Missed positives whose histories are pulled.
 #: Feature blocks of one build.
 TOGETHER = 3
+#: F1 that a run aims at (fixed value).
+TARGET_F1 = 0.75
 
 
 def build_wide(
@@ -56,12 +57,17 @@ def run_experiment(
     keep_top: int | None = L.KEEP_TOP,
     folds: int = 5,
     params: Mapping | None = None,
-    trials: int = 0,
+    trials: int = M.TRIALS,
+    iterations: tuple[int, int, int] = (300, 1000, 100),
+    screen_params: Mapping | None = None,
     missed_accounts: int = 10,
+    target: float = TARGET_F1,
 ) -> DataFrame:
-    """Run everything and return one row: run, f1, best_k, n_features, hit and missed counts, passed gate.
+    """Run everything and return one row: run, f1, best_k, n_features, hit and missed counts, passed gate and target.
 
-    ``anchors`` carry ``label`` and ``split`` (train / test). Reports are written below ``root``. Stages
+    Screening uses supervised bins. Unless ``params`` are given, they are searched for in ``trials`` trials. Features kept by the screen are
+    stored by run; the last run's list is what the gate compares with, unless ``previous`` is given. A run that stops at the
+    gate, or has no feature left, is logged too. ``anchors`` carry ``label`` and ``split`` (train / test). Reports are written below ``root``. Stages
     that feed several jobs are stored; only feature names, information values and the best K reach the
     driver. ``tag`` names the version of anchors and flow: stored features and scores are reused under the same tag
     and parameters only.
@@ -70,7 +76,7 @@ def run_experiment(
     wide, names = build_wide(anchors, flow, blocks, root, tag, families)
     train, test = T.split_by(wide, "split", ["train"], ["test"])
 
-    bins = L.iv_quantile(train, names, "label")
+    bins = L.iv_tree(train, names, "label", id_col="txn_id")
     iv = L.iv_total(bins)
     drift = L.drift_iv(train, test, names)
     T.write_report({"iv": iv, "iv_bins": bins, "drift": drift, "psi": L.psi(train, test, names)}, f"{root}/report-{run}")
@@ -78,16 +84,28 @@ def run_experiment(
     kept = [r["feature"] for r in R.rank_desc(L.keep_iv(iv, iv_min), "iv", "feature").collect()]
     gone = set(L.drop_correlated(L.corr_pairs(train, kept), iv.filter(F.col("feature").isin(kept)), corr_max)) if len(kept) > 1 else set()
     kept = [f for f in kept if f not in gone]
+    previous = kept_before(spark, root, run) if previous is None else list(previous)
     fresh = sorted(set(kept) - set(previous)) if previous is not None else kept
+    spark.createDataFrame([(f,) for f in kept], "feature string").write.mode("overwrite").parquet(f"{root}/kept/run={run}")
     head = spark.range(1).select(F.lit(run).cast("long").alias("run"))
+
+    def log(row: DataFrame, notes: str) -> None:
+        T.log_run(row.select(
+            F.current_timestamp().alias("run_at"), F.lit(run).cast("long").alias("run"), "f1", "best_k", "hit_y", "missed_y", "n_features",
+            F.lit(round(time.perf_counter() - began, 3)).alias("seconds"), F.lit(notes).alias("notes")), f"{root}/runs")
+
     if not kept or not fresh:
-        return head.select("run", *[F.lit(None).cast(t).alias(n) for n, t in _FIELDS], F.lit(False).alias("gate_passed"))
+        log(head.select(*[F.lit(0).cast(t).alias(n) for n, t in _FIELDS]), "GATE_FAIL: no new features after the screen" if kept else "no features pass the screen")
+        return head.select("run", *[F.lit(None).cast(t).alias(n) for n, t in _FIELDS], F.lit(False).alias("gate_passed"), F.lit(False).alias("target_passed"))
 
     if keep_top is not None and len(kept) > keep_top:
-        kept = M.importance_screen(train, kept, keep_top, params=params)
+        kept = M.importance_screen(train, kept, keep_top, params=screen_params or params or M.SCREEN_PARAMS)
     folded = R.stratified_folds(train, k=folds)
-    if trials:
-        params, _ = M.search(folded, kept, folds=folds, trials=trials)
+    if params is None:
+        positives = train.agg(F.sum("label")).first()[0] or 0
+        params, loss, trialled = M.search(folded, kept, folds=folds, trials=trials, space=M.search_space(int(positives), len(kept), folds, iterations))
+        T.write_csv(trialled, f"{root}/trials-{run}")
+        T.write_json(head.select("run", F.lit(loss).alias("log_loss"), *[F.lit(v).alias(k) for k, v in params.items()]), f"{root}/best_params-{run}")
     kept = M.importance_screen(train, kept, None, params=params) or kept
     scored, importance = M.oof_scores(folded, kept, folds=folds, params=params)
     meta = ["txn_id", "acct", "t", "dt", "label", "score"]
@@ -107,21 +125,25 @@ def run_experiment(
     first = R.top_n(missed, missed_accounts, -F.col("rank"), "txn_id").select("txn_id", "acct", "t", "dt")
     T.write_csv(V.history_summary(first, flow), f"{root}/missed_history-{run}")
     T.write_csv(R.last_n_before(first, flow, None), f"{root}/missed_rows-{run}")
-    T.write_report({"kept": spark.createDataFrame([(f,) for f in kept], "feature string")}, f"{root}/kept-{run}")
-
     hits = ranked.agg(
         F.count_if((F.col("label") == 1) & (F.col("rank") <= k)).alias("hit_y"),
         F.count_if((F.col("label") == 1) & (F.col("rank") > k)).alias("missed_y"),
     )
     out = hits.select(
         F.lit(run).cast("long").alias("run"), F.lit(f1).alias("f1"), F.lit(k).cast("long").alias("best_k"),
-        F.lit(len(kept)).cast("long").alias("n_features"), "hit_y", "missed_y", F.lit(True).alias("gate_passed"))
+        F.lit(len(kept)).cast("long").alias("n_features"), "hit_y", "missed_y", F.lit(True).alias("gate_passed"), F.lit(f1 >= target).alias("target_passed"))
     T.write_json(out, f"{root}/result-{run}")
-    log = head.select(
-        F.current_timestamp().alias("run_at"), "run", F.lit(f1).alias("f1"), F.lit(k).alias("best_k"),
-        F.lit(len(kept)).alias("n_features"), F.lit(round(time.perf_counter() - began, 3)).alias("seconds"), F.lit(",".join(blocks)).alias("notes"))
-    T.log_run(log, f"{root}/runs")
+    log(out, ",".join(blocks))
     return out
 
 
+def kept_before(spark, root: str, run: int) -> list[str] | None:
+    """The features kept by the screen of the last run before this one; None if there was none."""
+    if not T.exists(spark, f"{root}/kept"):
+        return None
+    stored = spark.read.schema("feature string, run long").parquet(f"{root}/kept").filter(F.col("run") < run)
+    last = stored.agg(F.max("run")).first()[0]
+    return None if last is None else [r["feature"] for r in stored.filter(F.col("run") == last).select("feature").collect()]
+
+
 _FIELDS = [("f1", "double"), ("best_k", "long"), ("n_features", "long"), ("hit_y", "long"), ("missed_y", "long")]

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -67,7 +67,7 @@ def evidence(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
         *keys,
         "n",
         "bad",
-        (F.col("bad") * 100.0 / F.col("n")).alias("bad_rate"),
+        (F.col("bad") * 100.0 / F.nullif(F.col("n"), F.lit(0))).alias("bad_rate"),
         (F.col("n") * 100.0 / F.col("tn")).alias("pct"),
         (pct_bad * 100).alias("bad_pct"),
         (pct_good * 100).alias("good_pct"),
@@ -82,12 +82,24 @@ def iv_quantile(df: DataFrame, feats: Sequence[str], label: str, bins: int = 5)
     return woe_table(assign_bins(long, quantile_cuts(long, bins)), label)
 
 
-def iv_category(df: DataFrame, feats: Sequence[str], label: str) -> DataFrame:
-    """The same with the categories of text features as bins."""
+def iv_category(df: DataFrame, feats: Sequence[str], label: str, order: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
+    """The same with the categories of text features as bins.
+
+    A feature with an ``order`` has exactly these bins, numbered by ``place``, those without rows included; rows of other values (``Missing``
+    is one like any other) count in the totals only. Bins of other features have no place.
+    """
     long = df.select(label, *[F.col(f).cast("string").alias(f) for f in feats]).unpivot(
         [label], list(feats), "feature", "value"
     )
-    return woe_table(long.withColumn("bin", F.coalesce("value", F.lit("Missing"))), label)
+    binned = long.withColumn("bin", F.coalesce("value", F.lit("Missing")))
+    if not order:
+        return woe_table(binned, label)
+    cells = binned.groupBy("feature", "bin").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(label).cast("long")).alias("bad"))
+    listed = df.sparkSession.createDataFrame([(f, v, k) for f, vs in order.items() for k, v in enumerate(vs, 1)], "feature string, bin string, place int")
+    bound = F.col("feature").isin(*order)
+    all_cells = cells.join(F.broadcast(listed), ["feature", "bin"], "full").fillna(0, ["n", "bad"])
+    shown = evidence(all_cells, ["feature", "bin", "place"]).filter(~bound | F.col("place").isNotNull())
+    return shown
 
 
 def iv_total(woe: DataFrame) -> DataFrame:

@@ -41,11 +41,15 @@ def cache_key(name: str, params: Mapping) -> str:
     return hashlib.sha256(text.encode()).hexdigest()[:16]
 
 
-def _complete(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
+def _complete(spark: SparkSession, path: str) -> bool:
+    return exists(spark, f"{path}/_SUCCESS")
+
+
 def materialize(
     spark: SparkSession, build: Callable[[], DataFrame], root: str, name: str, params: Mapping | None = None
 ) -> DataFrame:
@@ -60,6 +64,58 @@ def materialize(
     return spark.read.parquet(path)
 
 
+def day_prints(source: DataFrame, day: str) -> DataFrame:
+    """(day, rows, print): number of rows of each day and a digest of them that does not depend on their order."""
+    h = F.xxhash64(*[F.col(c) for c in sorted(source.columns)])
+    # a sum beside the exclusive or, in which equal rows would cancel out; halved twice, so that it stays in range
+    return source.groupBy(F.col(day).cast("string").alias("day")).agg(
+        F.count(F.lit(1)).alias("rows"), F.bit_xor(h).alias("print"), F.sum(F.shiftrightunsigned(h, 33)).alias("total"))
+
+
+def materialize_days(
+    spark: SparkSession,
+    source: DataFrame,
+    build: Callable[[DataFrame], DataFrame],
+    root: str,
+    name: str,
+    params: Mapping | None = None,
+    day: str = "dt",
+    reach: int = 0,
+) -> tuple[DataFrame, list[str]]:
+    """A table kept up to date day by day: (the table, the days written by this call).
+
+    A manifest beside the table holds a digest of the source rows of each day. Only days whose rows differ are built again, and up to
+    ``reach`` days after them (as far as features look back); only these partitions are overwritten. ``build`` gets a
+    frame of the days to build (one column ``day``) and returns the rows of those days with the column ``day``.
+    The manifest is written after the data, so a lost run is repeated, never skipped. Days that the source has no more leave the table.
+    """
+    path = f"{root.rstrip('/')}/{name}-{cache_key(name, params or {})}"
+    prints = f"{path}-days"
+    now = {r["day"]: tuple(r)[1:] for r in day_prints(source, day).filter("day is not null").collect()}  # a row for each day
+    old = {}
+    if _complete(spark, prints):
+        old = {r["day"]: tuple(r)[1:] for r in spark.read.parquet(prints).select("day", "rows", "print", "total").collect()}
+    changed = sorted(d for d in now.keys() | old.keys() if now.get(d) != old.get(d))
+    if changed:
+        moved = spark.createDataFrame([(d,) for d in changed], "day string").select(
+            F.explode(F.sequence(F.to_date("day"), F.date_add(F.to_date("day"), reach))).alias("day")).distinct()
+        days = sorted(str(r["day"]) for r in moved.collect() if str(r["day"]) in now)
+        asked = spark.createDataFrame([(d,) for d in days], "day string").withColumn("day", F.col("day").cast(source.schema[day].dataType))
+        out = build(asked).withColumn("__day", F.col("day").cast("string")).drop("day")
+        out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("__day").parquet(path)
+        for gone in sorted(old.keys() - now.keys()):
+            p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/__day={gone}")
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        rows = [(d, *v) for d, v in now.items()]
+        spark.createDataFrame(rows, "day string, rows long, print long, total long").coalesce(1).write.mode("overwrite").parquet(prints)
+    else:
+        days = []
+    if not now:  # nothing to keep: an empty table
+        return build(source.select(F.col(day).alias("day")).filter("day is not null")), days
+    table = spark.read.option("basePath", path).parquet(path)
+    return table.withColumn("day", F.col("__day").cast("string").cast(source.schema[day].dataType)).drop("__day"), days
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
@@ -82,7 +138,7 @@ def write_report(tables: Mapping[str, DataFrame], root: str) -> None:
         df.write.mode("overwrite").parquet(f"{root.rstrip('/')}/{name}")
 
 
-RUN_LOG = "run_at timestamp, run long, f1 double, best_k long, n_features long, seconds double, notes string"
+RUN_LOG = "run_at timestamp, run long, f1 double, best_k long, hit_y long, missed_y long, n_features long, seconds double, notes string"
 
 
 def log_run(row: DataFrame, path: str) -> None:
