@@ -205,11 +205,12 @@ def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(run, "rep long, shingles binary")
 
 
-def node_entries(sets: DataFrame, percent: int) -> DataFrame:
+def node_entries(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """(token, rep, n): the nodes that a document enters, its first n - overlap + 1 groups in hash order.
 
     Sets that link differ in size by less than 100 / percent, so they are of one or of neighbouring size bands. A node is
-    for one group and band, and a document enters those of its own band and the next.
+    for one group and band, and a document enters those of its own band and the next. Texts are hashed here, not read from
+    ``shingle_sets``: two Python workers in a row would double the memory of a task.
     """
     band = np.log(100 / percent * 1.0001)
 
@@ -217,18 +218,24 @@ def node_entries(sets: DataFrame, percent: int) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            heads, owners, sizes = [], [], []
-            for rep, s in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                values = np.frombuffer(s.as_py(), np.int64)
-                first = values[: len(values) - -(-percent * len(values) // 100) + 1].view(np.uint64)
-                own = int(np.log(len(values)) / band)
-                heads += [mix(first + np.uint64(b * 0x9E3779B97F4A7C15 % (1 << 64))).view(np.int64) for b in (own, own + 1)]
-                owners.append(np.full(2 * len(first), rep, np.int64))
-                sizes.append(np.full(2 * len(first), len(values), np.int32))
-            if heads:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (heads, owners, sizes)], ["token", "rep", "n"])
-
-    return sets.select("rep", "shingles").mapInArrow(run, "token long, rep long, n int")
+            reps = batch.column(0).to_numpy(zero_copy_only=False)
+            for a, b, rows, values in chunk_shingles(batch.column(1), width):
+                cut = np.searchsorted(rows, np.arange(b - a + 1))
+                size = np.diff(cut)
+                full = np.flatnonzero(size)
+                if not len(full):
+                    continue
+                n = size[full]
+                enters = n - -(-percent * n // 100) + 1
+                at = np.repeat(cut[full], enters) + np.arange(enters.sum()) - np.repeat(np.cumsum(enters) - enters, enters)
+                first = values[at]
+                own = np.repeat((np.log(n) / band).astype(np.int64), enters)
+                salt = lambda x: x.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+                heads = np.concatenate([mix(first + salt(own)), mix(first + salt(own + 1))]).view(np.int64)
+                owners, sizes = np.repeat(reps[a:b][full], enters), np.repeat(n, enters).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(heads), pa.array(np.tile(owners, 2)), pa.array(np.tile(sizes, 2))], ["token", "rep", "n"])
+
+    return docs.mapInArrow(run, "token long, rep long, n int")
 
 
 @dataclass
@@ -302,9 +309,9 @@ def linked(ids: np.ndarray, sets: list[np.ndarray], side: np.ndarray, percent: i
     return [(int(ids[i]), int(least[top(i)])) for i in range(len(ids)) if ids[i] != least[top(i)]]
 
 
-def links(sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b): links between set representatives that connect all that are similar."""
-    entries = node_entries(sets, percent)
+def links(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """(a, b): links between set representatives (rep, text) that connect all that are similar."""
+    entries, sets = node_entries(docs, width, percent), shingle_sets(docs, width)
     shared = entries.groupBy("token").agg(F.min("rep").alias("node"), F.count(F.lit(1)).alias("members")).filter("members > 1")
     entered = settled(entries.join(shared.select("token", "node"), "token").select("node", "rep", "n").distinct())
     blocks = F.greatest(F.ceil(F.count(F.lit(1)) / MEMBERS), F.ceil(F.sum("n") / SHINGLES))
@@ -354,9 +361,9 @@ def join(docs: DataFrame, width: int = WORDS, percent: int = PERCENT, doc_id: st
     reps = alive.groupBy("digest").agg(F.min("doc_id").alias("rep"))
     member = settled(alive.join(reps, "digest").select("doc_id", "rep"))
     own = settled(member.select("rep").distinct())
-    sets = shingle_sets(rows.join(sent_if_small(own), rows["doc_id"] == own["rep"], "left_semi"), width)
+    chosen = rows.join(sent_if_small(own), rows["doc_id"] == own["rep"], "left_semi")
     first = member.groupBy("doc_id").agg(F.min("rep").alias("rep"), F.max("rep").alias("other"))
-    found = links(sets, percent).unionByName(first.filter("rep <> other").select(F.col("rep").alias("a"), F.col("other").alias("b")))
+    found = links(chosen, width, percent).unionByName(first.filter("rep <> other").select(F.col("rep").alias("a"), F.col("other").alias("b")))
     roots = components(found)
     placed = first.join(roots, first["rep"] == roots["node"], "left").select("doc_id", F.coalesce("root", "rep").alias("root"))
     out = sized.select("doc_id", "n").join(placed, "doc_id", "left")
