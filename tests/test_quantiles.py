@@ -1,7 +1,7 @@
 import pytest
 from frames import before, flow_of, random_rows
 
-from trailmark.plans.quantiles import pair_ratio, window_quantile, window_rank
+from trailmark.plans.quantiles import heavy_accounts, window_quantile, window_rank
 from trailmark.schema import WINDOWS
 
 
@@ -23,11 +23,20 @@ def test_rank_and_percentiles_match_definition(spark, pair_factor, hot_rows):
             assert q[col] == (amts[-(-p * len(amts) // 100) - 1] if amts else None)
 
 
-def test_pair_ratio_sees_skew(spark):
-    even = spark.range(1000).selectExpr("id % 500 as acct")
-    skew = spark.range(1000).selectExpr("case when id % 3 = 0 then 1 else id end as acct")
-    assert pair_ratio(even, even) < 2
-    assert pair_ratio(skew, skew) > 50
+def test_one_busy_account_among_many(spark):
+    """The bound holds for each account: a busy one is seen however many quiet ones there are, and both plans give its rows."""
+    quiet = spark.range(20_000).selectExpr("id % 10000 + 5 as acct")
+    busy = quiet.unionByName(spark.range(400).selectExpr("1L as acct"))
+    assert [r.acct for r in heavy_accounts(busy, busy, 64.0).collect()] == [1]
+    rows = random_rows(120, seed=4)
+    for r in rows[:70]:
+        r["acct"] = 1
+    flow = flow_of(spark, rows)
+    assert heavy_accounts(flow, flow.filter("dir = 0"), 8.0).count() == 1
+    kw = {"window": "3d", "where": "dir = 0"}
+    for run in (lambda f: window_rank(flow, flow, pair_factor=f, **kw), lambda f: window_quantile(flow, flow, probs=[0.5, 0.9], pair_factor=f, **kw)):
+        mixed, plain = ({r["txn_id"]: tuple(r) for r in run(f).collect()} for f in (8.0, 1e9))
+        assert mixed == plain and len(mixed) == len(rows)
 
 
 @pytest.mark.parametrize("pair_factor", [1e9, 0.0])

@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trailmark.plans.blocked import carry_last, hot_accounts
 from trailmark.schema import SECOND
 
 
@@ -15,6 +16,15 @@ def _bucket(x: str, width: int) -> str:
     return f"({x} - pmod({x}, {width}L)) div {width}L"
 
 
+def _with_history(probes: DataFrame, history: DataFrame, now: Column, time: str, lo: int, hi: int) -> DataFrame:
+    """The probes that have a history row with ``lo < now - time <= hi``: their latest row before ``now - lo`` is looked at, so no pairs are built."""
+    rows = history.filter(F.col("acct").isNotNull()).select("acct", F.col(time).alias("__e"), F.col(time).alias("__t"), F.lit(1).alias("__kind"))
+    asked = probes.filter(F.col("acct").isNotNull()).withColumns({"__e": now - lo, "__kind": F.lit(0)})
+    line = asked.unionByName(rows, allowMissingColumns=True)
+    latest = carry_last(line, ["acct"], ["__e", "__kind"], {"__last": F.col("__t")}, hot_accounts(rows, "__e"))
+    return latest.filter((F.col("__kind") == 0) & (F.col("__last") >= F.col("__e") + lo - hi)).select(*probes.columns)
+
+
 def pit_join(
     anchors: DataFrame,
     flow: DataFrame,
@@ -48,7 +58,7 @@ def pit_join(
         return pairs
     cols = anchors.columns
     hist = [c for c in pairs.columns if c not in cols]
-    lonely = anchors.join(pairs.select("txn_id").distinct(), "txn_id", "left_anti")
+    lonely = anchors.join(_with_history(anchors.select("txn_id", "acct", "t"), flow, F.col("t"), "t", lo, hi), "txn_id", "left_anti")
     empty = [F.lit(None).cast(pairs.schema[c].dataType).alias(c) for c in hist]
     return pairs.select(*cols, *hist).unionByName(lonely.select(*cols, *empty))
 
@@ -81,7 +91,9 @@ def pit_join_days(
     cols = points.columns
     hist = [c for c in pairs.columns if c not in cols]
     key = ["txn_id"] if "txn_id" in cols else ["acct", day]
-    lonely = points.join(pairs.select(*key).distinct(), key, "left_anti")
+    probes = points.select(*dict.fromkeys([*key, "acct", day])).distinct()
+    days = flow.select("acct", F.unix_date("dt").cast("long").alias("__n")).distinct()
+    lonely = points.join(_with_history(probes, days, F.unix_date(day).cast("long"), "__n", lo - 1, hi).select(*key), key, "left_anti")
     empty = [F.lit(None).cast(pairs.schema[c].dataType).alias(c) for c in hist]
     return pairs.select(*cols, *hist).unionByName(lonely.select(*cols, *empty))
 

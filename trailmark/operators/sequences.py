@@ -13,7 +13,7 @@ from trailmark.plans.blocked import HOT_ROWS, carry_last, hot_accounts, neighbou
 from trailmark.plans.dyadic import above, cover
 from trailmark.plans.lineage import settle
 from trailmark.plans.lookback import Measure, look_back
-from trailmark.plans.quantiles import PAIR_FACTOR, interval_quantile, pair_ratio, smallest_sums
+from trailmark.plans.quantiles import PAIR_FACTOR, by_account, interval_quantile, smallest_sums
 from trailmark.schema import DAY, SECOND, WINDOWS
 
 ORDER = ("t", "txn_id")
@@ -146,20 +146,24 @@ def gap_median(
     pair_factor: float = PAIR_FACTOR,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """Median positive gap inside the window, exact. Joins the rows only while that builds few pairs."""
+    """Median positive gap inside the window, exact. Joins the rows only of accounts where that builds few pairs."""
     tagged = flow.filter(where).select("acct", "t", "txn_id")
     mine = anchors.select("txn_id", "acct", "t")
-    if pair_ratio(mine, tagged) <= pair_factor:
+
+    def paired(mine: DataFrame, tagged: DataFrame) -> DataFrame:
         rows = pit_join(mine, tagged, WINDOWS[window], how="inner", history=["t", "txn_id"])
         per = Window.partitionBy("txn_id").orderBy("h_t", "h_txn_id")
         gaps = rows.withColumn("gap", F.col("h_t") - F.lag("h_t").over(per))
-        stats = gaps.filter("gap > 0").groupBy("txn_id").agg(F.expr("percentile_disc(0.5) within group (order by gap)").alias("q"))
-    else:
+        return gaps.filter("gap > 0").groupBy("txn_id").agg(F.expr("percentile_disc(0.5) within group (order by gap)").alias("q"))
+
+    def digits(mine: DataFrame, tagged: DataFrame) -> DataFrame:
         hot = hot_accounts(tagged, "t", hot_rows)
         pairs = neighbours(tagged, ["acct"], list(ORDER), hot, {"pt": "t"}).filter("t > pt")
         w = WINDOWS[window] * SECOND
         items = pairs.selectExpr("acct", "t as enter", f"pt + {w}L as leave", "t - pt as v").filter("enter <= leave")
-        stats = interval_quantile(mine, items, 0.5, hot_rows)
+        return interval_quantile(mine, items, 0.5, hot_rows)
+
+    stats = by_account(mine, tagged, pair_factor, paired, digits)
     median = (F.col("q") / F.lit(float(SECOND))).alias("gap_median")
     return mine.select("txn_id").join(stats, "txn_id", "left").select("txn_id", median)
 

@@ -1,8 +1,8 @@
 """Ranks and percentiles of a value inside trailing windows.
 
 Both are exact at every size, whatever the values: NULL rows are left out, equal values are equal, nothing is rounded.
-With few rows per account the rows of each window are simply joined. Where that would build too many
-pairs - the bound, anchors times rows summed over accounts, is computed first - the values are replaced by their
+Where an account has few rows the rows of each window are simply joined. For accounts where that would build too many
+pairs - anchors times rows of each account are counted first - the values are replaced by their
 positions among all distinct values and handled digit by digit: the rows below a value split by the first
 digit in which they differ, so a rank is a sum of windowed counts over (account, position prefix), and a
 percentile is found by choosing one hexadecimal digit per round from windowed counts. Cost is
@@ -12,7 +12,7 @@ the same rows; tests hold them against each other and the definition.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,13 +25,25 @@ from trailmark.plans.lookback import HOT_ROWS, Measure, look_back
 PAIR_FACTOR = 64.0
 
 
-def pair_ratio(anchors: DataFrame, flow: DataFrame) -> float:
-    """Upper bound of joined pairs over input rows; one row is fetched."""
+def heavy_accounts(anchors: DataFrame, flow: DataFrame, pair_factor: float = PAIR_FACTOR) -> DataFrame:
+    """Accounts whose anchors times rows exceed ``pair_factor`` for each of their anchors and rows. Stored."""
     a = anchors.groupBy("acct").agg(F.count(F.lit(1)).cast("double").alias("a"))
     r = flow.groupBy("acct").agg(F.count(F.lit(1)).cast("double").alias("r"))
-    both = a.join(r, "acct", "full").agg(F.sum(F.col("a") * F.col("r")), F.sum("a"), F.sum("r")).first()
-    pairs, n_a, n_r = (x or 0.0 for x in both)
-    return pairs / max(n_a + n_r, 1.0)
+    return settle(a.join(r, "acct").filter(F.col("a") * F.col("r") > pair_factor * (F.col("a") + F.col("r"))).select("acct"))
+
+
+def by_account(
+    anchors: DataFrame, flow: DataFrame, pair_factor: float, paired: Callable[[DataFrame, DataFrame], DataFrame], digits: Callable[[DataFrame, DataFrame], DataFrame]
+) -> DataFrame:
+    """The rows of both plans, each for its accounts: joined pairs where they are few *for the account*, digits for the others.
+
+    So the pairs are at most ``pair_factor`` times the input, however the rows are spread over the accounts.
+    """
+    heavy = heavy_accounts(anchors, flow, pair_factor)
+    if heavy.isEmpty():
+        return paired(anchors, flow)
+    sides = [[df.join(heavy, "acct", how) for df in (anchors, flow)] for how in ("left_anti", "left_semi")]
+    return paired(*sides[0]).unionByName(digits(*sides[1]))
 
 
 def positions(frames: Sequence[DataFrame], value: str) -> tuple[DataFrame, int]:
@@ -73,11 +85,13 @@ def window_rank(
 
     src = flow.filter(where).filter(F.col(value).isNotNull()).select("acct", "t", value)
     mine = anchors.select("txn_id", "acct", "t", value)
-    if pair_ratio(mine, src) <= pair_factor:
+
+    def paired(mine: DataFrame, src: DataFrame) -> DataFrame:
         pairs = pit_join(mine, src, WINDOWS[window], history=["t", value])
-        out = pairs.groupBy("txn_id").agg(
+        return pairs.groupBy("txn_id").agg(
             F.count(f"h_{value}").alias("n"), F.count_if(F.col(f"h_{value}") <= F.col(value)).alias("n_le"))
-    else:
+
+    def digits(mine: DataFrame, src: DataFrame) -> DataFrame:
         codes, bits = positions([mine, src], value)
         nodes = [
             f"struct({i} as l, shiftright(v, {bits - i}) as p, shiftright(v, {bits - 1 - i}) & 1 as bit)" for i in range(bits)
@@ -95,7 +109,9 @@ def window_rank(
         below = counts.groupBy(F.col("txn_id.txn_id").alias("txn_id")).agg(F.sum(f"c_{window}").alias("n_le"))
         total = look_back(mine, src, [Measure("rows", "count", [window])], hot_rows=hot_rows)
         out = total.select("txn_id", F.col(f"rows_{window}").alias("n")).join(below, "txn_id", "left")
-        out = out.withColumn("n_le", F.coalesce("n_le", F.lit(0).cast("long")))
+        return out.withColumn("n_le", F.coalesce("n_le", F.lit(0).cast("long")))
+
+    out = by_account(mine, src, pair_factor, paired, digits)
     return out.withColumn("share", F.expr("n_le / nullif(cast(n as double), 0)"))
 
 
@@ -118,35 +134,39 @@ def window_quantile(
 
     src = flow.filter(where).filter(F.col(value).isNotNull()).select("acct", "t", value)
     mine = anchors.select("txn_id", "acct", "t")
-    if pair_ratio(mine, src) <= pair_factor:
+
+    def paired(mine: DataFrame, src: DataFrame) -> DataFrame:
         pairs = pit_join(mine, src, WINDOWS[window], history=["t", value])
         exact = [F.expr(f"percentile_disc({float(p)}) within group (order by h_{value})").alias(f"q{i}") for i, p in enumerate(probs)]
         return pairs.groupBy("txn_id").agg(*exact)
 
-    codes, bits = positions([src], value)
-    rounds = (bits + 3) // 4
-    coded = src.join(codes, value).select("acct", "t", "v")
-    total = look_back(mine, src, [Measure("rows", "count", [window])], hot_rows=hot_rows)
-    ranks = ", ".join(f"struct({i} as i, n - floor(n - {float(p)}D * n) as k)" for i, p in enumerate(probs))
-    state = settle(
-        mine.join(total.selectExpr("txn_id", f"rows_{window} as n"), "txn_id")
-        .filter("n > 0")
-        .selectExpr("txn_id", "acct", "t", f"explode(array({ranks})) as x")
-        .selectExpr("struct(txn_id, x.i as i) as txn_id", "acct", "t", "greatest(x.k, 1) as k", "0L as p")
-    )
-    for r in range(rounds):
-        shift = 4 * (rounds - 1 - r)
-        rows = coded.selectExpr(
-            f"struct(acct, shiftright(v, {shift + 4}) as p) as acct", "t", f"shiftright(v, {shift}) & 15 as digit")
-        probes = state.selectExpr("txn_id", "struct(acct, p) as acct", "t")
-        counts = look_back(probes, rows, [Measure(f"c{d}", "count", [window], f"digit = {d}") for d in range(16)], hot_rows=hot_rows)
-        sums = [" + ".join(f"c{j}_{window}" for j in range(d + 1)) for d in range(16)]
-        cases = " ".join(f"when {s} >= k then {d}" for d, s in enumerate(sums))
-        joined = state.join(counts, "txn_id").selectExpr("*", f"case {cases} end as digit", f"array(0L, {', '.join(sums)}) as run")
-        state = settle(joined.selectExpr("txn_id", "acct", "t", "k - run[digit] as k", "p * 16 + digit as p"))
-    found = state.selectExpr("txn_id.txn_id as txn_id", "txn_id.i as i", "p as v").join(codes, "v")
-    picked = found.groupBy("txn_id").agg(*[F.max(F.when(F.col("i") == i, F.col(value))).alias(f"q{i}") for i in range(len(probs))])
-    return anchors.select("txn_id").join(picked, "txn_id", "left")
+    def digits(mine: DataFrame, src: DataFrame) -> DataFrame:
+        codes, bits = positions([src], value)
+        rounds = (bits + 3) // 4
+        coded = src.join(codes, value).select("acct", "t", "v")
+        total = look_back(mine, src, [Measure("rows", "count", [window])], hot_rows=hot_rows)
+        ranks = ", ".join(f"struct({i} as i, n - floor(n - {float(p)}D * n) as k)" for i, p in enumerate(probs))
+        state = settle(
+            mine.join(total.selectExpr("txn_id", f"rows_{window} as n"), "txn_id")
+            .filter("n > 0")
+            .selectExpr("txn_id", "acct", "t", f"explode(array({ranks})) as x")
+            .selectExpr("struct(txn_id, x.i as i) as txn_id", "acct", "t", "greatest(x.k, 1) as k", "0L as p")
+        )
+        for r in range(rounds):
+            shift = 4 * (rounds - 1 - r)
+            rows = coded.selectExpr(
+                f"struct(acct, shiftright(v, {shift + 4}) as p) as acct", "t", f"shiftright(v, {shift}) & 15 as digit")
+            probes = state.selectExpr("txn_id", "struct(acct, p) as acct", "t")
+            counts = look_back(probes, rows, [Measure(f"c{d}", "count", [window], f"digit = {d}") for d in range(16)], hot_rows=hot_rows)
+            sums = [" + ".join(f"c{j}_{window}" for j in range(d + 1)) for d in range(16)]
+            cases = " ".join(f"when {s} >= k then {d}" for d, s in enumerate(sums))
+            joined = state.join(counts, "txn_id").selectExpr("*", f"case {cases} end as digit", f"array(0L, {', '.join(sums)}) as run")
+            state = settle(joined.selectExpr("txn_id", "acct", "t", "k - run[digit] as k", "p * 16 + digit as p"))
+        found = state.selectExpr("txn_id.txn_id as txn_id", "txn_id.i as i", "p as v").join(codes, "v")
+        picked = found.groupBy("txn_id").agg(*[F.max(F.when(F.col("i") == i, F.col(value))).alias(f"q{i}") for i in range(len(probs))])
+        return mine.select("txn_id").join(picked, "txn_id", "left")
+
+    return by_account(mine, src, pair_factor, paired, digits)
 
 
 def interval_quantile(anchors: DataFrame, items: DataFrame, prob: float, hot_rows: int = HOT_ROWS) -> DataFrame:
