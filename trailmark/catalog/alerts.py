@@ -12,6 +12,7 @@ from trailmark.catalog.sequence import PAIRS, RUNS
 from trailmark.operators import rulerow as W
 from trailmark.operators import rules as M
 from trailmark.operators import sequences as Q
+from trailmark.operators.counters import statement_counters
 from trailmark.operators.statements import with_text_flags
 from trailmark.plans.lineage import settle
 from trailmark.schema import read, statement_flow
@@ -115,7 +116,7 @@ DAYS_SQL = {
     "rows_180d": by_day(2, 179, "true"), "days_180d": by_day(2, 179, "true", "count(distinct dt)"), "days_gap": by_day(16, 179, "true", "count(distinct dt)"),
     "in_strangers_180d": by_day(2, 179, IN_STRANGER), "in_others_180d": by_day(2, 179, "dir = 1 and other_name = 1"),
     "out_strangers_180d": by_day(2, 179, f"{OUT_STRANGER} and pay_acct = 1"), "out_others_180d": by_day(2, 179, "dir = 0 and other_name = 1 and pay_acct = 1"),
-    "out_named_180d": by_day(2, 179, "dir = 0 and other_name = 1"), "dawn_out_180d": by_day(2, 179, "dir = 0 and other_name = 1 and hh between 1 and 5"),
+    "dawn_out_180d": by_day(2, 179, "dir = 0 and other_name = 1 and pay_acct = 1 and hh between 1 and 5"),
     "dawn_180d": by_day(2, 179, "hh between 1 and 5"), "shop_out_180d": by_day(2, 179, f"dir = 0 and {SHOP}"), "outs_180d": by_day(2, 179, "dir = 0"),
     "shop_in_180d": by_day(2, 179, f"dir = 1 and {SHOP}"), "ins_180d": by_day(2, 179, "dir = 1"), "cash_out_180d": by_day(2, 179, f"dir = 0 and {TAKEN}"),
     "cash_out_amt_180d": f"coalesce({by_day(2, 179, f'dir = 0 and {TAKEN}', 'sum(amt)')}, 0)", "refunds_180d": by_day(2, 179, "remark like '%代付代付退款%'"),
@@ -128,7 +129,7 @@ SHARES_SQL = {
     "person_in_share_15d": "person_in_15d / nullif(in_sum_15d, 0)", "in_out_ratio_15d": "in_sum_15d / nullif(out_sum_15d, 0)",
     "late_share_15d": "late_15d / nullif(rows_15d, 0)", "withdraw_share_180d": "withdraw_all_180d / nullif(rows_180d, 0)",
     "novel_share_180d": "in_strangers_180d / nullif(in_others_180d, 0)", "novel_out_share_180d": "out_strangers_180d / nullif(out_others_180d, 0)",
-    "dawn_share_180d": "dawn_out_180d / nullif(out_named_180d, 0)", "shop_out_share_180d": "shop_out_180d / nullif(outs_180d, 0)",
+    "dawn_share_180d": "dawn_out_180d / nullif(out_others_180d, 0)", "shop_out_share_180d": "shop_out_180d / nullif(outs_180d, 0)",
     "shop_in_share_180d": "shop_in_180d / nullif(ins_180d, 0)", "cash_out_share_180d": "cash_out_180d / nullif(outs_180d, 0)",
 }
 
@@ -163,6 +164,38 @@ def _(spark, d):
     return W.chosen(settle(W.marked(W.of_interest(statements(spark, d)))))
 
 
+@query("statement_counters",
+       "txn_id:i max_before_in_15d:d min_before_in_15d:d max_in_share_15d:d min_out_share_15d:d bal_min_15d:d bal_min_3d:d min_amt_15d:d min_amt_3d:d in_amt_3d:d out_amt_3d:d max_in_3d:d "
+       "withdraw_shop_15d:i loan_shop_15d:i fund_amt_15d:d named_amt_15d:d shop_in_15d:i thousands_15d:i probes_15d:i probes_3d:i hundreds_3h:i flat_amt_3h:d min_before_out_180d:d "
+       "min_before_out_360d:d max_amt_180d:d max_amt_360d:d bal_std_15d:m bal_std_3d:m bal_avg_3d:d out_share_std_15d:m in_share_std_15d:m in_out_ratio_15d:d in_avg_3d:d out_share_avg_180d:d "
+       "small_out_share_180d:d large_out_share_180d:d withdraw_in_share_180d:d",
+       sql(*STATEMENTS,
+           """parts as (select *, case when bal + amt > 0 then bal + amt else 0.1 end as d_ye, case when bal - amt > 0 then bal - amt else 0.1 end as c_ye,
+  amt / case when bal + amt > 0 then bal + amt else 0.1 end as d_part, amt / case when bal - amt > 0 then bal - amt else 0.1 end as c_part from prev)""",
+           "scored as (select * from parts where chan = 'purchase')",
+           "sh as (select c.txn_id as cid, (c.t - f.t) / 1e6 as age, f.* rename (txn_id as h_id, age as years) from scored c left join parts f on c.acct = f.acct and c.t - f.t > 0 and c.t - f.t <= 1296000000000)",
+           f"""a as (select cid, max(c_ye) filter (where dir = 1) as max_before_in_15d, min(c_ye) filter (where dir = 1) as min_before_in_15d, max(c_part) filter (where dir = 1) as max_in_share_15d,
+  min(d_part) filter (where dir = 0) as min_out_share_15d, min(bal) as bal_min_15d, min(bal) filter (where age <= 259200) as bal_min_3d, min(amt) as min_amt_15d, min(amt) filter (where age <= 259200) as min_amt_3d,
+  coalesce(sum(amt) filter (where dir = 1 and age <= 259200), 0) as in_amt_3d, coalesce(sum(amt) filter (where dir = 0 and age <= 259200), 0) as out_amt_3d, max(amt) filter (where dir = 1 and age <= 259200) as max_in_3d,
+  count(*) filter (where {BOUGHT}) as withdraw_shop_15d, count(*) filter (where {BOUGHT.replace("提现", "借款")}) as loan_shop_15d, coalesce(sum(amt) filter (where dir = 0 and remark like '%基金%'), 0) as fund_amt_15d,
+  coalesce(sum(amt) filter (where other_name = 1), 0) as named_amt_15d, count(*) filter (where dir = 1 and {SHOP}) as shop_in_15d, count(*) filter (where amt % 1000 = 0) as thousands_15d,
+  count(*) filter (where remark like '%跨行网银贷记%' and amt < 100) as probes_15d, count(*) filter (where remark like '%跨行网银贷记%' and amt < 100 and age <= 259200) as probes_3d,
+  count(*) filter (where amt % 100 = 0 and age <= 10800) as hundreds_3h, coalesce(sum(amt) filter (where amt % 100 = 0 and age <= 10800), 0) as flat_amt_3h,
+  stddev_pop(bal) as bal_std_15d, stddev_pop(bal) filter (where age <= 259200) as bal_std_3d, avg(bal) filter (where age <= 259200) as bal_avg_3d, stddev_pop(d_part) filter (where dir = 0) as out_share_std_15d,
+  stddev_pop(c_part) filter (where dir = 1) as in_share_std_15d, sum(amt) filter (where dir = 1) / nullif(sum(amt) filter (where dir = 0), 0) as in_out, count(*) filter (where dir = 0) as outs,
+  avg(amt) filter (where dir = 1 and age <= 259200) as in_avg_3d from sh group by 1)""",
+           "dh as (select c.txn_id as cid, date_diff('day', f.dt, c.dt) as off, f.* rename (txn_id as h_id) from scored c left join parts f on c.acct = f.acct and date_diff('day', f.dt, c.dt) between 2 and 359)",
+           """b as (select cid, min(d_ye) filter (where dir = 0 and off <= 179) as min_before_out_180d, min(d_ye) filter (where dir = 0) as min_before_out_360d, max(amt) filter (where off <= 179) as max_amt_180d,
+  max(amt) as max_amt_360d, avg(d_part) filter (where dir = 0 and off <= 179) as out_share_avg_180d, avg(case when d_part <= 0.05 then 1 else 0 end) filter (where dir = 0 and off <= 179) as small_out_share_180d,
+  avg(case when d_part >= 0.95 then 1 else 0 end) filter (where dir = 0 and off <= 179) as large_out_share_180d, avg(case when remark like '%提现%' then 1 else 0 end) filter (where dir = 1 and off <= 179) as withdraw_in_share_180d
+  from dh group by 1)""",
+           "select a.* exclude (cid, in_out, outs), a.cid as txn_id, b.* exclude (cid), case when outs > 0 then coalesce(in_out, 0) end as in_out_ratio_15d from a join b using (cid)"))
+def _(spark, d):
+    """Balances, shares and sequences of the statements before each purchase."""
+    flow = settle(statements(spark, d))
+    return statement_counters(flow.filter("chan = 'purchase'"), flow)
+
+
 SUMS = ("withdraw_amt_15d", "person_in_15d", "in_sum_15d", "out_sum_15d", "cash_out_amt_180d")
 FRAME_COLS = [
     *(f"{n}:{'d' if n in SUMS else 'i'}" for n in (*SECONDS_SQL, *DAYS_SQL)), *(f"{n}:d" for n in SHARES_SQL), "min_before_2h:d", "min_before_30min:d", "pairs_15d:i",

@@ -78,8 +78,7 @@ def measures(shop_within: int = SHOP_WITHIN, probe_below: float = PROBE_BELOW) -
         "in_others_180d": Wanted("count", "180d", "dir = 1 and other_name = 1"),
         "out_strangers_180d": Wanted("count", "180d", f"{STRANGER_OUT} and pay_acct = 1"),
         "out_others_180d": Wanted("count", "180d", "dir = 0 and other_name = 1 and pay_acct = 1"),
-        "out_named_180d": Wanted("count", "180d", "dir = 0 and other_name = 1"),
-        "dawn_out_180d": Wanted("count", "180d", f"dir = 0 and other_name = 1 and {DAWN}"),
+        "dawn_out_180d": Wanted("count", "180d", f"dir = 0 and other_name = 1 and pay_acct = 1 and {DAWN}"),
         "dawn_180d": Wanted("count", "180d", DAWN),
         "shop_out_180d": Wanted("count", "180d", "dir = 0 and r_shop = 1"),
         "outs_180d": Wanted("count", "180d", "dir = 0"),
@@ -112,7 +111,7 @@ SHARES = {
     "withdraw_share_180d": ("withdraw_all_180d", "rows_180d"),
     "novel_share_180d": ("in_strangers_180d", "in_others_180d"),
     "novel_out_share_180d": ("out_strangers_180d", "out_others_180d"),
-    "dawn_share_180d": ("dawn_out_180d", "out_named_180d"),
+    "dawn_share_180d": ("dawn_out_180d", "out_others_180d"),
     "shop_out_share_180d": ("shop_out_180d", "outs_180d"),
     "shop_in_share_180d": ("shop_in_180d", "ins_180d"),
     "cash_out_share_180d": ("cash_out_180d", "outs_180d"),

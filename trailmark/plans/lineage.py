@@ -6,9 +6,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A folder that driver and executors share: ``spark.checkpoint.dir``, or one in the warehouse where that is unset."""
+    """A folder that driver and executors share: ``spark.checkpoint.dir``, or one in the warehouse where that is unset.
+
+    A warehouse on a local disk is shared only while Spark runs in one process; on a cluster it is refused.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
-    return root.rstrip("/") if root else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_trailmark"
+    if root:
+        return root.rstrip("/")
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    on_disk = warehouse.startswith(("file:", "/"))
+    if on_disk and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return f"{warehouse}/_trailmark"
 
 
 def settle(df: DataFrame) -> DataFrame:
