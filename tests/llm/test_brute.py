@@ -335,23 +335,42 @@ def phrases(text, corpus):
     return n
 
 
-def test_parsing_table_counts_phrases():
+@pytest.mark.parametrize("limits", [{}, {"dense": 0}, {"wide": 0}])
+def test_parsing_table_counts_phrases(limits):
     rng = random.Random(3)
     corpus = "".join(rng.choice("abc ") for _ in range(300))
     model = langid.Model(["x"], [corpus.replace("  ", " ")])
-    parser = langid.Parser(model)
-    coded = lambda t: langid.encoded(t, parser.symbols)
-    known = coded(model.texts[0]).tobytes()
+    parser = langid.Parser(model, **limits)
+    coded = lambda t: "".join(map(chr, langid.encoded(t, parser.symbols)))
+    known = coded(model.texts[0])
     for _ in range(40):
         text = "".join(rng.choice("abcd ") for _ in range(rng.randrange(1, 250)))
         bits, _ = parser.bits([text])
         c = coded(text)
         expected = 0
         for a in range(0, len(c), langid.STRETCH):
-            expected += phrases(c[a : a + langid.STRETCH].tobytes(), known)
+            expected += phrases(c[a : a + langid.STRETCH], known)
         assert round(bits[0, 0] * len(c) / parser.cost[0]) == expected
 
 
+def test_all_languages_letters_and_long_texts_are_learned(spark):
+    rng = random.Random(8)
+    scripts = [chr(0x4E00 + k) for k in range(0, 9000, 3)] + [chr(0x3042 + k) for k in range(80)]
+    rows, held = [], []
+    for k in range(90):  # many languages, each with letters of its own from one large script, some only in long texts
+        letters = scripts[k * 34 : (k + 1) * 34]
+        words = ["".join(rng.choice(letters) for _ in range(3)) for _ in range(30)]
+        size = 9000 if k % 30 == 0 else 60
+        for n in range(3):
+            text = " ".join(rng.choice(words) for _ in range(size))
+            (held if n == 2 else rows).append((1000 * k + n, text, f"l{k:02d}"))
+    rows.append((5, "de ja vu " * 4000, "long"))
+    model = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.xxhash64("doc_id"))
+    assert len(model.languages) == 91
+    got = {r.doc_id: r.lang_pred for r in langid.predict(spark.createDataFrame(held, "doc_id long, text string, lang string"), model).collect()}
+    assert all(got[d] == lang for d, _, lang in held)
+
+
 def test_query_language(spark, sf):
     langs = {r.doc_id: r.lang for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang").collect()}
     got = queries.op10_language(spark, sf).collect()

@@ -5,9 +5,10 @@ match with the language's text, the next phrase begins where it ends. Phrases co
 the language needing the fewest bits a symbol wins.
 
 Texts are parsed in lockstep: all documents of a block are cut into stretches of ``STRETCH`` symbols (a cut ends a
-phrase in every language alike) and numpy steps through all stretches at once, whole texts included. Learning takes
-at most ``LANGUAGES`` languages (the most frequent) and about ``CHARS`` symbols of each, from documents in hash order
-(documented bounds of the sample); nothing else is limited.
+phrase in every language alike) and numpy steps through all stretches at once, whole texts included. Every language that has a
+training text with a letter is learned, from about ``CHARS`` symbols: ``SAMPLE_DOCS`` documents in hash order, of each at most ``SAMPLE_LENGTH``
+characters (documented bounds of the sample). Every letter is a symbol of its own, case folded; only what a language's own text
+holds can continue a phrase in it. Transitions are dense tables while these are small, sorted keys otherwise; both parse alike.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0; ties go to the language with more
 training documents, then by name; with no training rows all is ``und``; rows are treated one by one, so repeated rows
@@ -20,11 +21,13 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-CHARS, LANGUAGES, SAMPLE_DOCS, SAMPLE_LENGTH = 12_000, 64, 64, 20_000
+CHARS, SAMPLE_DOCS, SAMPLE_LENGTH = 12_000, 64, 20_000
 STRETCH, BLOCK = 256, 1 << 20
+#: Letters of a language, and bytes of all languages together, up to which transitions are dense tables.
+WIDE, DENSE = 250, 192 << 20
 UNKNOWN = "und"
 
 
@@ -38,7 +41,7 @@ class Model:
 
 def symbols_of(alphabet: str) -> np.ndarray:
     """Code point to symbol: 0 no letter, 1 a letter outside the alphabet, then the alphabet (case folded)."""
-    table = np.zeros(0x110000, np.uint8)
+    table = np.zeros(0x110000, np.int32)
     for cp in range(0x20000):
         if chr(cp).isalpha():
             table[cp] = 1
@@ -106,22 +109,70 @@ def parsing_table(step: list[dict[int, int]], width: int) -> np.ndarray:
     return table.ravel()
 
 
+class Dense:
+    """Transitions as one table; states are the starts of their rows."""
+
+    def __init__(self, step: list[dict[int, int]], width: int):
+        self.table = parsing_table(step, width)
+
+    def ended(self, columns: np.ndarray) -> np.ndarray:
+        """Phrases that ended in each stretch."""
+        state = np.zeros(columns.shape[1], np.int32)
+        ended = np.zeros(columns.shape[1], np.int32)
+        for column in columns:
+            got = self.table[state + column]
+            ended += got & 3
+            state = got >> 2
+        return ended + (state != 0)
+
+
+class Sorted:
+    """Transitions as sorted (state, symbol) keys, for alphabets too large for a table."""
+
+    def __init__(self, step: list[dict[int, int]], width: int):
+        keys = np.array([s * width + c for s, moves in enumerate(step) for c in moves] or [-1], np.int64)
+        targets = np.array([to for moves in step for to in moves.values()] or [0], np.int64)
+        order = np.argsort(keys)
+        self.keys, self.targets, self.width = keys[order], targets[order], width
+        self.root = np.full(width, -1, np.int64)
+        for c, to in step[0].items():
+            self.root[c] = to
+
+    def ended(self, columns: np.ndarray) -> np.ndarray:
+        state = np.zeros(columns.shape[1], np.int64)
+        ended = np.zeros(columns.shape[1], np.int32)
+        for column in columns:
+            key = state * self.width + column
+            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            goes_on = self.keys[at] == key
+            again = self.root[column]
+            closed = (state != 0).astype(np.int32) + ((again < 0) & (column != self.width - 1))
+            ended += np.where(goes_on, 0, closed)
+            state = np.where(goes_on, self.targets[at], np.maximum(again, 0))
+        return ended + (state != 0)
+
+
 class Parser:
-    """The model made ready: symbol table and one parsing table a language."""
+    """The model made ready: symbols, and for each language its own alphabet and transitions."""
 
-    def __init__(self, model: Model):
-        letters = {}
-        for text in model.texts:
-            for c in text.lower():
-                if c.isalpha():
-                    letters[c] = letters.get(c, 0) + 1
-        alphabet = "".join(sorted(sorted(letters), key=lambda c: -letters[c])[:200])
-        self.languages, self.width = model.languages, len(alphabet) + 3
-        self.symbols = symbols_of(alphabet)
-        self.tables, self.cost = [], []
+    def __init__(self, model: Model, wide: int = WIDE, dense: int = DENSE):
+        alphabet = "".join(sorted({c for text in model.texts for c in text.lower() if c.isalpha()}))
+        self.languages, self.symbols, self.pad = model.languages, symbols_of(alphabet), len(alphabet) + 2
+        self.parsers, self.own, self.cost = [], [], []
         for text in model.texts:
-            codes = encoded(text, self.symbols).tolist()
-            self.tables.append(parsing_table(suffix_automaton(codes), self.width))
+            codes = encoded(text, self.symbols)
+            letters = np.unique(codes)
+            # 0 is no letter everywhere; what this text doesn't hold is one symbol, on which no phrase goes on; the last one pads
+            local = np.full(self.pad + 1, len(letters) + 1, np.int32)
+            local[letters] = np.arange(1, len(letters) + 1)
+            local[self.pad] = len(letters) + 2
+            step = suffix_automaton(local[codes].tolist())
+            width = len(letters) + 3
+            size = 4 * len(step) * width
+            small = width <= wide and size <= dense
+            dense -= size if small else 0
+            self.parsers.append((Dense if small else Sorted)(step, width))
+            self.own.append(local.astype(np.uint8) if width <= 256 else local)
             self.cost.append(np.log2(len(codes) + 2.0))
 
     def bits(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -130,21 +181,14 @@ class Parser:
         length = np.array([len(c) for c in coded], np.int64)
         letters = np.array([bool(c.any()) for c in coded], bool)
         pieces = -(-length // STRETCH)
-        padded = np.full(int(pieces.sum()) * STRETCH, self.width - 1, np.uint8)
+        padded = np.full(int(pieces.sum()) * STRETCH, self.pad, np.int32)
         begin = np.concatenate([[0], np.cumsum(pieces)])
         for c, b in zip(coded, begin, strict=False):
             padded[b * STRETCH : b * STRETCH + len(c)] = c
         columns = np.ascontiguousarray(padded.reshape(-1, STRETCH).T)
-        out = np.zeros((len(texts), len(self.tables)))
-        for k, table in enumerate(self.tables):
-            state = np.zeros(columns.shape[1], np.int32)
-            ended = np.zeros(columns.shape[1], np.int32)
-            for column in columns:
-                got = table[state + column]
-                ended += got & 3
-                state = got >> 2
-            ended += state != 0
-            total = np.concatenate([[0], np.cumsum(ended)])
+        out = np.zeros((len(texts), len(self.parsers)))
+        for k, (parser, own) in enumerate(zip(self.parsers, self.own, strict=True)):
+            total = np.concatenate([[0], np.cumsum(parser.ended(own[columns]))])
             out[:, k] = (total[begin[1:]] - total[begin[:-1]]) * self.cost[k] / np.maximum(length, 1)
         return out, letters
 
@@ -153,20 +197,17 @@ def learn(labelled: DataFrame, key: Column, text: str = "text", lang: str = "lan
     """A model from labelled rows; ``key`` orders the sample (a hash of the row)."""
     rows = labelled.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"), key.alias("key"))
     rows = rows.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()
     if not counts:
         return Model([], [])
     span = 1 << 40
-    wanted = [
-        (F.col("lang") == r["lang"]) & (F.pmod("key", F.lit(span)) < int(span * min(1.0, SAMPLE_DOCS / r["count"]))) for r in counts
-    ]
-    near = wanted[0]
-    for w in wanted[1:]:
-        near = near | w
-    near = near & (F.length("text") <= SAMPLE_LENGTH)
-    picked = rows.filter(near).orderBy(F.pmod("key", F.lit(span)), "text").limit(2 * SAMPLE_DOCS * len(counts)).collect()
-    if not picked:  # all texts are very long ones
-        picked = rows.orderBy(F.pmod("key", F.lit(span)), "text").limit(len(counts)).collect()
+    # some twice the documents asked for, so that chance leaves no language short; a language with few has them all
+    shares = [(r["lang"], int(span * min(1.0, 2 * SAMPLE_DOCS / r["count"]))) for r in counts]
+    wanted = F.broadcast(labelled.sparkSession.createDataFrame(shares, "lang string, below long"))
+    near = rows.join(wanted, "lang").withColumn("place", F.pmod("key", F.lit(span))).filter(F.col("place") < F.col("below"))
+    near = near.select("lang", "place", F.substring("text", 1, SAMPLE_LENGTH).alias("text"))
+    first = Window.partitionBy("lang").orderBy("place", "text")
+    picked = near.withColumn("nth", F.row_number().over(first)).filter(F.col("nth") <= SAMPLE_DOCS).orderBy("lang", "nth").collect()
     texts: dict[str, list[str]] = {r["lang"]: [] for r in counts}
     for r in picked:
         if sum(map(len, texts[r["lang"]])) < CHARS:
