@@ -1,4 +1,10 @@
-"""The corpus pipeline: five stages over ``documents``, each written as Parquet and read again by the next one."""
+"""The corpus pipeline: five stages over ``documents``, each written as Parquet and read again by the next one.
+
+Defined cases, in the order of the stages: null, empty and very long texts are scored like any other, and stay or go by their score; texts
+without words and rows without an id are no near copies of anything; rows that share an id are kept or dropped together, equal rows too; rows without an id
+are searched for benchmark items like others; null texts stay null when personal data are replaced; documents without words are in no mix.
+Other columns pass through to the fourth stage; a table without rows gives none.
+"""
 
 from __future__ import annotations
 
