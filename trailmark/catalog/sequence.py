@@ -221,8 +221,8 @@ def _(spark, d):
     outs = carried.filter(outflow())
     day = look_back(flow.filter(outflow()), flow, [Measure("out", "sum", ["1d"], outflow(), F.col("amt"))])
     return outs.join(day, "txn_id").select(
-        "txn_id", "in_amt", ((F.col("t") - F.col("in_t")) / 1e6).alias("delay"), S.safe_ratio("amt", "in_amt").alias("ratio"),
-        F.col("out_1d"), S.safe_ratio(F.round("out_1d", 2), "in_amt").alias("drained"))
+        "txn_id", "in_amt", ((F.col("t") - F.col("in_t")) / 1e6).alias("delay"), S.float_ratio("amt", "in_amt").alias("ratio"),
+        F.col("out_1d"), S.float_ratio(S.rounded("out_1d", 2), "in_amt").alias("drained"))
 
 
 @query("day_first_last", "acct:i dt:D hours:d amt_diff:d",
