@@ -89,3 +89,18 @@ def test_rejects_bad_measures(spark):
         look_back(flow, flow, [Measure("d", "days", ["2h"])])
     with pytest.raises(ValueError):
         look_back(flow, flow, [Measure("t", "count", ["1d"])])
+
+
+@pytest.mark.parametrize("hot_rows", [None, 1, 3])
+def test_spread_of_large_values(spark, hot_rows):
+    # deviations of 1 about a mean of 10 millions: squares of the values hold no digit of them
+    rows = [r | {"amt": 1e7 + r["amt"] % 3} for r in random_rows(80)]
+    flow = flow_of(spark, rows)
+    got = collect(look_back(flow, flow, [Measure("x", "spread", ["2h", "1d", "14d"], OUT, AMT)], hot_rows=hot_rows))
+    for a in rows:
+        for label in ("2h", "1d", "14d"):
+            values = [r["amt"] for r in before(rows, a, WINDOWS[label]) if r["dir"] == 0]
+            x = got[a["txn_id"]][f"x_{label}"]
+            mean = sum(values) / len(values) if values else 0
+            assert x["n"] == len(values)
+            assert x["m2"] == pytest.approx(sum((v - mean) ** 2 for v in values), rel=1e-7, abs=1e-7)

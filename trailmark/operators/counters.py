@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trailmark.functions.scalars import balance_parts, population_std, safe_ratio
+from trailmark.functions.scalars import balance_parts, safe_ratio, spread_std
 from trailmark.operators.sequences import with_neighbours
 from trailmark.plans.lineage import settle
 from trailmark.plans.lookback import Measure, look_back, look_back_days
@@ -27,12 +27,11 @@ def statement_counters(anchors: DataFrame, flow: DataFrame) -> DataFrame:
     rows = settle(rows.withColumns({"after_withdraw": quick & (F.col("prev_withdraw") == 1), "after_loan": quick & (F.col("prev_loan") == 1)}))
     day15, day3 = ["15d"], ["3d"]
     both = day15 + day3
-    squares = lambda name, where, value, windows: [
-        Measure(f"{name}_n", "count", windows, f"({where}) and {value} is not null"), Measure(f"{name}_s", "sum", windows, where, value), Measure(f"{name}_q", "sum", windows, where, f"{value} * {value}")]
     seconds = [
         Measure("max_before_in", "max", day15, "dir = 1", "before_in"), Measure("min_before_in", "min", day15, "dir = 1", "before_in"),
         Measure("max_in_share", "max", day15, "dir = 1", "in_share"), Measure("min_out_share", "min", day15, "dir = 0", "out_share"),
-        *squares("bal", "true", "bal", both), *squares("out_share", "dir = 0", "out_share", day15), *squares("in_share", "dir = 1", "in_share", day15),
+        Measure("bal", "spread", both, None, "bal"), Measure("out_share", "spread", day15, "dir = 0", "out_share"), Measure("in_share", "spread", day15, "dir = 1", "in_share"),
+        Measure("bal_n", "count", day3, "bal is not null"), Measure("bal_s", "sum", day3, None, "bal"),
         Measure("bal_min", "min", both, None, "bal"), Measure("min_amt", "min", both, None, "amt"), Measure("in_amt", "sum", both, "dir = 1", "amt"),
         Measure("out_amt", "sum", both, "dir = 0", "amt"), Measure("ins", "count", day3, "dir = 1"), Measure("max_in", "max", day3, "dir = 1", "amt"),
         Measure("withdraw_shop", "count", day15, "after_withdraw"), Measure("loan_shop", "count", day15, "after_loan"),
@@ -47,7 +46,7 @@ def statement_counters(anchors: DataFrame, flow: DataFrame) -> DataFrame:
         Measure("all_ins", "count", ["180d"], "dir = 1"), Measure("withdraw_in", "count", ["180d"], "dir = 1 and r_withdraw = 1"), Measure("max_amt", "max", ["180d", "360d"], None, "amt"),
     ]
     got = look_back(anchors, rows, seconds).join(look_back_days(anchors, rows, days, BANDS).drop("acct", "dt"), "txn_id")
-    std = lambda name, w: population_std(*(F.col(f"{name}_{x}_{w}") for x in ("n", "s", "q")))
+    std = lambda name, w: spread_std(F.col(f"{name}_{w}"))
     made = {
         "bal_std_15d": std("bal", "15d"), "bal_std_3d": std("bal", "3d"), "bal_avg_3d": safe_ratio("bal_s_3d", "bal_n_3d"), "out_share_std_15d": std("out_share", "15d"),
         "in_share_std_15d": std("in_share", "15d"), "in_out_ratio_15d": safe_ratio("in_amt_15d", "out_amt_15d"), "in_avg_3d": safe_ratio("in_amt_3d", "ins_3d"),
