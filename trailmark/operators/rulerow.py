@@ -128,16 +128,16 @@ def planned(predicates: Iterable[Column], known: Mapping[str, Wanted]) -> tuple[
 
 
 def of_interest(flow: DataFrame) -> DataFrame:
-    """Rows of accounts that ever had an inflow from a stranger; no other account has a candidate."""
+    """Rows of accounts that ever had an inflow from a stranger; no other account has a candidate.
+
+    The flow is stored first: attributes of texts and balances are computed once, and the plans of the steps below stay short.
+    """
+    flow = settle(flow)
     return flow.join(flow.filter(STRANGER).select("acct").distinct(), "acct", "left_semi")
 
 
 def marked(flow: DataFrame) -> DataFrame:
-    """Flow with its previous row, the latest inflow that is no reversal, and the number of each outflow after that inflow.
-
-    The flow is stored first: attributes of texts are computed once, and the plans of the steps below stay short.
-    """
-    flow = settle(flow)
+    """Flow with its previous row, the latest inflow that is no reversal, and the number of each outflow after that inflow."""
     hot = Q.hot_accounts(flow)
     prev = {"prev_dir": "dir", "prev_amt": "amt", "prev_withdraw": "r_withdraw", "prev_t": "t"}
     flow = Q.neighbours(flow, ["acct"], list(Q.ORDER), hot, prev, {"next_reversed": "reversed"})
