@@ -71,6 +71,36 @@ def test_gap_median(spark, pair_factor, hot_rows):
         assert got[a["txn_id"]] == (pos[(len(pos) + 1) // 2 - 1] if pos else None)
 
 
+@pytest.mark.parametrize("pair_factor,hot_rows", [(1e9, 2_000_000), (0.0, 2_000_000), (1e9, 8), (3.0, 40)])
+def test_low_gap_average_by_pairs_and_by_digits(spark, pair_factor, hot_rows):
+    rows = random_rows(90, seed=12)
+    flow = flow_of(spark, rows)
+    snaps = account_days(flow, 1)
+    got = {(r["acct"], r["snap_dt"]): r["low_gap_avg"] for r in Q.low_gap_average(snaps, flow, 6, 0.2, 0.6, hot_rows=hot_rows, pair_factor=pair_factor).collect()}
+    assert len(got) == snaps.count()
+    for s in snaps.collect():
+        day = (s["snap_dt"] - dt.date(1970, 1, 1)).days
+        times = sorted((r["t"], r["txn_id"]) for r in rows if r["acct"] == s["acct"] and 0 <= day - r["t"] // DAY <= 5)
+        gaps = [y[0] - x[0] for x, y in zip(times, times[1:])]
+        rank = {v: i + 1 for i, v in enumerate(sorted(set(gaps)))}
+        low = [v for v in gaps if 0.2 < rank[v] / len(times) < 0.6]
+        mean = got[(s["acct"], s["snap_dt"])]
+        assert mean == (pytest.approx(sum(low) / len(low) / SECOND) if low else None)
+
+
+def test_low_gap_average_of_quiet_accounts_needs_no_rounds(spark):
+    """Accounts of few pairs are ranked in one pass: no frame of digits is stored (each stored frame is a job or more)."""
+    flow = flow_of(spark, random_rows(60, seed=13))
+    stored = []
+    real = Q.smallest_sums
+    Q.smallest_sums = lambda *a, **k: stored.append(1) or real(*a, **k)
+    try:
+        Q.low_gap_average(account_days(flow, 1), flow, 6, 0.2, 0.6).collect()
+    finally:
+        Q.smallest_sums = real
+    assert not stored
+
+
 @pytest.mark.parametrize("hot_rows", [2_000_000, 2])
 def test_last_n_before(spark, hot_rows):
     rows = random_rows(80, seed=9)
