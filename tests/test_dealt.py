@@ -1,5 +1,9 @@
+from frames import flow_of, random_rows
+
 from trailmark.operators import joins as J
+from trailmark.operators import sequences as Q
 from trailmark.plans import dealt as D
+from trailmark.schema import account_days
 
 
 def test_partitions_follow_the_rows(spark):
@@ -21,3 +25,13 @@ def test_journal_join_groups_in_bounded_partitions(spark, monkeypatch):
     assert got.rdd.getNumPartitions() >= 80
     rows = {(r["k"], r["n"]): (r["price"], r["listed"], r["count"]) for r in got.collect()}
     assert rows == {(i // 4, i % 4): (float(i // 4) if i // 4 % 2 == 0 else None, 1 if i % 7 < 3 else None, 1) for i in range(4000)}
+
+
+def test_run_blocks_end_with_the_longest_account(spark, monkeypatch):
+    """Short accounts take no blocks of 65,536 pairs: levels stop at the largest run number."""
+    levels = []
+    real = Q.above
+    monkeypatch.setattr(Q, "above", lambda item, top=16: levels.append(top) or real(item, top))
+    flow = flow_of(spark, random_rows(60, seed=14))
+    Q.equal_amount_runs(account_days(flow, 0), flow, 0, 4).collect()
+    assert levels and max(levels) <= 6
