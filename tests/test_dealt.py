@@ -3,6 +3,7 @@ from frames import flow_of, random_rows
 from trailmark.operators import joins as J
 from trailmark.operators import sequences as Q
 from trailmark.plans import dealt as D
+from trailmark.plans import lookback as L
 from trailmark.schema import account_days
 
 
@@ -35,3 +36,14 @@ def test_run_blocks_end_with_the_longest_account(spark, monkeypatch):
     flow = flow_of(spark, random_rows(60, seed=14))
     Q.equal_amount_runs(account_days(flow, 0), flow, 0, 4).collect()
     assert levels and max(levels) <= 6
+
+
+def test_look_back_windows_in_bounded_partitions(spark, monkeypatch):
+    """Windows over the blocks are dealt by rows, and give what they give in any number of partitions."""
+    flow = flow_of(spark, random_rows(120, seed=15))
+    measures = [L.Measure("n", "count", ["1d", "3d"], "dir = 0"), L.Measure("hi", "max", ["3d"], None, "amt")]
+    plain = sorted(map(tuple, L.look_back(flow, flow, measures, hot_rows=None).collect()))
+    monkeypatch.setattr(L, "EACH", 20)
+    got = L.look_back(flow, flow, measures)
+    assert "REPARTITION_BY_NUM" in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, got.collect())) == plain
