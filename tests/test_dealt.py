@@ -1,6 +1,7 @@
 from frames import flow_of, random_rows
 
 from trailmark.operators import joins as J
+from trailmark.operators import ranking as R
 from trailmark.operators import sequences as Q
 from trailmark.plans import dealt as D
 from trailmark.plans import lookback as L
@@ -47,3 +48,12 @@ def test_look_back_windows_in_bounded_partitions(spark, monkeypatch):
     got = L.look_back(flow, flow, measures)
     assert "REPARTITION_BY_NUM" in got._jdf.queryExecution().executedPlan().toString()
     assert sorted(map(tuple, got.collect())) == plain
+
+
+def test_folds_are_numbered_in_bounded_partitions(spark, monkeypatch):
+    df = spark.range(300).selectExpr("id as txn_id", "cast(id % 7 = 0 as int) as label")
+    plain = sorted(map(tuple, R.stratified_folds(df, k=3).collect()))
+    monkeypatch.setattr(R, "EACH", 40)
+    got = R.stratified_folds(df, k=3)
+    assert "REPARTITION_BY_NUM" in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, got.collect())) == plain
