@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailmark.plans.lineage import shared_folder
+from trailmark.plans.lineage import shared_folder, spent
 
 #: A word is a run of characters other than these (fixed by the contracts).
 WORD = r"[^\x20\x09-\x0D]+"
@@ -27,9 +27,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept as a reliable checkpoint in the shared folder."""
+    """``df`` computed once and kept as a reliable checkpoint in the shared folder. What was shuffled for it is removed."""
     shared_dir(df.sparkSession)
-    return df.checkpoint()
+    return spent(df).checkpoint()
 
 
 #: Rows of ids up to which a list is broadcast (some 100 MB); longer ones are joined by shuffling.

@@ -11,9 +11,10 @@ coordinate minima. The tree has three levels:
    bound, documents that share none of these cannot link. Sizes are a bound too: a node holds sets of like size. Nodes
    with the same smallest member are one.
 3. In a node, points over ``GROUPS`` coarse groups are packed into leaves by size and count; pairs of leaves and then
-   pairs of points are pruned by the bound, surviving pairs verified on whole shingle sets.
+   pairs of points are pruned by the bound, surviving pairs verified on shingle sets. This is done on the part of each set that
+   lies in the lowest hashes first, where all others count as shared; whole sets go only to nodes that the parts leave connected.
 
-Equal sets are collapsed to the smallest id first. Nodes of more than ``MEMBERS`` documents or ``SHINGLES`` shingles are cut into blocks that meet
+Equal texts, and then equal sets, are collapsed to the smallest id first. Nodes of more than ``MEMBERS`` documents or ``SHINGLES`` shingles are cut into blocks that meet
 in pairs. Only one link for each new connection leaves a node, never all pairs. Nothing is capped.
 
 Shingles are compared by 64-bit hashes. Defined cases: a text with fewer words than a shingle has its whole sequence as
@@ -39,6 +40,8 @@ WORDS, PERCENT = 5, 80
 GROUPS, LEAF, MEMBERS, SHINGLES = 64, 16, 768, 1 << 19
 #: Bytes of text of a chunk, and those that are hashed at once.
 CHUNK, BLOCK, MOST_ROWS = 4 << 20, 1 << 20, 60_000
+#: Shingles of a thin set, below which a set is thin as a whole.
+INNER = 64
 #: In a chunk's list: a group that is known to be shared, so that no document is to be told.
 TOLD = 0xFFFF
 #: Bytes of a fine group beside the bits that deal it out.
@@ -93,13 +96,13 @@ def enough(shared, n_a, n_b, percent: int):
     return (100 + percent) * shared >= percent * (n_a + n_b)
 
 
-def bounded_by_root(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """(doc_id, n, alive, digest): each document's set in short, and whether the root's box leaves it a partner.
+def bounded_by_root(docs: DataFrame, width: int, percent: int, partitions: int) -> DataFrame:
+    """(doc_id, own, n, alive, digest): each row's set in short, and whether the root's box leaves it a partner. ``docs``: (doc_id, own, text).
 
     A group is ``bits`` bits of the hash, which say where it is dealt to, and ``REST`` bytes more. There are more of them
-    in proportion to the partitions of the input, so groups stay as fine as the input grows.
+    in proportion to the ``partitions`` of the input, so groups stay as fine as the input grows.
     """
-    bits = max(6, min(24, docs.rdd.getNumPartitions().bit_length() + 2))
+    bits = max(6, min(24, partitions.bit_length() + 2))
     shift, low = np.uint64(64 - bits), np.uint64(64 - bits - 8 * REST)
 
     def send(batches):
@@ -108,7 +111,7 @@ def bounded_by_root(docs: DataFrame, width: int, percent: int) -> DataFrame:
 
         chunk = TaskContext.get().partitionId() << 24
         for batch in batches:
-            for a, b, own_rows, own_values in chunk_shingles(batch.column(1), width):
+            for a, b, own_rows, own_values in chunk_shingles(batch.column(2), width):
                 order = np.argsort(own_values, kind="stable")
                 rows, values = own_rows[order], own_values[order]
                 first = np.ones(len(values), bool)
@@ -131,15 +134,15 @@ def bounded_by_root(docs: DataFrame, width: int, percent: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([chunk] * len(payload), pa.int64()), pa.array([-1 - chunk, *full], pa.int64()),
-                        pa.array([batch.column(0).slice(a, b - a).to_pylist(), *none], pa.list_(pa.int64())),
+                        *(pa.array([batch.column(k).slice(a, b - a).to_pylist(), *none], pa.list_(pa.int64())) for k in (0, 1)),
                         pa.array([sizes.tolist(), *none], pa.list_(pa.int32())),
                         pa.array([digests, *none], pa.list_(pa.binary())), pa.array(payload, pa.binary()),
                     ],
-                    ["chunk", "part", "ids", "sizes", "digests", "payload"],
+                    ["chunk", "part", "ids", "keys", "sizes", "digests", "payload"],
                 )
                 chunk += 1
 
-    own = "ids array<long>, sizes array<int>, digests array<binary>, payload binary"
+    own = "ids array<long>, keys array<long>, sizes array<int>, digests array<binary>, payload binary"
     sent = docs.mapInArrow(send, f"chunk long, part long, {own}")
 
     def meet(group):
@@ -164,7 +167,7 @@ def bounded_by_root(docs: DataFrame, width: int, percent: int) -> DataFrame:
         keep = [k for k, t in enumerate(told) if t]
         none = [None] * len(keep)
         return pa.table({
-            "chunk": group["chunk"].take(pa.array(keep, pa.int64())), "ids": pa.array(none, pa.list_(pa.int64())),
+            "chunk": group["chunk"].take(pa.array(keep, pa.int64())), "ids": pa.array(none, pa.list_(pa.int64())), "keys": pa.array(none, pa.list_(pa.int64())),
             "sizes": pa.array(none, pa.list_(pa.int32())), "digests": pa.array(none, pa.list_(pa.binary())), "payload": pa.array([told[k] for k in keep], pa.binary()),
         })
 
@@ -174,14 +177,14 @@ def bounded_by_root(docs: DataFrame, width: int, percent: int) -> DataFrame:
         import pyarrow as pa
 
         own = group.filter(group["ids"].is_valid())  # the chunk's own row
-        ids = own["ids"].combine_chunks().flatten()
+        ids, keys = (own[x].combine_chunks().flatten() for x in ("ids", "keys"))
         sizes = own["sizes"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
         shared = np.frombuffer(own["payload"][0].as_py(), np.int32).astype(np.int64)
         for p in group.filter(group["ids"].is_null())["payload"]:
             shared += np.bincount(np.frombuffer(p.as_py(), np.uint16), minlength=len(sizes))
-        return pa.table({"doc_id": ids, "n": pa.array(sizes, pa.int32()), "alive": pa.array((sizes > 0) & (100 * shared >= percent * sizes)), "digest": own["digests"].combine_chunks().flatten()})
+        return pa.table({"doc_id": ids, "own": keys, "n": pa.array(sizes, pa.int32()), "alive": pa.array((sizes > 0) & (100 * shared >= percent * sizes)), "digest": own["digests"].combine_chunks().flatten()})
 
-    return told.groupBy("chunk").applyInArrow(settle_chunk, "doc_id long, n int, alive boolean, digest binary")
+    return told.groupBy("chunk").applyInArrow(settle_chunk, "doc_id long, own long, n int, alive boolean, digest binary")
 
 
 def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
@@ -205,6 +208,36 @@ def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(run, "rep long, shingles binary")
 
 
+def region(percent: int) -> float:
+    """The part of the hash range that ``thin_sets`` cover: twice what sets that link can differ by, so that most others are told apart by it."""
+    return min(1.0, 2 * (100 - percent) / (100 + percent))
+
+
+def thin_sets(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """(rep, n, inner, part): of each set its size, its shingles below ``region`` and 32 bits of each of these; of a small set all of them."""
+    share = region(percent)
+    top = np.uint64(min(int(share * 2**64), 2**64 - 1))
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for a, b, rows, values in chunk_shingles(batch.column(1), width):
+                cut = np.searchsorted(rows, np.arange(b - a + 1))
+                size = np.diff(cut)
+                full = np.flatnonzero(size)
+                inner = np.bincount(rows[values < top], minlength=b - a)
+                kept = np.where(size * share <= INNER, size, inner)
+                low = values.astype(np.uint32)
+                parts = [low[cut[r] : cut[r] + kept[r]].tobytes() for r in full]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(a, b - a).take(pa.array(full)), pa.array(size[full], pa.int32()), pa.array(inner[full], pa.int32()), pa.array(parts, pa.binary())],
+                    ["rep", "n", "inner", "part"],
+                )
+
+    return docs.mapInArrow(run, "rep long, n int, inner int, part binary")
+
+
 def node_entries(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """(token, rep, n): the nodes that a document enters, its first n - overlap + 1 groups in hash order.
 
@@ -240,26 +273,28 @@ def node_entries(docs: DataFrame, width: int, percent: int) -> DataFrame:
 
 @dataclass
 class Tree:
-    """Leaves of points packed by size: order of the points, bounds of the leaves, their corners and smallest sizes."""
+    """Leaves of points packed by size: order of the points, bounds of the leaves, their corners, smallest sizes and largest rests."""
 
     order: np.ndarray
     cut: np.ndarray
     corner: np.ndarray
     least: np.ndarray
+    rest: np.ndarray
 
 
-def packed(points: np.ndarray, sizes: np.ndarray) -> Tree:
+def packed(points: np.ndarray, sizes: np.ndarray, rest: np.ndarray) -> Tree:
     heavy = points.argmax(1)
     order = np.lexsort((points[:, 0], heavy, sizes))
     cut = np.append(np.arange(0, len(order), LEAF), len(order))
     corner = np.maximum.reduceat(points[order], cut[:-1], axis=0)
-    return Tree(order, cut, corner, np.minimum.reduceat(sizes[order], cut[:-1]))
+    return Tree(order, cut, corner, np.minimum.reduceat(sizes[order], cut[:-1]), np.maximum.reduceat(rest[order], cut[:-1]))
 
 
-def linked(ids: np.ndarray, sets: list[np.ndarray], side: np.ndarray, percent: int) -> list[tuple[int, int]]:
+def linked(ids: np.ndarray, sets: list[np.ndarray], side: np.ndarray, percent: int, rest: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Links of a node, one for each connection it makes: (member, smallest member it is connected with).
 
-    ``side``: pairs are looked for between members of side 0 and 1, or among all where there is one side.
+    ``side``: pairs are looked for between members of side 0 and 1, or among all where there is one side. ``rest``: how many shingles a member
+    has beside those in ``sets``; two members may share as many more as the smaller rest, so the links are then all that there can be, and others.
     """
     parent = list(range(len(ids)))
 
@@ -269,19 +304,21 @@ def linked(ids: np.ndarray, sets: list[np.ndarray], side: np.ndarray, percent: i
             i = parent[i]
         return i
 
-    sizes = np.array([len(s) for s in sets])
-    points = np.stack([np.bincount((s >> np.int64(20)).astype(np.int64) & (GROUPS - 1), minlength=GROUPS) for s in sets]).astype(np.int32)
+    given = np.array([len(s) for s in sets])
+    rest = np.zeros(len(given), np.int64) if rest is None else rest
+    sizes = given + rest
+    points = np.stack([np.bincount((s >> s.dtype.type(20)).astype(np.int64) & (GROUPS - 1), minlength=GROUPS) for s in sets]).astype(np.int32)
     two = side.any() and not side.all()
     members = [np.flatnonzero(side == k) for k in (0, 1)] if two else [np.arange(len(ids))] * 2
-    trees = [packed(points[m], sizes[m]) for m in members]
+    trees = [packed(points[m], sizes[m], rest[m]) for m in members]
     known, numbers = np.unique(np.concatenate(sets), return_inverse=True)
-    cut = np.cumsum(sizes) - sizes
-    numbered = [numbers[x : x + n] for x, n in zip(cut, sizes, strict=True)]
+    cut = np.cumsum(given) - given
+    numbered = [numbers[x : x + n] for x, n in zip(cut, given, strict=True)]
     held = np.zeros((len(known), LEAF), np.uint8)  # which shingles the points of a leaf have
     left, right = trees
     for a in range(len(left.least)):
         i = members[0][left.order[left.cut[a] : left.cut[a + 1]]]
-        near = np.flatnonzero(enough(np.minimum(left.corner[a], right.corner).sum(1), left.least[a], right.least, percent))
+        near = np.flatnonzero(enough(np.minimum(left.corner[a], right.corner).sum(1) + np.minimum(left.rest[a], right.rest), left.least[a], right.least, percent))
         near = near if two else near[near >= a]
         if not len(near):
             continue
@@ -289,7 +326,7 @@ def linked(ids: np.ndarray, sets: list[np.ndarray], side: np.ndarray, percent: i
             held[numbered[p], x] = 1
         for b in near:
             j = members[1][right.order[right.cut[b] : right.cut[b + 1]]]
-            most = np.minimum(points[i][:, None, :], points[j][None, :, :]).sum(2)
+            most = np.minimum(points[i][:, None, :], points[j][None, :, :]).sum(2) + np.minimum(rest[i][:, None], rest[j][None, :])
             maybe = enough(most, sizes[i][:, None], sizes[j][None, :], percent)
             for y in np.flatnonzero(maybe.any(0)):
                 q = int(j[y])
@@ -298,7 +335,7 @@ def linked(ids: np.ndarray, sets: list[np.ndarray], side: np.ndarray, percent: i
                     shared = held[numbered[q]].sum(0, dtype=np.int64)
                     for x in open_:
                         p = int(i[x])
-                        if enough(shared[x], sizes[p], sizes[q], percent):
+                        if enough(shared[x] + min(rest[p], rest[q]), sizes[p], sizes[q], percent):
                             parent[top(p)] = top(q)
         for p in i:
             held[numbered[p]] = 0
@@ -309,18 +346,18 @@ def linked(ids: np.ndarray, sets: list[np.ndarray], side: np.ndarray, percent: i
     return [(int(ids[i]), int(least[top(i)])) for i in range(len(ids)) if ids[i] != least[top(i)]]
 
 
-def links(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """(a, b): links between set representatives (rep, text) that connect all that are similar."""
-    entries, sets = node_entries(docs, width, percent), shingle_sets(docs, width)
-    shared = entries.groupBy("token").agg(F.min("rep").alias("node"), F.count(F.lit(1)).alias("members")).filter("members > 1")
-    entered = settled(entries.join(shared.select("token", "node"), "token").select("node", "rep", "n").distinct())
+def placed_in_blocks(entered: DataFrame) -> DataFrame:
+    """(rep, node, i, j, side) of (node, rep, n): blocks of a node, of which each two meet, and on which side of them a member is."""
     blocks = F.greatest(F.ceil(F.count(F.lit(1)) / MEMBERS), F.ceil(F.sum("n") / SHINGLES))
     nodes = entered.groupBy("node").agg(blocks.cast("int").alias("blocks"))
     placed = entered.join(nodes, "node").withColumn("block", F.pmod(F.xxhash64(F.lit(2), "rep"), F.col("blocks")).cast("int"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    placed = placed.select("rep", "node", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"))
+    return placed.select("rep", "node", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"))
+
+
+def met(placed: DataFrame, sets: DataFrame, columns: list[str], found_in, schema: str) -> DataFrame:
+    """Rows of ``schema`` that ``found_in(ids, sides, lists of columns)`` finds in each pair of blocks."""
     key = ["node", "i", "j"]
-    placed = settled(placed)
     full = sets.join(sent_if_small(placed), "rep").repartition(*key).sortWithinPartitions(*key)
 
     def run(batches):
@@ -332,41 +369,87 @@ def links(docs: DataFrame, width: int, percent: int) -> DataFrame:
         def close():
             out = []
             if len(held) > 1:
-                side = np.array([x[1] for x in held])
-                out = linked(np.array([x[0] for x in held], np.int64), [x[2] for x in held], side, percent)
+                ids, side, *rest = zip(*held, strict=True)
+                out = found_in(np.array(ids, np.int64), np.array(side), rest)
             held.clear()
             return out
 
+        def told(found):
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in range(len(names_out))], names_out)
+
+        names_out = [x.split()[0] for x in schema.split(", ")]
         for batch in batches:
             found = []
             names = batch.schema.names
-            at = [batch.column(names.index(n)) for n in ("node", "i", "j", "rep", "side", "shingles")]
-            for node, i, j, rep, side, s in zip(*(c.to_pylist() for c in at), strict=True):
+            at = [batch.column(names.index(n)) for n in (*key, "rep", "side", *columns)]
+            for node, i, j, *own in zip(*(c.to_pylist() for c in at), strict=True):
                 if (node, i, j) != current:
                     found += close()
                     current = (node, i, j)
-                held.append((rep, side, np.frombuffer(s, np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
-        found = close()
-        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+                held.append(tuple(own))
+            yield told(found)
+        yield told(close())
+
+    return full.mapInArrow(run, schema)
+
+
+def links(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """(a, b): links between set representatives (rep, text) that connect all that are similar.
+
+    A member of a node sends a part of its set first. What the parts leave connected is a node of its own, named by its smallest member; only there whole
+    sets meet. So the sets of documents that share no more than a few shingles don't go to every node that they enter.
+    """
+    entries, sets = node_entries(docs, width, percent), shingle_sets(docs, width)
+    shared = entries.groupBy("token").agg(F.min("rep").alias("node"), F.count(F.lit(1)).alias("members")).filter("members > 1")
+    entered = settled(entries.join(shared.select("token", "node"), "token").select("node", "rep", "n").distinct())
+
+    def near(ids, side, rest):
+        sizes, inner = (np.array(x, np.int64) for x in rest[:2])
+        parts = [np.frombuffer(x, np.uint32) for x in rest[2]]
+        if any(len(x) < n for x, n in zip(parts, sizes, strict=True)):  # all are compared below the same hash
+            parts = [x[:n] for x, n in zip(parts, inner, strict=True)]
+        found = linked(ids, parts, side, percent, sizes - np.array([len(x) for x in parts]))
+        largest: dict[int, int] = {}
+        for rep, n in zip(ids.tolist(), sizes.tolist(), strict=True):
+            largest[rep] = max(n, largest.get(rep, 0))
+        return [(b, x, largest[x]) for a, b in found for x in (a, b)]
 
-    return full.mapInArrow(run, "a long, b long").distinct()
+    thin = met(settled(placed_in_blocks(entered)), thin_sets(docs, width, percent), ["n", "inner", "part"], near, "node long, rep long, n long")
+    closer = settled(thin.groupBy("node", "rep").agg(F.max("n").alias("n")))
+
+    def similar(ids, side, rest):
+        return linked(ids, [np.frombuffer(x, np.int64) for x in rest[0]], side, percent)
+
+    return met(settled(placed_in_blocks(closer)), sets, ["shingles"], similar, "a long, b long").distinct()
 
 
 def join(docs: DataFrame, width: int = WORDS, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every document."""
+    """(doc_id, n_shingles, component_id) of every document.
+
+    Texts that are copies as a whole are represented by the smallest id from the start: a copy is no reason to look for near copies.
+    """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    sized = settled(bounded_by_root(rows, width, percent))
-    alive = sized.filter("alive and doc_id is not null").select("doc_id", "digest").distinct()
+    rows = rows.select("doc_id", F.xxhash64("text").alias("own"), "text")
+    keyed = settled(rows.filter("doc_id is not null").select("doc_id", "own", F.unhex(F.sha2("text", 256)).alias("whole")))
+    one = keyed.groupBy("whole").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    copies = settled(keyed.join(one, "whole").filter("doc_id > least").select("doc_id", "own", "least"))
+    first_rows = rows.join(sent_if_small(copies.select("doc_id", "own").distinct()), ["doc_id", "own"], "left_anti")
+    sized = settled(bounded_by_root(first_rows, width, percent, rows.rdd.getNumPartitions()))
+    alive = sized.filter("alive and doc_id is not null")
     reps = alive.groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    member = settled(alive.join(reps, "digest").select("doc_id", "rep"))
-    own = settled(member.select("rep").distinct())
-    chosen = rows.join(sent_if_small(own), rows["doc_id"] == own["rep"], "left_semi")
-    first = member.groupBy("doc_id").agg(F.min("rep").alias("rep"), F.max("rep").alias("other"))
-    found = links(chosen, width, percent).unionByName(first.filter("rep <> other").select(F.col("rep").alias("a"), F.col("other").alias("b")))
+    own = settled(reps.select("rep").distinct())
+    kept = sized.filter("doc_id is not null").join(reps.withColumn("alive", F.lit(True)), ["digest", "alive"], "left")
+    kept = settled(kept.select("doc_id", "own", "n", F.coalesce("rep", "doc_id").alias("rep")).distinct())
+    again = copies.join(kept.withColumnRenamed("doc_id", "least"), ["least", "own"]).select("doc_id", "n", "rep")
+    member = settled(kept.select("doc_id", "rep").unionByName(again.select("doc_id", "rep")).distinct())
+    chosen = rows.join(sent_if_small(own), rows["doc_id"] == own["rep"], "left_semi").select("doc_id", "text")
+    first = settled(member.groupBy("doc_id").agg(F.min("rep").alias("rep"), F.max("rep").alias("other")))
+    several = first.filter("rep <> other").select("doc_id", F.col("rep").alias("b"))
+    found = links(chosen, width, percent).unionByName(member.join(several, "doc_id").select(F.col("rep").alias("a"), "b"))
     roots = components(found)
     placed = first.join(roots, first["rep"] == roots["node"], "left").select("doc_id", F.coalesce("root", "rep").alias("root"))
-    out = sized.select("doc_id", "n").join(placed, "doc_id", "left")
+    counted = sized.select("doc_id", "n").unionByName(again.select("doc_id", "n"))
+    out = counted.join(placed, "doc_id", "left")
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("root", "doc_id").alias("component_id"))
 
 
