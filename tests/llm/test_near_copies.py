@@ -1,4 +1,4 @@
-"""What the near-duplicate join sends: copies once, whole sets only where parts of them leave a link, and no shuffle files after a step."""
+"""What the near-duplicate join sends: whole sets only where parts of them leave a link, and no shuffle files after a step."""
 
 import random
 import time
@@ -28,17 +28,13 @@ def test_a_stored_frame_leaves_no_shuffle_files(spark):
         assert shuffle_blocks(spark) <= before + 2
 
 
-def test_copies_are_no_partners_and_meet_the_root_once(spark, monkeypatch):
+def test_copies_and_all_texts_of_one_id_are_linked(spark):
     rng = random.Random(3)
     texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(30)) for _ in range(20)]
     rows = [(100 * r + i, t) for r in range(3) for i, t in enumerate(texts)]
     rows += [(None, texts[0]), (None, None), (900, None), (901, None), (5, "another text of one id that links with nothing"), (205, texts[7]), (205, texts[9] + " x"), (3, texts[3])]
-    seen, root = [], jaccard.bounded_by_root
-    monkeypatch.setattr(jaccard, "bounded_by_root", lambda docs, *rest: seen.append(docs.count()) or root(docs, *rest))
     got = jaccard.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
     assert len(got) == len(rows)
-    # 20 texts, one of them twice under its own id, two rows without an id, two null texts, and two other texts
-    assert seen == [20 + 1 + 2 + 2 + 2]
     roots = {r.doc_id: r.component_id for r in got}
     joined = {5, 7, 9}  # the three texts of 205, which are one node
     assert roots == {i: None if i is None else i if i >= 900 else 5 if i % 100 in joined else i % 100 for i, _ in rows}
@@ -75,3 +71,12 @@ def test_parts_lose_no_link():
     least = dict(jaccard.linked(ids, parts, side, 80, np.array([len(s) - len(p) for s, p in zip(sets, parts, strict=True)])))
     assert whole and all(least.get(a, a) == least.get(b, b) for a, b in whole)
     assert not any(i in least for i in range(60, 120))
+
+
+def test_keep_one_sends_the_ids_and_not_the_texts(spark):
+    texts = ["a b c d e f g h"] * 3 + ["i j k l m n o p", None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = jaccard.keep_one(df)
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "Exchange hashpartitioning" not in plan
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 3, 4, 5]
